@@ -82,5 +82,5 @@ def parse_answer(c: Column, schema: str = "document_type string, confidence stri
 
 def confidence(parsed: Column) -> Column:
     """The first of three fields that is a number, cut to an integer from 0 to 100; else the default."""
-    values = [F.greatest(F.lit(0), F.least(F.lit(100), parsed[k].try_cast("double").cast("int"))) for k in ("confidence", "score", "wahrscheinlichkeit")]
-    return F.coalesce(*values, F.lit(CONFIDENCE))
+    numbers = [parsed[k].try_cast("double") for k in ("confidence", "score", "wahrscheinlichkeit")]
+    return F.coalesce(*[F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(0.0), F.least(F.lit(100.0), x)).cast("int")) for x in numbers], F.lit(CONFIDENCE))

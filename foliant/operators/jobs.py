@@ -93,7 +93,8 @@ def dashboard(files: DataFrame, dirs: DataFrame, queue: DataFrame, paths: DataFr
 
 def stage_report(events: DataFrame) -> DataFrame:
     """events (job_id, stage, status, started_at, ended_at, warning, event_id) -> the last record of each stage with duration_ms, and all its warnings."""
-    ms = F.round((F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1000, 2)
+    us = F.unix_micros(F.col("ended_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
+    ms = F.floor((us + 5) / 10) / 100
     last = F.max_by(F.struct("status", ms.alias("duration_ms")), F.struct("ended_at", "event_id"))
     warnings = F.array_sort(F.collect_list("warning"))
     got = events.groupBy("job_id", "stage").agg(last.alias("last"), warnings.alias("warnings"))

@@ -1,6 +1,6 @@
 """Operator inputs derived from the given tables, in SQL that Spark and DuckDB both read.
 
-Tables stand in braces. ``frame`` gives the rows to Spark, ``text`` the same SQL with plain table names.
+Tables stand in braces; braces of the text itself are doubled. ``frame`` gives the rows to Spark, ``text`` the same SQL with plain table names.
 """
 
 from __future__ import annotations
@@ -63,4 +63,4 @@ def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def text(sql: str) -> str:
-    return re.sub(r"\{(\w+)\}", r"\1", sql)
+    return re.sub(r"(?<!\{)\{(\w+)\}(?!\})", r"\1", sql).replace("{{", "{").replace("}}", "}")
