@@ -48,10 +48,11 @@ def recipes(docs: DataFrame, digest: Callable[[Column], Column] = lambda c: F.xx
         return plain
     number = Window.partitionBy("hash").orderBy("chunk")
     variants = distinct.join(shared, "hash", "left_semi").select("hash", "chunk", F.row_number().over(number).alias("variant"))
-    uses = docs.select("doc_id", normalised().alias("text")).select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.posexplode_outer(chunks(F.col("text"))).alias("at", "chunk"))
+    numbered = written(texts.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    uses = numbered.select("row", "doc_id", F.sha2("text", 256).alias("text_sha256"), F.posexplode_outer(chunks(F.col("text"))).alias("at", "chunk"))
     named = uses.withColumn("hash", digest(F.col("chunk"))).join(variants, ["hash", "chunk"], "left")
     ordered = F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "hash", F.coalesce("variant", F.lit(0)).alias("variant")))))
-    return named.groupBy("doc_id", "text_sha256").agg(ordered.alias("parts")).select("doc_id", F.col("parts.hash").alias("hashes"), F.col("parts.variant").alias("variants"), "text_sha256")
+    return named.groupBy("row", "doc_id", "text_sha256").agg(ordered.alias("parts")).select("doc_id", F.col("parts.hash").alias("hashes"), F.col("parts.variant").alias("variants"), "text_sha256")
 
 
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = lambda c: F.xxhash64(c)) -> DataFrame:

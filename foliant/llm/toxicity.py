@@ -27,7 +27,7 @@ from foliant.llm.learning import labelled_texts, remainder
 SPACE = 1 << 22  # hashed terms
 SAMPLE, TERMS, RARE = 12_000, 20_000, 3  # labelled rows at most; terms at most; documents that a term needs
 APART = 3.5  # standard deviations by which a term's share of toxic documents must differ from the sample's
-FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 30, 32, 0.1, 1e-5
+FACTORS, EPOCHS, STEPS, BATCH, RATE, DECAY = 8, 30, 3000, 32, 0.1, 1e-5  # as many rounds as give STEPS steps, EPOCHS at least
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -67,7 +67,7 @@ def fitted(rows: list[np.ndarray], label: np.ndarray, chosen: np.ndarray) -> Mac
     model = Machine(slots, float(np.log(rate / (1 - rate))) if len(label) else -30.0, np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), FACTORS)))
     w, v = model.weights, model.factors
     gw, gv, gb = np.full(len(w), 1e-3), np.full(v.shape, 1e-3), 1e-3
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS * BATCH // max(1, len(rows)))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
