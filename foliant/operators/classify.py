@@ -200,18 +200,20 @@ def normalize_answer(answers: DataFrame, paths: DataFrame, persons: DataFrame) -
     return a.select("doc_id", F.coalesce("known_path", "built_path", "built").alias("path"), is_new.alias("is_new"), F.when(is_new, 52).otherwise(F.col("confidence")).alias("score"))
 
 
-def classify(docs: DataFrame, context: DataFrame, memory: DataFrame, model: DataFrame, merged: DataFrame) -> DataFrame:
-    """doc_id, path, score, reason by the first tier that decides: context, memory, model, best candidate, catch-all.
+def residue(docs: DataFrame, *tiers: DataFrame) -> DataFrame:
+    """Documents that no tier decided: what the model is asked about."""
+    for rows in tiers:
+        docs = docs.join(rows.select("doc_id"), "doc_id", "left_anti")
+    return docs
 
-    Every tier sees only what the earlier ones left.
-    """
+
+def classify(docs: DataFrame, context: DataFrame, memory: DataFrame, model: DataFrame, merged: DataFrame) -> DataFrame:
+    """doc_id, path, score, reason by the first tier that decides: context, memory, model, best candidate, catch-all."""
     tiers = [(context, "context_match"), (memory, "memory"), (model, "llm"), (merged.filter("place = 1"), "fallback")]
-    left, out = docs.select("doc_id"), None
-    for rows, reason in tiers:
-        got = left.join(rows.select("doc_id", "path", "score"), "doc_id").withColumn("reason", F.lit(reason))
-        out = got if out is None else out.union(got)
-        left = left.join(rows.select("doc_id"), "doc_id", "left_anti")
-    return out.union(left.select("doc_id", F.lit(CATCH_ALL), F.lit(0), F.lit("fallback")))
+    rows = [t.select("doc_id", F.struct(F.lit(i).alias("tier"), "path", F.col("score").cast("int").alias("score"), F.lit(reason).alias("reason")).alias("t")) for i, (t, reason) in enumerate(tiers)]
+    best = rows[0].union(rows[1]).union(rows[2]).union(rows[3]).groupBy("doc_id").agg(F.min("t").alias("t"))
+    out = docs.select("doc_id").join(best, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("t.path", F.lit(CATCH_ALL)).alias("path"), F.coalesce("t.score", F.lit(0)).alias("score"), F.coalesce("t.reason", F.lit("fallback")).alias("reason"))
 
 
 def needs_review(results: DataFrame, merged: DataFrame) -> DataFrame:

@@ -192,7 +192,15 @@ def cascade(docs, dec, stored, ctx, ans, paths, persons):
     return classify.classify(docs, ranked, classify.auto_accept(merged), model, merged)
 
 
-QUERIES["cls13_cascade"] = lambda spark, d: cascade(**{k: frame(spark, d, s) for k, s in {"docs": PART_DOCS, "dec": DECISIONS, "stored": STORED, "ctx": CONTEXTS, "ans": MODEL_ANSWERS, "paths": BRANDS, "persons": PERSONS}.items()})
+PEOPLE = "SELECT CASE WHEN r_regionkey = 3 THEN 'EUROPE' ELSE r_name END AS name, r_regionkey AS ord FROM {region}"
+CASCADE = f""", {HITS}{SCORED}, b1 AS (SELECT doc_id, path, score, 'context_match' AS reason FROM (SELECT *, lead(score, 1, 0) OVER (PARTITION BY doc_id ORDER BY place) AS nxt FROM p) WHERE place = 1 AND score >= 40 AND score - nxt >= 16),
+    mem AS (SELECT *, path NOT IN (SELECT path FROM paths) AS is_new, lead(score, 1, 0) OVER (PARTITION BY doc_id ORDER BY place) AS nxt FROM mc WHERE place <= 5),
+    b2 AS (SELECT doc_id, path, score, 'memory' FROM mem WHERE place = 1 AND score >= 86 AND score - nxt >= 10 AND NOT is_new AND doc_id NOT IN (SELECT doc_id FROM b1)),
+    b3 AS (SELECT doc_id, path, score, 'llm' FROM ({ANSWERED} WHERE confidence >= 50) WHERE doc_id IN (SELECT doc_id FROM docs) AND doc_id NOT IN (SELECT doc_id FROM b1 UNION SELECT doc_id FROM b2)),
+    b4 AS (SELECT doc_id, path, score, 'fallback' FROM mem WHERE place = 1 AND doc_id NOT IN (SELECT doc_id FROM b1 UNION SELECT doc_id FROM b2 UNION SELECT doc_id FROM b3)),
+    some AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3 UNION ALL SELECT * FROM b4)
+    SELECT * FROM some UNION ALL SELECT doc_id, 'Sonstiges', 0, 'fallback' FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM some)""".replace("some", "taken")
+query("cls13_cascade", CASCADE, docs=PART_DOCS, dec=DECISIONS, stored=STORED, ctx=CONTEXTS, ans=MODEL_ANSWERS, paths=BRANDS, persons=PEOPLE)(lambda **x: cascade(**x))
 query("cls14_needs_review", f"{MERGED} SELECT r.doc_id, confidence, is_new, NOT is_new AND (confidence < 60 OR coalesce(top < 85 AND top - second <= 8, false)) AS review FROM res AS r LEFT JOIN (SELECT doc_id, max(score) FILTER (WHERE place = 1) AS top, max(score) FILTER (WHERE place = 2) AS second FROM mp GROUP BY 1) USING (doc_id)", cand=CANDIDATES, paths=BRANDS, res="SELECT o_orderkey AS doc_id, cast(o_custkey % 100 AS int) AS confidence, o_orderkey % 5 = 0 AS is_new FROM {orders}")(
     lambda cand, paths, res: classify.needs_review(res, merged_of(cand, paths))
 )
@@ -208,7 +216,13 @@ query("cls18_consolidate", f", {COUNTED} SELECT NULL AS name, path AS old_path,
 FINAL = "SELECT o_orderkey AS doc_id, concat('doc_', cast(o_orderkey AS string)) AS final_name FROM {orders}"
 FILES = "SELECT concat('doc_', cast(o_orderkey AS string), CASE o_orderkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.json' ELSE '_x.TXT' END) AS name FROM {orders}"
 query("cls19_artifacts", "SELECT doc_id, name FROM fin JOIN f ON starts_with(name, final_name) WHERE NOT ends_with(name, '.json')", fin=FINAL.replace("{orders}", "{orders} WHERE o_orderkey % 5 = 0"), f=FILES)(lambda fin, f: classify.artifacts_for(fin, f))
-QUERIES["cls20_class_prompt"] = lambda spark, d: classify.class_prompt(frame(spark, d, PART_DOCS).withColumn("title", F.col("meta_text")).withColumn("tags", F.lit(None).cast("string")), frame(spark, d, BRANDS), frame(spark, d, PERSONS), contexts_of(frame(spark, d, CONTEXTS)).withColumn("path", F.regexp_replace("path", "/Ordner.*", "")))
+BRAND_CONTEXTS = "SELECT concat('ASIA/', p_brand) AS path, p_brand AS brand, min(p_type) AS kind, min(p_partkey) AS ord, '' AS object_type, min(p_name) AS alias FROM {part} GROUP BY p_brand"
+PROMPT = """SELECT doc_id, '[PATHS]' || chr(10) || (SELECT string_agg(path, chr(10) ORDER BY path) FROM paths) || E'\\n\\n[PERSONS]\\n' || (SELECT string_agg(name, ', ' ORDER BY ord) FROM persons)
+    || E'\\n\\n[CONTEXTS]\\n' || (SELECT string_agg('- ' || path || ': ' || alias || ', ' || brand || ', ' || kind || ' Notiz', chr(10) ORDER BY path) FROM ctx)
+    || E'\\n\\n[DOCUMENT]\\ntitle: ' || meta_text || E'\\ndocument_type: ' || document_type || E'\\ntags: -\\n\\n[TEXT]\\n' || left(text, 3000) AS prompt FROM docs"""
+query("cls20_class_prompt", PROMPT, docs=PART_DOCS, paths=BRANDS, persons=PEOPLE, ctx=BRAND_CONTEXTS)(
+    lambda docs, paths, persons, ctx: classify.class_prompt(docs.withColumn("title", F.col("meta_text")).withColumn("tags", F.lit(None).cast("string")), paths, persons, contexts_of(ctx))
+)
 
 # Job store: events as job events, documents as index.
 EVENTS = "SELECT event_id, user_id AS job_id, event_type AS event, value, ts AS created_at FROM {events}"
