@@ -35,6 +35,8 @@ DOC_TYPES = {
 }
 TEXT_USED, EVIDENCE, PER_PATH, DECISIONS, MOST, REJECTED = 5000, 8, 120, 1000, 50, 30
 CATCH_ALL = "Sonstiges"
+#: Context terms that may be broadcast.
+TERMS_SENT = 50_000
 
 
 def depth(path: Column) -> Column:
@@ -56,12 +58,17 @@ def context_terms(contexts: DataFrame) -> DataFrame:
     return rows.withColumn("norm", folded(F.col("term"))).filter((F.length("term") >= 2) & (F.col("norm") != ""))
 
 
-def context_hits(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+def context_hits(docs: DataFrame, contexts: DataFrame, most: int = TERMS_SENT) -> DataFrame:
     """docs (doc_id, haystack) -> rows (doc_id, path, ord, term_no, kind, term, weight) of terms that the folded text contains.
 
-    The term table is bounded by the folder registry that people keep, so it is what every text is scanned for.
+    Up to ``most`` terms are sent to every task. More meet the texts by their first two letters instead.
     """
-    return docs.withColumn("haystack", folded(F.col("haystack"))).join(F.broadcast(context_terms(contexts)), F.contains("haystack", "norm")).drop("haystack", "norm")
+    terms, texts = context_terms(contexts), docs.withColumn("haystack", folded(F.col("haystack")))
+    if terms.limit(most + 1).count() <= most:
+        return texts.join(F.broadcast(terms), F.contains("haystack", "norm")).drop("haystack", "norm")
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("haystack") - 1, F.lit(1))), lambda i: F.substring(F.col("haystack"), i, F.lit(2))))
+    met = texts.select("doc_id", "haystack", F.explode(pairs).alias("_pair")).join(terms.withColumn("_pair", F.substring("norm", 1, 2)), "_pair")
+    return met.filter(F.contains("haystack", "norm")).drop("haystack", "norm", "_pair")
 
 
 def rank_contexts(docs: DataFrame, contexts: DataFrame) -> DataFrame:

@@ -73,6 +73,8 @@ def test_context_winner(spark):
     docs = spark.createDataFrame([(1, "Inspektion Golf 7 AB CD 123"), (2, "nichts")], "doc_id long, haystack string")
     ranked = classify.rank_contexts(docs, contexts)
     assert [(r["doc_id"], r["path"]) for r in classify.best_context(ranked).collect()] == [(1, "A/Golf")]
+    one, other = (sorted(map(str, classify.context_hits(docs, contexts, most).collect())) for most in (50_000, 0))
+    assert one == other and len(one) > 2
 
 
 def test_merge_keeps_or_replaces_evidence(spark):
