@@ -92,14 +92,22 @@ def slices(lot: list[tuple[int, int, bytes]]) -> tuple[bytes, np.ndarray, np.nda
     return joined, first, last + LENGTH, least[first], h[least[first]]
 
 
-def packed(head: np.ndarray, parts: list[bytes]) -> bytes:
-    return zstandard.compress(len(head).to_bytes(4, "little") + head.tobytes() + b"".join(parts), 3)
+def packed(head: np.ndarray, parts: list[bytes], level: int = 6) -> bytes:
+    """Slices as one compressed blob: the fields of the heads one after another, numbers as differences, then the bytes."""
+    fields = [np.diff(head[k], prepend=0) if k in ("doc", "start") else head[k] for k in HEAD.names]
+    octets = [np.ascontiguousarray(f.reshape(-1, 1).view(np.uint8).T).tobytes() for f in fields]
+    return zstandard.compress(len(head).to_bytes(4, "little") + b"".join(octets) + b"".join(parts), level)
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
     raw = zstandard.decompress(blob)
     n = int.from_bytes(raw[:4], "little")
-    head = np.frombuffer(raw, HEAD, n, 4)
+    head, at = np.empty(n, HEAD), 4
+    for k in HEAD.names:
+        kind = HEAD[k]
+        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T).view(kind).ravel()
+        head[k] = np.cumsum(x) if k in ("doc", "start") else x
+        at += n * kind.itemsize
     ends = 4 + n * HEAD.itemsize + np.cumsum(head["size"], dtype=np.int64)
     begins = ends - head["size"]
     return head, [raw[b:e] for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
