@@ -31,8 +31,10 @@ LENGTH, GRAM = 50, 8
 #: Context on one side of a minimizer that any string has at least: half of what the gram leaves.
 SIDE = (LENGTH - GRAM) // 2
 #: Bytes worked on at once in a task; longer texts go in segments that overlap by LENGTH - 1.
-PIECE = 4 << 20
+PIECE = 1 << 20
 PLACE = 24  # bits of a position in a piece
+#: Bytes of text whose slices leave a task together, after equal ones among them have been found.
+LOT = 8 << 20
 #: Raw bytes of slices that a bucket should hold.
 BUCKET = 24 << 20
 HEAD = np.dtype([("doc", "<i8"), ("start", "<i8"), ("size", "u1"), ("gram", "u1")])
@@ -124,35 +126,45 @@ def by_document(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[li
 def dealt(buckets: int):
     """Documents -> slices by bucket, and runs that an earlier document of the same task has (bucket, runs)."""
 
+    names = ["bucket", "doc_id", "blob"]
+
+    def leaving(own: list[bytes], fields: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        docs, at, gram, h = fields
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        seen: dict[bytes, int] = {}
+        first = np.fromiter((seen.setdefault(s, d) for s, d in zip(own, docs.tolist(), strict=True)), np.int64, len(own))
+        late = first < docs
+        ids, runs = by_document(docs[late], at[late], (at + size)[late])
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array([d % buckets for d in ids], pa.int32()), pa.array(ids, pa.int64()), pa.array(runs, pa.binary())], names=names)
+        keep = np.flatnonzero(~late)
+        bucket = (mixed(h[keep], 1) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        keep, bucket = keep[order], bucket[order]
+        head = np.empty(len(keep), HEAD)
+        head["doc"], head["start"], head["size"], head["gram"] = docs[keep], at[keep], size[keep], gram[keep]
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keep)]
+        named = [(int(bucket[a]), packed(head[a:b], [own[i] for i in keep[a:b]])) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+        if named:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in named], pa.int32()), pa.nulls(len(named), pa.int64()), pa.array([x[1] for x in named], pa.binary())], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(d, t) for d, t in zip(batch["doc_id"].to_pylist(), batch["_text"].to_pylist(), strict=True) if len(t) >= LENGTH and d is not None]
-            seen: dict[bytes, int] = {}
+            own: list[bytes] = []
+            found: list[list[np.ndarray]] = []
             held = 0
             for lot in pieces(rows):
                 joined, begin, end, gram, h = slices(lot)
-                if (held := held + len(joined)) > 2 * PIECE:
-                    seen, held = {}, len(joined)
                 starts = np.concatenate([[0], np.cumsum([len(x[2]) for x in lot])])
                 which = np.searchsorted(starts, begin, "right") - 1
-                docs = np.array([x[0] for x in lot])[which]
-                at = begin - starts[which] + np.array([x[1] for x in lot])[which]
-                own = [joined[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
-                first = np.array([seen.setdefault(s, d) for s, d in zip(own, docs.tolist(), strict=True)], np.int64)
-                late = first < docs
-                ids, runs = by_document(docs[late], at[late], (at + end - begin)[late])
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array([d % buckets for d in ids], pa.int32()), pa.array(ids, pa.int64()), pa.array(runs, pa.binary())], names=["bucket", "doc_id", "blob"])
-                keep = np.flatnonzero(~late)
-                bucket = (mixed(h[keep], 1) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                keep, bucket = keep[order], bucket[order]
-                head = np.empty(len(keep), HEAD)
-                head["doc"], head["start"], head["size"], head["gram"] = docs[keep], at[keep], (end - begin)[keep], (gram - begin)[keep]
-                cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keep)]
-                named = [(int(bucket[a]), packed(head[a:b], [own[i] for i in keep[a:b]])) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-                if named:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in named], pa.int32()), pa.nulls(len(named), pa.int64()), pa.array([x[1] for x in named], pa.binary())], names=["bucket", "doc_id", "blob"])
+                own += [joined[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
+                found.append([np.array([x[0] for x in lot])[which], begin - starts[which] + np.array([x[1] for x in lot])[which], gram - begin, h])
+                if (held := held + len(joined)) >= LOT:
+                    yield from leaving(own, [np.concatenate(x) for x in zip(*found, strict=True)])
+                    own, found, held = [], [], 0
+            if own:
+                yield from leaving(own, [np.concatenate(x) for x in zip(*found, strict=True)])
 
     return run
 
