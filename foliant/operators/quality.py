@@ -127,16 +127,22 @@ def text_stats(df: DataFrame, text: str = "text", shown: int = 160) -> DataFrame
 
 
 def is_looping(c: Column) -> Column:
-    """Does the text end in a pattern of 6 to 90 letters repeated over 180 letters or more?"""
-    tail = F.substring(c, -2 * LOOP_TOTAL, 2 * LOOP_TOTAL)
-    tail = F.when(F.length(c) <= 2 * LOOP_TOTAL, c).otherwise(tail)
+    """Does the text end in a pattern of 6 to 90 letters repeated over 180 letters or more?
 
-    def repeats(n: Column) -> Column:
-        p = F.right(tail, n)
-        times = F.ceil(F.lit(LOOP_TOTAL) / n).cast("int")
-        return F.endswith(tail, F.repeat(p, times)) & (strip(p) != "") & (F.size(F.array_distinct(F.split(p, ""))) > 2)
-
-    return (F.length(c) >= LOOP_TOTAL) & F.exists(F.sequence(F.lit(LOOP_SHORTEST), F.lit(LOOP_TOTAL // 2)), repeats)
+    A text ends in k copies of n letters where its last k * n letters, less the first n, equal them less the last n.
+    """
+    end = F.when(F.length(c) <= 2 * LOOP_TOTAL, c).otherwise(F.substring(c, -2 * LOOP_TOTAL, 2 * LOOP_TOTAL))
+
+    def repeats(tail: Column, n: Column) -> Column:
+        run = F.ceil(F.lit(LOOP_TOTAL) / n).cast("int") * n
+        start = F.length(tail) - run
+        same = (start >= 0) & (F.substring(tail, start + 1, run - n) == F.substring(tail, start + 1 + n, run - n))
+        pattern = F.right(tail, n)
+        return same & (strip(pattern) != "") & (F.size(F.array_distinct(F.split(pattern, ""))) > 2)
+
+    # The tail is taken once, as the element of an array.
+    found = F.exists(F.array(end), lambda tail: F.exists(F.sequence(F.lit(LOOP_SHORTEST), F.lit(LOOP_TOTAL // 2)), lambda n: repeats(tail, n)))
+    return (F.length(c) >= LOOP_TOTAL) & found
 
 
 def mojibake(c: Column) -> Column:
