@@ -35,6 +35,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Parts that the rows of one hot key are dealt to in a join.
+SALTS = 16
+
+
+def salted(df: DataFrame, by: str) -> DataFrame:
+    """Adds _salt from a column, for the side that may have a third of all rows under one key."""
+    return df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def for_all_salts(df: DataFrame) -> DataFrame:
+    """The other side, which has one row a key: once for each _salt."""
+    return df.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+
+
 def text_bytes(column: str = "text") -> Column:
     """Whole text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import written
+from foliant.llm.common import for_all_salts, salted, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: A chunk ends after 256 to 2048 letters where a word ends in d-f and the next begins with a-c, else at 2048.
@@ -59,7 +59,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = lambda c:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = written(recipes(docs, digest), "recipes")
     groups = rows.groupBy("hashes", "variants").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    return rows.join(groups, ["hashes", "variants"], "left").select(
+    return salted(rows, "doc_id").join(for_all_salts(groups), ["hashes", "variants", "_salt"], "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
