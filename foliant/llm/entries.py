@@ -21,7 +21,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES = {
+    "op1_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        c AS (SELECT doc_id, z, substr(h, 2 * z + 1, 2 * (512 + 49)) AS t FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 49), 512)) AS z FROM d)),
+        l AS (SELECT doc_id, z, list_transform(range(0, length(t) // 2 - 49), lambda p: md5(substr(t, 2 * p + 1, 100))) AS s FROM c),
+        w AS (SELECT doc_id, unnest(s) AS s, z + generate_subscripts(s, 1) - 1 AS p FROM l),
+        f AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
+        hit AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE first_id < doc_id),
+        g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM hit)),
+        r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY doc_id, run),
+        k AS (SELECT doc_id, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || any_value(substr(h, 2 * m + 1)) AS kept, sum(b - a) AS n_removed, count(*) AS n_spans
+            FROM (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z, max(b) OVER (PARTITION BY doc_id) AS m FROM r) JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, length(h) // 2 AS n_bytes, cast(coalesce(n_removed, 0) AS bigint) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
     "op5_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)

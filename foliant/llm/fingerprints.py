@@ -4,8 +4,9 @@ Terms are words and pairs of neighbouring words, weighted by how often a text ha
 (pairs say more than single words). Each term's hash votes with its weight for the sign of every bit.
 Likeness is the cosine that the share of differing bits stands for.
 
-Search uses permuted block tables: with radius r the bits fall into r + 1 blocks, of which at least one
-agrees, so each table brings another block to the front and looks it up exactly; the distance decides.
+Search uses permuted block tables: within radius 7 the bits fall into 8 blocks, of which at least one agrees,
+so each table brings another block to the front and looks it up exactly; the distance decides. Every document
+gets the smallest doc_id that such neighbours reach.
 
 Defined results: null counts as empty; a text without words has fingerprint zero; equal texts have equal
 fingerprints; the documents stand in descending doc_id order (null last, equal ids by text) and the last is
@@ -21,14 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import mixed, partitions, text_bytes, word_hashes
+from foliant.llm import simhash
+from foliant.llm.common import mixed, partitions, text_bytes, word_hashes, written
 
 LANES = 4  # of 64 bits
 BITS = 64 * LANES
 WORD_WEIGHT, PAIR_WEIGHT = 0.3, 1.0
+RADIUS = 7
 LOWEST = -(2**63)
 
 
@@ -59,11 +62,22 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return max(0.0, float(np.cos(np.pi * differing / BITS))) if differing else 1.0
 
 
-def as_text(fp: np.ndarray) -> str:
-    return fp.astype(">u8").tobytes().hex()
+def block_tables(fp: Column) -> Column:
+    """Array of keys, one a table: the table's number and the block that it puts first."""
+    width = BITS // 8 // (RADIUS + 1)
+    return F.array(*[F.xxhash64(F.lit(i), F.substring(fp, i * width + 1, width)) for i in range(RADIUS + 1)])
 
 
-EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def within_radius(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=1) <= RADIUS
+
+
+def near_classes(prints: DataFrame) -> DataFrame:
+    """prints (doc_id, fp binary) -> doc_id, fp, component_id, by all pairs within the radius."""
+    return simhash.near_classes(prints, keys=block_tables, near=within_radius)
+
+
+ROWS = "doc_id long, n_chars long, edited_sha256 string, fp binary, edited_fp binary, near_edited double, near_next double"
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -95,15 +109,15 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text, of its edited text, and their likeness; see ``EDITED``.
+    """Fingerprints of every text, of its edited text, and their likeness; see ``ROWS``.
 
     The edited text has its last floor(n/2) code points replaced by as many first ones of the next document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
-        names = [x.split()[0] for x in EDITED.split(", ")]
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+        names = [x.split()[0] for x in ROWS.split(", ")]
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
         for batch in batches:
             out = []
             for doc, extra, home, raw in zip(*(batch[c].to_pylist() for c in ("doc_id", "extra", "home", "_text")), strict=True):
@@ -115,8 +129,16 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
                     half = len(held[2]) // 2
                     edited = (held[2][: len(held[2]) - half] + text[:half]).encode()
                     fp = fingerprint(edited)
-                    out.append((held[0], len(held[2]), hashlib.sha256(edited).hexdigest(), as_text(held[3]), as_text(fp), likeness(held[3], fp), likeness(held[3], now[3])))
+                    out.append((held[0], len(held[2]), hashlib.sha256(edited).hexdigest(), held[3].tobytes(), fp.tobytes(), likeness(held[3], fp), likeness(held[3], now[3])))
                 held = None if extra else now
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return in_order(docs).select("doc_id", "extra", "home", "_text").mapInArrow(run, EDITED)
+    return in_order(docs).select("doc_id", "extra", "home", "_text").mapInArrow(run, ROWS)
+
+
+def fingerprint_report(docs: DataFrame) -> DataFrame:
+    """The rows of ``edited_likeness`` with fingerprints as hex digits, and near_class."""
+    rows = written(edited_likeness(docs), "fingerprints")
+    near = near_classes(rows.select("doc_id", "fp")).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("near_class")).distinct()
+    shown = {"fingerprint": F.lower(F.hex("fp")), "edited_fingerprint": F.lower(F.hex("edited_fp"))}
+    return rows.join(near, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "n_chars", "edited_sha256", *[v.alias(k) for k, v in shown.items()], "near_edited", "near_next", "near_class")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import partitions, text_bytes, written
+from foliant.llm.common import for_all_salts, partitions, salted, text_bytes, written
 from foliant.llm.graph import components
 
 RADIUS, SEGMENTS, WIDTH, SEED = 3, 4, 3, 42
@@ -90,14 +90,17 @@ def within_chain(x: np.ndarray) -> np.ndarray:
     return ok
 
 
-def forest(fp: np.ndarray, groups: np.ndarray, near: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside each group (rows of a group stand together) as edges to the smallest fingerprint reached."""
-    n = len(fp)
+def forest(values: np.ndarray, groups: np.ndarray, near: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside each group (rows of a group stand together) as edges to the first row that they reach.
+
+    values: fingerprints, of one or several 64-bit lanes a row; near tells from their XOR which link.
+    """
+    n = len(values)
     last = np.searchsorted(groups, groups, "right")
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at, step = np.arange(n), 1
     while len(at := at[at + step < last[at]]):
-        ok = near(fp[at] ^ fp[at + step])
+        ok = near(values[at] ^ values[at + step])
         left.append(at[ok])
         right.append(at[ok] + step)
         step += 1
@@ -114,8 +117,15 @@ def forest(fp: np.ndarray, groups: np.ndarray, near: Callable[[np.ndarray], np.n
         if np.array_equal(new, label):
             break
         label = new
-    hung = label != np.arange(n)
-    return fp[hung], fp[label[hung]]
+    hung = np.flatnonzero(label != np.arange(n))
+    return hung, label[hung]
+
+
+def lanes(column: pa.ChunkedArray) -> np.ndarray:
+    """Fingerprints (a long, or binary of several 64-bit lanes) as numbers."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy().view(np.uint64)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -144,33 +154,36 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
 
 
 def links(fps: DataFrame, keys: Callable[[Column], Column] = ring_keys, near: Callable[[np.ndarray], np.ndarray] = within_chain, block: int = BLOCK) -> DataFrame:
-    """fps (fp, distinct) -> edges (a, b) that connect exactly the fingerprints which links connect."""
-    keyed = fps.select(F.explode(keys(F.col("fp"))).alias("key"), "fp")
+    """fps (node, fp), one row a fingerprint -> edges (a, b) that connect exactly the nodes whose fingerprints link."""
+    keyed = fps.select("node", F.explode(keys(F.col("fp"))).alias("key"), "fp")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     meets = keyed.join(sizes, "key").withColumn("blocks", blocks).withColumn("own", own)
-    meets = meets.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "fp")
-    meets = meets.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    meets = meets.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "node", "fp")
+    meets = meets.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, g in whole_groups(batches, ["key", "i", "j"]):
-            a, b = forest(t["fp"].to_numpy().view(np.uint64), g, near)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            a, b = forest(lanes(t["fp"]), g, near)
+            node = t["node"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     n = partitions(fps.sparkSession)
-    return meets.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "fp").mapInArrow(run, "a long, b long").distinct()
+    return meets.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_classes(prints: DataFrame, **how) -> DataFrame:
-    """prints (doc_id, fp) -> doc_id, fp, component_id: the smallest doc_id that links reach."""
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    comp = components(links(prints.select("fp").distinct(), **how))
-    comp = firsts.join(comp, firsts["fp"] == comp["node"]).select("fp", "first_id", "component")
-    least = comp.groupBy("component").agg(F.min("first_id").alias("least_id"))
-    linked = comp.join(least, "component").select("fp", "least_id")
-    known = firsts.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+    """prints (doc_id, fp) -> doc_id, fp, component_id: the smallest doc_id that links reach.
+
+    Only fingerprints with several documents or with links join back; any other document is its own class.
+    """
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    nodes = firsts.select(F.col("first_id").alias("node"), "fp")
+    comp = components(links(nodes.filter("node is not null"), **how))
+    known = firsts.join(comp, F.col("first_id") == F.col("node"), "left").select("fp", "n", "first_id", F.coalesce("component", "first_id").alias("component_id"))
+    known = known.filter("n > 1 or component_id <> first_id").select("fp", "component_id")
+    return salted(prints, "doc_id").join(for_all_salts(known), ["fp", "_salt"], "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

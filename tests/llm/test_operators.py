@@ -87,7 +87,7 @@ def test_bpe(docs, none):
     assert bpe.encoding_digests(none, BYTE).count() == 0
 
 
-def components(prints):
+def components(prints, radius=3):
     parent = {d: d for d, _ in prints}
 
     def top(x):
@@ -97,7 +97,7 @@ def components(prints):
 
     for a, x in prints:
         for b, y in prints:
-            if (x ^ y).bit_count() <= 3:
+            if (x ^ y).bit_count() <= radius:
                 u, v = top(a), top(b)
                 parent[max(u, v)] = min(u, v)
     return {d: top(d) for d, _ in prints}
@@ -152,14 +152,16 @@ def test_passages(docs, none):
     assert got[11]["n_removed"] == got[11]["n_words"] and got[12]["n_words"] - got[12]["n_removed"] <= 1 and got[10]["n_removed"] == 0
     assert (got[1]["kept"], got[1]["n_words"]) == ("", 0)
     assert all(got[i]["n_removed"] == 0 and got[i]["kept"] == t for i, t in rows() if i >= 20)
-    assert windows.remove_passages(none).count() == 0
+    assert windows.remove_passages(none).count() == windows.passage_digests(none).count() == 0
+    classes = {r["doc_id"]: r["class_id"] for r in windows.passage_digests(docs).collect()}
+    assert classes[9] == classes[8] == classes[7] == 7 and classes[12] == 10 and classes[1] == 1
     left = windows.drop_passages(docs)
     assert left.columns == docs.columns and left.filter("doc_id = 11").count() == 0 and left.filter("doc_id = 1").first()["text"] is None
     assert left.filter("doc_id = 8").select((F.length("text") == F.col("n_chars")).alias("ok")).first()["ok"]
 
 
 def test_fingerprint_order(docs, none, spark):
-    got = {r["doc_id"]: r for r in fingerprints.edited_likeness(docs).collect()}
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_report(docs).collect()}
     unique = dict(rows())
     ids = sorted(unique, reverse=True)
     for i, after in zip(ids, ids[1:] + ids[:1], strict=True):
@@ -169,13 +171,27 @@ def test_fingerprint_order(docs, none, spark):
         h = len(a) // 2
         assert got[i]["edited_sha256"] == hashlib.sha256((a[: len(a) - h] + b[:h]).encode()).hexdigest(), i
         assert got[i]["n_chars"] == len(a)
-    assert fingerprints.edited_likeness(docs).count() == docs.count()
-    assert got[10]["fingerprint"] == got[11]["fingerprint"] and got[11]["near_next"] == 1.0
-    assert fingerprints.edited_likeness(none).count() == 0
+    assert fingerprints.fingerprint_report(docs).count() == docs.count()
+    assert got[10]["fingerprint"] == got[11]["fingerprint"] and got[11]["near_next"] == 1 >= got[12]["near_next"] > 0.9
+    assert got[11]["near_class"] == got[12]["near_class"] == 10 and got[0]["near_class"] == 0
+    assert fingerprints.fingerprint_report(none).count() == 0
     single = spark.createDataFrame([(5, "abcd")], "doc_id long, text string")
     assert fingerprints.edited_likeness(single).first()["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
     odd = spark.createDataFrame([(None, "x"), (None, None), (3, "yy")], "doc_id long, text string")
-    assert fingerprints.edited_likeness(odd).count() == 3
+    assert fingerprints.fingerprint_report(odd).count() == 3
+
+
+def test_block_tables(spark):
+    r, prints = random.Random(3), []
+    for _ in range(8):
+        x = r.getrandbits(256)
+        for _ in range(15):
+            for _ in range(r.randint(0, 7)):
+                x ^= 1 << r.randrange(256)
+            prints.append((len(prints), x))
+    df = spark.createDataFrame([(d, bytearray(x.to_bytes(32, "little"))) for d, x in prints], "doc_id long, fp binary")
+    got = {x["doc_id"]: x["component_id"] for x in fingerprints.near_classes(df).collect()}
+    assert got == components(prints, 7)
 
 
 def test_packing(docs, none):
