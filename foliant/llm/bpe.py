@@ -32,7 +32,7 @@ WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words that the word-end path encodes itself; others go to the tokenizers library.
 PLAIN = regex.compile(r"[!-~À-ɏ]+")
 #: Entries of a worker's memory of encoded words; a full memory starts anew, so results don't change.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 def byte_letters() -> dict[str, int]:
