@@ -4,7 +4,7 @@ Terms are words and pairs of neighbouring words, weighted by how often a text ha
 (pairs say more than single words). Each term's hash votes with its weight for the sign of every bit.
 Likeness is the cosine that the share of differing bits stands for.
 
-Search uses permuted block tables: within radius 7 the bits fall into 8 blocks, of which at least one agrees,
+Search uses permuted block tables: within radius 3 the bits fall into 4 blocks, of which at least one agrees,
 so each table brings another block to the front and looks it up exactly; the distance decides. Every document
 gets the smallest doc_id that such neighbours reach.
 
@@ -31,7 +31,7 @@ from foliant.llm.common import mixed, partitions, text_bytes, word_hashes, writt
 LANES = 4  # of 64 bits
 BITS = 64 * LANES
 WORD_WEIGHT, PAIR_WEIGHT = 0.3, 1.0
-RADIUS = 7
+RADIUS = 3
 LOWEST = -(2**63)
 
 
@@ -73,7 +73,7 @@ def within_radius(x: np.ndarray) -> np.ndarray:
 
 
 def near_classes(prints: DataFrame) -> DataFrame:
-    """prints (doc_id, fp binary) -> doc_id, fp, component_id, by all pairs within the radius."""
+    """prints (doc_id, fp binary, any others) -> adds component_id, by all pairs within the radius."""
     return simhash.near_classes(prints, keys=block_tables, near=within_radius)
 
 
@@ -138,7 +138,6 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """The rows of ``edited_likeness`` with fingerprints as hex digits, and near_class."""
-    rows = written(edited_likeness(docs), "fingerprints")
-    near = near_classes(rows.select("doc_id", "fp")).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("near_class")).distinct()
     shown = {"fingerprint": F.lower(F.hex("fp")), "edited_fingerprint": F.lower(F.hex("edited_fp"))}
-    return rows.join(near, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "n_chars", "edited_sha256", *[v.alias(k) for k, v in shown.items()], "near_edited", "near_next", "near_class")
+    near = near_classes(written(edited_likeness(docs), "fingerprints"))
+    return near.select("doc_id", "n_chars", "edited_sha256", *[v.alias(k) for k, v in shown.items()], "near_edited", "near_next", F.col("component_id").alias("near_class"))

@@ -174,7 +174,7 @@ def links(fps: DataFrame, keys: Callable[[Column], Column] = ring_keys, near: Ca
 
 
 def near_classes(prints: DataFrame, **how) -> DataFrame:
-    """prints (doc_id, fp) -> doc_id, fp, component_id: the smallest doc_id that links reach.
+    """prints (doc_id, fp, any others) -> adds component_id: the smallest doc_id that links reach.
 
     Only fingerprints with several documents or with links join back; any other document is its own class.
     """
@@ -183,7 +183,7 @@ def near_classes(prints: DataFrame, **how) -> DataFrame:
     comp = components(links(nodes.filter("node is not null"), **how))
     known = firsts.join(comp, F.col("first_id") == F.col("node"), "left").select("fp", "n", "first_id", F.coalesce("component", "first_id").alias("component_id"))
     known = known.filter("n > 1 or component_id <> first_id").select("fp", "component_id")
-    return salted(prints, "doc_id").join(for_all_salts(known), ["fp", "_salt"], "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return salted(prints, "doc_id").join(for_all_salts(known), ["fp", "_salt"], "left").select(*prints.columns, F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

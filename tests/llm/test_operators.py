@@ -87,7 +87,7 @@ def test_bpe(docs, none):
     assert bpe.encoding_digests(none, BYTE).count() == 0
 
 
-def components(prints, radius=3):
+def components(prints):
     parent = {d: d for d, _ in prints}
 
     def top(x):
@@ -97,7 +97,7 @@ def components(prints, radius=3):
 
     for a, x in prints:
         for b, y in prints:
-            if (x ^ y).bit_count() <= radius:
+            if (x ^ y).bit_count() <= 3:
                 u, v = top(a), top(b)
                 parent[max(u, v)] = min(u, v)
     return {d: top(d) for d, _ in prints}
@@ -186,12 +186,12 @@ def test_block_tables(spark):
     for _ in range(8):
         x = r.getrandbits(256)
         for _ in range(15):
-            for _ in range(r.randint(0, 7)):
+            for _ in range(r.randint(0, 3)):
                 x ^= 1 << r.randrange(256)
             prints.append((len(prints), x))
     df = spark.createDataFrame([(d, bytearray(x.to_bytes(32, "little"))) for d, x in prints], "doc_id long, fp binary")
     got = {x["doc_id"]: x["component_id"] for x in fingerprints.near_classes(df).collect()}
-    assert got == components(prints, 7)
+    assert got == components(prints)
 
 
 def test_packing(docs, none):
