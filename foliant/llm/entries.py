@@ -21,7 +21,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+    return fingerprints.edited_report(table(spark, sf_dir, "documents"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,8 +136,18 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     return in_order(docs).select("doc_id", "extra", "home", "_text").mapInArrow(run, ROWS)
 
 
+def shown(rows: DataFrame, *more: str) -> DataFrame:
+    """Fingerprints as hex digits."""
+    digits = [F.lower(F.hex(c)).alias(k) for k, c in (("fingerprint", "fp"), ("edited_fingerprint", "edited_fp"))]
+    return rows.select("doc_id", "n_chars", "edited_sha256", *digits, "near_edited", "near_next", *more)
+
+
+def edited_report(docs: DataFrame) -> DataFrame:
+    """The rows of ``edited_likeness`` with fingerprints as hex digits."""
+    return shown(edited_likeness(docs))
+
+
 def fingerprint_report(docs: DataFrame) -> DataFrame:
-    """The rows of ``edited_likeness`` with fingerprints as hex digits, and near_class."""
-    shown = {"fingerprint": F.lower(F.hex("fp")), "edited_fingerprint": F.lower(F.hex("edited_fp"))}
+    """The same with near_class: the smallest doc_id that neighbours within the radius reach."""
     near = near_classes(written(edited_likeness(docs), "fingerprints"))
-    return near.select("doc_id", "n_chars", "edited_sha256", *[v.alias(k) for k, v in shown.items()], "near_edited", "near_next", F.col("component_id").alias("near_class"))
+    return shown(near.withColumnRenamed("component_id", "near_class"), "near_class")
