@@ -4,7 +4,7 @@ Terms are words and pairs of neighbouring words, weighted by how often a text ha
 (pairs say more than single words). Each term's hash votes with its weight for the sign of every bit.
 Likeness is the cosine that the share of differing bits stands for.
 
-Search uses permuted block tables: within radius 3 the bits fall into 4 blocks, of which at least one agrees,
+Search uses permuted block tables: within radius 7 the bits fall into 8 blocks, of which at least one agrees,
 so each table brings another block to the front and looks it up exactly; the distance decides. Every document
 gets the smallest doc_id that such neighbours reach.
 
@@ -26,12 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import simhash
-from foliant.llm.common import mixed, partitions, text_bytes, word_hashes, written
+from foliant.llm.common import SALTS, mixed, partitions, salted, text_bytes, word_hashes, written
+from foliant.llm.graph import components
 
 LANES = 4  # of 64 bits
 BITS = 64 * LANES
 WORD_WEIGHT, PAIR_WEIGHT = 0.3, 1.0
-RADIUS = 3
+RADIUS = 7
 LOWEST = -(2**63)
 
 
@@ -73,8 +74,19 @@ def within_radius(x: np.ndarray) -> np.ndarray:
 
 
 def near_classes(prints: DataFrame) -> DataFrame:
-    """prints (doc_id, fp binary, any others) -> adds component_id, by all pairs within the radius."""
-    return simhash.near_classes(prints, keys=block_tables, near=within_radius)
+    """prints (doc_id, fp binary, any others) -> adds component_id, by all pairs within the radius.
+
+    A fingerprint of several documents joins back in all salted parts, that of one document in its part only.
+    """
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    nodes = written(firsts, "nodes")
+    linked = nodes.filter("first_id is not null").select(F.col("first_id").alias("node"), "fp")
+    found = components(simhash.links(linked, keys=block_tables, near=within_radius, late=True))
+    known = nodes.join(found, F.col("first_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "first_id"))
+    known = salted(known.filter("n > 1 or component_id <> first_id"), "first_id")
+    parts = F.when(F.col("n") > 1, F.array(*map(F.lit, range(SALTS)))).otherwise(F.array("_salt"))
+    known = known.select("fp", "component_id", F.explode(parts).alias("_salt"))
+    return salted(prints, "doc_id").join(known, ["fp", "_salt"], "left").select(*prints.columns, F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 ROWS = "doc_id long, n_chars long, edited_sha256 string, fp binary, edited_fp binary, near_edited double, near_next double"
@@ -149,5 +161,6 @@ def edited_report(docs: DataFrame) -> DataFrame:
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """The same with near_class: the smallest doc_id that neighbours within the radius reach."""
-    near = near_classes(written(edited_likeness(docs), "fingerprints"))
+    rows = written(edited_likeness(docs).withColumn("edited_sha256", F.unhex("edited_sha256")), "fingerprints")
+    near = near_classes(rows).withColumn("edited_sha256", F.lower(F.hex("edited_sha256")))
     return shown(near.withColumnRenamed("component_id", "near_class"), "near_class")

@@ -153,13 +153,17 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield rest, numbered(rest)
 
 
-def links(fps: DataFrame, keys: Callable[[Column], Column] = ring_keys, near: Callable[[np.ndarray], np.ndarray] = within_chain, block: int = BLOCK) -> DataFrame:
-    """fps (node, fp), one row a fingerprint -> edges (a, b) that connect exactly the nodes whose fingerprints link."""
-    keyed = fps.select("node", F.explode(keys(F.col("fp"))).alias("key"), "fp")
+def links(fps: DataFrame, keys: Callable[[Column], Column] = ring_keys, near: Callable[[np.ndarray], np.ndarray] = within_chain, block: int = BLOCK, late: bool = False) -> DataFrame:
+    """fps (node, fp), one row a fingerprint -> edges (a, b) that connect exactly the nodes whose fingerprints link.
+
+    late: wide fingerprints join by node only where several nodes have a key.
+    """
+    keyed = fps.select("node", F.explode(keys(F.col("fp"))).alias("key"), *([] if late else ["fp"]))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    meets = keyed.join(sizes, "key").withColumn("blocks", blocks).withColumn("own", own)
+    meets = keyed.join(sizes, "key")
+    meets = (meets.join(fps, "node") if late else meets).withColumn("blocks", blocks).withColumn("own", own)
     meets = meets.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "node", "fp")
     meets = meets.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "fp")
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import bpe, exact, fingerprints, graph, languages, packing, quality, simhash, suffix, toxicity, windows
+from foliant.llm import bpe, entries, exact, fingerprints, graph, languages, packing, quality, simhash, suffix, toxicity, windows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, bucket int, fp string, rep long, score double"
 WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -194,6 +194,28 @@ def test_block_tables(spark):
     assert got == components(prints)
 
 
+def test_radius(spark):
+    """Pairs 0 to 9 bits apart, spread over the blocks: those up to 7 bits apart share a class; copies and null ids too."""
+    r, prints, want = random.Random(4), [], {}
+    for apart in range(10):
+        for _ in range(6):
+            x = r.getrandbits(256)
+            first = len(prints)
+            bits = r.sample(range(0, 256, 29), apart) if apart < 9 else r.sample(range(256), apart)
+            prints += [(first, x), (first + 1, x ^ sum(1 << b for b in bits)), (first + 2, x)]
+            want |= {first: first, first + 1: first if apart <= 7 else first + 1, first + 2: first}
+    rows = [(d, bytearray(x.to_bytes(32, "little"))) for d, x in [*prints, (None, 7)]]
+    got = {x["doc_id"]: x["component_id"] for x in fingerprints.near_classes(spark.createDataFrame(rows, "doc_id long, fp binary")).collect()}
+    assert got == want | {None: None}
+
+
+def test_fingerprint_query(spark, docs, tmp_path):
+    """The registered query runs the search."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["near_class"] for r in entries.QUERIES["op2_fingerprints"](spark, str(tmp_path)).collect()}
+    assert got[12] == got[11] == 10 and got[13] == 0
+
+
 def test_packing(docs, none):
     lib, texts = bpe.library(WORD), dict(rows())
     got = packing.packed_documents(docs, WORD).collect()
