@@ -169,3 +169,48 @@ def test_filters():
     many = languages.Filters.of([f"l{i}" for i in range(70)], {"l69": de})
     assert many.predict("der faule hund")[0] == "l69"
     assert languages.Filters.of([], {}).predict("abc") == ("und", 0.0)
+
+
+def brute_passages(own, other):
+    """All stretches (first, last) of LEAST shingles or more with a Jaccard similarity of 0.8, shared shingles at both ends."""
+    where = {s: i for i, s in enumerate(other)}
+    shared = [i for i, s in enumerate(own) if s in where]
+    out = []
+    for x in shared:
+        for y in shared:
+            if y - x + 1 >= windows.LEAST:
+                mine, theirs = set(own[x : y + 1]), set(other[where[own[x]] : where[own[y]] + 1])
+                if len(theirs & mine) >= 0.8 * len(theirs | mine):
+                    out.append((x, y))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["inserted", "replaced", "left out"])
+def test_passages_with_one_edit(kind):
+    """A run of 1 to 12 changed words in the middle of 50 to 100: what brute force finds, any shared shingle as anchor finds."""
+    r, found = random.Random(kind), 0
+    for words in (50, 80, 90, 100):
+        for run in (1, 6, 7, 8, 10, 12):
+            base = [b"w%d" % i for i in range(words)]
+            half, fresh = words // 2, [b"n%d" % i for i in range(run)]
+            changed = base[:half] + ([] if kind == "left out" else fresh) + base[half + (0 if kind == "inserted" else run) :]
+            before, behind = ([b"%s%d" % (c, r.getrandbits(40)) for _ in range(30)] for c in (b"x", b"y"))
+            later = windows.shingle_hashes(before + changed + behind, windows.SHINGLE)
+            earlier = windows.shingle_hashes(base + behind[::-1], windows.SHINGLE)
+            want = brute_passages(later.tolist(), earlier.tolist())
+            for at in np.flatnonzero(np.isin(later, earlier)).tolist()[::9]:
+                got = windows.passages(later, earlier, 0, np.array([[at, at, len(later) - 1 - at]]))
+                assert bool(got) == any(x <= at <= y for x, y in want), (words, run, at)
+                assert all(30 <= a and b + windows.SHINGLE <= 30 + len(changed) for a, b in got)
+            found += bool(want)
+    assert found >= 9
+
+
+def test_nearest_occurrence():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 40):
+        other, own, wanted = r.integers(0, 12, n).astype(np.uint64), r.integers(0, 15, 60).astype(np.uint64), r.integers(-5, 50, 60)
+        got = windows.nearest(own, windows.spots(other), wanted)
+        for h, w, i in zip(own, wanted, got, strict=True):
+            at = np.flatnonzero(other == h)
+            assert (i == -1) if not len(at) else (other[i] == h and abs(i - w) == np.abs(at - w).min())
