@@ -22,11 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.bpe import word_end_ids
+from foliant.llm.bpe import ids_of_texts
 from foliant.llm.common import partitions, text_bytes, written
 
 SIZE = 2048
-END = (0).to_bytes(4, "little")
 #: Lengths of a pattern are multiples of this when three make it up; pairs take every length.
 STEP = 16
 ROUNDS = 400
@@ -41,11 +40,11 @@ def token_pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
             out = []
-            for doc, ids in zip(batch["doc_id"].to_pylist(), word_end_ids(batch["_text"].to_pylist(), path), strict=True):
-                ids += END
-                for i in range(0, len(ids), 4 * size):
-                    part = ids[i : i + 4 * size]
-                    out.append((doc, i // (4 * size), i // 4, len(part) // 4, zlib.crc32(part)))
+            for doc, ids in zip(batch["doc_id"].to_pylist(), ids_of_texts((t.as_py() for t in batch["_text"]), path), strict=True):
+                ids = np.append(ids, 0).astype("<u4")  # the end of the document
+                for i in range(0, len(ids), size):
+                    part = ids[i : i + size]
+                    out.append((doc, i // size, i, len(part), zlib.crc32(part.tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
     return docs.select("doc_id", text_bytes().alias("_text")).mapInArrow(run, PIECES)

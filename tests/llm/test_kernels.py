@@ -23,16 +23,48 @@ def test_byte_bpe_equals_library():
     ours, lib = bpe.loaded(path), bpe.library(path)
     for t in TEXTS + noise(1, 400):
         want = lib.encode(t, add_special_tokens=False).ids
-        ids, back = ours.encode(t)
-        assert np.frombuffer(ids, "<u4").tolist() == want, t
-        assert back.decode() == lib.decode(want, skip_special_tokens=False)
+        (ids,) = ours.encode([t.encode()])
+        assert ids.tolist() == want, t
+        assert ours.decode(ids).decode() == lib.decode(want, skip_special_tokens=False)
 
 
 def test_word_bpe_equals_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     texts = TEXTS + noise(2, 400)
-    for t, ids in zip(texts, bpe.word_end_ids([t.encode() for t in texts], path), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == bpe.library(path).encode(t, add_special_tokens=False).ids, t
+    for t, ids in zip(texts, bpe.ids_of_texts([t.encode() for t in texts], path), strict=True):
+        assert ids.tolist() == bpe.library(path).encode(t, add_special_tokens=False).ids, t
+
+
+def test_bpe_forgets(monkeypatch):
+    """A worker that remembers little, or works on lots of one text, gives the same ids; long words too."""
+    texts = [t.encode() for t in [*TEXTS, *noise(3, 60), "wort" * 40 + " wort", "=" * 300, "é" * 100]] * 2
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        want = [bpe.library(path).encode(t.decode(), add_special_tokens=False).ids for t in texts]
+        for lot, words in ((1 << 20, 10**6), (500, 40), (1, 0)):
+            monkeypatch.setattr(bpe, "LOT", lot)
+            monkeypatch.setattr(bpe, "REMEMBERED", words)
+            ours = bpe.Bpe(path)
+            assert [x.tolist() for x in ours.encode(texts)] == want
+            assert len(ours.places) <= words or lot == 1
+
+
+def test_suffix_automaton():
+    """Words that end at each position, by suffix links, against plain search."""
+    r = random.Random(9)
+    words = {"".join(r.choice("abc") for _ in range(r.randint(1, 6))) for _ in range(60)} | set("abc")
+    auto = bpe.SuffixAutomaton({w: i for i, w in enumerate(sorted(words))})
+    name = sorted(words)
+    for _ in range(50):
+        text, state, matched = "".join(r.choice("abc") for _ in range(30)), np.array([0]), np.array([0])
+        for end in range(1, 31):
+            state, matched = auto.step(state, matched, np.array([ord(text[end - 1])]))
+            s = int(state[0])
+            at, got = int(auto.holder[s if matched[0] == auto.size[s] else auto.link[s]]), []
+            while at:
+                got.append(name[auto.token[at]])
+                at = int(auto.holder[auto.link[at]])
+            assert got == sorted((w for w in words if text[:end].endswith(w)), key=len, reverse=True)
 
 
 def removed(docs, piece, monkeypatch, buckets=3):
