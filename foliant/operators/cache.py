@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEMA, PREFIX, ATTEMPTS, CONFIDENCE = "llm_cache_v2", "v2:", 3, 78  # fixed values
 ANSWERS = "key string, result string, attempts int, error string"
@@ -16,10 +17,18 @@ def sorted_map(c: str) -> Column:
     return F.map_from_entries(F.array_sort(F.map_entries(F.coalesce(F.col(c), F.create_map().cast("map<string,string>")))))
 
 
+def sorted_options(requests: DataFrame) -> Column:
+    """A map of texts, or a struct whose numbers and booleans stay such in the JSON; null and missing ones are empty."""
+    kind = requests.schema["options"].dataType
+    if not isinstance(kind, T.StructType):
+        return sorted_map("options")
+    return F.struct(*[F.col(f"options.{f}").alias(f) for f in sorted(kind.names)])
+
+
 def cache_key(requests: DataFrame) -> DataFrame:
     """Adds key: prefix and SHA-256 of the request as JSON with its fields in alphabetical order."""
     fields = [
-        F.col("image_sha256"), F.coalesce("model", F.lit("")).alias("model"), sorted_map("options").alias("options"),
+        F.col("image_sha256"), F.coalesce("model", F.lit("")).alias("model"), sorted_options(requests).alias("options"),
         F.coalesce("prompt_version", F.lit("")).alias("prompt_version"), F.lit(SCHEMA).alias("schema"), sorted_map("source_hashes").alias("source_hashes"),
         F.coalesce("system_prompt_hash", F.lit("")).alias("system_prompt_hash"), F.col("task"), F.coalesce("user_prompt_hash", F.lit("")).alias("user_prompt_hash"),
     ]

@@ -17,10 +17,10 @@ HINTS = {
     "health": ["arzt", "praxis", "befund", "rezept", "patient", "labor"],
 }
 PLAIN_PARTS = ["auto", "hobby", "schule", "arbeit", "finanzen"]
-STOP = (
-    "aber alle auch auf aus bei beim bis das dem den der des die ein eine einer eines fuer für ist mit nach nicht oder und vom von zum zur "
-    "rechnung datum seite betrag dokument"
-).split()
+STOP = [
+    "aber", "alle", "auch", "auf", "aus", "bei", "beim", "bis", "das", "dem", "den", "der", "des", "die", "ein", "eine", "einer", "eines", "fuer", "für", "ist",
+    "mit", "nach", "nicht", "oder", "und", "vom", "von", "zum", "zur", "rechnung", "datum", "seite", "betrag", "dokument",
+]
 TERM_PATTERNS = [
     r"(?U)\b[a-z]{1,3}[-\s]?[a-z]{1,3}[-\s]?\d{2,5}\b",
     r"(?U)\b(?:kundennummer|vertragsnummer|police|kennzeichen|iban|rechnung)\s*[:#]?\s*[a-z0-9 -]{3,24}\b",
@@ -35,8 +35,6 @@ DOC_TYPES = {
 }
 TEXT_USED, EVIDENCE, PER_PATH, DECISIONS, MOST, REJECTED = 5000, 8, 120, 1000, 50, 30
 CATCH_ALL = "Sonstiges"
-#: Context terms that may be broadcast.
-TERMS_SENT = 50_000
 
 
 def depth(path: Column) -> Column:
@@ -58,22 +56,33 @@ def context_terms(contexts: DataFrame) -> DataFrame:
     return rows.withColumn("norm", folded(F.col("term"))).filter((F.length("term") >= 2) & (F.col("norm") != ""))
 
 
-def context_hits(docs: DataFrame, contexts: DataFrame, most: int = TERMS_SENT) -> DataFrame:
+def context_hits(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """docs (doc_id, haystack) -> rows (doc_id, path, ord, term_no, kind, term, weight) of terms that the folded text contains.
 
-    Up to ``most`` terms are sent to every task. More meet the texts by their first two letters instead.
+    A text contains a term of one word if one of its words does. So each distinct word of the corpus is taken apart
+    once, into pieces as long as the terms' first words are, and meets the terms by equality; texts
+    are only read again, by their id, for terms of several words.
     """
-    terms, texts = context_terms(contexts), docs.withColumn("haystack", folded(F.col("haystack")))
-    if terms.limit(most + 1).count() <= most:
-        return texts.join(F.broadcast(terms), F.contains("haystack", "norm")).drop("haystack", "norm")
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("haystack") - 1, F.lit(1))), lambda i: F.substring(F.col("haystack"), i, F.lit(2))))
-    met = texts.select("doc_id", "haystack", F.explode(pairs).alias("_pair")).join(terms.withColumn("_pair", F.substring("norm", 1, 2)), "_pair")
-    return met.filter(F.contains("haystack", "norm")).drop("haystack", "norm", "_pair")
-
-
-def rank_contexts(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """doc_id, path, raw_score, score, evidence, place: best first; path parts count only beside an alias or keyword."""
-    hits = context_hits(docs, contexts)
+    terms = context_terms(contexts).withColumn("_first", F.split("norm", " ")[0])
+    texts = docs.select("doc_id", folded(F.col("haystack")).alias("_text"))
+    words = texts.select("doc_id", F.explode(F.array_distinct(F.split("_text", " "))).alias("_word"))
+    firsts = terms.select("_first", F.length("_first").alias("_n")).distinct()
+    sizes = firsts.agg(F.coalesce(F.array_sort(F.collect_set("_n")), F.array().cast("array<int>")).alias("_sizes"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_word"), F.lit(1)))
+    parts = F.flatten(F.transform("_sizes", lambda k: F.transform(starts, lambda i: F.substring(F.col("_word"), i, k))))
+    known = words.select("_word").distinct().join(F.broadcast(sizes)).select("_word", F.explode(F.array_distinct(parts)).alias("_first")).join(firsts, "_first", "left_semi")
+    met = words.join(known, "_word").select("doc_id", "_first").distinct().join(terms, "_first")
+    several = F.contains("norm", F.lit(" "))
+    checked = met.filter(several).join(texts, "doc_id").filter(F.contains("_text", "norm")).drop("_text")
+    return met.filter(~several).unionByName(checked).drop("norm", "_first")
+
+
+def rank_contexts(docs: DataFrame, contexts: DataFrame, paths: DataFrame) -> DataFrame:
+    """doc_id, path, raw_score, score, evidence, place: best first; path parts count only beside an alias or keyword.
+
+    Contexts of paths that ``paths`` doesn't know are left out.
+    """
+    hits = context_hits(docs, contexts.join(paths.select("path"), "path", "left_semi"))
     strong = F.max(F.col("kind").isin("aliases", "keywords").cast("int"))
     shown = F.array_sort(F.collect_list(F.when(F.col("kind") != "hint", F.struct("term_no", F.concat_ws(":", "kind", "term").alias("e")))))
     base = F.sum(F.when(F.col("kind") != "path", F.col("weight")).otherwise(0))
@@ -93,8 +102,12 @@ def best_context(ranked: DataFrame, least: int = 40, lead: int = 16) -> DataFram
 
 
 def learning_terms(docs: DataFrame, n: int = 80) -> DataFrame:
-    """docs (doc_id, meta_text, text) -> doc_id, term, n, place: identifiers and words, digits and frequent ones first."""
-    source = folded(F.concat_ws("\n", F.coalesce("meta_text", F.lit("")), F.substring(F.coalesce("text", F.lit("")), 1, TEXT_USED)))
+    """docs (doc_id, meta_text, text) -> doc_id, term, n, place: identifiers and words, digits and frequent ones first.
+
+    The values in meta_text are taken apart at commas, semicolons, underscores, slashes, pipes and line ends.
+    """
+    meta = F.regexp_replace(F.coalesce("meta_text", F.lit("")), r"[,;_/|\n]+", " ")
+    source = folded(F.concat_ws("\n", meta, F.substring(F.coalesce("text", F.lit("")), 1, TEXT_USED)))
     found = F.concat(*[F.regexp_extract_all("_s", F.lit(p), F.lit(0)) for p in TERM_PATTERNS])
     rows = docs.select("doc_id", source.alias("_s")).select("doc_id", F.posexplode(found).alias("pos", "raw"))
     term = strip(F.regexp_replace(F.regexp_replace("raw", r"^[ .,:;()\[\]{}]+|[ .,:;()\[\]{}]+$", ""), r"(?U)\s+", " "))

@@ -9,7 +9,15 @@ from foliant.functions.text import blank, strip
 
 # Channels from the most to the least trusted, limits.
 CHANNELS = ("vision", "glm", "docling", "ocr")
-CONTEXT, ACCEPTED = 4000, 0.7
+CONTEXT, ACCEPTED = 4000, 0.7  # letters of the previous page; share of a text that its correction exceeds
+MARKDOWN_SENT, OCR_SENT = 8000, 6000
+SECTIONS = {
+    "previous": "--- KONTEXT VORHERIGE SEITE (nur für Seitenübergänge!) ---\n",
+    "markdown": "--- Vision-Review Markdown (Hauptquelle) ---\n",
+    "glm": "--- GLM-OCR Text (strukturierte Rohextraktion) ---\n",
+    "ocr": "--- OCR Rohtext / Sidecar (Absicherung) ---\n",
+}
+IMAGE, IMAGE_ON_PAGE = "[Bildbeschreibung: %s]", "[Bildbeschreibung Seite %d: %s]"
 GAP = "\n\n"
 
 
@@ -52,29 +60,55 @@ def stage_status(pages: DataFrame) -> DataFrame:
 
 
 def with_prev_page(pages: DataFrame, text: str = "fused") -> DataFrame:
-    """Adds prev_context: the end of the page right before this one, '' if there is none."""
+    """Adds prev_context: the first letters of the page right before this one, '' if there is none."""
     w = Window.partitionBy("doc_id").orderBy("page_num")
     prev = F.when(F.lag("page_num").over(w) == F.col("page_num") - 1, F.lag(text).over(w))
-    return pages.withColumn("prev_context", F.coalesce(F.right(prev, F.lit(CONTEXT)), F.lit("")))
+    return pages.withColumn("prev_context", F.coalesce(F.substring(prev, 1, CONTEXT), F.lit("")))
 
 
 def fusion_prompt(df: DataFrame) -> DataFrame:
-    """Adds prompt: labelled sections in a fixed order, blank ones left out."""
-    parts = [("PREVIOUS PAGE", "prev_context", 4000), ("OCR", "ocr", 8000), ("TABLES", "docling", 8000), ("LAYOUT", "glm", 6000), ("VISION", "vision", 8000)]
-    sections = [F.when(~blank(F.col(c)), F.concat(F.lit(f"[{name}]\n"), F.substring(F.col(c), 1, n))) for name, c, n in parts]
-    return df.withColumn("prompt", F.concat_ws(GAP, *sections))
+    """Adds prompt: previous page, Markdown, glm and ocr, each under its label; the first and third only if not empty.
 
+    The Markdown is the vision text where the page has one, even an empty one, and else docling's.
+    """
 
-def doc_text(pages: DataFrame, text: str = "fused") -> DataFrame:
-    """doc_id, text: pages in order with a blank line between, empty pages included."""
-    return pages.groupBy("doc_id").agg(joined(["page_num"], text).alias("text"))
+    def section(name: str, c: Column, most: int) -> Column:
+        return F.concat(F.lit(SECTIONS[name]), F.substring(c, 1, most))
+
+    prev, glm = (F.coalesce(F.col(c), F.lit("")) for c in ("prev_context", "glm"))
+    markdown, ocr = F.coalesce("vision", "docling", F.lit("")), F.coalesce("ocr", F.lit(""))
+    parts = [F.when(prev != "", section("previous", prev, CONTEXT)), section("markdown", markdown, MARKDOWN_SENT), F.when(glm != "", section("glm", glm, OCR_SENT)), section("ocr", ocr, OCR_SENT)]
+    return df.withColumn("prompt", F.concat_ws(GAP, *parts))
+
+
+def doc_text(pages: DataFrame, text: str = "fused", docs: DataFrame | None = None) -> DataFrame:
+    """doc_id, text: pages in order with a blank line between, empty pages included.
+
+    docs (doc_id, ocr_text): documents without a page give their ocr text.
+    """
+    out = pages.groupBy("doc_id").agg(joined(["page_num"], text).alias("text"))
+    if docs is None:
+        return out
+    return docs.select("doc_id", "ocr_text").join(out, "doc_id", "left").select("doc_id", F.coalesce("text", "ocr_text", F.lit("")).alias("text"))
 
 
 def inject_descriptions(pages: DataFrame, descriptions: DataFrame) -> DataFrame:
-    """Puts an image description (doc_id, page_num, description) in front of its page's text."""
-    both = pages.join(descriptions, ["doc_id", "page_num"], "left")
-    d = strip(F.col("description"))
-    return both.withColumn("fused", F.when(~blank(F.col("description")), F.concat(F.lit("[Image: "), d, F.lit("]\n\n"), F.col("fused"))).otherwise(F.col("fused"))).drop("description")
+    """Puts an image description (doc_id, page_num, description) in front of its page's stripped text; a blank page is the description alone."""
+    both = pages.join(descriptions.select("doc_id", "page_num", "description"), ["doc_id", "page_num"], "left")
+    shown = F.concat_ws(GAP, F.format_string(IMAGE, "description"), F.when(~blank(F.col("fused")), strip(F.col("fused"))))
+    return both.withColumn("fused", F.when(F.col("description").isNotNull(), shown).otherwise(F.col("fused"))).drop("description")
+
+
+def describe_documents(texts: DataFrame, descriptions: DataFrame, page_counts: DataFrame) -> DataFrame:
+    """Corrected texts (doc_id, text): all image descriptions by page in front, with the page's number if the document has several.
+
+    page_counts (doc_id, page_count); a blank text is the descriptions alone.
+    """
+    single = F.coalesce("page_count", F.lit(1)) <= 1
+    label = F.when(single, F.format_string(IMAGE, "description")).otherwise(F.format_string(IMAGE_ON_PAGE, F.col("page_num").cast("int"), F.col("description")))
+    told = descriptions.filter("description is not null").join(page_counts, "doc_id", "left").withColumn("_label", label).groupBy("doc_id").agg(joined(["page_num"], "_label").alias("_told"))
+    both = texts.join(told, "doc_id", "left")
+    return both.withColumn("text", F.when(F.col("_told").isNull(), F.col("text")).otherwise(F.concat_ws(GAP, "_told", F.when(~blank(F.col("text")), F.col("text"))))).drop("_told")
 
 
 def accept_correction(df: DataFrame, old: str, new: str) -> DataFrame:

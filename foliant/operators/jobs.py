@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ERRORS_KEPT, DUPLICATES, PENDING_SHOWN = 3, 5, 200  # fixed values
+MANIFEST = "unified_ocr_job_manifest_v1"  # fixed value
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -101,11 +102,23 @@ def stage_report(events: DataFrame) -> DataFrame:
     return got.select("job_id", "stage", F.col("last.status").alias("status"), F.col("last.duration_ms").alias("duration_ms"), "warnings")
 
 
-def manifests(stages: DataFrame, outputs: DataFrame) -> DataFrame:
-    """stages (job_id, stage, status, duration_ms), outputs (job_id, kind, path) -> job_id, manifest (JSON)."""
-    s = stages.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("stage", "status", "duration_ms"))).alias("stages"))
+def manifests(stages: DataFrame, outputs: DataFrame, sources: DataFrame, uploads: DataFrame) -> DataFrame:
+    """job_id, manifest: what is known of a job as JSON, with its source, stages by name, outputs, uploads and all warnings.
+
+    stages (job_id, stage, status, duration_ms, warnings), outputs (job_id, kind, path), sources (job_id,
+    original_path, sha256), uploads (job_id, target, name).
+    """
+    listed = F.array_sort(F.collect_list(F.struct("stage", F.struct("status", "duration_ms", "warnings").alias("v"))))
+    s = stages.groupBy("job_id").agg(listed.alias("all"))
+    s = s.select("job_id", F.map_from_entries("all").alias("stages"), F.flatten(F.transform("all", lambda x: x["v"]["warnings"])).alias("warnings"))
     o = outputs.groupBy("job_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "path")))).alias("outputs"))
-    return s.join(o, "job_id", "left").select("job_id", F.to_json(F.struct("job_id", "outputs", "stages"), {"ignoreNullFields": "false"}).alias("manifest"))
+    name = F.element_at(F.split("original_path", "/"), -1)
+    source = F.struct("original_path", name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("suffix"), "sha256")
+    u = uploads.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("target", "name"))).alias("uploads"))
+    rows = s.join(o, "job_id", "left").join(sources.select("job_id", source.alias("source")), "job_id", "left").join(u, "job_id", "left")
+    sent = F.coalesce("uploads", F.array().cast("array<struct<target:string,name:string>>")).alias("uploads")
+    record = F.struct(F.lit(MANIFEST).alias("schema"), "job_id", "source", "outputs", "stages", sent, "warnings")
+    return rows.select("job_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("manifest"))
 
 
 def artifact_stats(outputs: DataFrame, files: DataFrame) -> DataFrame:

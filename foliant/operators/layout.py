@@ -102,14 +102,17 @@ def assign_packets(pages: DataFrame, ordered: DataFrame) -> DataFrame:
 
     More packets than boxes: the rest is one more packet in the last box. No boxes: the page inside its margins.
     """
-    n = ordered.groupBy(*PAGE).agg(F.count("*").cast("int").alias("n"))
-    whole = pages.join(n, PAGE, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    edge = F.struct("reading_order", "x0", "y0", "x1", "y1")
+    boxes = ordered.groupBy(*PAGE).agg(F.array_sort(F.collect_list(edge)).alias("boxes"))
+    whole = pages.join(boxes, PAGE, "left").withColumn("n", F.coalesce(F.size("boxes"), F.lit(0)))
+    whole = whole.withColumn("n", F.greatest("n", F.lit(0)))
     packets = whole.withColumn("packets", F.when(F.col("n") == 0, F.array("fused")).otherwise(split_packets(F.col("fused"), F.col("n"))))
-    rows = packets.select(*PAGE, "page_width", "page_height", "n", F.posexplode("packets").alias("pos", "packet"))
-    rows = rows.withColumn("box", F.least("pos", F.greatest(F.col("n") - 1, F.lit(0)))).withColumn("over", (F.col("n") > 0) & (F.col("pos") >= F.col("n")))
-    merged = rows.groupBy(*PAGE, "page_width", "page_height", "n", "box", "over").agg(joined(["pos"], "packet").alias("packet"))
-    boxes = ordered.select(*PAGE, F.col("reading_order").alias("box"), "x0", "y0", "x1", "y1")
-    out = merged.join(boxes, [*PAGE, "box"], "left")
+    most = F.greatest("n", F.lit(1))
+    single = F.transform(F.slice("packets", F.lit(1), most), lambda p, i: F.struct(i.alias("box"), F.lit(False).alias("over"), p.alias("packet")))
+    rest = F.struct((F.col("n") - 1).alias("box"), F.lit(True).alias("over"), F.array_join(F.slice("packets", F.col("n") + 1, F.greatest(F.size("packets"), F.lit(1))), "\n\n").alias("packet"))
+    placed = F.concat(single, F.when((F.col("n") > 0) & (F.size("packets") > F.col("n")), F.array(rest)).otherwise(F.slice(F.array(rest), 1, 0)))
+    out = packets.select(*PAGE, "page_width", "page_height", "n", "boxes", F.explode(placed).alias("p")).select("*", "p.*")
+    out = out.withColumn("b", F.get("boxes", F.col("box"))).select("*", "b.x0", "b.y0", "b.x1", "b.y1")
     mx, my = (F.greatest(F.lit(MARGIN_LEAST), F.col(c) * s) for c, s in (("page_width", MARGIN_X), ("page_height", MARGIN_Y)))
     edges = {"x0": (F.col("x0") - 1, mx), "y0": (F.col("y0") - 1, my), "x1": (F.col("x1") + 1, F.col("page_width") - mx), "y1": (F.col("y1") + 1, F.col("page_height") - my)}
     return out.select(*PAGE, "box", "over", *[F.when(F.col("n") > 0, a).otherwise(b).alias(c) for c, (a, b) in edges.items()], "packet")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import lines, strip
+from foliant.operators.fusion import pivot_channels
 
 # Patterns and limits that results depend on.
 AMOUNT = r"-?\b\d{1,3}(?:\.\d{3})*,\d{2}\b"
@@ -70,14 +71,12 @@ def missing_values(df: DataFrame, sources: tuple[str, str, str] = ("ocr", "docli
 
 
 def missing_rows(long: DataFrame, fused: DataFrame) -> DataFrame:
-    """Corpus form: (doc_id, page_num, channel, text) and (doc_id, page_num, fused) -> one row a missing value."""
-    kinds = {"amount": extract_amounts, "date": extract_dates}
+    """Corpus form: (doc_id, page_num, channel, text) and (doc_id, page_num, fused) -> one row a missing value (type, value).
 
-    def values(df: DataFrame, text: str) -> DataFrame:
-        parts = [df.select("doc_id", "page_num", F.lit(k).alias("type"), F.explode(f(F.col(text))).alias("value")) for k, f in kinds.items()]
-        return parts[0].union(parts[1])
-
-    return values(long, "text").distinct().join(values(fused, "fused"), ["doc_id", "page_num", "type", "value"], "left_anti")
+    Channels meet their page's fused text by page, in one exchange of each table.
+    """
+    pages = fused.select("doc_id", "page_num", "fused").join(pivot_channels(long), ["doc_id", "page_num"], "left").na.fill("")
+    return missing_values(pages).select("doc_id", "page_num", F.explode("missing").alias("m")).select("doc_id", "page_num", "m.type", "m.value")
 
 
 def digits(c: Column) -> Column:

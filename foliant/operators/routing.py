@@ -10,8 +10,8 @@ from foliant.functions.text import strip
 # Limits and names that results depend on.
 PAGES, LOW_TEXT, PIPES = 20, 150, 0.005
 OFFICE = ["docx", "doc", "odt", "odoc"]
-TABULAR = "tabelle|rechnung|abrechnung|kontoauszug|gehalt|lohn|bilanz|table|invoice|statement"
-UNNAMED = "Dokument"
+TABULAR = ["abrechnung", "rechnung", "umsatz", "tabelle", "labor", "befund", "eur", "betrag", "gehalt", "lohn"]
+UNNAMED = "dokument_searchable"
 FORBIDDEN = r'[/*?:"<>|]'
 
 
@@ -41,15 +41,17 @@ def with_tabular(docs: DataFrame, name: str, text: str) -> DataFrame:
     """Adds tabular: a telling word in name or text, or many pipes."""
     t = F.coalesce(F.col(text), F.lit(""))
     pipes = (F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))) / F.greatest(F.length(t), F.lit(1))
-    return docs.withColumn("tabular", F.lower(F.concat_ws(" ", F.col(name), t)).rlike(TABULAR) | (pipes > PIPES))
+    return docs.withColumn("tabular", F.lower(F.concat_ws(" ", F.col(name), t)).rlike("|".join(TABULAR)) | (pipes > PIPES))
 
 
 def with_final_name(meta: DataFrame) -> DataFrame:
-    """Adds final_name (date_title_type, or a constant without date and title) and subject (title - type)."""
-    date, title, kind = (strip(F.coalesce(F.col(c), F.lit(""))) for c in ("date", "title", "document_type"))
-    parts = F.filter(F.array(date, title, kind), lambda x: x != "")
-    name = F.when((date != "") & (title != ""), F.array_join(parts, "_")).otherwise(UNNAMED)
-    subject = F.array_join(F.filter(F.array(title, kind), lambda x: x != ""), " - ")
+    """Adds final_name (date_title_type, or a constant unless there are date and title) and subject (title - type, '' without title).
+
+    Null counts as ''; an empty type leaves its separator.
+    """
+    date, title, kind = (F.coalesce(F.col(c), F.lit("")) for c in ("date", "title", "document_type"))
+    name = F.when((date != "") & (title != ""), F.concat_ws("_", date, title, kind)).otherwise(UNNAMED)
+    subject = F.when(title != "", F.concat_ws(" - ", title, kind)).otherwise("")
     return meta.withColumn("final_name", F.regexp_replace(name, FORBIDDEN, "")).withColumn("subject", subject)
 
 

@@ -76,11 +76,27 @@ def rename_clashes(paths: DataFrame, renames: DataFrame) -> DataFrame:
     return hit.groupBy("old", "new").agg(F.coalesce(F.max(F.col("_path") != F.col("old")), F.lit(False)).alias("clash"))
 
 
+def tidy_name(c: Column) -> Column:
+    return F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(?U)\s+", " ")
+
+
 def apply_template(persons: DataFrame, paths: DataFrame) -> DataFrame:
-    """The template's folders that a person lacks in any case of letters: path."""
-    want = persons.select(F.explode(F.array(*map(F.lit, TEMPLATE))).alias("folder"), "name").select(F.concat_ws("/", "name", "folder").alias("path"))
-    have = paths.select(F.lower("path").alias("_lower"))
-    return want.withColumn("_lower", F.lower("path")).join(have, "_lower", "left_anti").select("path")
+    """persons (name) -> path: the persons' own folders and the template's below them, as far as they lack in any case of letters.
+
+    Names are tidied, then those that break a rule are left out (see ``rejected_names``); a known folder keeps its spelling.
+    """
+    have = path_closure(paths).withColumn("_lower", F.lower("path"))
+    good = validate_names(persons.select(tidy_name(F.col("name")).alias("name"))).filter("problem is null")
+    good = good.groupBy(F.lower("name").alias("_lower")).agg(F.min("name").alias("name"))
+    roots = have.filter("depth = 1").groupBy("_lower").agg(F.min("path").alias("_known"))
+    keyed = good.join(roots, "_lower", "left").select(F.coalesce("_known", "name").alias("name"))
+    want = keyed.select(F.explode(F.concat(F.array("name"), F.transform(F.array(*map(F.lit, TEMPLATE)), lambda f: F.concat_ws("/", F.col("name"), f)))).alias("path"))
+    return want.withColumn("_lower", F.lower("path")).join(have.select("_lower"), "_lower", "left_anti").select("path")
+
+
+def rejected_names(persons: DataFrame) -> DataFrame:
+    """persons (name) -> name, problem: those that get no template."""
+    return validate_names(persons.select(F.col("name").alias("raw"), tidy_name(F.col("name")).alias("name"))).filter("problem is not null").select(F.col("raw").alias("name"), "problem")
 
 
 def validate_names(names: DataFrame) -> DataFrame:
@@ -93,7 +109,7 @@ def validate_names(names: DataFrame) -> DataFrame:
 
 
 def move_plan(pending: DataFrame, dirs: DataFrame) -> DataFrame:
-    """pending (old, new), dirs (path) -> old, new, action (same, missing, conflict, move), place: parents first."""
+    """pending (old, new), dirs (path) -> old, new, action (same, missing, conflict, move), depth of the old folder: parents have the smaller one."""
     have = dirs.select("path")
     p = pending.join(have.select(F.col("path").alias("old"), F.lit(True).alias("_old")), "old", "left").join(have.select(F.col("path").alias("new"), F.lit(True).alias("_new")), "new", "left")
     action = F.when(F.col("old") == F.col("new"), "same").when(F.col("_old").isNull(), "missing").when(F.col("_new"), "conflict").otherwise("move")

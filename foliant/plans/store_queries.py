@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -97,7 +96,14 @@ RENAMES = "SELECT DISTINCT concat('ASIA/', p_brand) AS old, concat('asia/', CASE
 query("tax6_clashes", "SELECT old, new, new = 'asia/brand#2' AND old <> 'ASIA/Brand#2' AS clash FROM ren", paths="SELECT DISTINCT concat('ASIA/', p_brand) AS path FROM {part}", ren=RENAMES)(lambda paths, ren: taxonomy.rename_clashes(paths, ren))
 CUSTOMERS = "SELECT c_name AS name, c_custkey AS ord FROM {customer}"
 OWN = "SELECT concat(lower(c_name), '/', CASE WHEN c_custkey % 2 = 0 THEN 'AUTO' ELSE 'schule' END) AS path FROM {customer}"
-query("tax7_template", "SELECT name || '/' || f AS path FROM persons CROSS JOIN (SELECT unnest(['" + "', '".join(taxonomy.TEMPLATE) + "']) AS f) WHERE lower(name || '/' || f) NOT IN (SELECT lower(path) FROM paths)", persons=CUSTOMERS, paths=OWN)(taxonomy.apply_template)
+CUSTOMER_NAMES = "SELECT concat(CASE WHEN c_custkey % 9 = 0 THEN '?' ELSE ' ' END, c_name, '  ', CASE WHEN c_custkey % 4 = 0 THEN 'x' ELSE 'y' END) AS name FROM {customer}"
+OWN = "SELECT concat(lower(c_name), ' ', CASE WHEN c_custkey % 3 = 0 THEN 'X' ELSE 'Y' END, '/', CASE WHEN c_custkey % 2 = 0 THEN 'AUTO' ELSE 'schule' END) AS path FROM {customer}"
+TEMPLATED = """, t AS (SELECT regexp_replace(trim(name), ' +', ' ', 'g') AS name FROM persons), g AS (SELECT name, lower(name) AS low FROM t WHERE NOT contains(name, '?')),
+    r AS (SELECT lower(split_part(path, '/', 1)) AS low, split_part(path, '/', 1) AS known FROM paths), n AS (SELECT DISTINCT coalesce(known, name) AS name FROM g LEFT JOIN r USING (low)),
+    w AS (SELECT name AS path FROM n UNION ALL SELECT name || '/' || f FROM n CROSS JOIN (SELECT unnest(['Gesundheit', 'Finanzen', 'Versicherungen', 'Steuern', 'Arbeit', 'Schule', 'Wohnen', 'Auto', 'Verträge', 'Sonstiges']) AS f))
+    SELECT path FROM w WHERE lower(path) NOT IN (SELECT lower(path) FROM paths UNION SELECT low FROM r)"""
+query("tax7_template", TEMPLATED, persons=CUSTOMER_NAMES, paths=OWN)(taxonomy.apply_template)
+query("tax7_rejected", "SELECT name, 'forbidden' AS problem FROM persons WHERE contains(name, '?')", persons=CUSTOMER_NAMES)(taxonomy.rejected_names)
 NAMES = "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN concat(' ', p_name) WHEN 1 THEN '' WHEN 2 THEN concat(p_name, '.') WHEN 3 THEN concat('a\tb', p_name) WHEN 4 THEN concat(p_name, ':') WHEN 5 THEN 'con' WHEN 6 THEN concat(p_name, '  x') ELSE p_name END AS name FROM {part}"
 query("tax8_validate_names", "SELECT p_partkey, name, CASE p_partkey % 8 WHEN 0 THEN 'outer_space' WHEN 1 THEN 'empty' WHEN 2 THEN 'inner_space_or_dot' WHEN 3 THEN 'inner_space_or_dot' WHEN 4 THEN 'forbidden' WHEN 5 THEN 'reserved' WHEN 6 THEN 'inner_space_or_dot' END AS problem FROM n", n=NAMES)(lambda n: taxonomy.validate_names(n))
 PENDING = "SELECT DISTINCT concat('D', cast(c_custkey AS string)) AS old, concat('D', cast(c_custkey + c_custkey % 3 AS string), CASE WHEN c_custkey % 2 = 0 THEN '/neu' ELSE '' END) AS new FROM {customer}"
@@ -115,7 +121,7 @@ query("syn3_upload_plan", "SELECT doc_id, folder, name, CASE WHEN entry_id IS NU
 
 # Classification.
 CONTEXTS = """SELECT concat('ASIA/', p_brand, '/Ordner ', p_type) AS path, p_brand AS brand, p_type AS kind, min(p_partkey) AS ord, CASE WHEN p_type = 'ECONOMY' THEN 'vehicle' WHEN p_type = 'SMALL' THEN 'health' ELSE '' END AS object_type, min(p_name) AS alias FROM {part} GROUP BY p_brand, p_type"""
-PART_DOCS = "SELECT p_partkey AS doc_id, concat(p_name, ' Service Labor ', p_brand, '. ', p_type, ' Ordner') AS haystack, p_type AS document_type, concat(p_name, ', ', p_brand) AS meta_text, concat('Kennzeichen AB-CD 12', cast(p_size AS string), ' ', p_name, ' ', p_name, ' und ', p_type) AS text FROM {part}"
+PART_DOCS = "SELECT p_partkey AS doc_id, concat(p_name, ' Service Labor ', p_brand, '. ', p_type, ' Ordner') AS haystack, p_type AS document_type, concat(p_name, ', ', p_brand, '_', p_type) AS meta_text, concat('Kennzeichen AB-CD 12', cast(p_size AS string), ' ', p_name, ' ', p_name, ' und ', p_type) AS text FROM {part}"
 
 
 def contexts_of(c):
@@ -125,32 +131,41 @@ def contexts_of(c):
 HITS = """h AS (SELECT d.doc_id, c.path, c.ord, lower(d.haystack) AS hay, 5 * cast(contains(lower(d.haystack), lower(alias)) AS int) + 4 * cast(contains(lower(d.haystack), lower(brand)) AS int) + 4 * cast(contains(lower(d.haystack), lower(kind)) AS int) AS strong,
         CASE object_type WHEN 'vehicle' THEN cast(contains(lower(d.haystack), 'service') AS int) + len(list_filter(['auto', 'fahrzeug', 'kfz', 'inspektion', 'hu', 'tuev', 'tuv', 'werkstatt'], lambda t: contains(lower(d.haystack), t)))
             WHEN 'health' THEN len(list_filter(['arzt', 'praxis', 'befund', 'rezept', 'patient', 'labor'], lambda t: contains(lower(d.haystack), t))) ELSE 0 END AS hints,
-        2 * len(list_filter(list_filter(string_split(c.path, '/'), lambda p: length(p) >= 4), lambda p: contains(lower(d.haystack), lower(p)))) AS parts FROM docs AS d CROSS JOIN ctx AS c),
+        2 * len(list_filter(list_filter(string_split(c.path, '/'), lambda p: length(p) >= 4), lambda p: contains(lower(d.haystack), lower(p)))) AS parts FROM docs AS d CROSS JOIN (SELECT * FROM ctx WHERE path IN (SELECT path FROM known)) AS c),
     s AS (SELECT doc_id, path, ord, strong + hints + CASE WHEN strong > 0 THEN parts ELSE 0 END AS raw_score FROM h WHERE strong + hints > 0),
     p AS (SELECT doc_id, path, raw_score, least(98, raw_score * 8) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY raw_score DESC, ord) AS place FROM s)"""
 query("cls2_context_hits", "SELECT d.doc_id, c.path, kind_, 1 AS n FROM docs AS d JOIN (SELECT path, 'aliases' AS kind_, lower(alias) AS t FROM ctx UNION ALL SELECT path, 'brand', lower(brand) FROM ctx) AS c ON contains(lower(haystack), t)", docs=PART_DOCS, ctx=CONTEXTS)(
     lambda docs, ctx: classify.context_hits(docs, contexts_of(ctx).withColumn("keywords", F.array(F.get(F.col("keywords"), F.lit(0))))).filter("kind in ('aliases', 'keywords')").select("doc_id", "path", F.when(F.col("kind") == "keywords", "brand").otherwise(F.col("kind")).alias("kind_"), F.lit(1).alias("n"))
 )
-query("cls4_rank_contexts", f", {HITS} SELECT doc_id, path, raw_score, score, place FROM p WHERE place <= 5", docs=PART_DOCS, ctx=CONTEXTS)(lambda docs, ctx: classify.rank_contexts(docs, contexts_of(ctx)).filter("place <= 5").drop("evidence"))
-query("cls5_best_context", f", {HITS} SELECT doc_id, path, score FROM (SELECT *, lead(score, 1, 0) OVER (PARTITION BY doc_id ORDER BY place) AS nxt FROM p) WHERE place = 1 AND score >= 40 AND score - nxt >= 16", docs=PART_DOCS, ctx=CONTEXTS)(lambda docs, ctx: classify.best_context(classify.rank_contexts(docs, contexts_of(ctx))).select("doc_id", "path", "score"))
+#: Paths that the registry knows: those of the contexts with a part of a size above 5.
+KNOWN = "SELECT DISTINCT concat('ASIA/', p_brand, '/Ordner ', p_type) AS path FROM {part} WHERE p_size > 5"
+SHOWN = """SELECT doc_id, p.path, raw_score, score, place, CASE WHEN contains(hay, lower(alias)) OR contains(hay, lower(brand)) OR contains(hay, lower(kind)) THEN
+    list_aggregate((list_filter([CASE WHEN contains(hay, lower(alias)) THEN 'aliases:' || alias END, CASE WHEN contains(hay, lower(brand)) THEN 'keywords:' || brand END, CASE WHEN contains(hay, lower(kind)) THEN 'keywords:' || kind END], lambda x: x IS NOT NULL)
+    || list_transform(list_filter(string_split(p.path, '/'), lambda x: length(x) >= 4 AND contains(hay, lower(x))), lambda x: 'path:' || x))[1:8], 'string_agg', ';') ELSE '' END AS evidence FROM p JOIN ctx ON ctx.path = p.path JOIN (SELECT doc_id, lower(haystack) AS hay FROM docs) USING (doc_id)"""
+query("cls4_rank_contexts", f", {HITS} {SHOWN}", docs=PART_DOCS, ctx=CONTEXTS, known=KNOWN)(lambda docs, ctx, known: classify.rank_contexts(docs, contexts_of(ctx), known).withColumn("evidence", F.array_join("evidence", ";")))
+query("cls5_best_context", f", {HITS} SELECT doc_id, path, score FROM (SELECT *, lead(score, 1, 0) OVER (PARTITION BY doc_id ORDER BY place) AS nxt FROM p) WHERE place = 1 AND score >= 40 AND score - nxt >= 16", docs=PART_DOCS, ctx=CONTEXTS, known=KNOWN)(lambda docs, ctx, known: classify.best_context(classify.rank_contexts(docs, contexts_of(ctx), known)).select("doc_id", "path", "score"))
 query("cls1_norm_text", "SELECT doc_id, md5(regexp_replace(replace(replace(replace(replace(lower(text), 'ü', 'ue'), 'ä', 'ae'), 'ö', 'oe'), 'ß', 'ss'), '\\s+', ' ', 'g')) AS norm FROM d", d="SELECT doc_id, text FROM {documents}")(
     lambda d: d.select("doc_id", F.md5(classify.folded(F.col("text"))).alias("norm"))
 )
 STOPS = "', '".join(classify.STOP)
-LEARN = rf"""x AS (SELECT doc_id, lower(regexp_replace(meta_text || ' ' || left(text, 5000), '\s+', ' ', 'g')) AS s FROM docs),
+LEARN = rf"""x AS (SELECT doc_id, lower(regexp_replace(regexp_replace(meta_text, '[,;_/|\n]+', ' ', 'g') || ' ' || left(text, 5000), '\s+', ' ', 'g')) AS s FROM docs),
     y AS (SELECT doc_id, flatten([regexp_extract_all(s, '\b[a-z]{{1,3}}[-\s]?[a-z]{{1,3}}[-\s]?\d{{2,5}}\b'), regexp_extract_all(s, '\b(?:kundennummer|vertragsnummer|police|kennzeichen|iban|rechnung)\s*[:#]?\s*[a-z0-9 -]{{3,24}}\b'), regexp_extract_all(s, '\b[a-z0-9][a-z0-9-]{{3,}}\b')]) AS f FROM x),
     z AS (SELECT doc_id, trim(f[i], ' .,:;()[]{{}}') AS term, i FROM (SELECT doc_id, f, unnest(range(1, len(f) + 1)) AS i FROM y)),
     t AS (SELECT doc_id, term, count(*) AS n, min(i) AS i FROM z WHERE length(term) >= 4 AND term NOT IN ('{STOPS}') AND NOT regexp_full_match(term, '\d+') GROUP BY 1, 2),
     terms AS (SELECT doc_id, term, n, row_number() OVER (PARTITION BY doc_id ORDER BY regexp_matches(term, '\d') DESC, n DESC, length(term) DESC, i) AS place FROM t)"""
 query("cls6_learning_terms", f", {LEARN} SELECT * FROM terms WHERE place <= 80", docs=PART_DOCS)(classify.learning_terms)
-DECISIONS = "SELECT p_partkey AS decision_id, p_partkey AS doc_id, concat('ASIA/', p_brand) AS chosen_path, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END AS document_type, concat('ASIA/Brand#', cast(p_size % 7 AS string)) AS proposed_path, cast('2024-01-01' AS timestamp) AS created_at FROM {part} WHERE p_partkey % 2 = 0"
-STORED = "SELECT DISTINCT concat('ASIA/', p_brand) AS path, 'positive' AS kind, lower(p_name) AS term, 3 AS n FROM {part} WHERE p_partkey < 50"
+DECISIONS = "SELECT p_partkey AS decision_id, p_partkey AS doc_id, concat('ASIA/', p_brand) AS chosen_path, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END AS document_type, concat('ASIA/Brand#', cast(p_size % 7 AS string)) AS proposed_path, cast('2024-01-01' AS timestamp) AS created_at FROM {part} WHERE p_size % 2 = 0"
+STORED = "SELECT DISTINCT concat('ASIA/', p_brand) AS path, 'positive' AS kind, lower(p_name) AS term, 3 AS n FROM {part} WHERE p_size > 10"
 LEARNED = f""", {LEARN}, m AS (SELECT path, kind, term, cast(least(sum(n), 50) AS bigint) AS n FROM (SELECT chosen_path AS path, 'positive' AS kind, term, 1 AS n FROM dec JOIN terms USING (doc_id) WHERE place <= 80 UNION ALL SELECT chosen_path, 'type', lower(document_type), 2 FROM dec WHERE document_type <> ''
     UNION ALL SELECT proposed_path, 'negative', term, 1 FROM dec JOIN terms USING (doc_id) WHERE place <= 30 AND proposed_path <> chosen_path UNION ALL SELECT * FROM stored) GROUP BY ALL)"""
 
 
 def learned(docs, dec, stored):
-    return classify.learn(dec, classify.learning_terms(docs), dec.select("decision_id", F.col("proposed_path").alias("path")), stored)
+    return learned_from(classify.learning_terms(docs), dec, stored)
+
+
+def learned_from(terms, dec, stored):
+    return classify.learn(dec, terms, dec.select("decision_id", F.col("proposed_path").alias("path")), stored)
 
 
 query("cls7_learn", f"{LEARNED} SELECT * FROM m", docs=PART_DOCS, dec=DECISIONS, stored=STORED)(learned)
@@ -164,7 +179,9 @@ SCORED = f"""{LEARNED}, hit AS (SELECT doc_id, path, kind, term, n, row_number()
 
 
 def memory_of(docs, dec, stored):
-    return classify.memory_candidates(classify.learning_terms(docs, 120), docs, learned(docs, dec, stored), classify.path_stats(dec))
+    """The terms are extracted once: the first 120 for looking up, of these the first 80 for learning."""
+    terms = classify.learning_terms(docs, 120)
+    return classify.memory_candidates(terms, docs, learned_from(terms.filter("place <= 80"), dec, stored), classify.path_stats(dec))
 
 
 query("cls9_memory_candidates", f"{SCORED} SELECT * FROM mc WHERE place <= 5", docs=PART_DOCS, dec=DECISIONS, stored=STORED)(lambda **x: memory_of(**x).select("doc_id", "path", F.col("score").cast("long").alias("score"), "place"))
@@ -184,8 +201,8 @@ ANSWERED = "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'ASIA/Brand#1' WHEN 1 THE
 query("cls12_normalize_answer", ANSWERED, ans=MODEL_ANSWERS, paths=BRANDS, persons="SELECT CASE WHEN r_regionkey = 3 THEN 'EUROPE' ELSE r_name END AS name, r_regionkey AS ord FROM {region}")(lambda ans, paths, persons: classify.normalize_answer(ans, paths, persons))
 
 
-def cascade(docs, dec, stored, ctx, ans, paths, persons):
-    ranked = classify.best_context(classify.rank_contexts(docs, contexts_of(ctx)))
+def cascade(docs, dec, stored, ctx, ans, paths, persons, known):
+    ranked = classify.best_context(classify.rank_contexts(docs, contexts_of(ctx), known))
     memory = memory_of(docs, dec, stored).withColumn("reason", F.lit("memory")).withColumn("ord", F.col("place"))
     merged = classify.merge_candidates(memory.select("doc_id", "path", F.col("score").cast("int").alias("score"), "reason", "evidence", "ord"), paths)
     model = classify.normalize_answer(ans.filter("confidence >= 50"), paths, persons)
@@ -200,7 +217,7 @@ CASCADE = f""", {HITS}{SCORED}, b1 AS (SELECT doc_id, path, score, 'context_matc
     b4 AS (SELECT doc_id, path, score, 'fallback' FROM mem WHERE place = 1 AND doc_id NOT IN (SELECT doc_id FROM b1 UNION SELECT doc_id FROM b2 UNION SELECT doc_id FROM b3)),
     some AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3 UNION ALL SELECT * FROM b4)
     SELECT * FROM some UNION ALL SELECT doc_id, 'Sonstiges', 0, 'fallback' FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM some)""".replace("some", "taken")
-query("cls13_cascade", CASCADE, docs=PART_DOCS, dec=DECISIONS, stored=STORED, ctx=CONTEXTS, ans=MODEL_ANSWERS, paths=BRANDS, persons=PEOPLE)(lambda **x: cascade(**x))
+query("cls13_cascade", CASCADE, known=KNOWN, docs=PART_DOCS, dec=DECISIONS, stored=STORED, ctx=CONTEXTS, ans=MODEL_ANSWERS, paths=BRANDS, persons=PEOPLE)(lambda **x: cascade(**x))
 query("cls14_needs_review", f"{MERGED} SELECT r.doc_id, confidence, is_new, NOT is_new AND (confidence < 60 OR coalesce(top < 85 AND top - second <= 8, false)) AS review FROM res AS r LEFT JOIN (SELECT doc_id, max(score) FILTER (WHERE place = 1) AS top, max(score) FILTER (WHERE place = 2) AS second FROM mp GROUP BY 1) USING (doc_id)", cand=CANDIDATES, paths=BRANDS, res="SELECT o_orderkey AS doc_id, cast(o_custkey % 100 AS int) AS confidence, o_orderkey % 5 = 0 AS is_new FROM {orders}")(
     lambda cand, paths, res: classify.needs_review(res, merged_of(cand, paths))
 )
@@ -215,7 +232,8 @@ query("cls17_count_by_type", f", {COUNTED} SELECT * FROM n", d=KINDS, idx=STORED
 query("cls18_consolidate", f", {COUNTED} SELECT NULL AS name, path AS old_path, path || '/' || type AS new_path, doc_id FROM ty JOIN n USING (path, type) WHERE n > 0 UNION ALL SELECT name, idx.path, idx.path || '/' || type, NULL FROM n JOIN idx USING (path) WHERE n > 0 AND ends_with(lower(name), '.pdf') AND {FITS}", d=KINDS, idx=STORED_FILES)(lambda d, idx: classify.consolidate(d.withColumnRenamed("k", "document_type"), idx))
 FINAL = "SELECT o_orderkey AS doc_id, concat('doc_', cast(o_orderkey AS string)) AS final_name FROM {orders}"
 FILES = "SELECT concat('doc_', cast(o_orderkey AS string), CASE o_orderkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.json' ELSE '_x.TXT' END) AS name FROM {orders}"
-query("cls19_artifacts", "SELECT doc_id, name FROM fin JOIN f ON starts_with(name, final_name) WHERE NOT ends_with(name, '.json')", fin=FINAL.replace("{orders}", "{orders} WHERE o_orderkey % 5 = 0"), f=FILES)(lambda fin, f: classify.artifacts_for(fin, f))
+query("cls19_artifacts", "SELECT doc_id, name FROM fin JOIN f ON starts_with(name, final_name) WHERE NOT ends_with(name, '.json')", fin=FINAL, f=FILES)(lambda fin, f: classify.artifacts_for(fin, f))
+query("tax5_prune_contexts", "SELECT path, alias FROM ctx WHERE path IN (SELECT path FROM known)", ctx=CONTEXTS, known=KNOWN)(lambda ctx, known: taxonomy.prune_contexts(contexts_of(ctx), known).select("path", F.array_join("aliases", ";").alias("alias")))
 BRAND_CONTEXTS = "SELECT concat('ASIA/', p_brand) AS path, p_brand AS brand, min(p_type) AS kind, min(p_partkey) AS ord, '' AS object_type, min(p_name) AS alias FROM {part} GROUP BY p_brand"
 PROMPT = """SELECT doc_id, '[PATHS]' || chr(10) || (SELECT string_agg(path, chr(10) ORDER BY path) FROM paths) || E'\\n\\n[PERSONS]\\n' || (SELECT string_agg(name, ', ' ORDER BY ord) FROM persons)
     || E'\\n\\n[CONTEXTS]\\n' || (SELECT string_agg('- ' || path || ': ' || alias || ', ' || brand || ', ' || kind || ' Notiz', chr(10) ORDER BY path) FROM ctx)
@@ -241,19 +259,32 @@ query("job7_search", "SELECT id FROM idx WHERE source_name ILIKE '%SRC1%' OR fin
 QUEUE = "SELECT event_id AS id, 'pending' AS status, cast(NULL AS string) AS chosen_path, ts AS created_at, cast(NULL AS timestamp) AS resolved_at FROM {events} WHERE event_type = 'error'"
 RESOLVED = "SELECT CASE WHEN event_id % 2 = 0 THEN event_id END AS id, 'resolved' AS status, 'ASIA/x' AS chosen_path, ts AS resolved_at FROM {events} WHERE event_type = 'error'"
 query("job8_review_resolve", "SELECT id, CASE WHEN id % 2 = 0 THEN 'resolved' ELSE status END AS status, CASE WHEN id % 2 = 0 THEN 'ASIA/x' END AS chosen_path, created_at, CASE WHEN id % 2 = 0 THEN created_at END AS resolved_at FROM qu", qu=QUEUE, dec=RESOLVED)(lambda qu, dec: jobs.review_resolve(qu, dec))
+ADDED = "SELECT event_id AS id, ts AS created_at, cast(NULL AS string) AS chosen_path FROM {events} WHERE event_type <> 'error'"
+query("job8_review_add", "SELECT * FROM qu UNION ALL SELECT id, 'pending', NULL, created_at, NULL FROM new_", qu=QUEUE, new_=ADDED)(lambda qu, new_: jobs.review_add(qu, new_))
 query("job8_review_list", "SELECT id FROM qu ORDER BY created_at DESC, id DESC LIMIT 200", qu=QUEUE)(lambda qu: jobs.review_list(qu, "pending", 200).select("id"))
 query("job9_dashboard", "SELECT (SELECT count(*) FROM f) AS files_waiting, (SELECT count(*) FROM d WHERE active) AS active_dirs, (SELECT least(count(*), 200) FROM qu) AS pending_reviews, (SELECT count(*) FROM p) AS known_paths", f=FILES, d="SELECT n_name AS dir, n_nationkey % 2 = 0 AS active FROM {nation}", qu=QUEUE, p=BRANDS)(lambda f, d, qu, p: jobs.dashboard(f, d, qu, p))
 STAGES = "SELECT event_id, user_id AS job_id, event_type AS stage, CASE WHEN value > 50 THEN 'ok' ELSE 'degraded' END AS status, cast('2024-01-01' AS timestamp) AS started_at, ts AS ended_at, CASE WHEN value < 10 THEN concat('w', cast(event_id AS string)) END AS warning FROM {events}"
 STAGED = "st AS (SELECT job_id, stage, arg_max(status, (ended_at, event_id)) AS status, floor((epoch_us(max(ended_at)) - epoch_us(timestamp '2024-01-01') + 5) / 10) / 100 AS duration_ms, coalesce(string_agg(warning, ';' ORDER BY warning), '') AS warnings FROM s GROUP BY 1, 2)"
 query("job10_stage_report", f", {STAGED} SELECT * FROM st", s=STAGES)(lambda s: jobs.stage_report(s).withColumn("warnings", F.array_join("warnings", ";")))
-query("job11_manifests", f", {STAGED} SELECT job_id, count(*) AS n_stages, 'p' || job_id AS pdf FROM st GROUP BY 1", s=STAGES)(
-    lambda s: jobs.manifests(jobs.stage_report(s), s.select("job_id").distinct().select("job_id", F.lit("pdf").alias("kind"), F.concat(F.lit("p"), F.col("job_id").cast("string")).alias("path"))).select("job_id", F.from_json("manifest", "outputs map<string,string>, stages array<struct<stage:string>>").alias("m")).select("job_id", F.size("m.stages").cast("long").alias("n_stages"), F.col("m.outputs")["pdf"].alias("pdf"))
-)
+def _manifests(s):
+    ids = s.select("job_id").distinct()
+    named = F.col("job_id").cast("string")
+    outputs = ids.select("job_id", F.lit("pdf").alias("kind"), F.concat(F.lit("p"), named).alias("path"))
+    sources = ids.select("job_id", F.concat(F.lit("/in/d"), named, F.lit(".PDF")).alias("original_path"), F.sha2(named, 256).alias("sha256"))
+    uploads = s.filter("stage = 'purchase'").select("job_id", F.lit("drive").alias("target"), F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("name"))
+    made = jobs.manifests(jobs.stage_report(s), outputs, sources, uploads)
+    m = F.from_json("manifest", "source struct<name:string,suffix:string,sha256:string>, outputs map<string,string>, stages map<string,struct<status:string>>, uploads array<struct<target:string,name:string>>, warnings array<string>")
+    got = made.select("job_id", m.alias("m")).select("job_id", F.size("m.stages").cast("long").alias("n_stages"), F.col("m.outputs")["pdf"].alias("pdf"), "m.source.*", F.array_join("m.warnings", ";").alias("warnings"), F.array_join(F.transform("m.uploads", lambda u: u["name"]), ";").alias("uploads"))
+    return got
+
+
+query("job11_manifests", f""", {STAGED} SELECT job_id, count(*) AS n_stages, 'p' || job_id AS pdf, 'd' || job_id || '.PDF' AS name, '.pdf' AS suffix, sha256(cast(job_id AS varchar)) AS sha256,
+    (SELECT coalesce(string_agg(warning, ';' ORDER BY stage, warning), '') FROM s WHERE s.job_id = st.job_id) AS warnings, (SELECT coalesce(string_agg('u' || event_id, ';' ORDER BY 'u' || event_id), '') FROM s WHERE s.job_id = st.job_id AND stage = 'purchase') AS uploads FROM st GROUP BY 1""", s=STAGES)(_manifests)
 OUTPUTS = "SELECT doc_id, concat('out/', cast(doc_id AS string), '.txt') AS path FROM {documents}"
 ON_DISK = "SELECT concat('out/', cast(doc_id AS string), '.txt') AS path, n_chars AS size, md5(text) AS sha256 FROM {documents} WHERE doc_id % 3 <> 0"
 query("job12_artifact_stats", "SELECT doc_id, path, size, sha256, size IS NOT NULL AS exists FROM o LEFT JOIN f USING (path)", o=OUTPUTS, f=ON_DISK)(lambda o, f: jobs.artifact_stats(o, f))
 RESULTS = "SELECT p_partkey AS doc_id, concat('ASIA/', p_brand) AS path, p_size % 4 = 0 AS is_new FROM {part}"
-query("job13_release", "SELECT doc_id, CASE WHEN path = 'ASIA/Brand#1' THEN 'ASIA/Neu' ELSE path END AS path, path AS proposed_path, 'completed' AS status FROM r WHERE is_new AND path IN ('ASIA/Brand#1', 'ASIA/Brand#2')", r=RESULTS, dec="SELECT DISTINCT concat('ASIA/', p_brand) AS path, CASE WHEN p_brand = 'Brand#1' THEN 'ASIA/Neu' END AS final_path FROM {part} WHERE p_brand IN ('Brand#1', 'Brand#2')")(
+query("job13_release", "SELECT doc_id, CASE WHEN path = 'ASIA/Brand#1' THEN 'ASIA/Neu' ELSE path END AS path, path AS proposed_path, 'completed' AS status FROM r WHERE is_new AND path IN (SELECT path FROM dec)", r=RESULTS, dec="SELECT DISTINCT concat('ASIA/', p_brand) AS path, CASE WHEN p_brand = 'Brand#1' THEN 'ASIA/Neu' END AS final_path FROM {part} WHERE p_size > 25")(
     lambda r, dec: jobs.release(jobs.defer(r)[1], dec)
 )
 MOVED = "SELECT doc_id, concat('ziel/', cast(doc_id AS string), '.txt') AS moved_path FROM {documents} WHERE doc_id % 2 = 0"
@@ -269,18 +300,96 @@ query("src2_dedupe_dirs", "SELECT arg_min(dir, ord) AS dir, min(ord) AS ord FROM
 RESERVED = "SELECT concat('/data/', CASE WHEN c_custkey % 2 = 0 THEN 'Ein' ELSE 'EIN' END, cast(c_custkey % 40 AS string), '/final') AS path FROM {customer} WHERE c_custkey % 2 = 0"
 query("src3_exclude_reserved", "SELECT dir, ord FROM d WHERE dir <> '/data/EIN1' AND NOT (contains(dir, '/final/x') AND regexp_replace(dir, '/x$', '') IN (SELECT path FROM r))", d=DIRLIST, r=RESERVED)(lambda d, r: files.exclude_reserved(d, r, "/data/EIN1"))
 query("src4_source_profile", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'consume' WHEN 2 THEN 'b' ELSE 'manual' END AS profile FROM l", l=LISTED, d="SELECT '/in/a' AS dir, 'consume' AS profile FROM {region} WHERE r_regionkey = 0 UNION ALL SELECT '/in/b', 'b' FROM {region} WHERE r_regionkey = 0")(lambda l, d: files.with_source_profile(l, d).select("page_id", "profile"))
-POINTERS = """SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('{{"title": "T', cast(page_id AS string), '", "url": "', url, '"}}') WHEN 1 THEN '{{bad' ELSE url END AS text, url FROM {pages}"""
-query("src7_pointer_text", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Titel: T' || page_id || chr(10) || 'URL: ' || url ELSE text END AS text FROM p", p=POINTERS)(lambda p: files.pointer_text(p).select("page_id", "text"))
+POINTERS = """SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('{{', CASE WHEN page_id % 2 = 0 THEN concat('"title": "T', cast(page_id AS string), '", ') ELSE '' END, '"url": "', url, '"}}') WHEN 1 THEN '{{bad' ELSE url END AS text, url FROM {pages}"""
+query("src7_pointer_text", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN E'Synology Office Dokument-Link\\nTitel: ' || CASE WHEN page_id % 2 = 0 THEN 'T' || page_id ELSE 'datei' || page_id END || E'\\nURL: ' || url ELSE E'Synology .odoc Inhalt:\\n' || text END AS text FROM p""", p=POINTERS)(
+    lambda p: files.pointer_text(p.withColumn("stem", F.concat(F.lit("datei"), F.col("page_id").cast("string")))).select("page_id", "text")
+)
 EXPORTED = "SELECT o_orderkey AS doc_id, concat('d', cast(o_orderkey AS string)) AS final_name, o_orderkey % 4 = 0 AS office FROM {orders}"
 query("snk1_plan_exports", "SELECT doc_id, 'docx' AS kind, final_name || '.docx' AS file_name FROM d UNION ALL SELECT doc_id, 'pdf', final_name || '.pdf' FROM d WHERE NOT office UNION ALL SELECT doc_id, 'report', final_name || '_report.json' FROM d", d=EXPORTED)(lambda d: files.plan_exports(d, "PDF und DOCX"))
 query("snk5_retain_latest", "SELECT event_id AS path, ts AS modified FROM e ORDER BY ts DESC, event_id LIMIT 3", e="SELECT event_id, ts FROM {events}")(lambda e: files.retain_latest(e.select(F.col("event_id").alias("path"), F.col("ts").alias("modified"))))
 query("snk6_cleanup_plan", "SELECT doc_id, path, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 <> 0 THEN 'delete' ELSE 'keep' END AS action FROM o", o=OUTPUTS)(lambda o: files.cleanup_plan(o.withColumns({"for_upload": F.col("doc_id") % 2 == 0, "deferred": F.col("doc_id") % 3 == 0}), keep_local=False))
 
 
+# Files that the queries write themselves, into a folder of their own, and read again.
+EVENT_ROWS = "SELECT cast(user_id AS string) AS job_id, event_type AS event, 'ok' AS status, cast(event_id AS string) AS detail, CASE WHEN value > 50 THEN ts END AS timestamp_utc FROM {events}"
+
+
+def _src5(spark, d):
+    path = f"{folder(spark)}/history"
+    files.append_history(frame(spark, d, EVENT_ROWS), path)
+    return files.read_history(spark, path).select("job_id", "event", "status", "detail", F.col("timestamp_utc").isNotNull().alias("timed"))
+
+
+QUERIES["src5_history"] = _src5
+ORACLES["src5_history"] = "SELECT cast(user_id AS varchar) AS job_id, event_type AS event, 'ok' AS status, cast(event_id AS varchar) AS detail, true AS timed FROM events"
+#: One registry, and one memory, as JSON text, of all parts.
+REGISTRIES = """SELECT to_json(named_struct('known_paths', array_sort(collect_set(concat('ASIA/', p_brand))), 'path_contexts', map_from_entries(array_sort(collect_set(struct(concat('ASIA/', p_brand) AS k,
+    named_struct('object_type', '', 'keywords', array(p_brand), 'notes', 'n') AS v)))))) AS value FROM {part}"""
+MEMORIES = """SELECT to_json(named_struct('path_stats', map_from_entries(collect_list(struct(path, named_struct('confirmed_count', n, 'positive_terms', terms)))))) AS value
+    FROM (SELECT concat('ASIA/', p_brand) AS path, cast(count(*) AS int) AS n, map_from_entries(array_sort(collect_set(struct(lower(p_type) AS k, 1 AS v)))) AS terms FROM {part} GROUP BY p_brand) AS m"""
+
+
+def _src6(part, load, columns, sql):
+    def run(spark, d):
+        path = f"{folder(spark)}/{part}"
+        frame(spark, d, sql).write.text(path)
+        return load(spark, path)[part].selectExpr(*columns)
+
+    return run
+
+
+QUERIES["src6_registry"] = _src6("path_context", files.load_registry, ["path", "array_join(keywords, ';') AS keywords", "notes"], REGISTRIES)
+ORACLES["src6_registry"] = "SELECT DISTINCT 'ASIA/' || p_brand AS path, p_brand AS keywords, 'n' AS notes FROM part"
+QUERIES["src6_memory_terms"] = _src6("path_term", files.load_memory, ["path", "kind", "term", "n"], MEMORIES)
+ORACLES["src6_memory_terms"] = "SELECT DISTINCT 'ASIA/' || p_brand AS path, 'positive' AS kind, lower(p_type) AS term, 1 AS n FROM part"
+QUERIES["src6_memory_stats"] = _src6("path_stat", files.load_memory, ["path", "confirmed_count"], MEMORIES)
+ORACLES["src6_memory_stats"] = "SELECT 'ASIA/' || p_brand AS path, count(*) AS confirmed_count FROM part GROUP BY 1"
+TARGETS = "SELECT doc_id, concat('z/', lang, '/', source) AS target_path, text FROM {documents}"
+
+
+def _snk2(spark, d):
+    path = f"{folder(spark)}/texts"
+    files.write_text(frame(spark, d, TARGETS), path)
+    return spark.read.parquet(path).select("doc_id", "target_path", F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES["snk2_write_text"] = _snk2
+ORACLES["snk2_write_text"] = "SELECT doc_id, 'z/' || lang || '/' || source AS target_path, sha256(text) AS text_sha256 FROM documents"
+
+
+def _snk3(spark, d):
+    path = f"{folder(spark)}/reports"
+    files.write_reports(frame(spark, d, "SELECT event_id, event_type, CASE WHEN value > 50 THEN user_id END AS user_id FROM {events}"), path)
+    return spark.read.text(path)
+
+
+QUERIES["snk3_reports"] = _snk3
+ORACLES["snk3_reports"] = """SELECT '{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || CASE WHEN value > 50 THEN cast(user_id AS varchar) ELSE 'null' END || '}' AS value FROM events"""
+
+
+def _snk3_manifests(spark, d):
+    path = f"{folder(spark)}/manifests"
+    files.write_manifests(frame(spark, d, "SELECT o_custkey AS job_id, to_json(named_struct('order', o_orderkey)) AS record FROM {orders}"), path)
+    return spark.read.text(path).select(F.col("job_id").cast("long").alias("job_id"), F.col("value").alias("record"))
+
+
+QUERIES["snk3_manifests"] = _snk3_manifests
+ORACLES["snk3_manifests"] = """SELECT o_custkey AS job_id, '{"order":' || o_orderkey || '}' AS record FROM orders"""
+MADE_FILES = "SELECT concat('/out/', CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END, '/d', cast(doc_id AS string), CASE doc_id % 4 WHEN 0 THEN '.json' WHEN 1 THEN '.TXT' ELSE '.pdf' END) AS path, concat(' x', CASE WHEN doc_id % 2 = 0 THEN '/' ELSE chr(92) END, lang) AS target_path, cast(text AS binary) AS content FROM {documents}"
+
+
+def _snk4(spark, d):
+    path = f"{folder(spark)}/archive"
+    files.write_archive(frame(spark, d, MADE_FILES), path)
+    return spark.read.parquet(path).select("target_path", "file_name", F.sha2("content", 256).alias("sha256"))
+
+
+QUERIES["snk4_archive"] = _snk4
+ORACLES["snk4_archive"] = "SELECT 'x/' || lang AS target_path, 'd' || doc_id || CASE WHEN doc_id % 4 = 1 THEN '.TXT' ELSE '.pdf' END AS file_name, sha256(text) AS sha256 FROM documents WHERE doc_id % 4 <> 0"
+
 # Streams, run over all that the tables hold.
 def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/foliant/stream-{uuid.uuid4().hex}"
+    return f"{files.shared_dir(spark)}/foliant/stream-{uuid.uuid4().hex}"
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str):
@@ -324,7 +433,7 @@ QUERIES["str3_job_state"] = lambda spark, d: streams.drained(streams.job_state_s
 ORACLES["str3_job_state"] = "SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS events FROM events GROUP BY 1"
 QUERIES["str4_dashboard"] = lambda spark, d: streams.drained(streams.dashboard_stream(as_events(stream(spark, d, "events"))), folder(spark), "complete")
 ORACLES["str4_dashboard"] = "SELECT event_type AS event, count(*) AS n, max(ts) AS last_at FROM events GROUP BY 1"
-QUERIES["str5_release"] = lambda spark, d: streams.drained(streams.release_stream(stream(spark, d, "part").filter("p_partkey % 97 = 1").select(F.concat(F.lit("P/"), F.col("p_partkey").cast("string")).alias("path"), F.lit("P/neu").alias("final_path")), frame(spark, d, "SELECT o_orderkey AS doc_id, concat('P/', cast(o_custkey AS string)) AS path FROM {orders}")), folder(spark))
-ORACLES["str5_release"] = "SELECT o_orderkey AS doc_id, 'P/neu' AS path, 'P/' || o_custkey AS proposed_path, 'completed' AS status FROM orders JOIN part ON o_custkey = p_partkey WHERE p_partkey % 97 = 1"
+QUERIES["str5_release"] = lambda spark, d: streams.drained(streams.release_stream(stream(spark, d, "part").select(F.concat(F.lit("P/"), F.col("p_partkey").cast("string")).alias("path"), F.lit("P/neu").alias("final_path")), frame(spark, d, "SELECT o_orderkey AS doc_id, concat('P/', cast(o_custkey AS string)) AS path FROM {orders}")), folder(spark))
+ORACLES["str5_release"] = "SELECT o_orderkey AS doc_id, 'P/neu' AS path, 'P/' || o_custkey AS proposed_path, 'completed' AS status FROM orders JOIN part ON o_custkey = p_partkey"
 QUERIES["str6_dedupe"] = lambda spark, d: streams.drained(streams.dedupe_stream(stream(spark, d, "documents").select(F.sha2("text", 256).alias("sha256"), F.lit("2024-01-01").cast("timestamp").alias("seen_at"))), folder(spark)).select("sha256")
 ORACLES["str6_dedupe"] = "SELECT DISTINCT sha256(text) AS sha256 FROM documents"

@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.functions.text import strip
+
 # What is read, what is skipped, what each format writes.
 SUFFIXES = ["pdf", "png", "jpg", "jpeg", "docx", "doc", "odt", "odoc", "heic"]
 UNFINISHED = r"\.(tmp|part|crdownload|download)"
 FORMATS = {"Nur PDF": ["pdf"], "Nur TXT": ["txt"], "PDF und TXT": ["pdf", "txt"], "Nur DOCX": ["docx"], "PDF und DOCX": ["pdf", "docx"]}
+POINTER, POINTER_PLAIN = "Synology Office Dokument-Link", "Synology .odoc Inhalt:\n"
+ARCHIVED = ["pdf", "txt", "docx", "odt", "doc", "odoc"]
 HISTORY = T.StructType([T.StructField(c, T.StringType()) for c in ("job_id", "event", "status", "detail")] + [T.StructField("timestamp_utc", T.TimestampType())])
 CONTEXT = "struct<object_type:string,aliases:array<string>,keywords:array<string>,notes:string>"
 REGISTRY = f"persons array<string>, known_paths array<string>, drive_folders map<string,string>, path_contexts map<string,{CONTEXT}>"
 
 
+DECISION = "struct<timestamp_utc:string,proposed_path:string,chosen_path:string,accepted:boolean>"
+COUNTERS = "struct<confirmed_count:int,last_confirmed_at:string,positive_terms:map<string,int>,negative_terms:map<string,int>,document_types:map<string,int>>"
+MEMORY = f"decisions array<{DECISION}>, path_stats map<string,{COUNTERS}>"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. One of our own only in local runs that set none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    made = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
 def accepted(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(SUFFIXES) & ~F.lower(name).rlike(UNFINISHED)
 
@@ -62,11 +86,29 @@ def load_registry(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def pointer_text(df: DataFrame, text: str = "text") -> DataFrame:
-    """JSON pointer documents as title, url and id lines; anything else stays as it is."""
-    p = F.from_json(F.col(text), "title string, url string, doc_id string")
-    line = F.concat_ws("\n", *[F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{k}: "), v)) for k, v in (("Titel", p["title"]), ("URL", p["url"]), ("Dokument-ID", p["doc_id"]))])
-    return df.withColumn(text, F.when(F.ltrim(text).startswith("{") & (line != ""), line).otherwise(F.col(text)))
+def load_memory(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """A memory file as tables decision, path_term (path, kind, term, n) and path_stat; missing keys are empty."""
+    one = spark.read.option("multiLine", True).schema(MEMORY).json(path)
+    stats = one.select(F.explode("path_stats").alias("path", "s")).select("path", "s.*")
+    kinds = {"positive": "positive_terms", "negative": "negative_terms", "type": "document_types"}
+    terms = [stats.select("path", F.lit(k).alias("kind"), F.explode(c).alias("term", "n")) for k, c in kinds.items()]
+    return {
+        "decision": one.select(F.explode("decisions").alias("d")).select("d.*"), "path_term": terms[0].union(terms[1]).union(terms[2]),
+        "path_stat": stats.select("path", F.coalesce("confirmed_count", F.lit(0)).alias("confirmed_count"), "last_confirmed_at"),
+    }
+
+
+def pointer_text(df: DataFrame, text: str = "text", stem: str = "stem") -> DataFrame:
+    """JSON pointer documents as a heading and title, url and id lines; anything else as plain text under its label.
+
+    A missing title is the file's stem; a missing or empty url or id gives no line; null counts as empty text.
+    """
+    c = strip(F.coalesce(F.col(text), F.lit("")))
+    p = F.from_json(c, "title string, url string, doc_id string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    more = [F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{k}: "), v)) for k, v in (("URL", p["url"]), ("Dokument-ID", p["doc_id"]))]
+    shown = F.concat_ws("\n", F.lit(POINTER), F.concat(F.lit("Titel: "), F.coalesce(p["title"], F.col(stem), F.lit(""))), *more)
+    good = c.startswith("{") & p.isNotNull() & p["_bad"].isNull()
+    return df.withColumn(text, F.when(good, shown).otherwise(F.concat(F.lit(POINTER_PLAIN), F.coalesce(F.col(text), F.lit("")))))
 
 
 def plan_exports(docs: DataFrame, fmt: str, report: bool = True) -> DataFrame:
@@ -90,6 +132,26 @@ def write_reports(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
 
 
+def write_manifests(records: DataFrame, path: str) -> None:
+    """job_id, record (JSON) as one file of lines for each job: job_id=.../, only the written jobs are replaced."""
+    records.select("job_id", "record").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").text(path)
+
+
+def archived(artifacts: DataFrame) -> DataFrame:
+    """artifacts (path, target_path, content) -> those that are archived, with the cleaned target_path and file_name."""
+    name = F.element_at(F.split("path", "/"), -1)
+    target = F.translate(strip(F.coalesce("target_path", F.lit(""))), "\\", "/")
+    rows = artifacts.select("path", target.alias("target_path"), name.alias("file_name"), "content")
+    return rows.filter(F.lower(F.regexp_extract("file_name", r"\.([^.]+)$", 1)).isin(ARCHIVED))
+
+
+def write_archive(artifacts: DataFrame, path: str) -> None:
+    """Every archived artifact under its target path (target_path=.../); a file of the same place is replaced, other places stay."""
+    w = Window.partitionBy("target_path", "file_name").orderBy(F.desc("path"))
+    last = archived(artifacts).withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("file_name", "content", "target_path")
+    last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target_path").parquet(path)
+
+
 def retain_latest(rows: DataFrame, n: int = 3) -> DataFrame:
     """The n rows with the latest modified time."""
     return rows.orderBy(F.desc("modified"), "path").limit(n)

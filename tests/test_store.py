@@ -28,7 +28,7 @@ def test_route_and_names(spark, one):
     assert [r["route"] for r in routing.with_route(df).collect()] == ["reduced", "office", "detailed"]
     assert [r["route"] for r in routing.with_route(df, reduce_large=False).collect()] == ["detailed", "office", "detailed"]
     meta = spark.createDataFrame([("20-05-2026", "A:B", "R"), ("", "x", "y")], "date string, title string, document_type string")
-    assert [r["final_name"] for r in routing.with_final_name(meta).collect()] == ["20-05-2026_AB_R", "Dokument"]
+    assert [r["final_name"] for r in routing.with_final_name(meta).collect()] == ["20-05-2026_AB_R", "dokument_searchable"]
     assert one(routing.quote_path(F.col("p")), p="a b\\./ü*~") == "a%20b/%C3%BC%2A~"
 
 
@@ -71,10 +71,15 @@ def test_confidence(spark):
 def test_context_winner(spark):
     contexts = spark.createDataFrame([("A/Golf", 0, "vehicle", ["Golf 7"], ["AB CD 123"], ""), ("A/Polo", 1, "vehicle", ["Polo"], ["XY 1"], "")], "path string, ord int, object_type string, aliases array<string>, keywords array<string>, notes string")
     docs = spark.createDataFrame([(1, "Inspektion Golf 7 AB CD 123"), (2, "nichts")], "doc_id long, haystack string")
-    ranked = classify.rank_contexts(docs, contexts)
+    ranked = classify.rank_contexts(docs, contexts, contexts.select("path"))
+    assert classify.rank_contexts(docs, contexts, contexts.select("path").filter("path <> 'A/Golf'")).filter("path = 'A/Golf'").count() == 0
     assert [(r["doc_id"], r["path"]) for r in classify.best_context(ranked).collect()] == [(1, "A/Golf")]
-    one, other = (sorted(map(str, classify.context_hits(docs, contexts, most).collect())) for most in (50_000, 0))
-    assert one == other and len(one) > 2
+    more = spark.createDataFrame([(3, "vorgolf  7-ABxAB\tCD\u00a0123 polos"), (4, None), (5, ""), (6, "x" * 100_000)], "doc_id long, haystack string")
+    both = docs.union(more)
+    terms = classify.context_terms(contexts).collect()
+    want = {(r["doc_id"], t["path"], t["term_no"]) for r in both.select("doc_id", classify.folded(F.col("haystack")).alias("t")).collect() for t in terms if t["norm"] in r["t"]}
+    got = classify.context_hits(both, contexts).collect()
+    assert {(r["doc_id"], r["path"], r["term_no"]) for r in got} == want and len(got) == len(want) > 4
 
 
 def test_merge_keeps_or_replaces_evidence(spark):
@@ -103,6 +108,10 @@ def test_taxonomy(spark):
     assert [r["outcome"] for r in taxonomy.add_paths(req, paths, persons).orderBy("ord").collect()] == ["added", "duplicate", "unknown_person", "empty", "duplicate"]
     assert {r["path"] for r in taxonomy.path_closure(spark.createDataFrame([("a/b/c",)], "path string")).collect()} == {"a", "a/b", "a/b/c"}
     assert taxonomy.apply_template(persons, paths).count() == 9
+    several = spark.createDataFrame([(" Bob  B ",), ("a?",), ("anna",), ("BOB b",), (None,)], "name string")
+    made = {r["path"] for r in taxonomy.apply_template(several, paths).collect()}
+    assert len(made) == 11 + 9 and "Anna/Finanzen" in made and ({"BOB b", "Bob B"} & made) and "Anna" not in made
+    assert {(r["name"], r["problem"]) for r in taxonomy.rejected_names(several).collect()} == {("a?", "forbidden"), (None, "empty")}
     assert [r["c"] for r in spark.createDataFrame([("a, A\n b  c,,Straße, STRASSE",)], "t string").select(taxonomy.clean_terms(F.col("t")).alias("c")).collect()] == [["a", "b c", "Straße"]]
     plan = taxonomy.folder_plan(spark.createDataFrame([("a/b",)], "path string"), spark.createDataFrame([("a", "1")], "path string, folder_id string"), spark.createDataFrame([("a/b", "9", False), ("a/b", "8", False)], "path string, entry_id string, trashed boolean"))
     assert {(r["path"], r["action"], r["folder_id"], r["conflict"]) for r in plan.collect()} == {("a", "trusted", "1", False), ("a/b", "found", "8", True)}
