@@ -369,12 +369,12 @@ ORACLES["snk3_reports"] = """SELECT '{"event_id":' || event_id || ',"event_type"
 
 def _snk3_manifests(spark, d):
     path = f"{folder(spark)}/manifests"
-    files.write_manifests(frame(spark, d, "SELECT o_custkey AS job_id, to_json(named_struct('order', o_orderkey)) AS record FROM {orders}"), path)
-    return spark.read.text(path).select(F.col("job_id").cast("long").alias("job_id"), F.col("value").alias("record"))
+    files.write_manifests(frame(spark, d, "SELECT o_orderkey AS job_id, to_json(named_struct('customer', o_custkey)) AS record FROM {orders}"), path)
+    return files.read_manifests(spark, path)
 
 
 QUERIES["snk3_manifests"] = _snk3_manifests
-ORACLES["snk3_manifests"] = """SELECT o_custkey AS job_id, '{"order":' || o_orderkey || '}' AS record FROM orders"""
+ORACLES["snk3_manifests"] = """SELECT o_orderkey AS job_id, '{"customer":' || o_custkey || '}' AS record FROM orders"""
 MADE_FILES = "SELECT concat('/out/', CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END, '/d', cast(doc_id AS string), CASE doc_id % 4 WHEN 0 THEN '.json' WHEN 1 THEN '.TXT' ELSE '.pdf' END) AS path, concat(' x', CASE WHEN doc_id % 2 = 0 THEN '/' ELSE chr(92) END, lang) AS target_path, cast(text AS binary) AS content FROM {documents}"
 
 

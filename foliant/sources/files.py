@@ -133,8 +133,14 @@ def write_reports(df: DataFrame, path: str) -> None:
 
 
 def write_manifests(records: DataFrame, path: str) -> None:
-    """job_id, record (JSON) as one file of lines for each job: job_id=.../, only the written jobs are replaced."""
-    records.select("job_id", "record").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").text(path)
+    """Appends job_id, record (JSON), written_at; a job's later record stands for it (see ``read_manifests``)."""
+    records.select("job_id", "record", F.current_timestamp().alias("written_at")).write.mode("append").parquet(path)
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """job_id, record: the latest of each job, of equal times the greater one."""
+    last = F.max_by("record", F.struct("written_at", "record")).alias("record")
+    return spark.read.parquet(path).groupBy("job_id").agg(last)
 
 
 def archived(artifacts: DataFrame) -> DataFrame:
