@@ -3,20 +3,26 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller
 doc_id. To find these strings without one suffix array over the whole corpus, every string is dealt to a
 bucket by its minimizer (the gram with the smallest hash inside it): equal strings meet, and strings that
-follow each other with one minimizer travel as one slice. A bucket sorts the suffixes of the slices that
-another document may share, and previous and next smaller documents in suffix order tell whether an
-earlier one has the same ``LENGTH`` bytes: its longest previous factor reaches that length.
+follow each other with one minimizer travel as one slice. Equal slices merge, first in the task that they
+leave, then as they arrive. Each bucket then sorts the suffixes of the slices that another document may
+share. In suffix order, the previous and the next position of a smaller document hold a suffix's longest
+match in an earlier document; the longer one is its longest previous factor, and a string goes if that
+reaches ``LENGTH``.
 
-A group of copies may hold any share of the rows: within a task equal slices leave once, with the smallest
-doc_id, so a bucket gets a hot slice at most once from each task.
+A group of copies may hold any share of the rows: a bucket gets a hot slice once from each lot of a task, and
+keeps it once. Buckets are as many as the bytes call for; a partition works on several of them, one after
+another, so partitions follow the cluster.
 
 Defined results: null counts as empty; texts under ``LENGTH`` bytes lose nothing; matches inside one
-document, and between repeated rows of one doc_id, remove nothing; very long texts are worked on in
-overlapping segments; an empty table gives no rows. Columns other than doc_id and text are ignored.
+document, and between rows of one doc_id, remove nothing, and each such row loses what its own text shares
+with smaller doc_ids; a row without a doc_id (null) neither loses anything nor takes from others; very long
+texts are worked on in overlapping segments; an empty table gives no rows. Columns other than doc_id and text
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import mixed, partitions, text_bytes
+from foliant.llm.common import mixed, numbered, partitions, text_bytes
 
 LENGTH, GRAM = 50, 8
 #: Context on one side of a minimizer that any string has at least: half of what the gram leaves.
@@ -37,8 +43,11 @@ PLACE = 24  # bits of a position in a piece
 LOT = 8 << 20
 #: Raw bytes of slices that a bucket should hold.
 BUCKET = 24 << 20
-HEAD = np.dtype([("doc", "<i8"), ("start", "<i8"), ("size", "u1"), ("gram", "u1")])
-RUNS = "doc_id long, runs binary"
+#: part tells rows of one doc_id apart (see ``numbered``).
+HEAD = np.dtype([("doc", "<i8"), ("part", "<i8"), ("start", "<i8"), ("size", "u1"), ("gram", "u1")])
+RUNS = "doc long, part long, runs binary"
+#: Partitions that buckets are dealt to, at most.
+DEALT = 20_000
 
 
 def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
@@ -52,15 +61,15 @@ def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def pieces(rows: list[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """(doc_id, offset, bytes) in lots of about PIECE bytes, smaller doc_ids first."""
-    lot: list[tuple[int, int, bytes]] = []
+def pieces(rows: list[tuple[int, int, bytes]]) -> Iterator[list[tuple[int, int, bytes, int]]]:
+    """(doc_id, part, bytes) -> (doc_id, offset, bytes, part) in lots of about PIECE bytes, smaller doc_ids first."""
+    lot: list[tuple[int, int, bytes, int]] = []
     held = 0
-    for doc, text in sorted(rows, key=lambda r: r[0]):
+    for doc, row, text in sorted(rows, key=lambda r: r[:2]):
         for at in range(0, max(1, len(text) - LENGTH + 1), PIECE):
             part = text[at : at + PIECE + LENGTH - 1]
             if len(part) >= LENGTH:
-                lot.append((doc, at, part))
+                lot.append((doc, at, part, row))
                 held += len(part)
             if held >= PIECE:
                 yield lot
@@ -69,7 +78,7 @@ def pieces(rows: list[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, bytes
         yield lot
 
 
-def slices(lot: list[tuple[int, int, bytes]]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def slices(lot: list[tuple[int, int, bytes, int]]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All strings of a lot as slices: the joined bytes; each slice's begin, end, minimizer place and hash."""
     joined = b"".join(x[2] for x in lot)
     size = np.array([len(x[2]) for x in lot])
@@ -96,7 +105,7 @@ def slices(lot: list[tuple[int, int, bytes]]) -> tuple[bytes, np.ndarray, np.nda
 
 def packed(head: np.ndarray, parts: list[bytes], level: int = 6) -> bytes:
     """Slices as one compressed blob: the fields of the heads one after another, numbers as differences, then the bytes."""
-    fields = [np.diff(head[k], prepend=0) if k in ("doc", "start") else head[k] for k in HEAD.names]
+    fields = [np.diff(head[k], prepend=0) if k in ("doc", "part", "start") else head[k] for k in HEAD.names]
     octets = [np.ascontiguousarray(f.reshape(-1, 1).view(np.uint8).T).tobytes() for f in fields]
     return zstandard.compress(len(head).to_bytes(4, "little") + b"".join(octets) + b"".join(parts), level)
 
@@ -108,49 +117,53 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
     for k in HEAD.names:
         kind = HEAD[k]
         x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T).view(kind).ravel()
-        head[k] = np.cumsum(x) if k in ("doc", "start") else x
+        head[k] = np.cumsum(x) if k in ("doc", "part", "start") else x
         at += n * kind.itemsize
     ends = 4 + n * HEAD.itemsize + np.cumsum(head["size"], dtype=np.int64)
     begins = ends - head["size"]
     return head, [raw[b:e] for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
 
 
-def by_document(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Runs as one packed row a document."""
-    order = np.lexsort((start, doc))
-    doc, spans = doc[order], np.stack([start[order], end[order]], axis=1).astype("<i8")
-    cut = np.flatnonzero(np.diff(doc)) + 1
-    return (doc[np.concatenate([[0], cut])] if len(doc) else doc).tolist(), [x.tobytes() for x in np.split(spans, cut)] if len(doc) else []
+def by_row(doc: np.ndarray, part: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
+    """Runs as one packed row a row of the table: doc_ids, parts, runs."""
+    order = np.lexsort((start, part, doc))
+    doc, part, spans = doc[order], part[order], np.stack([start[order], end[order]], axis=1).astype("<i8")
+    cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(part) != 0)) + 1
+    first = np.concatenate([[0], cut]) if len(doc) else np.zeros(0, np.int64)
+    return doc[first].tolist(), part[first].tolist(), [x.tobytes() for x in np.split(spans, cut)] if len(doc) else []
 
 
-def dealt(buckets: int):
-    """Documents -> slices by bucket, and runs that an earlier document of the same task has (bucket, runs)."""
+DEALT_ROWS = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("part", pa.int64()), ("blob", pa.binary())])
+
 
-    names = ["bucket", "doc_id", "blob"]
+def dealt(buckets: int):
+    """Documents (_id, _part, _text) -> slices by bucket, and runs that an earlier document of the same task has (bucket, runs)."""
 
     def leaving(own: list[bytes], fields: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        docs, at, gram, h = fields
+        docs, parts, at, gram, h = fields
         size = np.fromiter(map(len, own), np.int64, len(own))
         seen: dict[bytes, int] = {}
         first = np.fromiter((seen.setdefault(s, d) for s, d in zip(own, docs.tolist(), strict=True)), np.int64, len(own))
         late = first < docs
-        ids, runs = by_document(docs[late], at[late], (at + size)[late])
+        ids, rows, runs = by_row(docs[late], parts[late], at[late], (at + size)[late])
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([d % buckets for d in ids], pa.int32()), pa.array(ids, pa.int64()), pa.array(runs, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([d % buckets for d in ids], pa.int32()), pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(runs, pa.binary())], schema=DEALT_ROWS)
         keep = np.flatnonzero(~late)
         bucket = (mixed(h[keep], 1) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         keep, bucket = keep[order], bucket[order]
         head = np.empty(len(keep), HEAD)
-        head["doc"], head["start"], head["size"], head["gram"] = docs[keep], at[keep], size[keep], gram[keep]
+        for name, x in (("doc", docs), ("part", parts), ("start", at), ("size", size), ("gram", gram)):
+            head[name] = x[keep]
         cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keep)]
         named = [(int(bucket[a]), packed(head[a:b], [own[i] for i in keep[a:b]])) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
         if named:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in named], pa.int32()), pa.nulls(len(named), pa.int64()), pa.array([x[1] for x in named], pa.binary())], names=names)
+            none = pa.nulls(len(named), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in named], pa.int32()), none, none, pa.array([x[1] for x in named], pa.binary())], schema=DEALT_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, t) for d, t in zip(batch["doc_id"].to_pylist(), batch["_text"].to_pylist(), strict=True) if len(t) >= LENGTH and d is not None]
+            rows = [(d, p, t) for d, p, t in zip(*(batch[c].to_pylist() for c in ("_id", "_part", "_text")), strict=True) if len(t) >= LENGTH and d is not None]
             own: list[bytes] = []
             found: list[list[np.ndarray]] = []
             held = 0
@@ -159,7 +172,7 @@ def dealt(buckets: int):
                 starts = np.concatenate([[0], np.cumsum([len(x[2]) for x in lot])])
                 which = np.searchsorted(starts, begin, "right") - 1
                 own += [joined[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
-                found.append([np.array([x[0] for x in lot])[which], begin - starts[which] + np.array([x[1] for x in lot])[which], gram - begin, h])
+                found.append([np.array([x[0] for x in lot])[which], np.array([x[3] for x in lot])[which], begin - starts[which] + np.array([x[1] for x in lot])[which], gram - begin, h])
                 if (held := held + len(joined)) >= LOT:
                     yield from leaving(own, [np.concatenate(x) for x in zip(*found, strict=True)])
                     own, found, held = [], [], 0
@@ -169,13 +182,14 @@ def dealt(buckets: int):
     return run
 
 
-def suffix_order(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of all positions with ``length`` bytes left, by their first ``length`` bytes; each one's rank.
+def suffix_order(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix array of all positions with ``length`` bytes left, by their first ``length`` bytes; each one's rank; the 8 bytes at each place.
 
     Equal ranks mean a common prefix of ``length`` bytes. Ranks of 8 bytes are doubled until they reach it.
     """
     n = len(text) - length + 1
     words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, 8)).view(">u8").ravel()
+    words = words.astype(np.uint64)
     _, rank = np.unique(words, return_inverse=True)
     reach = 8
     while reach < length:
@@ -184,22 +198,43 @@ def suffix_order(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np
         _, rank = np.unique(rank[:m].astype(np.int64) * (int(rank.max()) + 1) + rank[step:], return_inverse=True)
         reach += step
     rank = rank[:n]
-    return np.argsort(rank, kind="stable"), rank
-
+    return np.argsort(rank, kind="stable"), rank, words
+
+
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest place before it with a smaller value, or -1: places that hold none hand over their own."""
+    before = np.arange(len(values)) - 1
+    left = np.flatnonzero(before >= 0)
+    while len(left := left[values[before[left]] >= values[left]]):
+        before[left] = before[before[left]]
+        left = left[before[left] >= 0]
+    return before
+
+
+def common_bytes(words: np.ndarray, rank: np.ndarray, a: np.ndarray, b: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Length of the common prefix of the suffixes at a and b, up to ``length``. words: the 8 bytes at each place, big-endian."""
+    out = np.where(rank[a] == rank[b], length, 0)
+    left = np.flatnonzero(out == 0)
+    for at in range(0, length, 8):
+        differing = words[a[left] + at] ^ words[b[left] + at]
+        same = differing == 0
+        x = differing[~same]
+        bits = 64 - np.frexp((x & ~(x >> np.uint64(1))).astype(np.float64))[1]  # above the highest one; without the next, it isn't rounded up
+        out[left[~same]] = np.minimum(length, at + np.maximum(bits, 0) // 8)
+        left = left[same]
+    return out
 
-def has_earlier(order: np.ndarray, rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which suffixes have a longest previous factor of the full length: an earlier document's suffix of equal rank.
 
-    The factor comes from the previous or next suffix (in suffix order) of a smaller document. Only inside
-    a run of equal ranks does it reach the full length, and there one exists if the run's smallest document
-    is smaller.
+def longest_previous(order: np.ndarray, rank: np.ndarray, doc: np.ndarray, words: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Longest previous factors (up to ``length``) of the suffixes in ``order``: the longer of the matches with the
+    previous and the next suffix of a smaller document. Places that take no part have 0.
     """
-    out = np.zeros(len(order), bool)
-    if len(order):
-        r, d = rank[order], doc[order]
-        begins = np.concatenate([[0], np.flatnonzero(np.diff(r)) + 1])
-        least = np.minimum.reduceat(d, begins)
-        out[order] = d > np.repeat(least, np.diff(np.append(begins, len(r))))
+    out = np.zeros(len(rank), np.int64)
+    d = doc[order]
+    before, after = previous_smaller(d), len(d) - 1 - previous_smaller(d[::-1])[::-1]
+    for there, other in ((before >= 0, before), (after < len(d), after)):
+        mine = order[there]
+        out[mine] = np.maximum(out[mine], common_bytes(words, rank, mine, order[other[there]], length))
     return out
 
 
@@ -215,70 +250,81 @@ def shared_context(own: list[bytes], gram: list[int]) -> list[int]:
     return np.flatnonzero(np.frombuffer(marked, np.uint8)).tolist()
 
 
-def bucket_runs(heads: np.ndarray, own: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (doc, start, end) of the strings in a bucket that an earlier document has too."""
-    least: dict[bytes, int] = {}
-    for s, d in zip(own, heads["doc"].tolist(), strict=True):
-        if least.setdefault(s, d) > d:
-            least[s] = d
-    low = np.fromiter(map(least.__getitem__, own), np.int64, len(own))
-    late = heads["doc"] > low
-    out = [(heads["doc"][late], heads["start"][late], heads["start"][late] + heads["size"][late])]
-    # Of each distinct slice the occurrences in its first document are left; one stands for all.
-    kept = np.flatnonzero(~late).tolist()
-    unique: dict[bytes, list[int]] = {}
-    for i in kept:
-        unique.setdefault(own[i], []).append(i)
-    texts = list(unique)
-    chosen = shared_context(texts, [int(heads["gram"][unique[s][0]]) for s in texts])
-    if chosen:
-        chosen_texts = [texts[i] for i in chosen]
-        text = np.frombuffer(b"".join(chosen_texts), np.uint8)
-        ends = np.cumsum([len(s) for s in chosen_texts])
-        order, rank = suffix_order(text)
-        owner = np.searchsorted(ends, np.arange(len(rank)), "right")
-        within = np.arange(len(rank)) + LENGTH <= ends[owner]
-        order = order[within[order]]
-        doc = np.array([least[s] for s in chosen_texts], np.int64)[owner]
-        hit = has_earlier_at(order, rank, doc)
-        begins = ends - np.array([len(s) for s in chosen_texts])
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-        d, a, b = [], [], []
-        for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            for k in range(int(owner[x]), int(owner[y - 1]) + 1):
-                lo, hi = max(x, int(begins[k])), min(y, int(ends[k]) - LENGTH + 1)
-                if lo < hi:
-                    for i in unique[chosen_texts[k]]:
-                        d.append(int(heads["doc"][i]))
-                        a.append(int(heads["start"][i]) + lo - int(begins[k]))
-                        b.append(int(heads["start"][i]) + hi - 1 + LENGTH - int(begins[k]))
-        out.append((np.array(d, np.int64), np.array(a, np.int64), np.array(b, np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def has_earlier_at(order: np.ndarray, rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """``has_earlier`` where only the positions in ``order`` take part."""
-    out = np.zeros(len(rank), bool)
-    out[order] = has_earlier(np.arange(len(order)), rank[order], doc[order])
-    return out
+class Bucket:
+    """Slices of a bucket, each distinct one once, with its occurrences in its first document; and the runs found so far."""
+
+    def __init__(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.doc, self.part, self.start, self.gram = (array("q") for _ in range(4))
+        self.more: dict[int, list[tuple[int, int]]] = {}  # further occurrences in the first document: (part, start)
+        self.runs = array("q")  # doc, part, start, end
+
+    def add(self, head: np.ndarray, own: list[bytes]) -> None:
+        place, docs = self.place, self.doc
+        for s, d, p, at, g in zip(own, *(head[k].tolist() for k in ("doc", "part", "start", "gram")), strict=True):
+            i = place.setdefault(s, len(docs))
+            if i == len(docs):
+                docs.append(d)
+                self.part.append(p)
+                self.start.append(at)
+                self.gram.append(g)
+            elif d > docs[i]:
+                self.runs.extend((d, p, at, at + len(s)))
+            elif d == docs[i]:
+                self.more.setdefault(i, []).append((p, at))
+            else:
+                for q, x in [(self.part[i], self.start[i]), *self.more.pop(i, [])]:
+                    self.runs.extend((docs[i], q, x, x + len(s)))
+                docs[i], self.part[i], self.start[i] = d, p, at
+
+    def found(self) -> np.ndarray:
+        """All runs (doc, part, start, end) of strings that an earlier document has too."""
+        texts, docs = list(self.place), np.array(self.doc, np.int64)
+        chosen = shared_context(texts, self.gram.tolist())
+        if chosen:
+            parts = [texts[i] for i in chosen]
+            size = np.fromiter(map(len, parts), np.int64, len(parts))
+            ends = np.cumsum(size)
+            text = np.frombuffer(b"".join(parts) + bytes(LENGTH), np.uint8)
+            order, rank, words = suffix_order(text)
+            owner = np.searchsorted(ends, np.arange(len(rank)), "right")
+            within = np.zeros(len(rank), bool)
+            valid = np.flatnonzero(owner < len(parts))
+            within[valid] = valid + LENGTH <= ends[owner[valid]]
+            order = order[within[order]]
+            doc = docs[chosen][np.minimum(owner, len(parts) - 1)]
+            hit = longest_previous(order, rank, doc, words) >= LENGTH
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+            begins = ends - size
+            for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                for k in range(int(owner[x]), int(owner[y - 1]) + 1):
+                    lo, hi = max(x, int(begins[k])) - int(begins[k]), min(y - 1, int(ends[k]) - LENGTH) + LENGTH - int(begins[k])
+                    i = chosen[k]
+                    if hi - lo >= LENGTH:
+                        for p, at in [(self.part[i], self.start[i]), *self.more.get(i, [])]:
+                            self.runs.extend((self.doc[i], p, at + lo, at + hi))
+        return np.array(self.runs, np.int64).reshape(-1, 4)
 
 
 def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of a bucket -> packed runs by document."""
-    heads: list[np.ndarray] = []
-    own: list[bytes] = []
-    schema = pa.schema([("doc_id", pa.int64()), ("runs", pa.binary())])
+    """Slices in the order of their buckets -> packed runs by row."""
+    schema = pa.schema([("doc", pa.int64()), ("part", pa.int64()), ("runs", pa.binary())])
+    now, bucket = None, Bucket()
+
+    def finished(b: Bucket) -> Iterator[pa.RecordBatch]:
+        columns = by_row(*b.found().T)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
     for batch in batches:
-        for doc, blob in zip(batch["doc_id"].to_pylist(), batch["blob"].to_pylist(), strict=True):
+        for number, doc, part, blob in zip(*(batch[c].to_pylist() for c in DEALT_ROWS.names), strict=True):
             if doc is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([blob], pa.binary())], schema=schema)
-            else:
-                head, parts = unpacked(blob)
-                heads.append(head)
-                own += parts
-    if own:
-        ids, runs = by_document(*bucket_runs(np.concatenate(heads), own))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(runs, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([part], pa.int64()), pa.array([blob], pa.binary())], schema=schema)
+                continue
+            if number != now:
+                yield from finished(bucket)
+                now, bucket = number, Bucket()
+            bucket.add(*unpacked(blob))
+    yield from finished(bucket)
 
 
 def joined_runs(spans: np.ndarray) -> np.ndarray:
@@ -290,35 +336,39 @@ def joined_runs(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], axis=1)
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, runs (packed 64-bit begin and end pairs, may overlap): the bytes that go."""
-    spark = docs.sparkSession
-    raw = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets = int(max(partitions(spark), raw * 4 // BUCKET))
-    cut = docs.select("doc_id", text_bytes().alias("_text")).mapInArrow(dealt(buckets), "bucket int, doc_id long, blob binary")
-    return cut.repartitionById(buckets, "bucket").mapInArrow(matched, RUNS)
+def repeated_runs(rows: DataFrame, text: str) -> DataFrame:
+    """rows (_id, _part, a text) -> doc, part, runs (packed 64-bit begin and end pairs, may overlap): the bytes that go."""
+    spark = rows.sparkSession
+    raw = rows.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    least = partitions(spark)
+    buckets = int(min(max(least, raw * 4 // BUCKET), 2**31 - 1))
+    cut = rows.select("_id", "_part", text_bytes(text).alias("_text")).mapInArrow(dealt(buckets), "bucket int, doc long, part long, blob binary")
+    n = max(least, min(buckets, DEALT))
+    return cut.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(matched, RUNS)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept binary (the remaining bytes)."""
-    runs = repeated_runs(docs).groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
+    rows = numbered(docs.select("doc_id", "text"))
+    runs = repeated_runs(rows, "c1").groupBy("doc", "part").agg(F.collect_list("runs").alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            out = []
             for text, spans in zip(batch["_text"].to_pylist(), batch["runs"].to_pylist(), strict=True):
                 if not spans:
-                    rows.append((len(text), 0, 0, text))
+                    out.append((len(text), 0, 0, text))
                     continue
                 found = joined_runs(np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2))
                 edges = [0, *found.ravel().tolist(), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((len(text), len(text) - len(kept), len(found), kept))
-            cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                out.append((len(text), len(text) - len(kept), len(found), kept))
+            cols = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch["_id"], *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    texts = docs.select("doc_id", text_bytes().alias("_text"))
-    return texts.join(runs, "doc_id", "left").select("doc_id", "_text", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    texts = rows.select("_id", "_part", text_bytes("c1").alias("_text"))
+    both = texts.join(runs, (F.col("_id") == F.col("doc")) & (F.col("_part") == F.col("part")), "left")
+    return both.select("_id", "_text", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
