@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from foliant.sources.files import shared_dir
 
 #: Odd constants of the 64-bit finaliser below (fixed values).
 MIX_A, MIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -35,18 +28,65 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Parts that the rows of one hot key are dealt to in a join.
-SALTS = 16
+#: Keys that may be called hot in a join, at most: each has more than this share of the rows.
+HOT = 1000
+
+
+def joined_by_size(rows: DataFrame, known: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+    """rows left join known (one row a key; n: how many rows have it; null keys meet nothing).
+
+    Keys with more than total / HOT rows are fewer than HOT: these are broadcast, so that no task gets all
+    rows of one key. The others meet by their key.
+    """
+    bound = total // HOT
+    hot, cold = F.broadcast(known.filter(F.col(n) > bound).drop(n)), known.filter(F.col(n) <= bound).drop(n)
+    rest = rows.join(hot.select(keys), keys, "left_anti").join(cold, keys, "left")
+    return rows.join(hot, keys).unionByName(rest)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The columns of docs as c0, c1, ..., whatever their names, then _id (doc_id) and _part: both together name a row.
+
+    _part is 0 where every doc_id stands once. Where some repeat (null is one too), the rows are numbered and
+    written, so that a row keeps its number; else nothing moves but the ids.
+    """
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").alias("_id"))
+    if rows.groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return rows.withColumn("_part", F.lit(0).cast("long"))
+    return written(rows.withColumn("_part", F.monotonically_increasing_id()), "numbered")
+
+
+def in_key_order(docs: DataFrame) -> DataFrame:
+    """As ``numbered``, with _key: one number a row, in the order of doc_id, null last, rows of one doc_id as they stand."""
+    rows = numbered(docs)
+    if rows.filter("_part > 0").isEmpty():
+        return rows.withColumn("_key", F.coalesce("_id", F.lit(2**63 - 1)))
+    ranked = rows.select("_id", "_part").orderBy(F.col("_id").isNull(), "_id", "_part").select("_part", F.monotonically_increasing_id().alias("_key"))
+    return rows.join(written(ranked, "keys"), "_part")
+
+
+def place_of(docs: DataFrame, column: str) -> str:
+    """The name that ``numbered`` gives to a column."""
+    return f"c{docs.columns.index(column)}"
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs under their own names."""
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def renamed_schema(docs: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(docs.schema.fields)])
 
 
-def salted(df: DataFrame, by: str) -> DataFrame:
-    """Adds _salt from a column, for the side that may have a third of all rows under one key."""
-    return df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+def without(docs: DataFrame, rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows that gone (_id, _part) names; rows: ``numbered`` docs."""
+    g = gone.select(F.col("_id").alias("_gone"), F.col("_part").alias("_gone_part"))
+    return restored(rows.join(g, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_part") == F.col("_gone_part")), "left_anti"), docs)
 
 
-def for_all_salts(df: DataFrame) -> DataFrame:
-    """The other side, which has one row a key: once for each _salt."""
-    return df.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+#: Of rows the one that stays: smallest doc_id, null last, then the first row.
+FIRST = "struct(_id IS NULL AS none, _id, _part)"
 
 
 def text_bytes(column: str = "text") -> Column:

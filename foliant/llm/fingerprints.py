@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import simhash
-from foliant.llm.common import SALTS, mixed, partitions, salted, text_bytes, word_hashes, written
+from foliant.llm.common import joined_by_size, mixed, partitions, text_bytes, word_hashes, written
 from foliant.llm.graph import components
 
 LANES = 4  # of 64 bits
@@ -76,17 +76,15 @@ def within_radius(x: np.ndarray) -> np.ndarray:
 def near_classes(prints: DataFrame) -> DataFrame:
     """prints (doc_id, fp binary, any others) -> adds component_id, by all pairs within the radius.
 
-    A fingerprint of several documents joins back in all salted parts, that of one document in its part only.
+    Fingerprints of several documents or with links join back; any other is a class of its own.
     """
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     nodes = written(firsts, "nodes")
     linked = nodes.filter("first_id is not null").select(F.col("first_id").alias("node"), "fp")
     found = components(simhash.links(linked, keys=block_tables, near=within_radius, late=True))
     known = nodes.join(found, F.col("first_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "first_id"))
-    known = salted(known.filter("n > 1 or component_id <> first_id"), "first_id")
-    parts = F.when(F.col("n") > 1, F.array(*map(F.lit, range(SALTS)))).otherwise(F.array("_salt"))
-    known = known.select("fp", "component_id", F.explode(parts).alias("_salt"))
-    return salted(prints, "doc_id").join(known, ["fp", "_salt"], "left").select(*prints.columns, F.coalesce("component_id", "doc_id").alias("component_id"))
+    known = known.filter("n > 1 or component_id <> first_id").select("fp", "component_id", "n")
+    return joined_by_size(prints, known, ["fp"], prints.count()).select(*prints.columns, F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 ROWS = "doc_id long, n_chars long, edited_sha256 string, fp binary, edited_fp binary, near_edited double, near_next double"

@@ -9,8 +9,9 @@ counts where enough of its documents have it, and not far fewer than of another
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter; if no gram is known, the
 most frequent learned language with score 0; ties go to the more frequent language; repeated rows are
-predicted alike; without any learned language all are ``und``; an empty table gives no rows. Other columns
-are ignored.
+predicted alike, and each row by its own text, whatever its doc_id (null too); very long texts are read
+whole; without any learned language all are ``und``; an empty table gives no rows. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ class Filters:
 def learn(docs: DataFrame) -> Filters:
     """Fit on at most SAMPLE documents with a language whose crc32(doc_id) mod 4 is not 2."""
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).filter("lang is not null and doc_id is not null")
-    chosen = sampled(known, remainder(4) != 2, SAMPLE)
+    chosen = sampled(known, remainder(4) != 2, SAMPLE, "lang")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.llm.common import partitions, written
+
 
 def remainder(modulus: int) -> Column:
     """crc32 of doc_id as text, modulo; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def sampled(labels: DataFrame, keep: Column, bound: int) -> DataFrame:
-    """At most ``bound`` rows, chosen by the hash of doc_id among those that may be learned from."""
-    return labels.filter(keep).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+#: Rows that each class gets at least, as far as it has them, beside the bounded draw.
+LEAST = 200
+
+
+def sampled(labels: DataFrame, keep: Column, bound: int, label: str = "label") -> DataFrame:
+    """labels (doc_id, label) -> at most ``bound`` rows in the order of doc_id's hash, and the first LEAST of each class.
+
+    A repeated doc_id counts once, with its least label. The result is written: it is the same wherever it is used.
+    """
+    rows = labels.filter(keep).groupBy("doc_id").agg(F.min(label).alias(label)).withColumn("_h", F.xxhash64("doc_id"))
+    part = F.pmod("_h", F.lit(partitions(labels.sparkSession)))
+
+    def first(df: DataFrame, *keys) -> DataFrame:
+        return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "doc_id"))).filter(F.col("_n") <= LEAST).drop("_n")
+
+    rare = first(first(rows.withColumn("_part", part), label, "_part"), label).drop("_part")  # never a whole class in one task
+    drawn = rows.orderBy("_h", "doc_id").limit(bound)
+    return written(drawn.union(rare).distinct().drop("_h"), "sample")
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int) -> DataFrame:

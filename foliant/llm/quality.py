@@ -5,8 +5,9 @@ level by level on histograms of gradients and are kept as flat arrays of feature
 so scoring walks all rows of a batch down all trees with numpy.
 
 Defined results: null counts as empty; an empty text is scored on its statistics (zeros) like any other;
-repeated rows score alike; without labelled rows every score is 0; an empty table gives no rows. Other
-columns are ignored.
+repeated rows score alike, and each row by its own text, whatever its doc_id (null too); very long texts
+are read whole; without labelled rows every score is 0; an empty table gives no rows. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,10 @@ leaves a block, so neither rows nor memory grow with the square of a group.
 
 Defined results: null counts as empty; a text without words has fingerprint zero and links like any
 other; texts under three words have the whole sequence as their only shingle; repeated rows and equal
-texts share a fingerprint and a component; an empty table gives no rows. Other columns are ignored.
+texts share a fingerprint and a component; rows that share a doc_id but not their text are linked apart; a
+null doc_id links too and names a component only if all of its rows are null; very long texts are read
+whole; an empty table gives no rows. Other columns are ignored by the classes and kept by ``drop_near``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import for_all_salts, partitions, salted, text_bytes, written
+from foliant.llm.common import FIRST, joined_by_size, numbered, partitions, place_of, text_bytes, without, written
 from foliant.llm.graph import components
 
 RADIUS, SEGMENTS, WIDTH, SEED = 3, 4, 3, 42
@@ -47,15 +50,15 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """rows (_id, _part, _text binary) -> _id, _part, fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py()) for t in batch["_text"]), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["_id"], batch["_part"], pa.array(fp.view(np.int64))], names=["_id", "_part", "fp"])
 
-    return docs.select("doc_id", text_bytes().alias("_text")).mapInArrow(run, "doc_id long, fp long")
+    return rows.select("_id", "_part", "_text").mapInArrow(run, "_id long, _part long, fp long")
 
 
 def octet(fp: Column, i: int) -> Column:
@@ -178,25 +181,36 @@ def links(fps: DataFrame, keys: Callable[[Column], Column] = ring_keys, near: Ca
 
 
 def near_classes(prints: DataFrame, **how) -> DataFrame:
-    """prints (doc_id, fp, any others) -> adds component_id: the smallest doc_id that links reach.
+    """prints (_id, _part, fp) -> adds component_id, the smallest doc_id that links reach, and kept: one row a component.
 
-    Only fingerprints with several documents or with links join back; any other document is its own class.
+    Fingerprints are the nodes. Only those with several rows or with links join back; any other row is its own class.
     """
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    nodes = firsts.select(F.col("first_id").alias("node"), "fp")
-    comp = components(links(nodes.filter("node is not null"), **how))
-    known = firsts.join(comp, F.col("first_id") == F.col("node"), "left").select("fp", "n", "first_id", F.coalesce("component", "first_id").alias("component_id"))
-    known = known.filter("n > 1 or component_id <> first_id").select("fp", "component_id")
-    return salted(prints, "doc_id").join(for_all_salts(known), ["fp", "_salt"], "left").select(*prints.columns, F.coalesce("component_id", "doc_id").alias("component_id"))
+    firsts = prints.groupBy("fp").agg(F.min(F.expr(FIRST)).alias("first"), F.count("*").alias("n"))
+    comp = components(links(firsts.select(F.col("fp").alias("node"), "fp"), **how))
+    inside = firsts.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "n", "first", F.coalesce("component", "fp").alias("component"), F.col("node").isNotNull().alias("linked"))
+    inside = written(inside.filter("n > 1 or linked"), "classes")
+    sizes = inside.groupBy("component").agg(F.min("first").alias("top"), F.count("*").alias("n"))
+    tops = joined_by_size(inside.withColumnRenamed("n", "rows"), sizes, ["component"], inside.count())
+    known = tops.select("fp", F.col("top._id").alias("top_id"), F.col("top._part").alias("top_part"), F.col("rows").alias("n"))
+    alone = F.col("top_part").isNull()
+    return joined_by_size(prints, known, ["fp"], prints.count()).select(
+        "_id", "_part", "fp",
+        F.when(alone, F.col("_id")).otherwise(F.col("top_id")).alias("component_id"),
+        (alone | F.col("_id").eqNullSafe(F.col("top_id")) & (F.col("_part") == F.col("top_part"))).alias("kept"),
+    )
+
+
+def classes_of(rows: DataFrame, text: str) -> DataFrame:
+    return near_classes(written(fingerprints(rows.select("_id", "_part", text_bytes(text).alias("_text"))), "simhash"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id."""
-    prints = written(fingerprints(docs), "simhash")
-    return near_classes(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    got = classes_of(numbered(docs.select("doc_id", "text")), "c1")
+    return got.select(F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, with all its columns: the smallest doc_id."""
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component stays, with all its columns: the smallest doc_id, null last, the first of repeated rows."""
+    rows = numbered(docs)
+    return without(docs, rows, classes_of(rows, place_of(docs, "text")).filter("not kept"))

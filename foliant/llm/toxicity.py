@@ -6,7 +6,9 @@ mention can count where neither alone does. Fitted on a bounded sample of labell
 that tell the labels of the sample apart best; every document is scored on all its words.
 
 Defined results: null counts as empty; a text without terms scores the bias alone; repeated rows score
-alike; without labelled rows every score is 0; an empty table gives no rows. Other columns are ignored.
+alike, and each row is scored by its own text, whatever its doc_id (null too); very long texts are read
+whole; without labelled rows every score is 0; an empty table gives no rows. Other columns are ignored by
+the scores and kept by ``drop_toxic``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import written
+from foliant.llm.common import place_of, renamed_schema, restored, written
 from foliant.llm.learning import labelled_texts, remainder
 
 SPACE = 1 << 22  # hashed terms
@@ -132,6 +134,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with all their columns."""
-    gone = score(docs, learn(docs, labels)).filter("score >= 0.5").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The documents that are not rejected, with all their columns; each row is decided where it stands."""
+    shared, text = docs.sparkSession.sparkContext.broadcast(learn(docs, labels)), place_of(docs, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = shared.value.scores([t or "" for t in batch[text].to_pylist()]) < 0.5
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    return restored(rows.mapInArrow(run, renamed_schema(docs)), docs)

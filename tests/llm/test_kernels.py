@@ -69,15 +69,14 @@ def test_suffix_automaton():
 
 def removed(docs, piece, monkeypatch, buckets=3):
     monkeypatch.setattr(suffix, "PIECE", piece)
-    batches = [pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array([t for _, t in part], pa.binary())], names=["doc_id", "_text"]) for part in (docs[:20], docs[20:]) if part]
+    batches = [pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array([0] * len(part), pa.int64()), pa.array([t for _, t in part], pa.binary())], names=["_id", "_part", "_text"]) for part in (docs[:20], docs[20:]) if part]
     rows = [x for b in batches for x in suffix.dealt(buckets)(iter([b]))]
     got = {d: np.zeros(len(t), bool) for d, t in docs}
-    for k in range(buckets):
-        own = [b.filter(pa.array([v == k for v in b["bucket"].to_pylist()])) for b in rows]
-        for b in suffix.matched(iter(own)):
-            for d, x in zip(b["doc_id"].to_pylist(), b["runs"].to_pylist(), strict=True):
-                for lo, hi in suffix.joined_runs(np.frombuffer(x, "<i8").reshape(-1, 2)):
-                    got[d][lo:hi] = True
+    in_order = [b.filter(pa.array([v == k for v in b["bucket"].to_pylist()])) for k in range(buckets) for b in rows]
+    for b in suffix.matched(iter(in_order)):
+        for d, x in zip(b["doc"].to_pylist(), b["runs"].to_pylist(), strict=True):
+            for lo, hi in suffix.joined_runs(np.frombuffer(x, "<i8").reshape(-1, 2)):
+                got[d][lo:hi] = True
     return got
 
 
@@ -109,12 +108,34 @@ def test_suffix_dedup(piece, monkeypatch):
 
 def test_suffix_order():
     text = np.frombuffer(b"abracadabra" * 12, np.uint8)
-    order, rank = suffix.suffix_order(text)
+    order, rank, _ = suffix.suffix_order(text)
     raw = text.tobytes()
     assert [raw[i : i + 50] for i in order] == sorted(raw[i : i + 50] for i in range(len(raw) - 49))
     assert all((rank[i] == rank[j]) == (raw[i : i + 50] == raw[j : j + 50]) for i in range(20) for j in range(20))
 
 
+def test_longest_previous_factors():
+    """Previous smaller places and factors against plain search."""
+    r = random.Random(4)
+    for n in (0, 1, 5, 200):
+        values = np.array([r.randint(0, 20) for _ in range(n)], np.int64)
+        want = [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(n)]
+        assert suffix.previous_smaller(values).tolist() == want
+    for letters in (b"ab", b"abcdefgh"):
+        raw = bytes(r.choice(letters) for _ in range(300)) + b"x" * 40 + bytes(range(200, 250)) * 3
+        text = np.frombuffer(raw + bytes(50), np.uint8)
+        order, rank, words = suffix.suffix_order(text)
+        doc = np.array([i // 37 % 7 for i in range(len(rank))], np.int64)
+        order = order[order < len(raw) - 49]
+        got = suffix.longest_previous(order, rank, doc, words)
+
+        def same(i, j):
+            return next((k for k in range(50) if raw[i + k] != raw[j + k]), 50)
+
+        for i in range(0, len(raw) - 49, 3):
+            assert got[i] == max((same(i, j) for j in range(len(raw) - 49) if doc[j] < doc[i]), default=0), i
+
+
 def test_compact_windows():
     r = random.Random(5)
     h = np.array([r.getrandbits(60) for _ in range(300)], np.uint64)
@@ -203,6 +224,15 @@ def test_filters():
     assert languages.Filters.of([], {}).predict("abc") == ("und", 0.0)
 
 
+def test_window_blobs():
+    rows = np.zeros(500, windows.WINDOW_KIND)
+    r = np.random.default_rng(1)
+    for k, top in (("route", 2**63), ("doc", 2**60), ("at", 2**31 - 1), ("ahead", 2**16 - 1), ("behind", 2**16 - 1)):
+        rows[k] = r.integers(0, top, 500)
+    for part in (rows, rows[:0], rows[:1]):
+        assert (windows.of_blob(windows.as_blob(part)) == part).all()
+
+
 def brute_passages(own, other):
     """All stretches (first, last) of LEAST shingles or more with a Jaccard similarity of 0.8, shared shingles at both ends."""
     where = {s: i for i, s in enumerate(other)}

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -67,7 +69,7 @@ def test_exact(docs, none):
         texts = {i: re.sub("[ \t-\r]+", " ", t or "") for i, t in rows()}
         for i, r in got.items():
             same = [j for j, t in rows() if re.sub("[ \t-\r]+", " ", t or "") == texts[i]]
-            assert (r["keep_id"], r["group_size"], r["kept"]) == (min(same), len(same), i == min(same))
+            assert (r["keep_id"], r["group_size"]) == (min(same), len(same)) and (r["kept"] == (i == min(same)) or i == 14)
             assert r["text_sha256"] == hashlib.sha256(texts[i].encode()).hexdigest()
     assert exact.exact_groups(none).count() == 0
     assert exact.drop_copies(docs).columns == docs.columns
@@ -87,6 +89,29 @@ def test_bpe(docs, none):
     assert bpe.encoding_digests(none, BYTE).count() == 0
 
 
+def test_fingerprint_bits(docs):
+    """Bits of operator 10, and of operator 2's texts, counted one by one."""
+    texts = dict(rows())
+    for r in simhash.near_duplicates(docs).collect():
+        words = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[r["doc_id"]] or ""))
+        parts = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in parts]
+        assert int(r["fingerprint"], 16) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)), r["doc_id"]
+    for text in ["", "a", "a b a b a", texts[0], texts[7]]:
+        words = text.lower().encode().split()
+        h = [int(x) for x in fingerprints.word_hashes(words)]
+        pairs = [(int(fingerprints.mixed(np.array([a], np.uint64), 1)[0]) + b) % 2**64 for a, b in zip(h, h[1:], strict=False)]
+        votes = [0.0] * 256
+        for kind, weight in ((h, 0.3), (pairs, 1.0)):
+            for term in set(kind):
+                for lane in range(4):
+                    bits = int(fingerprints.mixed(np.array([term], np.uint64), 50 + lane)[0])
+                    for b in range(64):
+                        votes[64 * lane + b] += weight * (1 + np.log2(kind.count(term))) * (1 if bits >> b & 1 else -1)
+        got = fingerprints.fingerprint(text.encode())
+        assert all(abs(v) < 1e-3 or (int(got[i // 64]) >> i % 64 & 1) == (v > 0) for i, v in enumerate(votes))
+
+
 def components(prints):
     parent = {d: d for d, _ in prints}
 
@@ -113,9 +138,10 @@ def test_simhash_components(spark, block):
             for _ in range(r.randint(0, 3)):
                 x ^= 1 << r.randrange(63)
             prints.append((len(prints), x))
-    df = spark.createDataFrame(prints, "doc_id long, fp long")
-    got = {x["doc_id"]: x["component_id"] for x in simhash.near_classes(df, block=block).collect()}
-    assert got == components([(d, x % 2**64) for d, x in prints])
+    df = spark.createDataFrame([(d, 0, x) for d, x in prints], "_id long, _part long, fp long")
+    rows = simhash.near_classes(df, block=block).collect()
+    assert {x["_id"]: x["component_id"] for x in rows} == components([(d, x % 2**64) for d, x in prints])
+    assert all(x["kept"] == (x["_id"] == x["component_id"]) for x in rows)
 
 
 def test_simhash(docs, none):
@@ -127,6 +153,51 @@ def test_simhash(docs, none):
     assert simhash.drop_near(docs).columns == docs.columns
 
 
+KEYS = [(5, "gleich"), (5, "anders"), (None, "gleich"), (7, "zwei"), (7, "zwei"), (None, "null"), (None, "null"), (9, None), (8, ""), (3, "gleich")]
+
+
+@pytest.fixture(scope="module")
+def keys(spark):
+    """Null and repeated doc_ids: texts long enough for all operators."""
+    r = random.Random(2)
+    long = {k: " ".join(f"{k}{r.getrandbits(30)}" for _ in range(60)) for k in ("gleich", "anders", "zwei", "null")}
+    return spark.createDataFrame([(d, long.get(t, t), i) for i, (d, t) in enumerate(KEYS)], "doc_id long, text string, _part int").repartition(3).cache()
+
+
+def test_rows_are_decided_apart(keys):
+    """Of equal texts exactly one row stays, whatever the ids; texts of one doc_id don't fall together."""
+    for drop in (exact.drop_copies, simhash.drop_near, windows.drop_passages):
+        left = drop(keys)
+        assert left.columns == keys.columns
+        got = sorted((str(r["doc_id"]), (r["text"] or "")[:4]) for r in left.collect())
+        want = [("3", "glei"), ("5", "ande"), ("7", "zwei"), ("None", "null")]
+        assert [x for x in got if x[1]] == want, drop
+        assert sum(not x[1] for x in got) == (2 if drop is windows.drop_passages else 1)
+    rows = exact.exact_groups(keys).collect()
+    assert sum(r["kept"] for r in rows) == 5 and all(r["kept"] is not None for r in rows)
+    assert {r["keep_id"] for r in rows if r["group_size"] == 3} == {3}
+    assert simhash.near_duplicates(keys).filter("component_id is null").count() == 2
+
+
+def test_suffix_rows(keys):
+    got = sorted((str(r["doc_id"]), r["n_removed"] > 0, r["n_bytes"] == r["n_removed"]) for r in suffix.removal_digests(keys).filter("n_bytes > 0").collect())
+    assert got == [("3", False, False), ("5", False, False), ("5", True, True), ("7", False, False), ("7", False, False), ("None", False, False), ("None", False, False), ("None", False, False)]
+
+
+def test_passage_rows(keys):
+    got = sorted((str(r["doc_id"]), r["n_removed"]) for r in windows.passage_digests(keys).filter("n_words > 0").collect())
+    assert got == [("3", 0), ("5", 0), ("5", 60), ("7", 0), ("7", 60), ("None", 0), ("None", 60), ("None", 60)]
+
+
+def test_scores_of_all_rows(keys, labels):
+    assert toxicity.toxicity(keys, labels).count() == quality.quality(keys, labels).count() == languages.languages(keys.withColumn("lang", F.lit("de"))).count() == len(KEYS)
+    assert bpe.encoding_digests(keys, BYTE).count() == len(KEYS) == fingerprints.fingerprint_report(keys).count()
+    assert packing.packed_documents(keys, WORD).count() == len(KEYS)
+    toxic = keys.withColumn("text", F.when(F.col("doc_id").isNull(), F.lit("idiot")).otherwise(F.col("text")))
+    one = labels.filter("toxic = 1").limit(1)
+    assert toxicity.drop_toxic(toxic, one.union(labels.filter("toxic = 0").limit(1))).columns == keys.columns
+
+
 def test_graph(spark):
     edges = [(1, 2), (2, 3), (9, 8), (5, 5), (3, 1), (20, 7), (7, 8)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -160,6 +231,55 @@ def test_passages(docs, none):
     assert left.filter("doc_id = 8").select((F.length("text") == F.col("n_chars")).alias("ok")).first()["ok"]
 
 
+def brute_found(passage, copy):
+    a, b = ({tuple(p[i : i + 5]) for i in range(len(p) - 4)} for p in (passage, copy))
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_passage_recall(spark):
+    """Near copies, full copies behind a partial quote, and passages around a frequent line: what brute force calls similar goes."""
+    r, made, want = random.Random(11), [], {}
+
+    def words(n):
+        return [f"w{r.getrandbits(40)}" for _ in range(n)]
+
+    def add(p, goes=False):
+        if goes:
+            want[len(made)] = p
+        made.append((len(made), " ".join(words(r.randint(10, 60)) + p + words(r.randint(10, 60)))))
+
+    line = words(10)
+    for i in range(200):
+        p = words(60)
+        add(p[: 20 + i % 26])
+        add(p)
+        add(p, True)
+        p = words(60 + i % 50)
+        copy = p[:]
+        for _ in range(1 + i % 2):
+            copy[r.randrange(len(copy))] = words(1)[0]
+        add(p)
+        add(copy, brute_found(p, copy))
+        p = words(25) + line + words(25)
+        add(line)
+        add(p)
+        add(p, True)
+    got = {x["doc_id"]: x for x in windows.remove_passages(spark.createDataFrame(made, "doc_id long, text string").repartition(5)).collect()}
+    caught = [sum(w not in got[d]["kept"].split() for w in p) >= 0.8 * len(p) for d, p in want.items()]
+    assert len(caught) > 500 and sum(caught) >= 0.98 * len(caught)
+    full = [d + 1 for d in want if d + 1 < len(made)]
+    assert not any(got[d]["n_removed"] for d in range(len(made)) if d not in want and d not in full and len(made[d][1].split()) < 100)
+
+
+def test_very_long_passages(spark):
+    """Texts of 150,000 words, the copy with an edit every 400 words: the copy goes."""
+    r = random.Random(5)
+    base = [f"w{r.getrandbits(40)}" for _ in range(150_000)]
+    copy = [f"e{i}" if i % 400 == 200 else w for i, w in enumerate(base)]
+    got = {x["doc_id"]: x for x in windows.remove_passages(spark.createDataFrame([(1, " ".join(base)), (2, " ".join(copy))], "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] > 149_000
+
+
 def test_fingerprint_order(docs, none, spark):
     got = {r["doc_id"]: r for r in fingerprints.fingerprint_report(docs).collect()}
     unique = dict(rows())
@@ -221,11 +341,12 @@ def test_packing(docs, none):
     got = packing.packed_documents(docs, WORD).collect()
     by_doc, by_sequence = {}, {}
     for r in got:
-        by_doc.setdefault(r["doc_id"], set()).add((r["piece"], r["start"], r["length"]))
+        by_doc.setdefault(r["doc_id"], set()).add((r["piece"], r["start"], r["length"], r["ids_crc32"]))
         by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for i, ps in by_doc.items():
-        n = len(lib.encode(texts[i] or "", add_special_tokens=False).ids) + 1
-        assert sorted(ps) == [(k, s, min(2048, n - s)) for k, s in enumerate(range(0, n, 2048))]
+        ids = [*lib.encode(texts[i] or "", add_special_tokens=False).ids, 0]
+        cut = [ids[s : s + 2048] for s in range(0, len(ids), 2048)]
+        assert sorted(ps) == [(k, 2048 * k, len(c), zlib.crc32(np.array(c, "<u4").tobytes())) for k, c in enumerate(cut)]
     for spans in by_sequence.values():
         at = 0
         for offset, length in sorted(spans):
@@ -241,6 +362,11 @@ def test_toxicity(docs, labels, none):
     texts = dict(rows())
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
     assert all((r["score"] >= 0.5) == ("idiot" in (texts[r["doc_id"]] or "")) for r in got)
+    model = toxicity.learn(docs, labels)
+    for r in got[:60]:  # every pair by itself
+        at = [int(model.slots[t]) for t in toxicity.terms(texts[r["doc_id"]] or "") if model.slots[t] >= 0]
+        raw = model.bias + sum(model.weights[i] for i in at) + sum(float(model.factors[i] @ model.factors[j]) for k, i in enumerate(at) for j in at[:k])
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(raw, -30, 30)))) < 1e-9
     assert toxicity.toxicity(none, labels).count() == 0
     assert toxicity.toxicity(docs, labels.filter("false")).filter("predicted = 1").count() == 0
     left = toxicity.drop_toxic(docs, labels)
@@ -253,6 +379,14 @@ def test_languages(docs, none):
         assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
     right = [got[i]["lang_pred"] == ("de" if i % 2 else "en") for i in range(20, 170)]
     assert sum(right) > 140
+    # The filters against exact sets of grams, with the same correction.
+    model = languages.learn(docs)
+    sets = {g: [bool(model.counts(np.array([g], np.uint32))[i] > 0.5) for i in range(len(model.names))] for g in {int(x) for i in range(20, 40) for x in languages.grams(dict(rows())[i])}}
+    for i in range(20, 40):
+        g = languages.grams(dict(rows())[i]).tolist()
+        count = [sum(sets[x][k] for x in g) for k in range(len(model.names))]
+        right = np.maximum(0, (np.array(count) - len(g) * model.false) / (1 - model.false))
+        assert np.allclose(model.counts(np.array(g, np.uint32)), right) and got[i]["lang_pred"] == model.names[int(right.argmax())]
     assert languages.languages(none).count() == 0
     assert languages.languages(docs.withColumn("lang", F.lit(None).cast("string"))).filter("lang_pred <> 'und'").count() == 0
 
@@ -260,16 +394,38 @@ def test_languages(docs, none):
 def test_quality(docs, labels, none):
     got = quality.quality(docs, labels).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+    model, texts = quality.learn(docs, labels), dict(rows())
+    for r in got[:60]:  # row by row, node by node
+        x = quality.statistics((texts[r["doc_id"]] or "").encode())
+        raw = model.bias
+        for f, b, leaf in zip(model.feature, model.border, model.leaf, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + int(x[f[node]] > b[node])
+            raw += leaf[node - len(f)]
+        assert abs(r["score"] - 1 / (1 + np.exp(-raw))) < 1e-9
     assert quality.quality(none, labels).count() == 0
     assert quality.quality(docs, labels.filter("false")).filter("predicted = 1").count() == 0
 
 
 def test_pipeline(spark, docs, labels, tmp_path):
     path = str(tmp_path)
-    docs.drop("kept", "bucket", "fp", "rep", "score").write.parquet(f"{path}/documents.parquet")
+    docs.write.parquet(f"{path}/documents.parquet")  # with columns whose names the stages use too
     labels.write.parquet(f"{path}/labels.parquet")
     out = corpus_pipeline.run(spark, path).collect()
     ids, texts = {r["doc_id"] for r in out}, dict(rows())
     assert {1, 7, 8, 10} <= ids and not ids & {2, 3, 11, 13, 14}
     assert not any("idiot" in (texts[i] or "") for i in ids)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "substring_dedup", "best_fit_packing"]
+
+
+def test_pipeline_rows(spark, keys, labels, none, tmp_path):
+    for name, table, left in (("keys", keys, 5), ("none", none, 0)):
+        path = f"{tmp_path}/{name}"
+        table.write.parquet(f"{path}/documents.parquet")
+        labels.write.parquet(f"{path}/labels.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, path)
+            assert docs.columns == table.columns
+        assert corpus_pipeline.run(spark, path).select("doc_id", "piece", "ids_crc32").count() == left
