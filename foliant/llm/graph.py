@@ -20,9 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
         total = seen[0]
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        # A node that is the least of its neighbours leaves the edges to it as they are; only the others move theirs.
         up = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        large = joined_by_size(up, least.filter("m < a"), ["a"], total).select(F.col("b").alias("a"), F.coalesce("m", "a").alias("b")).distinct()
+        large = joined_by_size(up, least, ["a"], total).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = joined_by_size(large, least, ["a"], total).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).filter("a <> b").distinct()
         now = written(small, "edges")
