@@ -47,19 +47,19 @@ def joined_by_size(rows: DataFrame, known: DataFrame, keys: list[str], total: in
 def numbered(docs: DataFrame) -> DataFrame:
     """The columns of docs as c0, c1, ..., whatever their names, then _id (doc_id) and _part: both together name a row.
 
-    _part is 0 where every doc_id stands once. Where some repeat (null is one too), the rows are numbered and
-    written, so that a row keeps its number; else nothing moves but the ids.
+    _part is 0 where every doc_id stands once, and 1 without a doc_id. Where some repeat (null is one too), the rows
+    are numbered from 2 on and written, so that a row keeps its number; else nothing moves but the ids.
     """
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").alias("_id"))
     if rows.groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        return rows.withColumn("_part", F.lit(0).cast("long"))
-    return written(rows.withColumn("_part", F.monotonically_increasing_id()), "numbered")
+        return rows.withColumn("_part", F.col("_id").isNull().cast("long"))
+    return written(rows.withColumn("_part", F.monotonically_increasing_id() + 2), "numbered")
 
 
 def in_key_order(docs: DataFrame) -> DataFrame:
     """As ``numbered``, with _key: one number a row, in the order of doc_id, null last, rows of one doc_id as they stand."""
     rows = numbered(docs)
-    if rows.filter("_part > 0").isEmpty():
+    if rows.filter("_part > 1").isEmpty():
         return rows.withColumn("_key", F.coalesce("_id", F.lit(2**63 - 1)))
     ranked = rows.select("_id", "_part").orderBy(F.col("_id").isNull(), "_id", "_part").select("_part", F.monotonically_increasing_id().alias("_key"))
     return rows.join(written(ranked, "keys"), "_part")

@@ -103,7 +103,7 @@ def slices(lot: list[tuple[int, int, bytes, int]]) -> tuple[bytes, np.ndarray, n
     return joined, first, last + LENGTH, least[first], h[least[first]]
 
 
-def packed(head: np.ndarray, parts: list[bytes], level: int = 6) -> bytes:
+def packed(head: np.ndarray, parts: list[bytes], level: int = 8) -> bytes:
     """Slices as one compressed blob: the fields of the heads one after another, numbers as differences, then the bytes."""
     fields = [np.diff(head[k], prepend=0) if k in ("doc", "part", "start") else head[k] for k in HEAD.names]
     octets = [np.ascontiguousarray(f.reshape(-1, 1).view(np.uint8).T).tobytes() for f in fields]
@@ -344,7 +344,7 @@ def repeated_runs(rows: DataFrame, text: str) -> DataFrame:
     buckets = int(min(max(least, raw * 4 // BUCKET), 2**31 - 1))
     cut = rows.select("_id", "_part", text_bytes(text).alias("_text")).mapInArrow(dealt(buckets), "bucket int, doc long, part long, blob binary")
     n = max(least, min(buckets, DEALT))
-    return cut.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(matched, RUNS)
+    return cut.repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket").mapInArrow(matched, RUNS)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
