@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ERRORS_KEPT, DUPLICATES, PENDING_SHOWN = 3, 5, 200  # fixed values
-MANIFEST = "unified_ocr_job_manifest_v1"  # fixed value
+MANIFEST = "job_manifest_v1"
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
