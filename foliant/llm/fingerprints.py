@@ -81,7 +81,7 @@ def near_classes(prints: DataFrame) -> DataFrame:
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     nodes = written(firsts, "nodes")
     linked = nodes.filter("first_id is not null").select(F.col("first_id").alias("node"), "fp")
-    found = components(simhash.links(linked, keys=block_tables, near=within_radius, late=True))
+    found = components(simhash.links(linked, keys=block_tables, near=within_radius, late=True, finer=None))
     known = nodes.join(found, F.col("first_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "first_id"))
     known = known.filter("n > 1 or component_id <> first_id").select("fp", "component_id", "n")
     return joined_by_size(prints, known, ["fp"], prints.count()).select(*prints.columns, F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -5,7 +5,9 @@ most 3 differ, some start on the ring has 0 differing bits in its first segment,
 two, at most 2 in its first three: each chain stays within its share of the budget. The join keys are the
 parts of such chains that must agree exactly (32 bits), the chain budgets prune what meets under a key,
 and the full distance decides. Buckets are compared in blocks, and only a spanning forest of the links
-leaves a block, so neither rows nor memory grow with the square of a group.
+leaves a block. A bucket of over 20 blocks is dealt by half of its other 32 bits instead: a row goes to 20
+places at most, and no place has over 2^17 fingerprints, so neither rows nor memory grow with the square of
+a group.
 
 Defined results: null counts as empty; a text without words has fingerprint zero and links like any
 other; texts under three words have the whole sequence as their only shingle; repeated rows and equal
@@ -18,6 +20,7 @@ whatever their names.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +85,39 @@ def ring_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
+#: Pieces of the 32 bits outside a key: at most RADIUS of the six differ, so some three agree (lowest bit, width).
+PIECES = ((0, 6), (6, 5), (11, 5), (16, 5), (21, 5), (26, 6))
+AGREEING = list(combinations(range(len(PIECES)), len(PIECES) - RADIUS))
+
+#: Octets of the second and third segment, from the key's start on, that are not part of the key, by the order of ``ring_keys``.
+OUTSIDE = ((3, 3, 2, 2, 4), (5, 4, 5, 4, 5))
+
+
+def finer_keys(fp: Column, key: Column) -> Column:
+    """Array of int keys: two fingerprints within RADIUS that share a ring key share at least one of them."""
+    def shifted(how: str, x: Column, by: Column) -> Column:
+        return F.call_function(how, x, by.cast("int"))
+
+    kind = F.shiftright(key, 32)
+    which, turn = kind % 5, (kind - kind % 5) / 5 * 16
+    ring = shifted("shiftrightunsigned", fp, turn).bitwiseOR(shifted("shiftleft", fp, 64 - turn))
+    outside = [F.element_at(F.array(*map(F.lit, places)), (which + 1).cast("int")) for places in OUTSIDE]
+    one, two = (shifted("shiftrightunsigned", ring, 8 * place).bitwiseAND(F.lit(255)) for place in outside)
+    rest = one + two * 256 + F.shiftrightunsigned(ring, 48) * 65536
+
+    def dealt(rest: Column) -> Column:
+        found = []
+        for number, chosen in enumerate(AGREEING):
+            value, at = F.lit(number << 18).cast("long"), 0
+            for low, width in (PIECES[i] for i in chosen):
+                value = value + F.shiftright(rest, low).bitwiseAND(F.lit((1 << width) - 1)) * (1 << at)
+                at += width
+            found.append(value.cast("int"))
+        return F.array(*found)
+
+    return F.flatten(F.transform(F.array(rest), dealt))
+
+
 def within_chain(x: np.ndarray) -> np.ndarray:
     """Pigeonring test of XORed fingerprints, then the full distance."""
     d = np.stack([np.bitwise_count((x >> np.uint64(16 * i)) & np.uint64(0xFFFF)) for i in range(SEGMENTS)])
@@ -156,10 +192,29 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield rest, numbered(rest)
 
 
-def links(fps: DataFrame, keys: Callable[[Column], Column] = ring_keys, near: Callable[[np.ndarray], np.ndarray] = within_chain, block: int = BLOCK, late: bool = False) -> DataFrame:
+def tiled(values: np.ndarray, groups: np.ndarray, near: Callable[[np.ndarray], np.ndarray], block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``forest``; a group of more than two blocks goes block against block, which bounds the links held at once."""
+    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    sizes = np.diff(np.r_[starts, len(groups)])
+    few = np.flatnonzero(np.repeat(sizes <= 2 * block, sizes))
+    a, b = forest(values[few], groups[few], near)
+    yield few[a], few[b]
+    for start, size in zip(starts[sizes > 2 * block], sizes[sizes > 2 * block], strict=True):
+        blocks = [np.arange(x, min(x + block, start + size)) for x in range(start, start + size, block)]
+        for one, two in combinations(blocks, 2):
+            at = np.concatenate([one, two])
+            a, b = forest(values[at], np.zeros(len(at), np.int64), near)
+            yield at[a], at[b]
+
+
+def links(
+    fps: DataFrame, keys: Callable[[Column], Column] = ring_keys, near: Callable[[np.ndarray], np.ndarray] = within_chain, block: int = BLOCK, late: bool = False,
+    finer: Callable[[Column, Column], Column] | None = finer_keys,
+) -> DataFrame:
     """fps (node, fp), one row a fingerprint -> edges (a, b) that connect exactly the nodes whose fingerprints link.
 
-    late: wide fingerprints join by node only where several nodes have a key.
+    late: wide fingerprints join by node only where several nodes have a key. finer: further keys of a key, for
+    those with more blocks than that; None: all go by blocks.
     """
     keyed = fps.select("node", F.explode(keys(F.col("fp"))).alias("key"), *([] if late else ["fp"]))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -167,14 +222,17 @@ def links(fps: DataFrame, keys: Callable[[Column], Column] = ring_keys, near: Ca
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     meets = keyed.join(sizes, "key")
     meets = (meets.join(fps, "node") if late else meets).withColumn("blocks", blocks).withColumn("own", own)
-    meets = meets.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "node", "fp")
-    meets = meets.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "fp")
+    places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
+    if finer:
+        dealt = F.transform(finer(F.col("fp"), F.col("key")), lambda x: F.struct(x.alias("i"), F.lit(-1).alias("j")))
+        places = F.when(F.col("blocks") > len(AGREEING), dealt).otherwise(places)
+    meets = meets.select("key", F.explode(places).alias("place"), "node", "fp").select("key", "place.i", "place.j", "node", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, g in whole_groups(batches, ["key", "i", "j"]):
-            a, b = forest(lanes(t["fp"]), g, near)
             node = t["node"].to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+            for a, b in tiled(lanes(t["fp"]), g, near, block):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     n = partitions(fps.sparkSession)
     return meets.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, "a long, b long").distinct()

@@ -144,6 +144,53 @@ def test_simhash_components(spark, block):
     assert all(x["kept"] == (x["_id"] == x["component_id"]) for x in rows)
 
 
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def test_finer_keys(spark):
+    """Two near fingerprints that share a ring key share a finer key; all finer keys together tell fingerprints apart."""
+    r = random.Random(11)
+    pairs = [(x := r.getrandbits(64), x ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 3)))) for _ in range(1500)]
+    df = spark.createDataFrame([(signed(x), signed(y)) for x, y in pairs], "x long, y long")
+    keys = F.arrays_zip(simhash.ring_keys(F.col("x")).alias("a"), simhash.ring_keys(F.col("y")).alias("b"))
+    met = df.withColumn("k", F.explode(keys)).filter("k.a = k.b").select("x", "y", F.col("k.a").alias("key"))
+    met = met.withColumns({c: simhash.finer_keys(F.col(c), F.col("key")) for c in ("x", "y")}).withColumn("same", F.arrays_overlap("x", "y"))
+    assert met.count() > 1500 and met.filter("not same or x = y or size(x) <> 20").isEmpty()
+
+
+@pytest.mark.parametrize("low", [0, 16, 32])
+def test_simhash_hot_key(spark, low):
+    """A key of 150 fingerprints, over 20 blocks of 3: finer keys decide, and nothing is lost."""
+    r = random.Random(low)
+    base, seeds = r.getrandbits(64), [r.getrandbits(32) for _ in range(30)]
+    found = {base ^ ((r.choice(seeds) ^ sum(1 << b for b in r.sample(range(32), r.randint(0, 3)))) << low) for _ in range(150)}
+    prints = list(enumerate(sorted(found)))
+    df = spark.createDataFrame([(d, 0, signed(x)) for d, x in prints], "_id long, _part long, fp long")
+    rows = simhash.near_classes(df, block=3).collect()
+    assert {x["_id"]: x["component_id"] for x in rows} == components(prints)
+
+
+def test_large_groups_go_by_blocks():
+    r = random.Random(3)
+    values = np.array([r.getrandbits(4) << 3 * (i % 7) for i in range(90)], np.uint64)
+    groups = np.repeat([0, 1, 2], [5, 80, 5])
+    whole, parts = simhash.forest(values, groups, simhash.within_chain), list(simhash.tiled(values, groups, simhash.within_chain, 8))
+    hung = components_of_edges(90, [(a, b) for x, y in parts for a, b in zip(x.tolist(), y.tolist(), strict=True)])
+    assert hung == components_of_edges(90, list(zip(*(x.tolist() for x in whole), strict=True)))
+
+
+def components_of_edges(n, edges):
+    label = list(range(n))
+    while True:
+        new = label[:]
+        for a, b in edges:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == label:
+            return label
+        label = new
+
+
 def test_simhash(docs, none):
     got = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
     assert got[1]["fingerprint"] == got[2]["fingerprint"] == got[3]["fingerprint"] == "0" * 16
