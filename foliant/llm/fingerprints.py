@@ -5,8 +5,10 @@ Terms are words and pairs of neighbouring words, weighted by how often a text ha
 Likeness is the cosine that the share of differing bits stands for.
 
 Search uses permuted block tables: within radius 7 the bits fall into 8 blocks, of which at least one agrees,
-so each table brings another block to the front and looks it up exactly; the distance decides. Every document
-gets the smallest doc_id that such neighbours reach.
+so each table brings another block to the front and looks it up exactly; the distance decides. A block that more
+than 8 x 1,024 different fingerprints share is looked up with a part of the other bits, again in 8 tables, so
+rows don't grow with the square of such a group. Every document gets the smallest doc_id that such neighbours
+reach.
 
 Defined results: null counts as empty; a text without words has fingerprint zero; equal texts have equal
 fingerprints; the documents stand in descending doc_id order (null last, equal ids by text) and the last is
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -33,6 +36,7 @@ LANES = 4  # of 64 bits
 BITS = 64 * LANES
 WORD_WEIGHT, PAIR_WEIGHT = 0.3, 1.0
 RADIUS = 7
+WIDTH = BITS // 8 // (RADIUS + 1)  # octets of a block
 LOWEST = -(2**63)
 
 
@@ -65,15 +69,22 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def block_tables(fp: Column) -> Column:
     """Array of keys, one a table: the table's number and the block that it puts first."""
-    width = BITS // 8 // (RADIUS + 1)
-    return F.array(*[F.xxhash64(F.lit(i), F.substring(fp, i * width + 1, width)) for i in range(RADIUS + 1)])
+    return F.array(*[F.xxhash64(F.lit(i), F.substring(fp, i * WIDTH + 1, WIDTH)) for i in range(RADIUS + 1)])
+
+
+def finer_tables(fp: Column, key: Column) -> Column:
+    """Array of int keys: two fingerprints within RADIUS that share a block share at least one part of the other octets."""
+    at = ((F.array_position(block_tables(fp), key) - 1) * WIDTH).cast("int")
+    others = F.concat(F.substr(fp, F.lit(1), at), F.substr(fp, at + WIDTH + 1, F.lit(BITS // 8)))
+    borders = [i * (BITS // 8 - WIDTH) // (RADIUS + 1) for i in range(RADIUS + 2)]
+    return F.transform(F.array(others), lambda x: F.array(*[F.hash(F.lit(i), F.substring(x, a + 1, b - a)) for i, (a, b) in enumerate(pairwise(borders))]))[0]
 
 
 def within_radius(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=1) <= RADIUS
 
 
-def near_classes(prints: DataFrame) -> DataFrame:
+def near_classes(prints: DataFrame, **how) -> DataFrame:
     """prints (doc_id, fp binary, any others) -> adds component_id, by all pairs within the radius.
 
     Fingerprints of several documents or with links join back; any other is a class of its own.
@@ -81,7 +92,7 @@ def near_classes(prints: DataFrame) -> DataFrame:
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     nodes = written(firsts, "nodes")
     linked = nodes.filter("first_id is not null").select(F.col("first_id").alias("node"), "fp")
-    found = components(simhash.links(linked, keys=block_tables, near=within_radius, late=True, finer=None))
+    found = components(simhash.links(linked, keys=block_tables, near=within_radius, late=True, finer=finer_tables, spread=RADIUS + 1, **how))
     known = nodes.join(found, F.col("first_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "first_id"))
     known = known.filter("n > 1 or component_id <> first_id").select("fp", "component_id", "n")
     return joined_by_size(prints, known, ["fp"], prints.count()).select(*prints.columns, F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -209,12 +209,12 @@ def tiled(values: np.ndarray, groups: np.ndarray, near: Callable[[np.ndarray], n
 
 def links(
     fps: DataFrame, keys: Callable[[Column], Column] = ring_keys, near: Callable[[np.ndarray], np.ndarray] = within_chain, block: int = BLOCK, late: bool = False,
-    finer: Callable[[Column, Column], Column] | None = finer_keys,
+    finer: Callable[[Column, Column], Column] = finer_keys, spread: int = len(AGREEING),
 ) -> DataFrame:
     """fps (node, fp), one row a fingerprint -> edges (a, b) that connect exactly the nodes whose fingerprints link.
 
-    late: wide fingerprints join by node only where several nodes have a key. finer: further keys of a key, for
-    those with more blocks than that; None: all go by blocks.
+    late: wide fingerprints join by node only where several nodes have a key. finer: ``spread`` further keys of a
+    key's row, for keys of more blocks than that.
     """
     keyed = fps.select("node", F.explode(keys(F.col("fp"))).alias("key"), *([] if late else ["fp"]))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -223,9 +223,8 @@ def links(
     meets = keyed.join(sizes, "key")
     meets = (meets.join(fps, "node") if late else meets).withColumn("blocks", blocks).withColumn("own", own)
     places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
-    if finer:
-        dealt = F.transform(finer(F.col("fp"), F.col("key")), lambda x: F.struct(x.alias("i"), F.lit(-1).alias("j")))
-        places = F.when(F.col("blocks") > len(AGREEING), dealt).otherwise(places)
+    dealt = F.transform(finer(F.col("fp"), F.col("key")), lambda x: F.struct(x.alias("i"), F.lit(-1).alias("j")))
+    places = F.when(F.col("blocks") > spread, dealt).otherwise(places)
     meets = meets.select("key", F.explode(places).alias("place"), "node", "fp").select("key", "place.i", "place.j", "node", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
