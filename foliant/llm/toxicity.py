@@ -3,7 +3,9 @@
 A text's terms are its distinct words (letters only, lower case), hashed. Besides a weight, each term has
 a factor vector; the product of two terms' vectors is the weight of the pair, so an insult beside a group
 mention can count where neither alone does. Fitted on a bounded sample of labelled rows, over the terms
-that tell the labels of the sample apart best; every document is scored on all its words.
+that tell the labels of the sample apart best, alone or by a pair: a term whose own share of toxic documents is
+the sample's enters if some pair with it is toxic more or less often than its two terms alone would have it (looked
+for among the terms of the most toxic documents). Every document is scored on all its words.
 
 Defined results: null counts as empty; a text without terms scores the bias alone; repeated rows score
 alike, and each row is scored by its own text, whatever its doc_id (null too); very long texts are read
@@ -29,6 +31,7 @@ from foliant.llm.learning import labelled_texts, remainder
 SPACE = 1 << 22  # hashed terms
 SAMPLE, TERMS, RARE = 12_000, 20_000, 3  # labelled rows at most; terms at most; documents that a term needs
 APART = 3.5  # standard deviations by which a term's share of toxic documents must differ from the sample's
+PAIRED, PAIR_RARE, PAIR_APART = 1000, 10, 6.0  # terms whose pairs are counted; documents of a pair; its standard deviations
 FACTORS, EPOCHS, STEPS, BATCH, RATE, DECAY = 8, 30, 3000, 32, 0.1, 1e-5  # as many rounds as give STEPS steps, EPOCHS at least
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -94,6 +97,29 @@ def fitted(rows: list[np.ndarray], label: np.ndarray, chosen: np.ndarray) -> Mac
     return model
 
 
+def telling_in_pairs(rows: list[np.ndarray], label: np.ndarray, n: int) -> np.ndarray:
+    """Places below n of terms with a pair whose share of toxic documents differs from the sum of both terms' log-odds.
+
+    rows: per document the places of its terms; those from n on aren't looked at.
+    """
+    both, ones = np.zeros((n, n)), np.zeros((n, n))
+    for at in range(0, len(rows), 1000):
+        some = rows[at : at + 1000]
+        x = np.zeros((len(some), n), np.float32)
+        for i, r in enumerate(some):
+            x[i, r[r < n]] = 1
+        both += x.T @ x
+        ones += x.T @ (x * label[at : at + 1000, None].astype(np.float32))
+    rate = (label.sum() + 1) / (len(label) + 2)
+    alone = (ones.diagonal() + rate) / (both.diagonal() + 1)
+    odds = np.log(alone / (1 - alone))
+    share = 1 / (1 + np.exp(np.log(rate / (1 - rate)) - odds[:, None] - odds))
+    apart = np.abs(ones - both * share) / np.sqrt(np.maximum(both * share * (1 - share), 1))
+    apart[both < PAIR_RARE] = 0
+    np.fill_diagonal(apart, 0)
+    return np.flatnonzero(apart.max(axis=1, initial=0) >= PAIR_APART)
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0."""
 
@@ -108,11 +134,18 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     counts = found.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("ones")).filter(F.col("n") >= RARE)
     rate = (size["ones"] + 1) / (size["n"] + 2)
     apart = F.abs((F.col("ones") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate)))
-    best = counts.withColumn("apart", apart).filter(F.col("apart") >= APART).orderBy(F.desc("apart"), "term").limit(TERMS).select("term")
-    chosen = np.array(sorted(r["term"] for r in best.collect()), np.int64)
-    known = found.select("doc_id", "label", F.explode_outer("terms").alias("term")).join(F.broadcast(best.withColumn("known", F.lit(True))), "term", "left")
-    rows = known.groupBy("doc_id", "label").agg(F.collect_list(F.when(F.col("known"), F.col("term"))).alias("terms")).orderBy("doc_id").toPandas()
-    return fitted([np.searchsorted(chosen, np.array(t, np.int64)) for t in rows["terms"]], rows["label"].to_numpy(np.float64), chosen)
+    best = counts.withColumn("apart", apart).filter(F.col("apart") >= APART).orderBy(F.desc("apart"), "term").limit(TERMS)
+    pool = [r["term"] for r in counts.orderBy(F.desc("ones"), "term").limit(PAIRED).collect()]
+    alone = [r["term"] for r in best.collect()]
+    wanted = np.array(pool + sorted(set(alone) - set(pool)), np.int64)  # those whose pairs are counted come first
+    places = docs.sparkSession.createDataFrame([(int(t), i) for i, t in enumerate(wanted)], "term int, place int")
+    known = found.select("doc_id", "label", F.explode_outer("terms").alias("term")).join(F.broadcast(places), "term", "left")
+    rows = known.groupBy("doc_id", "label").agg(F.sort_array(F.collect_list("place")).alias("places")).orderBy("doc_id").toPandas()
+    label, rows = rows["label"].to_numpy(np.float64), [np.array(p, np.int64) for p in rows["places"]]
+    chosen = np.array(sorted({*alone, *wanted[telling_in_pairs(rows, label, len(pool))].tolist()}), np.int64)
+    row = np.full(len(wanted), -1)
+    row[np.isin(wanted, chosen)] = np.searchsorted(chosen, wanted[np.isin(wanted, chosen)])
+    return fitted([(r := row[p])[r >= 0] for p in rows], label, chosen)
 
 
 def score(docs: DataFrame, model: Machine) -> DataFrame:

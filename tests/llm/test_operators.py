@@ -112,7 +112,7 @@ def test_fingerprint_bits(docs):
         assert all(abs(v) < 1e-3 or (int(got[i // 64]) >> i % 64 & 1) == (v > 0) for i, v in enumerate(votes))
 
 
-def components(prints):
+def components(prints, radius=3):
     parent = {d: d for d, _ in prints}
 
     def top(x):
@@ -122,7 +122,7 @@ def components(prints):
 
     for a, x in prints:
         for b, y in prints:
-            if (x ^ y).bit_count() <= 3:
+            if (x ^ y).bit_count() <= radius:
                 u, v = top(a), top(b)
                 parent[max(u, v)] = min(u, v)
     return {d: top(d) for d, _ in prints}
@@ -376,6 +376,25 @@ def test_radius(spark):
     assert got == want | {None: None}
 
 
+@pytest.mark.parametrize("at", [0, 3, 7])
+def test_finer_tables(spark, at):
+    """A block that 120 fingerprints share, over 8 blocks of 3: the second tables decide, and nothing is lost."""
+    r = random.Random(at)
+    shared, seeds = r.getrandbits(32), [r.getrandbits(224) for _ in range(25)]
+    low = (1 << 32 * at) - 1
+
+    def near(x):
+        x ^= sum(1 << b for b in r.sample(range(224), r.randint(0, 7)))
+        return (x & low) | shared << 32 * at | (x & ~low) << 32
+
+    prints = list(enumerate(sorted({near(r.choice(seeds)) for _ in range(120)})))
+    df = spark.createDataFrame([(d, bytearray(x.to_bytes(32, "little"))) for d, x in prints], "doc_id long, fp binary")
+    got = {x["doc_id"]: x["component_id"] for x in fingerprints.near_classes(df, block=3).collect()}
+    assert got == components(prints, fingerprints.RADIUS)
+    tables = df.select(F.size(fingerprints.finer_tables(F.col("fp"), fingerprints.block_tables(F.col("fp"))[at])).alias("n"))
+    assert {x["n"] for x in tables.collect()} == {8}
+
+
 def test_fingerprint_query(spark, docs, tmp_path):
     """The registered query runs the search."""
     docs.write.parquet(f"{tmp_path}/documents.parquet")
@@ -420,6 +439,20 @@ def test_toxicity(docs, labels, none):
     assert left.columns == docs.columns and left.filter(F.col("text").contains("idiot")).count() == 0
 
 
+def test_toxicity_of_pairs(spark):
+    """No word tells anything alone, only which insult stands beside which group: the machine learns it, as no sum could."""
+    r, rows = random.Random(5), []
+    for i in range(1200):
+        insult, group = r.randrange(2), r.randrange(2)
+        rows.append((i, " ".join([prose("en", 12), ("alfa", "beta")[insult], prose("en", 5), ("gammas", "deltas")[group]]), int(insult == group)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {x["doc_id"]: x for x in toxicity.toxicity(frame.select("doc_id", "text"), frame.select("doc_id", "toxic")).collect()}
+    held = [got[i]["predicted"] == label for i, _, label in rows if got[i]["held_out"]]
+    assert len(held) > 150 and sum(held) >= 0.95 * len(held)
+    model = toxicity.learn(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    assert {int(t) for t in toxicity.terms("alfa beta gammas deltas")} <= set(np.flatnonzero(model.slots >= 0).tolist())
+
+
 def test_languages(docs, none):
     got = {r["doc_id"]: r for r in languages.languages(docs).collect()}
     for i in (1, 2, 3, 4):
