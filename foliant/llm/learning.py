@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,8 @@ def sampled(labels: DataFrame, keep: Column, bound: int, label: str = "label") -
     def first(df: DataFrame, *keys) -> DataFrame:
         return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "doc_id"))).filter(F.col("_n") <= LEAST).drop("_n")
 
-    rare = first(first(rows.withColumn("_part", part), label, "_part"), label).drop("_part")  # never a whole class in one task
+    few = F.col("_part") % isqrt(partitions(labels.sparkSession))  # no task gets LEAST rows of every partition
+    rare = first(first(first(rows.withColumn("_part", part), label, "_part"), label, few), label).drop("_part")
     drawn = rows.orderBy("_h", "doc_id").limit(bound)
     return written(drawn.union(rare).distinct().drop("_h"), "sample")
 
