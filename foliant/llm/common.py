@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from math import isqrt
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,3 +119,17 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
         for i in range(1, width):
             out = mixed(out, i) + h[i : i + n]
     return mixed(out, 0)
+
+
+def leading(rows: DataFrame, keys: list[str], order: list[Column], n: int, deal: list[str], rank: str = "rank") -> DataFrame:
+    """The first n rows of each key in the given order, numbered from 1 in column ``rank``.
+
+    Rows of one key are dealt by a hash of ``deal`` and narrowed in two steps before they meet, so no task
+    gets n rows of every partition.
+    """
+    parts = partitions(rows.sparkSession)
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(*deal), F.lit(parts)))
+    for step in (["_deal"], ["_few"], []):
+        dealt = dealt.withColumn("_few", F.col("_deal") % max(1, isqrt(parts))) if step == ["_few"] else dealt
+        dealt = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(*keys, *step).orderBy(*order))).filter(F.col(rank) <= n)
+    return dealt.drop("_deal", "_few")

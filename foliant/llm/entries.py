@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import bpe, exact, fingerprints, languages, packing, quality, simhash, suffix, toxicity, windows
+from foliant.llm import bpe, exact, fingerprints, languages, lines, packing, phrases, quality, search, simhash, suffix, toxicity, windows
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -62,6 +62,18 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_fingerprints": op2_fingerprints,
@@ -73,8 +85,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_collocations": op13_collocations,
 }
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
     "op1_suffix_dedup": r"""
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -92,4 +109,31 @@ ORACLES = {
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)""",
+    "op11_ranked_search": rf"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), s AS (SELECT doc_id, sum(tf) AS n FROM c GROUP BY 1), g AS (SELECT count(*) AS n_docs, sum(n) AS total FROM s),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        w AS (SELECT term, cast(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS bigint) AS w FROM c, g GROUP BY term, n_docs),
+        r AS (SELECT item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + ((90 * n * n_docs) // total))))) AS bigint) AS score FROM q JOIN c USING (term) JOIN w USING (term) JOIN s USING (doc_id), g GROUP BY 1, 2),
+        p AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM r WHERE score > 0)
+        SELECT * FROM p WHERE rank <= 10""",
+    "op12_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+        k AS (SELECT doc_id, i, line, translate(trim(line, E' \t\n\r\x0b\x0c'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        f AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+        d AS (SELECT doc_id, i, line, coalesce(holder <> doc_id, false) AS gone FROM k LEFT JOIN f USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id""",
+    "op13_collocations": rf"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p), t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY 1),
+        s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), z AS (SELECT unnest(range(1, 6)) AS k),
+        c AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM s, z WHERE i + k - 1 <= len(w) GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+        f AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS v FROM c),
+        i AS (SELECT DISTINCT lang, array_to_string(v[b:b + m - 1], ' ') AS phrase, a FROM (SELECT *, unnest(range(1, k + 1)) AS b FROM f WHERE k > 2), (SELECT k AS m FROM z WHERE k > 1) WHERE m < k AND b + m - 1 <= k),
+        y AS (SELECT * FROM f WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM i WHERE i.lang = f.lang AND i.phrase = f.phrase AND 100 * i.a >= 100 * f.a)),
+        x AS (SELECT lang, phrase, a, h, array_to_string(v[1:h], ' ') AS first, array_to_string(v[h + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS h FROM y)),
+        e AS (SELECT x.lang, x.phrase, x.a, h, l.a AS l, r.a AS r, t.n AS n, cast((1000::HUGEINT * x.a * t.n) // (l.a::HUGEINT * r.a) AS bigint) AS score FROM x JOIN c AS l ON l.lang = x.lang AND l.phrase = x.first JOIN c AS r ON r.lang = x.lang AND r.phrase = x.rest JOIN t ON t.lang = x.lang),
+        b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, h) AS place FROM e),
+        o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, cast(n AS bigint) AS n, score FROM b WHERE place = 1)
+        SELECT * FROM o WHERE rank <= 2000""",
 }
