@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from foliant.llm.common import leading, mixed, partitions, written
 
 LONGEST, LEAST, SHOWN = 5, 100, 2000
-ROOM = 1 << 22  # counters of a summary, before all of them fall
-LOT = 1 << 22  # bytes worked on at once
-PENDING = 1 << 21  # counters that a task holds before it sends them
+ROOM = 1 << 21  # counters of a summary, before all of them fall
+LOT = 1 << 20  # bytes worked on at once
+PENDING = 1 << 20  # counters that a task holds before it sends them
 BITS_LEAST, BITS_MOST = 20, 30  # size of a bit table, as a power of two
 FEW_LANGUAGES = 10_000  # up to so many rows are broadcast
 
