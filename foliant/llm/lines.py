@@ -46,17 +46,22 @@ LOST = "n_lines long, n_dropped long, kept string"
 SHARDS = "shard long, n long, sizes binary, bits binary, fingerprints binary, counts binary, keepers binary"
 
 
-def keyed(raw: bytes) -> tuple[list[bytes], list[int], np.ndarray]:
-    """A text's lines; the places of those with a key that is long enough; their keys' hashes (high, low)."""
+def keyed(raw: bytes) -> tuple[list[bytes], list[int], list[bytes]]:
+    """A text's lines; the places of those with a key that is long enough; their keys' hashes, 16 bytes each."""
     split = raw.split(b"\n")
     at: list[int] = []
-    found: list[int] = []
+    found: list[bytes] = []
     for i, line in enumerate(split):
         key = line.strip()
         if len(key) >= LETTERS and (key.isascii() or len(key.decode(errors="replace")) >= LETTERS):
             at.append(i)
-            found.append(xxhash.xxh3_128_intdigest(key.lower()))
-    return split, at, np.array([(h >> 64, h & 0xFFFFFFFFFFFFFFFF) for h in found], np.uint64).reshape(-1, 2)
+            found.append(xxhash.xxh3_128_digest(key.lower()))
+    return split, at, found
+
+
+def pairs_of(found: list[bytes]) -> np.ndarray:
+    """Hashes as rows (high, low)."""
+    return np.frombuffer(b"".join(found), "<u8").reshape(-1, 2)
 
 
 class PerfectHash:
@@ -136,13 +141,10 @@ def number(doc: int | None) -> int:
 def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc, high, low: the long keys of each row, once each."""
     for batch in batches:
-        docs, found = [], []
-        for doc, raw in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
-            pairs = np.unique(keyed(raw or b"")[2], axis=0)
-            docs.append(np.full(len(pairs), number(doc)))
-            found.append(pairs.view(np.int64))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs) if docs else np.zeros(0, np.int64)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["doc", "high", "low"])
+        own = [set(keyed(raw or b"")[2]) for raw in batch["text"].cast(pa.binary()).to_pylist()]
+        docs = np.repeat(np.array([number(d) for d in batch["doc_id"].to_pylist()], np.int64), [len(x) for x in own])
+        pairs = pairs_of([h for x in own for h in x]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["doc", "high", "low"])
 
 
 def frequent_lines(docs: DataFrame, copies: int = COPIES, shard: int = SHARD) -> tuple[DataFrame, int]:
@@ -168,12 +170,11 @@ def answer(batch: pa.RecordBatch, columns: list[str], rows: list[tuple[int, int,
 def probed(shared: Broadcast, text: str, name: str, columns: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One round: texts without the lines that another document keeps."""
     for batch in batches:
-        rows = []
-        for doc, raw in zip(batch[name].to_pylist(), batch[text].cast(pa.binary()).to_pylist(), strict=True):
-            split, at, pairs = keyed(raw or b"")
-            counts, keepers = shared.value.probe(pairs)
-            rows.append(kept_lines(split, at, (counts > 0) & (keepers != number(doc))))
-        yield answer(batch, columns, rows)
+        texts = [keyed(raw or b"") for raw in batch[text].cast(pa.binary()).to_pylist()]
+        size = [len(x[1]) for x in texts]
+        counts, keepers = shared.value.probe(pairs_of([h for x in texts for h in x[2]]))
+        gone = (counts > 0) & (keepers != np.repeat(np.array([number(d) for d in batch[name].to_pylist()], np.int64), size))
+        yield answer(batch, columns, [kept_lines(split, at, g) for (split, at, _), g in zip(texts, np.split(gone, np.cumsum(size)[:-1]), strict=True)])
 
 
 def dealt_hashes(text: str, round_of: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +182,7 @@ def dealt_hashes(text: str, round_of: np.ndarray, batches: Iterator[pa.RecordBat
     for batch in batches:
         out: list[tuple] = []
         for doc, part, raw in zip(batch["_id"].to_pylist(), batch["_part"].to_pylist(), batch[text].cast(pa.binary()).to_pylist(), strict=True):
-            pairs = np.unique(keyed(raw or b"")[2], axis=0)
+            pairs = pairs_of(sorted(set(keyed(raw or b"")[2])))
             turn = round_of[shards_of(pairs, len(round_of))]
             out += [(r, doc, part, pairs[turn == r].tobytes()) for r in np.unique(turn).tolist()]
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
@@ -204,9 +205,9 @@ def applied(text: str, columns: list[str], batches: Iterator[pa.RecordBatch]) ->
     for batch in batches:
         rows = []
         for raw, gone in zip(batch[text].cast(pa.binary()).to_pylist(), batch["gone"].to_pylist(), strict=True):
-            split, at, pairs = keyed(raw or b"")
-            known = set(np.frombuffer(b"".join(gone or []), "V16").tolist())
-            rows.append(kept_lines(split, at, np.array([p.tobytes() in known for p in pairs], bool)))
+            split, at, found = keyed(raw or b"")
+            known = {x[i : i + 16] for x in gone or [] for i in range(0, len(x), 16)}
+            rows.append(kept_lines(split, at, np.array([h in known for h in found], bool)))
         yield answer(batch, columns, rows)
 
 

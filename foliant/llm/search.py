@@ -37,7 +37,7 @@ from foliant.llm.common import leading, written
 BEST = 10
 NARROWEST, WIDEST, SPREAD = 64, 1 << 14, 4  # coordinates: SPREAD a distinct term, as a power of two
 MOST = 255  # a coordinate's largest frequency; it stands for any larger one too
-BLOCK, BLOCK_TERMS = 256, 1 << 16  # queries and terms of a block; one query may hold more terms
+BLOCK, BLOCK_TERMS = 256, 1 << 14  # queries and terms of a block; one query may hold more terms
 CELLS = 1 << 21  # of the matrices worked on at once
 SCALE, SHORT, SLOPE, SOFT = 1_000_000_000, 10, 90, 8  # fixed values: an impact is SCALE * tf div (1000 * tf + SOFT * m), m = SHORT + SLOPE * n * N div L
 LAST = (1 << 63) - 1  # stands for a null doc_id
@@ -51,9 +51,7 @@ def terms(raw: bytes | None) -> list[bytes]:
     return (raw or b"").translate(SIGNS).split()
 
 
-@functools.lru_cache(maxsize=1 << 18)
-def place(term: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(term)
+place = xxhash.xxh3_64_intdigest
 
 
 def width(distinct: int) -> int:
@@ -115,6 +113,11 @@ class Queries:
         weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for t, n in df.items()}
         self.names = [k for k, own in block.items() if any(t in df for t in own)]
         self.terms = [sorted((t, weight[t]) for t in block[k] if t in df) for k in self.names]
+        self.row = {t: i for i, t in enumerate(sorted(weight))}
+        self.weights = np.zeros((len(self.row), len(self.names)))
+        for q, own in enumerate(self.terms):
+            for t, w in own:
+                self.weights[self.row[t], q] = w
         self.n_docs, self.n_terms = n_docs, n_terms
         self.by_width: dict[int, np.ndarray] = {}
 
@@ -139,8 +142,11 @@ class Queries:
         impact[tf == MOST] = SCALE // 1000
         return impact.astype(np.float64) @ self.matrix(sketches.shape[1])
 
-    def score(self, q: int, found: Counter, soft: int) -> int:
-        return sum(w * (SCALE * tf // (1000 * tf + soft)) for t, w in self.terms[q] if (tf := found.get(t)))
+    def scores(self, found: Counter, soft: int) -> np.ndarray:
+        """The document's exact score for each query."""
+        own = [(r, tf) for t, tf in found.items() if (r := self.row.get(t)) is not None]
+        tf = np.array([x[1] for x in own], np.int64)
+        return (SCALE * tf // (1000 * tf + soft)).astype(np.float64) @ self.weights[[x[0] for x in own]]
 
 
 class Best:
@@ -174,7 +180,7 @@ def looked_up(queries: Broadcast, most: int, batches: Iterator[pa.RecordBatch])
                 own = members[at : at + step]
                 soft = [block.soft(lengths[i]) for i in own]
                 bounds = block.bounds(np.frombuffer(b"".join(sketches[i] for i in own), np.uint8).reshape(len(own), wide), np.array(soft, np.int64))
-                counts: dict[int, Counter] = {}
+                exact: dict[int, list[float]] = {}
                 for q, b in enumerate(best):
                     column = bounds[:, q]
                     some = np.flatnonzero(column >= max(1, -b.last()[0]))
@@ -182,9 +188,9 @@ def looked_up(queries: Broadcast, most: int, batches: Iterator[pa.RecordBatch])
                     for i in order:
                         if (-column[i], ids[own[i]]) >= b.last():
                             break  # neither this one nor any after it can enter
-                        if i not in counts:
-                            counts[i] = Counter(terms(raws[own[i]].as_py()))
-                        if s := block.score(q, counts[i], soft[i]):
+                        if i not in exact:  # scored once, for all queries of the block
+                            exact[i] = block.scores(Counter(terms(raws[own[i]].as_py())), soft[i]).tolist()
+                        if s := int(exact[i][q]):
                             b.offer((-s, ids[own[i]]))
     rows = [(q, None if d == LAST else d, -s) for q, b in enumerate(best) for s, d in b.rows]
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["item", "doc_id", "score"])
