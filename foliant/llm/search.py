@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from foliant.llm.common import leading, written
 
 BEST = 10
-NARROWEST, WIDEST, SPREAD = 64, 1 << 14, 4  # coordinates: SPREAD a distinct term, as a power of two
+NARROWEST, WIDEST, SPREAD = 64, 1 << 14, 8  # coordinates: SPREAD a distinct term, as a power of two
 MOST = 255  # a coordinate's largest frequency; it stands for any larger one too
 BLOCK, BLOCK_TERMS = 256, 1 << 14  # queries and terms of a block; one query may hold more terms
 CELLS = 1 << 21  # of the matrices worked on at once
