@@ -450,7 +450,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 decoded.append(bpe.decode(x))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", text_bytes().alias("_text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("_text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:

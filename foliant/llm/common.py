@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.functions.joins import joined_by_size as joined_by_size
 from foliant.sources.files import shared_dir
 
 #: Odd constants of the 64-bit finaliser below (fixed values).
@@ -29,20 +30,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Keys that may be called hot in a join, at most: each has more than this share of the rows.
-HOT = 1000
-
-
-def joined_by_size(rows: DataFrame, known: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
-    """rows left join known (one row a key; n: how many rows have it; null keys meet nothing).
-
-    Keys with more than total / HOT rows are fewer than HOT: these are broadcast, so that no task gets all
-    rows of one key. The others meet by their key.
-    """
-    bound = total // HOT
-    hot, cold = F.broadcast(known.filter(F.col(n) > bound).drop(n)), known.filter(F.col(n) <= bound).drop(n)
-    rest = rows.join(hot.select(keys), keys, "left_anti").join(cold, keys, "left")
-    return rows.join(hot, keys).unionByName(rest)
+def column(name: str) -> Column:
+    """A column by its name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -51,7 +41,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     _part is 0 where every doc_id stands once, and 1 without a doc_id. Where some repeat (null is one too), the rows
     are numbered from 2 on and written, so that a row keeps its number; else nothing moves but the ids.
     """
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").alias("_id"))
+    rows = docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("_id"))
     if rows.groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         return rows.withColumn("_part", F.col("_id").isNull().cast("long"))
     return written(rows.withColumn("_part", F.monotonically_increasing_id() + 2), "numbered")

@@ -86,9 +86,9 @@ class Filters:
 
 def learn(docs: DataFrame) -> Filters:
     """Fit on at most SAMPLE documents with a language whose crc32(doc_id) mod 4 is not 2."""
-    known = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).filter("lang is not null and doc_id is not null")
-    chosen = sampled(known, remainder(4) != 2, SAMPLE, "lang")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").filter("lang is not null and doc_id is not null")
+    chosen = sampled(known.drop("text"), remainder(4) != 2, SAMPLE, "lang")
+    texts = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")  # of a repeated doc_id the rows in its least language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +99,7 @@ def learn(docs: DataFrame) -> Filters:
                 g, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    sizes = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}
     names = sorted(sizes, key=lambda k: (-sizes[k], k))
     if not names:
         return Filters.of([], {})
@@ -121,5 +121,5 @@ def languages(docs: DataFrame) -> DataFrame:
             got = [shared.value.predict(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
     return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")

@@ -19,12 +19,25 @@ def remainder(modulus: int) -> Column:
 LEAST = 200
 
 
+def pool(rows: DataFrame, bound: int) -> DataFrame:
+    """About 2 * bound rows with the least hashes, among them the ``bound`` first: what meets in one task to be put in order.
+
+    Hashes spread evenly over 64 bits, so a share of the rows lies below that share of the range. Should fewer
+    than ``bound`` rows lie there, all of them are taken.
+    """
+    n = rows.count()
+    if n <= 2 * bound:
+        return rows
+    few = rows.filter(F.col("_h") < F.lit((2 * bound << 64) // n - (1 << 63)))
+    return few if few.count() >= bound else rows
+
+
 def sampled(labels: DataFrame, keep: Column, bound: int, label: str = "label") -> DataFrame:
     """labels (doc_id, label) -> at most ``bound`` rows in the order of doc_id's hash, and the first LEAST of each class.
 
     A repeated doc_id counts once, with its least label. The result is written: it is the same wherever it is used.
     """
-    rows = labels.filter(keep).groupBy("doc_id").agg(F.min(label).alias(label)).withColumn("_h", F.xxhash64("doc_id"))
+    rows = written(labels.filter(keep).groupBy("doc_id").agg(F.min(label).alias(label)).withColumn("_h", F.xxhash64("doc_id")), "labelled")
     part = F.pmod("_h", F.lit(partitions(labels.sparkSession)))
 
     def first(df: DataFrame, *keys) -> DataFrame:
@@ -32,11 +45,11 @@ def sampled(labels: DataFrame, keep: Column, bound: int, label: str = "label") -
 
     few = F.col("_part") % isqrt(partitions(labels.sparkSession))  # no task gets LEAST rows of every partition
     rare = first(first(first(rows.withColumn("_part", part), label, "_part"), label, few), label).drop("_part")
-    drawn = rows.orderBy("_h", "doc_id").limit(bound)
+    drawn = pool(rows, bound).orderBy("_h", "doc_id").limit(bound)
     return written(drawn.union(rare).distinct().drop("_h"), "sample")
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int) -> DataFrame:
     """doc_id, label, text of a bounded sample; the sample's ids are few enough to broadcast."""
-    chosen = sampled(labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("label is not null and doc_id is not null"), keep, bound)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = sampled(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label is not null and doc_id is not null"), keep, bound)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")

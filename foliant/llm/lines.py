@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import mixed, numbered, place_of, renamed_schema, written
+from foliant.llm.common import column, mixed, numbered, place_of, renamed_schema, written
 from foliant.sources.files import shared_dir
 
 LETTERS, COPIES = 40, 5
@@ -220,7 +220,7 @@ def worked(docs: DataFrame, copies: int = COPIES, shard: int = SHARD, room: int
     turns = 1 + shards.agg(F.coalesce(F.sum(bytes_), F.lit(0))).first()[0] // room
     share = lambda df: spark.sparkContext.broadcast(Lines(total, df.collect()))  # noqa: E731  a round's shards: ROUND bytes and one shard at most
     if turns == 1:
-        rows = docs.select(*[F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+        rows = docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
         return rows.withColumn("_id", F.col(name).cast("long")).mapInArrow(functools.partial(probed, share(shards), text, "_id", columns), kinds)
     rows = numbered(docs)
     round_of = np.arange(total) * turns // total  # shards are of about one size

@@ -119,9 +119,9 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Trees:
     """Fit on at most SAMPLE labelled rows whose crc32(doc_id) mod 4 is not 2."""
-    named = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("label is not null and doc_id is not null")
+    named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter("label is not null and doc_id is not null")
     chosen = sampled(named, remainder(4) != 2, SAMPLE)
-    texts = docs.select("doc_id", text_bytes().alias("_text")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("_text")).join(F.broadcast(chosen), "doc_id")
     rows = texts.mapInArrow(measured, "doc_id long, label int, x array<double>").orderBy("doc_id").toPandas()
     x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), FEATURES)
     return grown(x, rows["label"].to_numpy(np.float64))
@@ -136,7 +136,7 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
             x = np.array([statistics(t.as_py()) for t in batch["_text"]], np.float64).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(shared.value.scores(x), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", text_bytes().alias("_text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("_text")).mapInArrow(run, "doc_id long, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import place_of, renamed_schema, restored, written
+from foliant.llm.common import column, place_of, renamed_schema, restored, written
 from foliant.llm.learning import labelled_texts, remainder
 
 SPACE = 1 << 22  # hashed terms
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
             s = shared.value.scores([t or "" for t in batch["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -175,5 +175,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             clean = shared.value.scores([t or "" for t in batch[text].to_pylist()]) < 0.5
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     return restored(rows.mapInArrow(run, renamed_schema(docs)), docs)
