@@ -9,30 +9,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.functions.joins import joined_by_size
+from foliant.functions.nested import json_text
+
 SCHEMA, PREFIX, ATTEMPTS, CONFIDENCE = "llm_cache_v2", "v2:", 3, 78  # fixed values
 ANSWERS = "key string, result string, attempts int, error string"
 
 
-def sorted_map(c: str) -> Column:
-    return F.map_from_entries(F.array_sort(F.map_entries(F.coalesce(F.col(c), F.create_map().cast("map<string,string>")))))
-
-
-def sorted_options(requests: DataFrame) -> Column:
-    """A map of texts, or a struct whose numbers and booleans stay such in the JSON; null and missing ones are empty."""
-    kind = requests.schema["options"].dataType
-    if not isinstance(kind, T.StructType):
-        return sorted_map("options")
-    return F.struct(*[F.col(f"options.{f}").alias(f) for f in sorted(kind.names)])
-
-
 def cache_key(requests: DataFrame) -> DataFrame:
-    """Adds key: prefix and SHA-256 of the request as JSON with its fields in alphabetical order."""
-    fields = [
-        F.col("image_sha256"), F.coalesce("model", F.lit("")).alias("model"), sorted_options(requests).alias("options"),
-        F.coalesce("prompt_version", F.lit("")).alias("prompt_version"), F.lit(SCHEMA).alias("schema"), sorted_map("source_hashes").alias("source_hashes"),
-        F.coalesce("system_prompt_hash", F.lit("")).alias("system_prompt_hash"), F.col("task"), F.coalesce("user_prompt_hash", F.lit("")).alias("user_prompt_hash"),
-    ]
-    return requests.withColumn("key", F.concat(F.lit(PREFIX), F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)))
+    """Adds key: prefix and SHA-256 of the request as JSON with its keys in alphabetical order at every depth.
+
+    options: a map or a struct, nested at will; null and missing options and source_hashes are empty.
+    """
+    kinds = {f.name: f.dataType for f in requests.schema.fields}
+    texts = {c: F.coalesce(F.col(c), F.lit("")) for c in ("model", "prompt_version", "system_prompt_hash", "user_prompt_hash")} | {"schema": F.lit(SCHEMA), "task": F.col("task"), "image_sha256": F.col("image_sha256")}
+    parts = {k: json_text(c, T.StringType()) for k, c in texts.items()}
+    parts |= {c: F.when(F.col(c).isNull(), "{}").otherwise(json_text(F.col(c), kinds[c])) for c in ("options", "source_hashes")}
+    whole = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), parts[k]) for k in sorted(parts)]), F.lit("}"))
+    return requests.withColumn("key", F.concat(F.lit(PREFIX), F.sha2(whole, 256)))
 
 
 def legacy_key(raw: Column, model: Column, version: Column) -> Column:
@@ -41,16 +35,18 @@ def legacy_key(raw: Column, model: Column, version: Column) -> Column:
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, force: bool = False) -> DataFrame:
-    """Adds result (null on a miss) and hit; force ignores the cache."""
-    known = cache.select(F.col("hash_key").alias("key"), F.col("result_text").alias("result")).filter(F.lit(not force))
-    return requests.join(known, "key", "left").withColumn("hit", F.col("result").isNotNull())
+    """Adds result (null on a miss) and hit; force ignores the cache. Of several entries of a key the latest counts."""
+    latest = F.max_by("result_text", F.struct("created_at", "result_text"))
+    known = cache.filter(F.lit(not force)).groupBy(F.col("hash_key").alias("key")).agg(latest.alias("result"))
+    rows = requests.groupBy("key").agg(F.count("*").alias("n")).join(known, "key")
+    return joined_by_size(requests, rows, ["key"], requests.count()).withColumn("hit", F.col("result").isNotNull())
 
 
 def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """One request for each key that the cache lacks: the smallest request_id."""
     known = cache.select(F.col("hash_key").alias("key"))
-    first = Window.partitionBy("key").orderBy("request_id")
-    return requests.join(known, "key", "left_anti").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    first = requests.groupBy("key").agg(F.min_by(F.struct(*[c for c in requests.columns if c != "key"]), "request_id").alias("_r"))  # no task gets all requests of one key
+    return first.join(known, "key", "left_anti").select("key", "_r.*").select(requests.columns)
 
 
 def cache_upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
@@ -66,20 +62,36 @@ def rule_scorer(prompts: pd.Series) -> pd.Series:
 
 
 def infer(misses: DataFrame, scorer: Callable[[pd.Series], pd.Series] = rule_scorer, enabled: bool = True) -> DataFrame:
-    """misses (key, prompt) -> ANSWERS. A batch is tried up to three times; a model switched off gives no rows.
+    """misses (key, prompt) -> ANSWERS. A model switched off gives no rows.
+
+    A batch that fails is halved until a bad request stands alone; that one is tried up to three times, and only it
+    comes back without a result. attempts: how often the request was tried in the call that decided it.
 
     A task may run again after a lost executor, so the scorer must give a key the same answer each time.
     """
 
+    def tried(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        tries = ATTEMPTS if len(batch) == 1 else 1
+        for attempt in range(1, tries + 1):
+            try:
+                results = scorer(batch["prompt"])
+                if len(results) != len(batch):
+                    raise ValueError(f"{len(results)} answers to {len(batch)} requests")
+                yield pd.DataFrame({"key": batch["key"].to_numpy(), "result": list(results), "attempts": attempt, "error": None})
+                return
+            except Exception as e:  # noqa: BLE001  the scorer is foreign code
+                error = str(e)[:200]
+        if len(batch) == 1:
+            yield pd.DataFrame({"key": batch["key"].to_numpy(), "result": None, "attempts": tries, "error": error})
+            return
+        half = len(batch) // 2
+        yield from tried(batch.iloc[:half])
+        yield from tried(batch.iloc[half:])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for attempt in range(1, ATTEMPTS + 1):
-                try:
-                    yield pd.DataFrame({"key": batch["key"], "result": scorer(batch["prompt"]), "attempts": attempt, "error": None})
-                    break
-                except Exception as e:  # noqa: BLE001  the scorer is foreign code
-                    if attempt == ATTEMPTS:
-                        yield pd.DataFrame({"key": batch["key"], "result": None, "attempts": attempt, "error": str(e)[:200]})
+            if len(batch):
+                yield from tried(batch)
 
     return misses.filter(F.lit(enabled)).select("key", "prompt").mapInPandas(run, ANSWERS)
 

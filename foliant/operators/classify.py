@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import folded, strip
+from foliant.functions.joins import joined_to_many
+from foliant.functions.text import folded, spaced, strip
 from foliant.operators.fusion import joined
+from foliant.sources.ledger import staged
 
 # Weights, limits and word lists that results depend on.
 ALIAS, KEYWORD, HINT, COMPONENT, FACTOR, TOP = 5, 4, 1, 2, 8, 98
@@ -35,6 +40,12 @@ DOC_TYPES = {
 }
 TEXT_USED, EVIDENCE, PER_PATH, DECISIONS, MOST, REJECTED = 5000, 8, 120, 1000, 50, 30
 CATCH_ALL = "Sonstiges"
+# What prompts say, and their limits.
+SECTIONS = ["Bekannte Pfade", "Sortier-Kontexte", "Dokument-Metadaten", "Dokument-Text (Auszug)"]
+META_LABELS = ["Datum", "Titel/Inhalt", "Typ", "Tags"]
+CONTEXT_LABELS = ["Typ", "Aliase", "Stichworte", "Notiz"]
+UNKNOWN, NO_CONTEXTS, REQUEST = "unbekannt", "- keine", "Klassifiziere das Dokument und antworte im JSON-Format."
+NOTES, EXCERPT, PROMPT_MOST = 220, 3000, 8_000_000
 
 
 def depth(path: Column) -> Column:
@@ -63,7 +74,7 @@ def context_hits(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     once, into pieces as long as the terms' first words are, and meets the terms by equality; texts
     are only read again, by their id, for terms of several words.
     """
-    terms = context_terms(contexts).withColumn("_first", F.split("norm", " ")[0])
+    terms = staged(context_terms(contexts).withColumn("_first", F.split("norm", " ")[0]), "terms")
     texts = docs.select("doc_id", folded(F.col("haystack")).alias("_text"))
     words = texts.select("doc_id", F.explode(F.array_distinct(F.split("_text", " "))).alias("_word"))
     firsts = terms.select("_first", F.length("_first").alias("_n")).distinct()
@@ -71,7 +82,8 @@ def context_hits(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     starts = F.sequence(F.lit(1), F.greatest(F.length("_word"), F.lit(1)))
     parts = F.flatten(F.transform("_sizes", lambda k: F.transform(starts, lambda i: F.substring(F.col("_word"), i, k))))
     known = words.select("_word").distinct().join(F.broadcast(sizes)).select("_word", F.explode(F.array_distinct(parts)).alias("_first")).join(firsts, "_first", "left_semi")
-    met = words.join(known, "_word").select("doc_id", "_first").distinct().join(terms, "_first")
+    held = joined_to_many(words, known.groupBy("_word").agg(F.collect_set("_first").alias("_firsts")), ["_word"])
+    met = joined_to_many(held.select("doc_id", F.explode("_firsts").alias("_first")).distinct(), terms, ["_first"])
     several = F.contains("norm", F.lit(" "))
     checked = met.filter(several).join(texts, "doc_id").filter(F.contains("_text", "norm")).drop("_text")
     return met.filter(~several).unionByName(checked).drop("norm", "_first")
@@ -141,6 +153,59 @@ def trim_memory(memory: DataFrame, most: int = PER_PATH) -> DataFrame:
     return memory.withColumn("_p", F.row_number().over(w)).filter(F.col("_p") <= most).drop("_p")
 
 
+def decision_terms(decisions: DataFrame, terms: DataFrame, rejected: DataFrame) -> DataFrame:
+    """What each decision adds to counters, in order: path, kind, decision_id, turn (several lists of a decision), place, term, n.
+
+    decisions (decision_id, doc_id, chosen_path, document_type); terms (doc_id, term, place); rejected (decision_id, path, ord):
+    candidates and proposals, in the order in which they count.
+    """
+    t = terms.select("doc_id", "term", "place")
+    named = lambda df, path, kind, turn, n: df.select(F.col(path).alias("path"), F.lit(kind).alias("kind"), "decision_id", turn.cast("int").alias("turn"), F.col("place").cast("int").alias("place"), "term", F.lit(n).alias("n"))
+    pos = named(decisions.join(t, "doc_id"), "chosen_path", "positive", F.lit(0), 1)
+    types = decisions.withColumn("term", folded(F.col("document_type"))).filter("coalesce(term, '') <> ''").withColumn("place", F.lit(0))
+    lost = rejected.withColumnRenamed("path", "_path").join(decisions.select("decision_id", "doc_id", "chosen_path"), "decision_id").filter("_path <> chosen_path")
+    neg = named(lost.join(t.filter(F.col("place") <= REJECTED), "doc_id"), "_path", "negative", F.col("ord"), 1)
+    return pos.union(named(types, "chosen_path", "type", F.lit(0), 2)).union(neg)
+
+
+def replayed(batches: Iterator[pd.DataFrame], most: int = PER_PATH) -> Iterator[pd.DataFrame]:
+    """Rows of ``decision_terms`` in order -> the counters of each path and kind as they stand after its last decision."""
+    now: tuple | None = None
+    decision: int | None = None
+    counts: dict[str, int] = {}
+
+    def trimmed() -> dict[str, int]:
+        return dict(sorted(counts.items(), key=lambda x: -x[1])[:most])  # equal counts stay as they stood
+
+    def rows() -> pd.DataFrame:
+        left = trimmed()
+        return pd.DataFrame({"path": now[0], "kind": now[1], "term": list(left), "n": list(left.values())})
+
+    for batch in batches:
+        for path, kind, number, term, n in zip(*(batch[c].to_numpy() for c in ("path", "kind", "decision_id", "term", "n")), strict=True):
+            if (path, kind) != now:
+                if now is not None:
+                    yield rows()
+                now, decision, counts = (path, kind), number, {}
+            elif number != decision:
+                decision, counts = number, trimmed()
+            counts[term] = min(counts.get(term, 0) + int(n), MOST)
+    if now is not None:
+        yield rows()
+
+
+def replay(decisions: DataFrame, terms: DataFrame, rejected: DataFrame, stored: DataFrame) -> DataFrame:
+    """Counters (path, kind, term, n) trimmed after every decision, in the order of decision_id: what a decision pushed out counts from nothing when it comes again.
+
+    A fold of its own for each path and kind, over sorted rows: a task holds the counters of one of them. stored counters come first,
+    the most frequent in front.
+    """
+    order = F.row_number().over(Window.partitionBy("path", "kind").orderBy(F.desc("n"), "term"))
+    before = stored.select("path", "kind", F.lit(-(1 << 62)).alias("decision_id"), F.lit(0).alias("turn"), order.cast("int").alias("place"), "term", F.col("n").cast("int").alias("n"))
+    rows = before.union(decision_terms(decisions, terms, rejected).withColumn("decision_id", F.col("decision_id").cast("long")))
+    return rows.repartition("path", "kind").sortWithinPartitions("path", "kind", "decision_id", "turn", "place").mapInPandas(replayed, "path string, kind string, term string, n int")
+
+
 def trim_decisions(decisions: DataFrame, most: int = DECISIONS) -> DataFrame:
     return decisions.orderBy(F.desc("created_at"), F.desc("decision_id")).limit(most)
 
@@ -172,7 +237,7 @@ def merge_candidates(candidates: DataFrame, paths: DataFrame) -> DataFrame:
     Paths take the spelling of a known path. In order, a higher score replaces what was there with its
     evidence; an equal or lower one only adds its evidence.
     """
-    known = paths.select(F.lower("path").alias("lower"), F.col("path").alias("known_path"))
+    known = paths.groupBy(F.lower("path").alias("lower")).agg(F.max("path").alias("known_path"))  # of paths that differ in case the last
     c = candidates.withColumn("lower", F.lower(F.translate(strip(F.col("path")), "\\", "/"))).join(known, "lower", "left")
     c = c.withColumn("path", F.coalesce("known_path", F.translate(strip(F.col("path")), "\\", "/"))).filter("path <> ''")
     one = F.struct("ord", F.greatest(F.lit(0), F.least(F.lit(100), "score")).cast("int").alias("score"), "reason", F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
@@ -227,13 +292,51 @@ def residue(docs: DataFrame, *tiers: DataFrame) -> DataFrame:
     return docs
 
 
-def classify(docs: DataFrame, context: DataFrame, memory: DataFrame, model: DataFrame, merged: DataFrame) -> DataFrame:
-    """doc_id, path, score, reason by the first tier that decides: context, memory, model, best candidate, catch-all."""
-    tiers = [(context, "context_match"), (memory, "memory"), (model, "llm"), (merged.filter("place = 1"), "fallback")]
-    rows = [t.select("doc_id", F.struct(F.lit(i).alias("tier"), "path", F.col("score").cast("int").alias("score"), F.lit(reason).alias("reason")).alias("t")) for i, (t, reason) in enumerate(tiers)]
-    best = rows[0].union(rows[1]).union(rows[2]).union(rows[3]).groupBy("doc_id").agg(F.min("t").alias("t"))
-    out = docs.select("doc_id").join(best, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("t.path", F.lit(CATCH_ALL)).alias("path"), F.coalesce("t.score", F.lit(0)).alias("score"), F.coalesce("t.reason", F.lit("fallback")).alias("reason"))
+CANDIDATE = "array<struct<place:int,path:string,score:int,reason:string,is_new:boolean,evidence:array<string>>>"
+
+
+def listed(merged: DataFrame) -> DataFrame:
+    """doc_id, candidates: the merged candidates of each document, best first."""
+    one = F.struct("place", "path", "score", "reason", "is_new", "evidence")
+    return merged.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("candidates"))
+
+
+def classify(docs: DataFrame, ranked: DataFrame, memory: DataFrame, paths: DataFrame, persons: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, path, is_new, reason, confidence, evidence, candidates by the first tier that decides.
+
+    Tiers: a context far ahead; a candidate of contexts and memory that is high, far ahead and known; the model; the best
+    candidate; the catch-all. ranked: ``rank_contexts``; memory: ``memory_candidates``; ask: from the documents that are left
+    to answers (doc_id, raw_path, confidence, why). What is left is written before the model is asked, so it is asked about nothing else,
+    and its answers are written, so it is asked once.
+    """
+    same = lambda df, reason, first: df.select("doc_id", "path", F.col("score").cast("int").alias("score"), F.lit(reason).alias("reason"), "evidence", (F.col("place") + first).cast("int").alias("ord"))
+    ranked = staged(ranked, "ranked")
+    merged = staged(merge_candidates(same(ranked, "context", 0).union(same(memory, "memory", 1 << 20)), paths), "candidates")
+    none = F.array().cast("array<string>")
+
+    def tier(df: DataFrame, reason: Column, is_new: Column, evidence: Column) -> DataFrame:
+        return df.select("doc_id", "path", is_new.alias("is_new"), reason.alias("reason"), F.col("score").cast("int").alias("confidence"), evidence.alias("evidence"))
+
+    first = tier(best_context(ranked), F.lit("context_match"), F.lit(False), F.col("evidence"))
+    second = tier(auto_accept(merged).join(first.select("doc_id"), "doc_id", "left_anti"), F.col("reason"), F.col("is_new"), F.col("evidence"))
+    decided = staged(first.union(second), "decided")
+    left = staged(residue(docs, decided), "residue")
+    answers = staged(ask(left), "answers")
+    said = normalize_answer(answers, paths, persons)
+    third = tier(said, F.lit("llm"), F.col("is_new"), none)
+    rest = residue(left, third).select("doc_id").join(merged.filter("place = 1"), "doc_id", "left")
+    sure = paths.filter(F.col("path") == CATCH_ALL).agg((F.count("*") == 0).alias("_new"))  # one row
+    fourth = rest.join(F.broadcast(sure)).select(
+        "doc_id", F.coalesce("path", F.lit(CATCH_ALL)).alias("path"), F.coalesce("is_new", "_new").alias("is_new"), F.lit("fallback").alias("reason"),
+        F.coalesce("score", F.lit(0)).alias("confidence"), F.coalesce("evidence", none).alias("evidence"),
+    )
+    why = answers.select("doc_id", F.when(F.coalesce("why", F.lit("")) != "", F.array("why")).otherwise(none).alias("evidence"))
+    asked = said.join(why, "doc_id").select("doc_id", "path", F.col("score").cast("int").alias("score"), F.lit("llm").alias("reason"), "evidence", F.lit(-1).alias("ord"))
+    beside = merged.join(asked.select("doc_id"), "doc_id", "left_semi").select("doc_id", "path", "score", "reason", "evidence", F.col("place").alias("ord"))
+    shown = listed(merged.join(asked.select("doc_id"), "doc_id", "left_anti")).union(listed(merge_candidates(asked.union(beside), paths)))
+    out = decided.union(third).union(fourth).join(shown, "doc_id", "left")
+    all_ = F.coalesce("candidates", F.array().cast(CANDIDATE))
+    return out.withColumn("candidates", F.when(F.col("reason") == "context_match", all_).otherwise(F.slice(all_, 1, 5)))
 
 
 def needs_review(results: DataFrame, merged: DataFrame) -> DataFrame:
@@ -311,17 +414,34 @@ def artifacts_for(docs: DataFrame, files: DataFrame, exact: bool = False) -> Dat
     return f.select("name", F.explode(prefixes).alias("final_name")).join(docs, "final_name").select("doc_id", "name")
 
 
+def context_lines(contexts: DataFrame, paths: DataFrame, most: int = 80) -> DataFrame:
+    """path, line: what known paths' contexts say, the first by path; a context that says nothing has no line."""
+    words = lambda c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), ", ")
+    notes = F.substring(strip(spaced(F.coalesce("notes", F.lit("")))), 1, NOTES)
+    said = [F.when(v != "", F.concat(F.lit(f"{label}="), v)) for label, v in zip(CONTEXT_LABELS, (F.coalesce("object_type", F.lit("")), words("aliases"), words("keywords"), notes), strict=True)]
+    rows = contexts.join(paths.select("path"), "path", "left_semi").select("path", F.concat_ws("; ", *said).alias("said")).filter("said <> ''")
+    return rows.select("path", F.concat(F.lit("- "), "path", F.lit(": "), "said").alias("line")).orderBy("path").limit(most)
+
+
 def class_prompt(docs: DataFrame, paths: DataFrame, persons: DataFrame, contexts: DataFrame) -> DataFrame:
-    """docs (doc_id, title, document_type, tags, text) -> doc_id, prompt."""
-    known = contexts.join(paths.select("path"), "path", "left_semi").orderBy("path").limit(80)
-    line = F.concat(F.lit("- "), F.col("path"), F.lit(": "), F.concat_ws(", ", F.concat("aliases", "keywords")), F.lit(" "), F.substring(F.coalesce("notes", F.lit("")), 1, 220))
+    """docs (doc_id, date, subject, title, document_type, tags, text) -> doc_id, persons, prompt.
+
+    paths (path, ord) in the order of ord. Each prompt holds all known paths; a list above PROMPT_MOST letters raises an error.
+    """
+    whole = lambda df, column, name, sep: df.agg(joined(["ord"], column, sep).alias(name))
+    lines_ = context_lines(contexts, paths)
     one = [
-        paths.agg(joined(["path"], "path", "\n").alias("_paths")), persons.agg(joined(["ord"], "name", ", ").alias("_persons")),
-        known.select("path", strip(line).alias("line")).agg(joined(["path"], "line", "\n").alias("_contexts")),
+        whole(paths.select("ord", F.concat(F.lit("- "), "path").alias("line")), "line", "_paths", "\n"), whole(persons, "name", "_persons", ", "),
+        lines_.agg(joined(["path"], "line", "\n").alias("_contexts")),
     ]
     out = docs
     for frame in one:
-        out = out.join(F.broadcast(frame))
-    meta = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c), F.lit("-"))) for c in ("title", "document_type", "tags")])
-    sections = [("PATHS", F.col("_paths")), ("PERSONS", F.col("_persons")), ("CONTEXTS", F.col("_contexts")), ("DOCUMENT", meta), ("TEXT", F.substring(F.coalesce("text", F.lit("")), 1, 3000))]
-    return out.select("doc_id", F.concat_ws("\n\n", *[F.concat(F.lit(f"[{k}]\n"), v) for k, v in sections]).alias("prompt"))
+        name = frame.columns[0]
+        checked = F.when(F.length(name) > PROMPT_MOST, F.raise_error(F.lit("the known paths are too long for a prompt"))).otherwise(F.coalesce(name, F.lit("")))
+        out = out.join(F.broadcast(frame.select(checked.alias(name))))
+    known = lambda c: F.coalesce(c, F.lit(UNKNOWN))
+    subject = F.coalesce(F.nullif(F.col("subject"), F.lit("")), F.col("title"))
+    meta = [F.concat(F.lit(f"- {label}: "), known(c)) for label, c in zip(META_LABELS, (F.col("date"), subject, F.col("document_type"), F.col("tags")), strict=True)]
+    sections = [F.col("_paths"), F.when(F.col("_contexts") == "", NO_CONTEXTS).otherwise(F.col("_contexts")), F.concat_ws("\n", *meta), F.substring(F.coalesce("text", F.lit("")), 1, EXCERPT)]
+    prompt = F.concat_ws("\n\n", *[F.concat(F.lit(f"{k}:\n"), v) for k, v in zip(SECTIONS, sections, strict=True)], F.lit(REQUEST))
+    return out.select("doc_id", F.when(F.col("_persons") == "", CATCH_ALL).otherwise(F.col("_persons")).alias("persons"), prompt.alias("prompt"))

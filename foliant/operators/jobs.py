@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.joins import joined_to_many
+from foliant.functions.text import strip
+
 ERRORS_KEPT, DUPLICATES, PENDING_SHOWN = 3, 5, 200  # fixed values
 MANIFEST = "job_manifest_v1"
+CATCH_ALL = "Sonstiges"  # fixed value
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -15,16 +19,22 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1) ->
 
 
 def start_jobs(jobs: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert of started jobs: created_at stays, every other column is reset."""
+    """Upsert of started jobs: created_at stays, every other column is reset; of several starts of a job the last one stands, with the first one's time."""
+    began = new.groupBy("job_id").agg(F.min("created_at").alias("_began"))
+    new = latest(new, ["job_id"], [F.desc("updated_at"), F.desc("created_at"), F.desc("status")]).join(began, "job_id").withColumn("created_at", F.col("_began")).drop("_began")
     first = jobs.select("job_id", F.col("created_at").alias("_first"))
     started = new.join(first, "job_id", "left").withColumn("created_at", F.coalesce("_first", "created_at")).drop("_first")
     return jobs.join(new.select("job_id"), "job_id", "left_anti").unionByName(started.select(jobs.columns))
 
 
 def update_jobs(jobs: DataFrame, updates: DataFrame) -> DataFrame:
-    """updates (job_id, status, any of five columns, updated_at): status always, the others where they aren't null."""
+    """updates (job_id, status, any of five columns, updated_at): status always, the others where they aren't null.
+
+    Several updates of a job count one after another, in the order of updated_at.
+    """
     allowed = [c for c in ("source_sha256", "final_name", "target_path", "metadata_json", "error") if c in updates.columns]
-    u = updates.select("job_id", *[F.col(c).alias(f"_{c}") for c in ["status", "updated_at", *allowed]])
+    order = F.struct("updated_at", "status")
+    u = updates.groupBy("job_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"_{c}") for c in ["status", "updated_at", *allowed]])
     both = jobs.join(u, "job_id", "left")
     return both.withColumns({c: F.coalesce(f"_{c}", c) for c in ["status", "updated_at", *allowed]}).select(jobs.columns)
 
@@ -45,10 +55,10 @@ def find_duplicates(docs: DataFrame, index: DataFrame, n: int = DUPLICATES) -> D
     """docs (doc_id, sha256), index (id, source_sha256, updated_at) -> doc_id, id, place: the most recent equal entries.
 
     The index is cut to n + 1 entries a hash before the join (one may be the document itself), so a hot hash
-    joins with a bounded number.
+    joins with a bounded number, and the documents of one hash are dealt to several places.
     """
     recent = latest(index.filter("source_sha256 is not null"), ["source_sha256"], [F.desc("updated_at"), F.desc("id")], n + 1)
-    hits = docs.join(recent, docs["sha256"] == recent["source_sha256"]).filter("doc_id <> id")
+    hits = joined_to_many(docs.select("doc_id", "sha256").filter("sha256 is not null"), recent.withColumnRenamed("source_sha256", "sha256"), ["sha256"]).filter("doc_id <> id")
     w = Window.partitionBy("doc_id").orderBy(F.desc("updated_at"), F.desc("id"))
     return hits.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("doc_id", "id", "place")
 
@@ -62,7 +72,7 @@ def search(index: DataFrame, query: str, n: int, columns: list[str], order: list
     """Newest rows with the query in any of the columns (case-blind; % and _ are wildcards); all rows if it is empty."""
     found = F.lit(query == "")
     for c in columns:
-        found = found | F.coalesce(F.col(c).ilike(f"%{query}%"), F.lit(False))
+        found = found | F.coalesce(F.col(c).ilike("%" + query.replace("\\", "\\\\") + "%"), F.lit(False))  # a backslash is a letter
     return index.filter(found).orderBy(*order).limit(n)
 
 
@@ -71,8 +81,8 @@ def review_add(queue: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def review_resolve(queue: DataFrame, decisions: DataFrame) -> DataFrame:
-    """decisions (id, status, chosen_path, resolved_at); rows without an id change nothing."""
-    d = decisions.filter("id is not null").select("id", *[F.col(c).alias(f"_{c}") for c in ("status", "chosen_path", "resolved_at")])
+    """decisions (id, status, chosen_path, resolved_at); rows without an id change nothing, the last one of an id counts."""
+    d = latest(decisions.filter("id is not null"), ["id"], [F.desc("resolved_at"), F.desc("chosen_path"), F.desc("status")]).select("id", *[F.col(c).alias(f"_{c}") for c in ("status", "chosen_path", "resolved_at")])
     return queue.join(d, "id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in ("status", "chosen_path", "resolved_at")}).select(queue.columns)
 
 
@@ -131,9 +141,22 @@ def defer(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return results.filter("not is_new"), results.filter("is_new")
 
 
-def release(pending: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Waiting documents (doc_id, path) that a decision (path, final_path) frees: doc_id, path, proposed_path, status."""
-    return pending.join(decisions, "path").select("doc_id", F.coalesce("final_path", "path").alias("path"), F.col("path").alias("proposed_path"), F.lit("completed").alias("status"))
+def release(pending: DataFrame, decisions: DataFrame, known: DataFrame, persons: DataFrame) -> DataFrame:
+    """Waiting documents that are freed, with all their columns, their final path, proposed_path and status.
+
+    pending (doc_id, path, ...), decisions (path, final_path, decided_at: the last one of a path counts), known (path), persons
+    (name, ord). A path that has become known meanwhile needs no decision and stays as it is. Every final path is cleaned, and
+    its main folder is a person in the known spelling, else the catch-all.
+    """
+    d = latest(decisions, ["path"], [F.desc("decided_at"), F.desc("final_path")]).select("path", F.coalesce("final_path", "path").alias("_final"))
+    there = known.select("path").distinct().withColumn("_there", F.lit(True))
+    proposed = pending.select("path").distinct().join(d, "path", "left").join(there, "path", "left").filter("_final is not null or _there")
+    parts = F.filter(F.transform(F.split(F.translate(F.when(F.col("_there"), F.col("path")).otherwise(F.col("_final")), "\\", "/"), "/"), strip), lambda p: p != "")
+    people = persons.groupBy(F.lower("name").alias("_lower")).agg(F.min_by("name", "ord").alias("_name"))
+    named = proposed.withColumn("_parts", parts).withColumn("_lower", F.lower(F.get("_parts", F.lit(0)))).join(people, "_lower", "left")
+    final = F.array_join(F.concat(F.array(F.coalesce("_name", F.lit(CATCH_ALL))), F.slice("_parts", F.lit(2), F.greatest(F.size("_parts") - 1, F.lit(0)))), "/")
+    paths = named.select("path", final.alias("_path"))
+    return pending.join(paths, "path").withColumn("proposed_path", F.col("path")).withColumn("path", F.col("_path")).withColumn("status", F.lit("completed")).drop("_path")
 
 
 def resolve_artifacts(outputs: DataFrame, moves: DataFrame, files: DataFrame) -> DataFrame:
@@ -146,6 +169,8 @@ def resolve_artifacts(outputs: DataFrame, moves: DataFrame, files: DataFrame) ->
 
 
 def runtime_audit(jobs: DataFrame, options: DataFrame, prompt: str) -> DataFrame:
-    """Each job with the run's options (one row) and the prompt's hash and length."""
+    """Each job with the run's options and the prompt's hash and length; options that aren't one row raise an error."""
     c = F.coalesce(F.col(prompt), F.lit(""))
-    return jobs.join(F.broadcast(options)).withColumns({"prompt_sha256": F.sha2(c, 256), "prompt_chars": F.length(c)}).drop(prompt)
+    one = options.agg(F.collect_list(F.struct(*options.columns)).alias("_o"))
+    checked = F.when(F.size("_o") != 1, F.raise_error(F.lit("a run has one row of options"))).otherwise(F.get("_o", F.lit(0)))
+    return jobs.join(F.broadcast(one.select(checked.alias("_o")).select("_o.*"))).withColumns({"prompt_sha256": F.sha2(c, 256), "prompt_chars": F.length(c)}).drop(prompt)

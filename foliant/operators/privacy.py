@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.nested import json_text
 from foliant.functions.text import lines
 
 # What is redacted and how it is marked, in this order. U: letters, digits, spaces and borders of words
@@ -34,6 +35,13 @@ SENSITIVE_NAMES = [
 ]
 SKIPPED_DIRS = [".git", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".venv", "__pycache__", "build", "dist", "env", "venv"]
 SECRET_KEYS = "key|token|password|secret|credential"
+# Private networks, addresses inside them that are public, and leading groups of private IPv6 networks.
+PRIVATE_RANGES = [
+    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.0.170/31", "192.0.2.0/24",
+    "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4", "255.255.255.255/32",
+]
+PUBLIC_WITHIN = ["192.0.0.9/32", "192.0.0.10/32"]
+PRIVATE_SIX = r"^(?:f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|2001:0?db8:|2002:|64:ff9b:1:|100::|2001::|::0\.0\.0\.[01]$)"
 EXTERNAL = ["openai", "gemini", "mistral", "anthropic", "cohere", "vertex_ai"]
 LOCAL = "ollama"
 #: Provider of a model -> the key under which settings name it, where that differs.
@@ -93,18 +101,35 @@ def apply_privacy(df: DataFrame, mode: str) -> DataFrame:
 
 
 def host(c: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1), r"[\[\]]", ""))
+    return F.lower(F.regexp_replace(F.regexp_extract(c, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1), r"[\[\]]", ""))
+
+
+def in_ranges(address: Column) -> Column:
+    """Does an IPv4 address lie in a private range? Null if it is no address."""
+    parts = F.split(address, r"\.")
+    valid = address.rlike(r"^(?:(?:0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])(?:\.|$)){4}$") & ~F.endswith(address, F.lit("."))
+    number = F.aggregate(F.transform(parts, lambda x: F.try_to_number(x, F.lit("999")).cast("long")), F.lit(0).cast("long"), lambda a, x: a * 256 + x)
+    inside = lambda ranges: F.exists(F.array(*[F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")) for low, high in map(borders, ranges)]), lambda r: number.between(r["low"], r["high"]))
+    return F.when(valid, inside(PRIVATE_RANGES) & ~inside(PUBLIC_WITHIN))
+
+
+def borders(network: str) -> tuple[int, int]:
+    """First and last address of an IPv4 network as numbers."""
+    base, bits = network.split("/")
+    low = int.from_bytes(bytes(int(x) for x in base.split(".")), "big")
+    return low, low + (1 << (32 - int(bits))) - 1
 
 
 def is_private_url(c: Column) -> Column:
-    """Local host, .local, a host without a dot, or an address of a private, loopback or link-local range."""
+    """Local host, .local, a host without a dot (so any IPv6 address without one), or an address of a private range.
+
+    Of IPv6 addresses with a dotted end, those that map IPv4 follow its ranges, the others their leading group.
+    """
     h = host(F.coalesce(c, F.lit("")))
-    v4 = F.transform(F.split(F.regexp_extract(h, r"^(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1), r"\."), lambda x: F.try_to_number(x, F.lit("999")).cast("int"))
-    a, b = F.get(v4, F.lit(0)), F.get(v4, F.lit(1))
-    ranges = (a == 10) | (a == 127) | (a == 0) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254))
-    v6 = h.rlike(r"^(::1|fe[89ab][0-9a-f]:.*|f[cd][0-9a-f]{2}:.*)$")
+    mapped = F.regexp_extract(h, r"^(?:::|(?:0{1,4}:){5})ffff:([0-9.]+)$", 1)
+    six = h.contains(":") & (mapped == "") & h.rlike(PRIVATE_SIX)
     named = (h == "localhost") | F.endswith(h, F.lit(".local")) | ~h.contains(".")
-    return (h != "") & F.coalesce(named & ~h.contains(":") | v6 | (F.size(v4) == 4) & ranges, F.lit(False))
+    return (h != "") & (named | F.coalesce(in_ranges(h), F.lit(False)) | F.coalesce(in_ranges(mapped), F.lit(False)) | six)
 
 
 def secret_markers(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -129,10 +154,15 @@ def sensitive_files(listing: DataFrame) -> DataFrame:
 
 
 def mask_keys(df: DataFrame, column: str) -> DataFrame:
-    """A map's values under keys that name a secret become <redacted>."""
+    """A map's values under keys that name a secret become <redacted>; see ``mask_nested`` for maps of other than texts."""
     return df.withColumn(column, F.transform_values(column, lambda k, v: F.when(F.lower(k).rlike(SECRET_KEYS), "<redacted>").otherwise(v)))
 
 
+def mask_nested(df: DataFrame, column: str) -> DataFrame:
+    """A struct, map or array of any depth as JSON text: whatever stands below a key that names a secret becomes <redacted>."""
+    return df.withColumn(column, json_text(F.col(column), df.schema[column].dataType, SECRET_KEYS))
+
+
 def mask_paths(df: DataFrame) -> DataFrame:
     """Nested settings as rows (key_path, value): masked where any part of the path names a secret."""
     return df.withColumn("value", F.when(F.lower("key_path").rlike(SECRET_KEYS), "<redacted>").otherwise(F.col("value")))

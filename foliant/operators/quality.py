@@ -9,10 +9,15 @@ from foliant.functions.text import lines, strip
 from foliant.operators.fusion import pivot_channels
 
 # Patterns and limits that results depend on.
-AMOUNT = r"-?\b\d{1,3}(?:\.\d{3})*,\d{2}\b"
-DATE = r"\b\d{2}\.\d{2}\.\d{4}\b"
-CODE = r"\b\d{3,4}\b"
+AMOUNT = r"(?U)-?\b[0-9]{1,3}(?:\.[0-9]{3})*,[0-9]{2}\b"
+DATE = r"(?U)\b[0-9]{2}\.[0-9]{2}\.[0-9]{4}\b"
+CODE = r"(?U)\b[0-9]{3,4}\b"
 PAYROLL = "abrechnung|gehalt|lohn|verdienst"
+# What reports say.
+MISSING = {"amount": "Geldbetrag fehlt im Enddokument: ", "date": "Datum fehlt im Enddokument: ", "la_code": "Möglicher Lohnarten-Code (LA) fehlt: "}
+UNITS = {"amount": " EUR"}
+DIGITS_LOST = "Hoher Ziffernverlust im Enddokument! Nur %s der Ziffern aus der OCR erhalten (%d von %d)."
+LINES_LOST = "Verlust von Tabellenzeilen vermutet: Quell-Markdown hat %d Zeilen mit Tabellen-Trennern '|', das fusionierte Dokument hat nur %d."
 DIGITS_KEPT, LINES_KEPT, LINES_FEW = 0.80, 0.7, 5
 LOOP_SHORTEST, LOOP_TOTAL = 6, 180
 DAMAGED = ["Ã", "Â", "â€", "ðŸ", "�"]
@@ -100,10 +105,13 @@ def quality_report(df: DataFrame, sources: tuple[str, str, str] = ("ocr", "docli
     ocr, docling, _ = map(F.col, sources)
     out = missing_values(df, sources, fused)
     ratio, loss = digit_ratio(ocr, F.col(fused)), table_loss(docling, F.col(fused))
-    kind = F.create_map(*[F.lit(x) for x in ("amount", "amount missing: ", "date", "date missing: ", "la_code", "code missing: ")])
-    said = F.transform("missing", lambda m: F.concat(kind[m["type"]], m["value"]))
+    text = lambda names: F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, v)])
+    said = F.transform("missing", lambda m: F.concat(text(MISSING)[m["type"]], m["value"], F.coalesce(text(UNITS)[m["type"]], F.lit(""))))
     none = F.array().cast("array<string>")
-    said = F.concat(said, F.when(ratio < DIGITS_KEPT, F.array(F.lit("digits lost"))).otherwise(none), F.when(loss, F.array(F.lit("table lines lost"))).otherwise(none))
+    shown = F.concat(F.call_function("format_number", ratio * 100, F.lit("0.0")), F.lit("%"))
+    lost = F.format_string(DIGITS_LOST, shown, digits(F.col(fused)), digits(ocr))
+    few = F.format_string(LINES_LOST, table_lines(docling), table_lines(F.col(fused)))
+    said = F.concat(said, F.when(ratio < DIGITS_KEPT, F.array(lost)).otherwise(none), F.when(loss, F.array(few)).otherwise(none))
     severity = F.when(ratio < DIGITS_KEPT, "error").when((F.size("missing") > 0) | loss, "warning").otherwise("info")
     return out.select(
         *df.columns, "missing", severity.alias("severity"), said.alias("warnings"),

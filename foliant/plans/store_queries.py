@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import cache, classify, jobs, taxonomy
 from foliant.plans.inputs import frame, text
-from foliant.sources import files
+from foliant.sources import files, ledger
 from foliant.streaming import streams
 
 QUERIES: dict = {}
@@ -147,7 +147,8 @@ query("cls5_best_context", f", {HITS} SELECT doc_id, path, score FROM (SELECT *,
 query("cls1_norm_text", "SELECT doc_id, md5(regexp_replace(replace(replace(replace(replace(lower(text), 'ü', 'ue'), 'ä', 'ae'), 'ö', 'oe'), 'ß', 'ss'), '\\s+', ' ', 'g')) AS norm FROM d", d="SELECT doc_id, text FROM {documents}")(
     lambda d: d.select("doc_id", F.md5(classify.folded(F.col("text"))).alias("norm"))
 )
-STOPS = "', '".join(classify.STOP)
+STOPS = """aber', 'alle', 'auch', 'auf', 'aus', 'bei', 'beim', 'bis', 'das', 'dem', 'den', 'der', 'des', 'die', 'ein', 'eine', 'einer', 'eines', 'fuer', 'für', 'ist',
+    'mit', 'nach', 'nicht', 'oder', 'und', 'vom', 'von', 'zum', 'zur', 'rechnung', 'datum', 'seite', 'betrag', 'dokument"""
 LEARN = rf"""x AS (SELECT doc_id, lower(regexp_replace(regexp_replace(meta_text, '[,;_/|\n]+', ' ', 'g') || ' ' || left(text, 5000), '\s+', ' ', 'g')) AS s FROM docs),
     y AS (SELECT doc_id, flatten([regexp_extract_all(s, '\b[a-z]{{1,3}}[-\s]?[a-z]{{1,3}}[-\s]?\d{{2,5}}\b'), regexp_extract_all(s, '\b(?:kundennummer|vertragsnummer|police|kennzeichen|iban|rechnung)\s*[:#]?\s*[a-z0-9 -]{{3,24}}\b'), regexp_extract_all(s, '\b[a-z0-9][a-z0-9-]{{3,}}\b')]) AS f FROM x),
     z AS (SELECT doc_id, trim(f[i], ' .,:;()[]{{}}') AS term, i FROM (SELECT doc_id, f, unnest(range(1, len(f) + 1)) AS i FROM y)),
@@ -178,46 +179,74 @@ SCORED = f"""{LEARNED}, hit AS (SELECT doc_id, path, kind, term, n, row_number()
     mc AS (SELECT doc_id, path, cast(least(raw, 98) AS bigint) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY least(raw, 98) DESC, path) AS place FROM sc WHERE raw >= 18)"""
 
 
+#: The positive hits that count, as evidence.
+SAID = "(SELECT doc_id, path, string_agg(term, ';' ORDER BY term) AS evidence FROM hit WHERE kind = 'positive' AND a <= 8 GROUP BY 1, 2)"
+
+
 def memory_of(docs, dec, stored):
     """The terms are extracted once: the first 120 for looking up, of these the first 80 for learning."""
     terms = classify.learning_terms(docs, 120)
     return classify.memory_candidates(terms, docs, learned_from(terms.filter("place <= 80"), dec, stored), classify.path_stats(dec))
 
 
-query("cls9_memory_candidates", f"{SCORED} SELECT * FROM mc WHERE place <= 5", docs=PART_DOCS, dec=DECISIONS, stored=STORED)(lambda **x: memory_of(**x).select("doc_id", "path", F.col("score").cast("long").alias("score"), "place"))
-CANDIDATES = "SELECT l_orderkey AS doc_id, concat(CASE WHEN l_suppkey % 2 = 0 THEN 'asia' ELSE 'ASIA' END, '/brand#', cast(l_partkey % 6 AS string)) AS path, cast(l_quantity * 2 AS int) AS score, 'memory' AS reason, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS int) AS ord, concat('e', cast(l_suppkey AS string)) AS e FROM {lineitem}"
+query("cls9_memory_candidates", f"{SCORED} SELECT mc.*, evidence FROM mc JOIN {SAID} USING (doc_id, path) WHERE place <= 5", docs=PART_DOCS, dec=DECISIONS, stored=STORED)(lambda **x: memory_of(**x).select("doc_id", "path", F.col("score").cast("long").alias("score"), "place", F.array_join("evidence", ";").alias("evidence")))
+CANDIDATES = "SELECT l_orderkey AS doc_id, concat(CASE WHEN l_suppkey % 2 = 0 THEN 'asia' ELSE 'ASIA' END, '/brand#', cast(l_partkey % 6 AS string)) AS path, cast(l_quantity * 2 AS int) AS score, concat('r', cast(l_linenumber AS string)) AS reason, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS int) AS ord, concat('e', cast(l_suppkey AS string)) AS e FROM {lineitem}"
 BRANDS = "SELECT DISTINCT concat('ASIA/', p_brand) AS path FROM {part}"
-MERGED = ", k AS (SELECT c.doc_id, coalesce(b.path, c.path) AS path, b.path IS NULL AS is_new, score, ord FROM cand AS c LEFT JOIN paths AS b ON lower(b.path) = lower(c.path)), mg AS (SELECT doc_id, path, max(score) AS score, bool_or(is_new) AS is_new, min(ord) AS f FROM k GROUP BY 1, 2), mp AS (SELECT doc_id, path, score, is_new, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, f) AS place FROM mg)"
+MERGED = ", k AS (SELECT c.doc_id, coalesce(b.path, c.path) AS path, b.path IS NULL AS is_new, score, ord, reason, e FROM cand AS c LEFT JOIN paths AS b ON lower(b.path) = lower(c.path)), mg AS (SELECT doc_id, path, max(score) AS score, bool_or(is_new) AS is_new, min(ord) AS f FROM k GROUP BY 1, 2), mp AS (SELECT doc_id, path, mg.score, is_new, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, f) AS place FROM mg)"
+
+
+#: What stands: from the first of the highest scores on.
+EVIDENCE = """ev AS (SELECT doc_id, path, e, min(ord) AS o FROM (SELECT k.*, z.o FROM k JOIN (SELECT k.doc_id, k.path, min(ord) AS o FROM k JOIN mp ON mp.doc_id = k.doc_id AND mp.path = k.path AND mp.score = k.score GROUP BY 1, 2) AS z USING (doc_id, path) WHERE k.ord >= z.o) GROUP BY 1, 2, 3),
+    es AS (SELECT doc_id, path, array_to_string(list(e ORDER BY o)[1:8], ';') AS evidence, min(o) AS ord FROM ev GROUP BY 1, 2)"""
 
 
 def merged_of(cand, paths):
     return classify.merge_candidates(cand.withColumn("evidence", F.array("e")), paths)
 
 
-query("cls10_merge_candidates", f"{MERGED} SELECT * FROM mp", cand=CANDIDATES, paths=BRANDS)(lambda cand, paths: merged_of(cand, paths).drop("evidence", "reason"))
+query("cls10_merge_candidates", f"{MERGED}, {EVIDENCE} SELECT mp.*, evidence, reason FROM mp JOIN es USING (doc_id, path) JOIN k USING (doc_id, path, ord)", cand=CANDIDATES, paths=BRANDS)(lambda cand, paths: merged_of(cand, paths).withColumn("evidence", F.array_join("evidence", ";")))
 query("cls11_auto_accept", f"{MERGED} SELECT doc_id, path, score FROM (SELECT *, lead(score, 1, 0) OVER (PARTITION BY doc_id ORDER BY place) AS nxt FROM mp) WHERE place = 1 AND score >= 86 AND score - nxt >= 10 AND NOT is_new", cand=CANDIDATES, paths=BRANDS)(lambda cand, paths: classify.auto_accept(merged_of(cand, paths)).select("doc_id", "path", "score"))
 MODEL_ANSWERS = "SELECT o_orderkey AS doc_id, CASE o_orderkey % 6 WHEN 0 THEN 'asia/brand#1' WHEN 1 THEN 'Europe' WHEN 2 THEN 'Nobody/x' WHEN 3 THEN 'asia/a/b/c/d/e' WHEN 4 THEN 'ASIA' ELSE '' END AS raw_path, cast(o_custkey % 100 AS int) AS confidence FROM {orders}"
 ANSWERED = "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'ASIA/Brand#1' WHEN 1 THEN 'EUROPE/Sonstiges' WHEN 2 THEN 'AFRICA/x' WHEN 3 THEN 'ASIA/a/b/c' WHEN 4 THEN 'ASIA/Sonstiges' ELSE 'AFRICA/Sonstiges' END AS path, doc_id % 6 <> 0 AS is_new, CASE WHEN doc_id % 6 = 0 THEN confidence ELSE 52 END AS score FROM ans"
 query("cls12_normalize_answer", ANSWERED, ans=MODEL_ANSWERS, paths=BRANDS, persons="SELECT CASE WHEN r_regionkey = 3 THEN 'EUROPE' ELSE r_name END AS name, r_regionkey AS ord FROM {region}")(lambda ans, paths, persons: classify.normalize_answer(ans, paths, persons))
 
 
-def cascade(docs, dec, stored, ctx, ans, paths, persons, known):
-    ranked = classify.best_context(classify.rank_contexts(docs, contexts_of(ctx), known))
-    memory = memory_of(docs, dec, stored).withColumn("reason", F.lit("memory")).withColumn("ord", F.col("place"))
-    merged = classify.merge_candidates(memory.select("doc_id", "path", F.col("score").cast("int").alias("score"), "reason", "evidence", "ord"), paths)
-    model = classify.normalize_answer(ans.filter("confidence >= 50"), paths, persons)
-    return classify.classify(docs, ranked, classify.auto_accept(merged), model, merged)
+def model_answer(prompts):
+    """Stand-in for a model: an answer that depends on the number in the prompt; every seventh is no JSON."""
+    paths = ["asia/brand#1", "Europe", "Nobody/x", "asia/a/b/c/d/e", "ASIA", ""]
+    return prompts.map(lambda p: "nichts" if int(p[4:]) % 7 == 0 else f'So: {{"recommended_path": "{paths[int(p[4:]) % 6]}", "confidence": {int(p[4:]) % 100}, "reason": "r{int(p[4:]) % 3}"}}')
+
+
+def asked(left):
+    answers = cache.infer(left.select(F.col("doc_id").cast("string").alias("key"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("prompt")), model_answer)
+    parsed = cache.parse_answer(F.col("result"))
+    return answers.select(F.col("key").cast("long").alias("doc_id"), parsed.alias("p")).filter("p is not null").select("doc_id", F.col("p.recommended_path").alias("raw_path"), cache.confidence(F.col("p")).alias("confidence"), F.col("p.reason").alias("why"))
+
+
+def cascade(docs, dec, stored, ctx, paths, persons, known):
+    got = classify.classify(docs, classify.rank_contexts(docs, contexts_of(ctx), known), memory_of(docs, dec, stored), paths, persons, asked)
+    return got.withColumns({"evidence": F.array_join("evidence", ";"), "candidates": F.array_join(F.transform("candidates", lambda c: F.concat_ws("=", c["path"], c["score"].cast("string"))), ";")})
 
 
 PEOPLE = "SELECT CASE WHEN r_regionkey = 3 THEN 'EUROPE' ELSE r_name END AS name, r_regionkey AS ord FROM {region}"
-CASCADE = f""", {HITS}{SCORED}, b1 AS (SELECT doc_id, path, score, 'context_match' AS reason FROM (SELECT *, lead(score, 1, 0) OVER (PARTITION BY doc_id ORDER BY place) AS nxt FROM p) WHERE place = 1 AND score >= 40 AND score - nxt >= 16),
-    mem AS (SELECT *, path NOT IN (SELECT path FROM paths) AS is_new, lead(score, 1, 0) OVER (PARTITION BY doc_id ORDER BY place) AS nxt FROM mc WHERE place <= 5),
-    b2 AS (SELECT doc_id, path, score, 'memory' FROM mem WHERE place = 1 AND score >= 86 AND score - nxt >= 10 AND NOT is_new AND doc_id NOT IN (SELECT doc_id FROM b1)),
-    b3 AS (SELECT doc_id, path, score, 'llm' FROM ({ANSWERED} WHERE confidence >= 50) WHERE doc_id IN (SELECT doc_id FROM docs) AND doc_id NOT IN (SELECT doc_id FROM b1 UNION SELECT doc_id FROM b2)),
-    b4 AS (SELECT doc_id, path, score, 'fallback' FROM mem WHERE place = 1 AND doc_id NOT IN (SELECT doc_id FROM b1 UNION SELECT doc_id FROM b2 UNION SELECT doc_id FROM b3)),
-    some AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3 UNION ALL SELECT * FROM b4)
-    SELECT * FROM some UNION ALL SELECT doc_id, 'Sonstiges', 0, 'fallback' FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM some)""".replace("some", "taken")
-query("cls13_cascade", CASCADE, known=KNOWN, docs=PART_DOCS, dec=DECISIONS, stored=STORED, ctx=CONTEXTS, ans=MODEL_ANSWERS, paths=BRANDS, persons=PEOPLE)(lambda **x: cascade(**x))
+#: The registry's paths: brands, and those of the contexts that it knows.
+ALL_PATHS = f"{BRANDS} UNION {KNOWN}"
+DEPTH = "length(path) - length(replace(path, '/', ''))"
+CASCADE = f""", {HITS}{SCORED}, sh AS ({SHOWN}),
+    cm AS (SELECT doc_id, path, score, place AS o, 'context' AS reason, evidence FROM sh UNION ALL SELECT mc.doc_id, mc.path, mc.score, 1000000 + place, 'memory', evidence FROM mc JOIN {SAID} USING (doc_id, path) WHERE place <= 5),
+    mg AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, {DEPTH} DESC, o) AS spot, path NOT IN (SELECT path FROM paths) AS is_new FROM cm),
+    b1 AS (SELECT doc_id, path, false AS is_new, 'context_match' AS reason, score AS confidence, evidence FROM (SELECT *, lead(score, 1, 0) OVER (PARTITION BY doc_id ORDER BY place) AS nxt FROM sh) WHERE place = 1 AND score >= 40 AND score - nxt >= 16),
+    b2 AS (SELECT doc_id, path, is_new, reason, score, evidence FROM (SELECT *, lead(score, 1, 0) OVER (PARTITION BY doc_id ORDER BY spot) AS nxt FROM mg) WHERE spot = 1 AND score >= 86 AND score - nxt >= 10 AND NOT is_new AND doc_id NOT IN (SELECT doc_id FROM b1)),
+    ans AS (SELECT doc_id, cast(doc_id % 100 AS int) AS confidence FROM docs WHERE doc_id % 7 <> 0 AND doc_id NOT IN (SELECT doc_id FROM b1 UNION SELECT doc_id FROM b2)), said AS ({ANSWERED}),
+    b3 AS (SELECT doc_id, path, is_new, 'llm' AS reason, score, '' FROM said),
+    b4 AS (SELECT doc_id, path, is_new, 'fallback', score, evidence FROM mg WHERE spot = 1 AND doc_id NOT IN (SELECT doc_id FROM b1 UNION SELECT doc_id FROM b2 UNION SELECT doc_id FROM b3)),
+    some_ AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3 UNION ALL SELECT * FROM b4),
+    tk AS (SELECT * FROM some_ UNION ALL SELECT doc_id, 'Sonstiges', true, 'fallback', 0, '' FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM some_)),
+    wi AS (SELECT doc_id, path, max(score) AS score, min(o) AS o FROM (SELECT doc_id, path, score, spot AS o FROM mg UNION ALL SELECT doc_id, path, score, -1 FROM said) GROUP BY 1, 2),
+    pl AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, {DEPTH} DESC, o) AS spot FROM wi),
+    li AS (SELECT doc_id, list(path || '=' || score ORDER BY spot) AS c FROM pl GROUP BY 1)
+    SELECT tk.*, coalesce(array_to_string(CASE WHEN reason = 'context_match' THEN c ELSE c[1:5] END, ';'), '') AS candidates FROM tk LEFT JOIN li USING (doc_id)"""
+query("cls13_cascade", CASCADE, known=KNOWN, docs=PART_DOCS, dec=DECISIONS, stored=STORED, ctx=CONTEXTS, paths=ALL_PATHS, persons=PEOPLE)(lambda **x: cascade(**x))
 query("cls14_needs_review", f"{MERGED} SELECT r.doc_id, confidence, is_new, NOT is_new AND (confidence < 60 OR coalesce(top < 85 AND top - second <= 8, false)) AS review FROM res AS r LEFT JOIN (SELECT doc_id, max(score) FILTER (WHERE place = 1) AS top, max(score) FILTER (WHERE place = 2) AS second FROM mp GROUP BY 1) USING (doc_id)", cand=CANDIDATES, paths=BRANDS, res="SELECT o_orderkey AS doc_id, cast(o_custkey % 100 AS int) AS confidence, o_orderkey % 5 = 0 AS is_new FROM {orders}")(
     lambda cand, paths, res: classify.needs_review(res, merged_of(cand, paths))
 )
@@ -234,21 +263,36 @@ FINAL = "SELECT o_orderkey AS doc_id, concat('doc_', cast(o_orderkey AS string))
 FILES = "SELECT concat('doc_', cast(o_orderkey AS string), CASE o_orderkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.json' ELSE '_x.TXT' END) AS name FROM {orders}"
 query("cls19_artifacts", "SELECT doc_id, name FROM fin JOIN f ON starts_with(name, final_name) WHERE NOT ends_with(name, '.json')", fin=FINAL, f=FILES)(lambda fin, f: classify.artifacts_for(fin, f))
 query("tax5_prune_contexts", "SELECT path, alias FROM ctx WHERE path IN (SELECT path FROM known)", ctx=CONTEXTS, known=KNOWN)(lambda ctx, known: taxonomy.prune_contexts(contexts_of(ctx), known).select("path", F.array_join("aliases", ";").alias("alias")))
-BRAND_CONTEXTS = "SELECT concat('ASIA/', p_brand) AS path, p_brand AS brand, min(p_type) AS kind, min(p_partkey) AS ord, '' AS object_type, min(p_name) AS alias FROM {part} GROUP BY p_brand"
-PROMPT = """SELECT doc_id, '[PATHS]' || chr(10) || (SELECT string_agg(path, chr(10) ORDER BY path) FROM paths) || E'\\n\\n[PERSONS]\\n' || (SELECT string_agg(name, ', ' ORDER BY ord) FROM persons)
-    || E'\\n\\n[CONTEXTS]\\n' || (SELECT string_agg('- ' || path || ': ' || alias || ', ' || brand || ', ' || kind || ' Notiz', chr(10) ORDER BY path) FROM ctx)
-    || E'\\n\\n[DOCUMENT]\\ntitle: ' || meta_text || E'\\ndocument_type: ' || document_type || E'\\ntags: -\\n\\n[TEXT]\\n' || left(text, 3000) AS prompt FROM docs"""
-query("cls20_class_prompt", PROMPT, docs=PART_DOCS, paths=BRANDS, persons=PEOPLE, ctx=BRAND_CONTEXTS)(
-    lambda docs, paths, persons, ctx: classify.class_prompt(docs.withColumn("title", F.col("meta_text")).withColumn("tags", F.lit(None).cast("string")), paths, persons, contexts_of(ctx))
-)
+#: Contexts with and without aliases, type and notes; some say nothing.
+BRAND_CONTEXTS = """SELECT concat('ASIA/', p_brand) AS path, CASE WHEN min(p_partkey) % 2 = 0 THEN array(min(p_name), min(p_type)) END AS aliases, CASE WHEN min(p_partkey) % 3 = 0 THEN array(p_brand) END AS keywords,
+    CASE WHEN min(p_partkey) % 5 = 0 THEN 'vehicle' ELSE '' END AS object_type, CASE WHEN min(p_partkey) % 7 = 0 THEN concat('  Notiz \n', repeat('lang ', 50)) END AS notes FROM {part} GROUP BY p_brand"""
+CONTEXT_DUCK = text(BRAND_CONTEXTS).replace("array(", "list_value(")
+TOLD = """ln AS (SELECT path, '- ' || path || ': ' || s AS line FROM (SELECT path, concat_ws('; ', CASE WHEN object_type <> '' THEN 'Typ=' || object_type END, 'Aliase=' || array_to_string(aliases, ', '), 'Stichworte=' || array_to_string(keywords, ', '),
+    'Notiz=' || trim(left(regexp_replace(trim(notes, E' \\n'), '\\s+', ' ', 'g'), 220), '')) AS s FROM ctx) WHERE s <> '' ORDER BY path LIMIT 80)"""
+PROMPT = f"""WITH docs AS ({text(PART_DOCS)}), paths AS ({text(BRANDS)}), persons AS ({text(PEOPLE)}), ctx AS ({CONTEXT_DUCK}), {TOLD}
+    SELECT doc_id, (SELECT string_agg(name, ', ' ORDER BY ord) FROM persons) AS persons, E'Bekannte Pfade:\\n' || (SELECT string_agg('- ' || path, chr(10) ORDER BY path DESC) FROM paths)
+    || E'\\n\\nSortier-Kontexte:\\n' || (SELECT coalesce(string_agg(line, chr(10) ORDER BY path), '- keine') FROM ln)
+    || E'\\n\\nDokument-Metadaten:\\n- Datum: unbekannt\\n- Titel/Inhalt: ' || CASE WHEN doc_id % 2 = 0 THEN 'S' || doc_id ELSE meta_text END || E'\\n- Typ: ' || document_type || E'\\n- Tags: unbekannt\\n\\nDokument-Text (Auszug):\\n' || left(text, 3000)
+    || E'\\n\\nKlassifiziere das Dokument und antworte im JSON-Format.' AS prompt FROM docs"""
+
+
+def _prompts(spark, d):
+    docs = frame(spark, d, PART_DOCS).select("doc_id", F.lit(None).cast("string").alias("date"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("S"), F.col("doc_id").cast("string"))).otherwise("").alias("subject"), F.col("meta_text").alias("title"), "document_type", F.lit(None).cast("string").alias("tags"), "text")
+    paths = frame(spark, d, f"SELECT path, row_number() OVER (ORDER BY path DESC) AS ord FROM ({BRANDS}) AS b")
+    return classify.class_prompt(docs, paths, frame(spark, d, PEOPLE), frame(spark, d, BRAND_CONTEXTS))
+
+
+QUERIES["cls20_class_prompt"] = _prompts
+ORACLES["cls20_class_prompt"] = PROMPT
 
 # Job store: events as job events, documents as index.
 EVENTS = "SELECT event_id, user_id AS job_id, event_type AS event, value, ts AS created_at FROM {events}"
 JOBS = "SELECT user_id AS job_id, 'done' AS status, concat('s', cast(user_id AS string)) AS source_name, 'old' AS final_name, cast(NULL AS string) AS error, min(ts) AS created_at, min(ts) AS updated_at FROM {events} WHERE user_id % 2 = 0 GROUP BY user_id"
-STARTED = "SELECT user_id AS job_id, 'running' AS status, concat('n', cast(user_id AS string)) AS source_name, cast(NULL AS string) AS final_name, cast(NULL AS string) AS error, max(ts) AS created_at, max(ts) AS updated_at FROM {events} WHERE user_id % 3 = 0 GROUP BY user_id"
-query("job1_start", "SELECT * FROM jobs_ WHERE job_id NOT IN (SELECT job_id FROM new_) UNION ALL SELECT n.job_id, n.status, n.source_name, n.final_name, n.error, coalesce(j.created_at, n.created_at), n.updated_at FROM new_ AS n LEFT JOIN jobs_ AS j USING (job_id)", jobs_=JOBS, new_=STARTED)(lambda jobs_, new_: jobs.start_jobs(jobs_, new_))
-UPDATED = "SELECT user_id AS job_id, 'failed' AS status, CASE WHEN user_id % 4 = 0 THEN 'boom' END AS error, max(ts) AS updated_at FROM {events} WHERE user_id % 4 < 2 GROUP BY user_id"
-query("job2_update", "SELECT j.job_id, coalesce(u.status, j.status) AS status, source_name, final_name, coalesce(u.error, j.error) AS error, created_at, coalesce(u.updated_at, j.updated_at) AS updated_at FROM jobs_ AS j LEFT JOIN upd AS u USING (job_id)", jobs_=JOBS, upd=UPDATED)(lambda jobs_, upd: jobs.update_jobs(jobs_, upd))
+#: Several starts, updates, decisions and entries of one key.
+STARTED = "SELECT user_id AS job_id, 'running' AS status, concat('n', cast(event_id AS string)) AS source_name, cast(NULL AS string) AS final_name, cast(NULL AS string) AS error, ts AS created_at, ts AS updated_at FROM {events} WHERE user_id % 3 = 0"
+query("job1_start", "SELECT * FROM jobs_ WHERE job_id NOT IN (SELECT job_id FROM new_) UNION ALL SELECT n.job_id, n.status, n.source_name, n.final_name, n.error, coalesce(j.created_at, n.created_at), n.updated_at FROM (SELECT job_id, arg_max(status, updated_at) AS status, arg_max(source_name, updated_at) AS source_name, cast(NULL AS varchar) AS final_name, cast(NULL AS varchar) AS error, min(created_at) AS created_at, max(updated_at) AS updated_at FROM new_ GROUP BY 1) AS n LEFT JOIN jobs_ AS j USING (job_id)", jobs_=JOBS, new_=STARTED)(lambda jobs_, new_: jobs.start_jobs(jobs_, new_))
+UPDATED = "SELECT user_id AS job_id, event_type AS status, CASE WHEN value > 80 THEN concat('boom', cast(event_id AS string)) END AS error, ts AS updated_at FROM {events} WHERE user_id % 4 < 2"
+query("job2_update", "SELECT j.job_id, coalesce(u.status, j.status) AS status, source_name, final_name, coalesce(u.error, j.error) AS error, created_at, coalesce(u.updated_at, j.updated_at) AS updated_at FROM jobs_ AS j LEFT JOIN (SELECT job_id, arg_max(status, updated_at) AS status, arg_max(error, updated_at) FILTER (WHERE error IS NOT NULL) AS error, max(updated_at) AS updated_at FROM upd GROUP BY 1) AS u USING (job_id)", jobs_=JOBS, upd=UPDATED)(lambda jobs_, upd: jobs.update_jobs(jobs_, upd))
 query("job3_record_events", "SELECT event_id, job_id, created_at, '{\"event\":\"' || event || '\"}' AS payload_json FROM ev", ev=EVENTS)(lambda ev: jobs.record_events(ev.drop("value"), ["event"]))
 query("job4_state", "SELECT job_id, arg_max(event, (created_at, event_id)) AS status, arg_max(value, (created_at, event_id)) AS value, count(*) AS events, min(created_at) AS first_at, max(created_at) AS last_at FROM ev GROUP BY 1", ev=EVENTS)(lambda ev: jobs.job_state(ev))
 INDEX = "SELECT doc_id AS id, md5(text) AS source_sha256, doc_id % 100 AS updated_at, concat(source, '_', lang) AS source_name, substring(text, 1, 60) AS final_name FROM {documents}"
@@ -257,7 +301,7 @@ DONE = "SELECT md5(text) AS source_sha256, source AS source_name, lang AS final_
 query("job6_index", "SELECT source_sha256, source_name, final_name, target_path, finished_at AS created_at, finished_at AS updated_at FROM done WHERE status <> 'deferred'", done=DONE)(lambda done: jobs.index_documents(done))
 query("job7_search", "SELECT id FROM idx WHERE source_name ILIKE '%SRC1%' OR final_name ILIKE '%SRC1%' ORDER BY updated_at DESC, id DESC LIMIT 20", idx=INDEX)(lambda idx: jobs.search(idx, "SRC1", 20, ["source_name", "final_name"], [F.desc("updated_at"), F.desc("id")]).select("id"))
 QUEUE = "SELECT event_id AS id, 'pending' AS status, cast(NULL AS string) AS chosen_path, ts AS created_at, cast(NULL AS timestamp) AS resolved_at FROM {events} WHERE event_type = 'error'"
-RESOLVED = "SELECT CASE WHEN event_id % 2 = 0 THEN event_id END AS id, 'resolved' AS status, 'ASIA/x' AS chosen_path, ts AS resolved_at FROM {events} WHERE event_type = 'error'"
+RESOLVED = "SELECT CASE WHEN event_id % 2 = 0 THEN event_id END AS id, 'resolved' AS status, 'ASIA/x' AS chosen_path, ts AS resolved_at FROM {events} WHERE event_type = 'error' UNION ALL SELECT event_id, 'open', 'ASIA/a', ts - INTERVAL 1 DAY FROM {events} WHERE event_type = 'error' AND event_id % 2 = 0"
 query("job8_review_resolve", "SELECT id, CASE WHEN id % 2 = 0 THEN 'resolved' ELSE status END AS status, CASE WHEN id % 2 = 0 THEN 'ASIA/x' END AS chosen_path, created_at, CASE WHEN id % 2 = 0 THEN created_at END AS resolved_at FROM qu", qu=QUEUE, dec=RESOLVED)(lambda qu, dec: jobs.review_resolve(qu, dec))
 ADDED = "SELECT event_id AS id, ts AS created_at, cast(NULL AS string) AS chosen_path FROM {events} WHERE event_type <> 'error'"
 query("job8_review_add", "SELECT * FROM qu UNION ALL SELECT id, 'pending', NULL, created_at, NULL FROM new_", qu=QUEUE, new_=ADDED)(lambda qu, new_: jobs.review_add(qu, new_))
@@ -283,9 +327,13 @@ query("job11_manifests", f""", {STAGED} SELECT job_id, count(*) AS n_stages, 'p'
 OUTPUTS = "SELECT doc_id, concat('out/', cast(doc_id AS string), '.txt') AS path FROM {documents}"
 ON_DISK = "SELECT concat('out/', cast(doc_id AS string), '.txt') AS path, n_chars AS size, md5(text) AS sha256 FROM {documents} WHERE doc_id % 3 <> 0"
 query("job12_artifact_stats", "SELECT doc_id, path, size, sha256, size IS NOT NULL AS exists FROM o LEFT JOIN f USING (path)", o=OUTPUTS, f=ON_DISK)(lambda o, f: jobs.artifact_stats(o, f))
-RESULTS = "SELECT p_partkey AS doc_id, concat('ASIA/', p_brand) AS path, p_size % 4 = 0 AS is_new FROM {part}"
-query("job13_release", "SELECT doc_id, CASE WHEN path = 'ASIA/Brand#1' THEN 'ASIA/Neu' ELSE path END AS path, path AS proposed_path, 'completed' AS status FROM r WHERE is_new AND path IN (SELECT path FROM dec)", r=RESULTS, dec="SELECT DISTINCT concat('ASIA/', p_brand) AS path, CASE WHEN p_brand = 'Brand#1' THEN 'ASIA/Neu' END AS final_path FROM {part} WHERE p_size > 25")(
-    lambda r, dec: jobs.release(jobs.defer(r)[1], dec)
+RESULTS = "SELECT p_partkey AS doc_id, concat('asia/', p_brand) AS path, p_size % 4 = 0 AS is_new FROM {part}"
+#: Two decisions for some paths, the later one counts; Brand#2 has become known meanwhile.
+DECIDED = """SELECT DISTINCT concat('asia/', p_brand) AS path, CASE WHEN p_brand = 'Brand#1' THEN concat(' Asia ', chr(92), ' Neu ') WHEN p_brand = 'Brand#3' THEN 'Fremd/x' END AS final_path, timestamp'2024-01-02 00:00:00' AS decided_at FROM {part} WHERE p_brand <> 'Brand#2' AND p_size > 25
+    UNION ALL SELECT DISTINCT concat('asia/', p_brand), 'ASIA/Alt', timestamp'2024-01-01 00:00:00' FROM {part} WHERE p_size > 25"""
+MEANWHILE = "SELECT DISTINCT concat('asia/', p_brand) AS path FROM {part} WHERE p_brand = 'Brand#2'"
+query("job13_release", "SELECT doc_id, CASE path WHEN 'asia/Brand#1' THEN 'ASIA/Neu' WHEN 'asia/Brand#3' THEN 'Sonstiges/x' ELSE 'ASIA/' || path[6:] END AS path, path AS proposed_path, 'completed' AS status FROM r WHERE is_new AND (path IN (SELECT path FROM dec) OR path = 'asia/Brand#2')", r=RESULTS, dec=DECIDED, known=MEANWHILE, persons=PERSONS)(
+    lambda r, dec, known, persons: jobs.release(jobs.defer(r)[1], dec, known, persons).select("doc_id", "path", "proposed_path", "status")
 )
 MOVED = "SELECT doc_id, concat('ziel/', cast(doc_id AS string), '.txt') AS moved_path FROM {documents} WHERE doc_id % 2 = 0"
 NOW = "SELECT concat(CASE WHEN doc_id % 3 = 0 THEN 'ziel/' ELSE 'out/' END, cast(doc_id AS string), '.txt') AS path FROM {documents} WHERE doc_id % 5 <> 0"
@@ -297,17 +345,45 @@ LISTED = "SELECT page_id, concat('/in/', CASE page_id % 4 WHEN 0 THEN 'a' WHEN 1
 query("src1_accepted", "SELECT page_id FROM l WHERE page_id % 5 IN (0, 3, 4)", l=LISTED)(lambda l: l.filter(files.accepted(F.element_at(F.split("path", "/"), -1))).select("page_id"))
 DIRLIST = "SELECT concat('/data/', CASE WHEN c_custkey % 2 = 0 THEN 'Ein' ELSE 'EIN' END, cast(c_custkey % 40 AS string), CASE WHEN c_custkey % 3 = 0 THEN '/final/x' ELSE '' END) AS dir, c_custkey AS ord FROM {customer}"
 query("src2_dedupe_dirs", "SELECT arg_min(dir, ord) AS dir, min(ord) AS ord FROM d GROUP BY lower(dir)", d=DIRLIST)(lambda d: files.dedupe_dirs(d))
+RELATIVE = "SELECT concat(CASE c_custkey % 4 WHEN 0 THEN '/base/' WHEN 1 THEN '' WHEN 2 THEN './x/../' ELSE '../base//' END, 'in', cast(c_custkey % 40 AS string), CASE WHEN c_custkey % 3 = 0 THEN '/' ELSE '' END) AS dir, c_custkey AS ord FROM {customer}"
+query("src2_relative_dirs", "SELECT '/base/in' || (ord % 40) AS dir, min(ord) AS ord FROM d GROUP BY 1", d=RELATIVE)(lambda d: files.dedupe_dirs(d, "/base"))
 RESERVED = "SELECT concat('/data/', CASE WHEN c_custkey % 2 = 0 THEN 'Ein' ELSE 'EIN' END, cast(c_custkey % 40 AS string), '/final') AS path FROM {customer} WHERE c_custkey % 2 = 0"
 query("src3_exclude_reserved", "SELECT dir, ord FROM d WHERE dir <> '/data/EIN1' AND NOT (contains(dir, '/final/x') AND regexp_replace(dir, '/x$', '') IN (SELECT path FROM r))", d=DIRLIST, r=RESERVED)(lambda d, r: files.exclude_reserved(d, r, "/data/EIN1"))
-query("src4_source_profile", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'consume' WHEN 2 THEN 'b' ELSE 'manual' END AS profile FROM l", l=LISTED, d="SELECT '/in/a' AS dir, 'consume' AS profile FROM {region} WHERE r_regionkey = 0 UNION ALL SELECT '/in/b', 'b' FROM {region} WHERE r_regionkey = 0")(lambda l, d: files.with_source_profile(l, d).select("page_id", "profile"))
+query("src4_source_profile", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'consume' WHEN 2 THEN 'b' ELSE 'manual' END AS profile FROM l", l=LISTED, d="SELECT '/in/a' AS dir, 'consume' AS profile FROM {region} WHERE r_regionkey = 0 UNION ALL SELECT '/in/b', 'b' FROM {region}")(lambda l, d: files.with_source_profile(l, d).select("page_id", "profile"))
 POINTERS = """SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('{{', CASE WHEN page_id % 2 = 0 THEN concat('"title": "T', cast(page_id AS string), '", ') ELSE '' END, '"url": "', url, '"}}') WHEN 1 THEN '{{bad' ELSE url END AS text, url FROM {pages}"""
 query("src7_pointer_text", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN E'Synology Office Dokument-Link\\nTitel: ' || CASE WHEN page_id % 2 = 0 THEN 'T' || page_id ELSE 'datei' || page_id END || E'\\nURL: ' || url ELSE E'Synology .odoc Inhalt:\\n' || text END AS text FROM p""", p=POINTERS)(
     lambda p: files.pointer_text(p.withColumn("stem", F.concat(F.lit("datei"), F.col("page_id").cast("string")))).select("page_id", "text")
 )
 EXPORTED = "SELECT o_orderkey AS doc_id, concat('d', cast(o_orderkey AS string)) AS final_name, o_orderkey % 4 = 0 AS office FROM {orders}"
-query("snk1_plan_exports", "SELECT doc_id, 'docx' AS kind, final_name || '.docx' AS file_name FROM d UNION ALL SELECT doc_id, 'pdf', final_name || '.pdf' FROM d WHERE NOT office UNION ALL SELECT doc_id, 'report', final_name || '_report.json' FROM d", d=EXPORTED)(lambda d: files.plan_exports(d, "PDF und DOCX"))
+#: Every format, with each setting of four flags by turns.
+FLAGS = [(True, True, False, False), (False, True, False, True), (False, False, True, False), (True, False, False, True)]
+
+
+def _exports(spark, d):
+    rows = [files.plan_exports(frame(spark, d, EXPORTED), fmt, *flags).select(F.lit(fmt).alias("fmt"), F.lit(i).alias("flags"), "doc_id", "kind", "file_name") for fmt in files.FORMATS for i, flags in enumerate(FLAGS)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out
+
+
+QUERIES["snk1_plan_exports"] = _exports
+ORACLES["snk1_plan_exports"] = f"""WITH d AS ({text(EXPORTED)}), g AS (SELECT * FROM (VALUES (0, true, true, false, false), (1, false, true, false, true), (2, false, false, true, false), (3, true, false, false, true)) AS v(flags, sd, sr, ud, ur)),
+    x AS (SELECT * FROM d, g, (SELECT unnest(['Nur PDF', 'Nur TXT', 'PDF und TXT', 'Nur DOCX', 'PDF und DOCX']) AS fmt))
+    SELECT fmt, flags, doc_id, 'pdf' AS kind, final_name || '.pdf' AS file_name FROM x WHERE NOT office AND contains(fmt, 'PDF') UNION ALL SELECT fmt, flags, doc_id, 'txt', final_name || '.txt' FROM x WHERE contains(fmt, 'TXT')
+    UNION ALL SELECT fmt, flags, doc_id, 'docx', final_name || '.docx' FROM x WHERE office UNION ALL SELECT fmt, flags, doc_id, 'docx', 'begleitdateien/' || final_name || '.docx' FROM x WHERE NOT office AND (contains(fmt, 'DOCX') AND sd OR ud)
+    UNION ALL SELECT fmt, flags, doc_id, 'report', 'begleitdateien/' || final_name || '_quality_report.json' FROM x WHERE sr OR ur"""
 query("snk5_retain_latest", "SELECT event_id AS path, ts AS modified FROM e ORDER BY ts DESC, event_id LIMIT 3", e="SELECT event_id, ts FROM {events}")(lambda e: files.retain_latest(e.select(F.col("event_id").alias("path"), F.col("ts").alias("modified"))))
-query("snk6_cleanup_plan", "SELECT doc_id, path, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 <> 0 THEN 'delete' ELSE 'keep' END AS action FROM o", o=OUTPUTS)(lambda o: files.cleanup_plan(o.withColumns({"for_upload": F.col("doc_id") % 2 == 0, "deferred": F.col("doc_id") % 3 == 0}), keep_local=False))
+query("snk6_cleanup_plan", "SELECT doc_id, path, kind, save_docx, CASE WHEN doc_id % 3 <> 0 AND (kind = 'docx' AND NOT save_docx OR kind = 'report' AND save_docx) THEN 'delete' ELSE 'keep' END AS action FROM (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'docx' WHEN 1 THEN 'report' ELSE 'pdf' END AS kind FROM o), (SELECT unnest([true, false]) AS save_docx)", o=OUTPUTS)(
+    lambda o: _cleanup(o.withColumns({"kind": F.when(F.col("doc_id") % 4 == 0, "docx").when(F.col("doc_id") % 4 == 1, "report").otherwise("pdf"), "deferred": F.col("doc_id") % 3 == 0}))
+)
+
+
+def _cleanup(o):
+    kinds = o.select("path", "kind")
+    both = [files.cleanup_plan(o, save, not save).withColumn("save_docx", F.lit(save)) for save in (True, False)]
+    return both[0].union(both[1]).join(kinds, "path")
+
 
 
 # Files that the queries write themselves, into a folder of their own, and read again.
@@ -348,8 +424,12 @@ TARGETS = "SELECT doc_id, concat('z/', lang, '/', source) AS target_path, text F
 
 
 def _snk2(spark, d):
-    path = f"{folder(spark)}/texts"
-    files.write_text(frame(spark, d, TARGETS), path)
+    """Three runs into the same places: some texts first in another wording, all of them, and some once more."""
+    path, rows = f"{folder(spark)}/texts", frame(spark, d, TARGETS)
+    files.write_text(rows.filter("doc_id % 3 = 0").withColumn("text", F.lit("old")).union(rows.limit(0)), path)
+    files.write_text(rows.filter("doc_id % 2 = 0"), path)
+    files.write_text(rows.filter("doc_id % 2 = 1"), path)
+    files.write_text(rows.filter("doc_id % 5 = 0"), path)
     return spark.read.parquet(path).select("doc_id", "target_path", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -379,8 +459,11 @@ MADE_FILES = "SELECT concat('/out/', CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b'
 
 
 def _snk4(spark, d):
-    path = f"{folder(spark)}/archive"
-    files.write_archive(frame(spark, d, MADE_FILES), path)
+    """Runs into the same places: other contents of some files first, then one half of the files, then the other."""
+    path, rows = f"{folder(spark)}/archive", frame(spark, d, MADE_FILES)
+    files.write_archive(rows.filter("path LIKE '%1%'").withColumn("content", F.lit("old").cast("binary")), path)
+    files.write_archive(rows.filter("path LIKE '/out/a/%'"), path)
+    files.write_archive(rows.filter("path LIKE '/out/b/%'"), path)
     return spark.read.parquet(path).select("target_path", "file_name", F.sha2("content", 256).alias("sha256"))
 
 
@@ -399,41 +482,130 @@ def stream(spark: SparkSession, sf_dir: str, name: str):
 
 def observed(e):
     """Events as observations of a file per user: every 23rd finds it gone."""
-    return e.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.when(F.col("event_id") % 23 != 0, (F.col("value") / 30).cast("long")).alias("size"), (F.col("ts") - F.expr("INTERVAL 6 SECONDS")).alias("mtime"), F.col("ts").alias("observed_at"))
+    return e.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.when(F.col("event_id") % 23 != 0, (F.col("value") / 30).cast("long")).alias("size"), (F.col("ts").cast("timestamp") - F.expr("INTERVAL 6 SECONDS")).alias("mtime"), F.col("ts").cast("timestamp").alias("observed_at"))
 
 
 def as_events(e):
-    return e.select("event_id", F.col("user_id").alias("job_id"), F.col("event_type").alias("event"), "value", F.col("ts").alias("created_at"))
+    return e.select("event_id", F.col("user_id").alias("job_id"), F.col("event_type").alias("event"), "value", F.col("ts").cast("timestamp").alias("created_at"))
+
+
+DAY_S = 86_400
+
+
+def polls(spark, rows, lots, at, path):
+    """Writes rows as files in lots of equal spans of a time, one lot after another; each time the stream can be run on."""
+    span = rows.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first()
+    lot = F.least(F.lit(lots - 1), F.floor((F.unix_micros(at) - span[0]) * lots / max(1, span[1] - span[0])))
+    for i in range(lots):
+        rows.filter(lot == i).write.mode("append").parquet(path)
+        yield i, streams.table_stream(spark, path, rows.schema)
 
 
-def _str1(spark, d):
-    return streams.stable_files_batch(observed(frame(spark, d, "SELECT * FROM {events}")))
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return folder(spark)
 
 
+QUERIES["str1_stable_files_batch"] = lambda spark, d: streams.stable_files_batch(observed(frame(spark, d, "SELECT * FROM {events}")), DAY_S)
 STAYS = """WITH o AS (SELECT 'f' || user_id AS path, CASE WHEN event_id % 23 <> 0 THEN trunc(value / 30) END AS size, ts AS observed_at FROM events),
-    a AS (SELECT *, sum(CASE WHEN size IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY observed_at) AS stay FROM o),
+    g AS (SELECT *, CASE WHEN size IS NULL OR observed_at - lag(observed_at) OVER (PARTITION BY path ORDER BY observed_at) > INTERVAL 1 DAY THEN 1 ELSE 0 END AS gone FROM o),
+    a AS (SELECT *, sum(gone) OVER (PARTITION BY path ORDER BY observed_at) AS stay FROM g),
     b AS (SELECT *, coalesce(cast(size <> lag(size) OVER (PARTITION BY path, stay ORDER BY observed_at) AS int), 0) AS new FROM a WHERE size IS NOT NULL),
     c AS (SELECT *, sum(new) OVER (PARTITION BY path, stay ORDER BY observed_at) AS run FROM b),
     t AS (SELECT *, row_number() OVER (PARTITION BY path, stay, run ORDER BY observed_at) - 1 AS ticks FROM c)
     SELECT path, cast(arg_min(size, observed_at) AS bigint) AS size, min(observed_at) AS observed_at FROM t WHERE ticks >= 2 GROUP BY path, stay"""
-QUERIES["str1_stable_files_batch"] = _str1
 ORACLES["str1_stable_files_batch"] = STAYS
 
 
 def _str1_stream(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return streams.drained(streams.stable_files(observed(stream(spark, d, "events"))), folder(spark))
+    """Files whose observations stop for more than a day have vanished; three runs, each from where the last one stopped."""
+    at, out = rocks(spark), None
+    for _, s in polls(spark, observed(frame(spark, d, "SELECT * FROM {events}")), 3, "observed_at", f"{at}/in"):
+        out = streams.drained(streams.stable_files(s, DAY_S), at)
+    return out
 
 
 QUERIES["str1_stable_files_stream"] = _str1_stream
 ORACLES["str1_stable_files_stream"] = STAYS
-QUERIES["str2_ingest"] = lambda spark, d: streams.drained(streams.ingest_stream(stream(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 4 == 0, ".docx").otherwise(".pdf").alias("suffix"), (F.col("n_chars") % 40).alias("page_count")), frame(spark, d, "SELECT sha2(text, 256) AS source_sha256 FROM {documents} WHERE doc_id % 10 = 0")), folder(spark)).select("doc_id", "sha256", "route", "duplicate")
-ORACLES["str2_ingest"] = "SELECT doc_id, sha256(text) AS sha256, CASE WHEN doc_id % 4 = 0 THEN 'office' WHEN n_chars % 40 > 20 THEN 'reduced' ELSE 'detailed' END AS route, text IN (SELECT text FROM documents WHERE doc_id % 10 = 0) AS duplicate FROM documents"
-QUERIES["str3_job_state"] = lambda spark, d: streams.drained(streams.job_state_stream(as_events(stream(spark, d, "events"))), folder(spark), "complete")
+
+
+def _str2(spark, d):
+    """Three micro-batches; copies meet in one and across them. firsts: rows of a text that aren't duplicates."""
+    at = folder(spark)
+    rows = frame(spark, d, "SELECT doc_id, text, CASE WHEN doc_id % 4 = 0 THEN '.docx' ELSE '.pdf' END AS suffix, n_chars % 40 AS page_count, timestamp_seconds(doc_id * 7 % 1000) AS at FROM {documents}")
+    known = frame(spark, d, "SELECT sha2(text, 256) AS source_sha256 FROM {documents} WHERE doc_id % 10 = 0")
+    for _, s in polls(spark, rows, 3, "at", f"{at}/in"):
+        streams.poured(s.drop("at"), at, streams.ingest(known, f"{at}/store"))
+    got = ledger.rows(spark, f"{at}/store", "documents", streams.INGESTED)
+    firsts = got.groupBy("sha256").agg(F.sum((~F.col("duplicate")).cast("long")).alias("firsts"), F.count("*").alias("copies"))
+    return got.select("doc_id", "sha256", "route").join(firsts, "sha256")
+
+
+QUERIES["str2_ingest"] = _str2
+ORACLES["str2_ingest"] = """SELECT doc_id, sha256(text) AS sha256, CASE WHEN doc_id % 4 = 0 THEN 'office' WHEN n_chars % 40 > 20 THEN 'reduced' ELSE 'detailed' END AS route,
+    CASE WHEN text IN (SELECT text FROM documents WHERE doc_id % 10 = 0) THEN 0 ELSE 1 END AS firsts, count(*) OVER (PARTITION BY text) AS copies FROM documents"""
+
+
+def upserted(make, keys, schema):
+    def run(spark, d):
+        at = folder(spark)
+        for _, s in polls(spark, as_events(frame(spark, d, "SELECT * FROM {events}")), 3, "created_at", f"{at}/in"):
+            streams.poured(make(s), at, streams.upserts(f"{at}/store", "state", keys, every=2), "update")
+        return ledger.state(spark, f"{at}/store", "state", schema, keys)
+
+    return run
+
+
+QUERIES["str3_job_state"] = upserted(streams.job_state_stream, ["job_id"], "job_id long, status string, events long")
 ORACLES["str3_job_state"] = "SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS events FROM events GROUP BY 1"
-QUERIES["str4_dashboard"] = lambda spark, d: streams.drained(streams.dashboard_stream(as_events(stream(spark, d, "events"))), folder(spark), "complete")
+QUERIES["str4_dashboard"] = upserted(streams.dashboard_stream, ["event"], "event string, n long, last_at timestamp")
 ORACLES["str4_dashboard"] = "SELECT event_type AS event, count(*) AS n, max(ts) AS last_at FROM events GROUP BY 1"
-QUERIES["str5_release"] = lambda spark, d: streams.drained(streams.release_stream(stream(spark, d, "part").select(F.concat(F.lit("P/"), F.col("p_partkey").cast("string")).alias("path"), F.lit("P/neu").alias("final_path")), frame(spark, d, "SELECT o_orderkey AS doc_id, concat('P/', cast(o_custkey AS string)) AS path FROM {orders}")), folder(spark))
-ORACLES["str5_release"] = "SELECT o_orderkey AS doc_id, 'P/neu' AS path, 'P/' || o_custkey AS proposed_path, 'completed' AS status FROM orders JOIN part ON o_custkey = p_partkey"
-QUERIES["str6_dedupe"] = lambda spark, d: streams.drained(streams.dedupe_stream(stream(spark, d, "documents").select(F.sha2("text", 256).alias("sha256"), F.lit("2024-01-01").cast("timestamp").alias("seen_at"))), folder(spark)).select("sha256")
-ORACLES["str6_dedupe"] = "SELECT DISTINCT sha256(text) AS sha256 FROM documents"
+
+#: Documents that wait for a new path, and decisions on some of them, in three micro-batches by their time.
+WAITING = f"SELECT doc_id, concat('P/', cast(doc_id % 40 AS string)) AS path, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id + 1000000 END AS review_id, sha2(text, 256) AS source_sha256, document_type, meta_text, text FROM ({PART_DOCS}) AS p"
+ON_PATHS = """SELECT concat('P/', cast(k AS string)) AS path, CASE k % 3 WHEN 0 THEN concat('asia/', cast(k AS string)) WHEN 1 THEN concat('Fremd/', cast(k AS string)) END AS final_path, timestamp_seconds(k * 100) AS decided_at FROM (SELECT DISTINCT p_partkey % 40 AS k FROM {part}) AS d WHERE k % 4 <> 0
+    UNION ALL SELECT concat('P/', cast(k AS string)), 'asia/frueher', timestamp_seconds(k * 100 - 1) FROM (SELECT DISTINCT p_partkey % 40 AS k FROM {part} WHERE p_partkey % 40 % 4 = 1) AS d"""
+
+
+def _str5(spark, d):
+    at = folder(spark)
+    pending, paths, persons, stored = (frame(spark, d, x) for x in (WAITING, "SELECT 'P/8' AS path FROM {region} WHERE r_regionkey = 0", PERSONS, STORED))
+    for _, s in polls(spark, frame(spark, d, ON_PATHS), 3, "decided_at", f"{at}/in"):
+        streams.poured(s, at, streams.release_into(pending, paths, persons, stored, f"{at}/store"))
+    now = streams.release_state(pending, paths, stored, f"{at}/store")
+    text_ = lambda c: F.col(c).cast("string")
+    return (
+        now["pending"].select(F.lit("pending").alias("name"), text_("doc_id").alias("key"), F.col("path").alias("value"))
+        .union(now["paths"].select(F.lit("paths"), "path", F.lit(""))).union(now["review"].select(F.lit("review"), text_("review_id"), "chosen_path"))
+        .union(now["doc_index"].select(F.lit("doc_index"), F.concat_ws(" ", text_("doc_id"), "source_sha256"), "target_path"))
+        .union(now["memory"].select(F.lit("memory"), F.concat_ws(" ", "path", "kind", "term"), text_("n")))
+    )
+
+
+QUERIES["str5_release"] = _str5
+ORACLES["str5_release"] = f"""WITH docs AS ({text(PART_DOCS)}), pending AS ({text(WAITING).replace("sha2(text, 256)", "sha256(text)")}), stored AS ({text(STORED)}), {LEARN.lstrip(", ")},
+    f AS (SELECT *, cast(path[3:] AS int) AS k FROM pending WHERE cast(path[3:] AS int) % 4 <> 0 OR path = 'P/8'),
+    freed AS (SELECT *, CASE WHEN k = 8 THEN 'Sonstiges/8' WHEN k % 3 = 0 THEN 'ASIA/' || k WHEN k % 3 = 1 THEN 'Sonstiges/' || k ELSE 'Sonstiges/' || k END AS target FROM f),
+    mem AS (SELECT target AS path, 'positive' AS kind, term, 1 AS n FROM freed JOIN terms USING (doc_id) WHERE place <= 80 UNION ALL SELECT target, 'type', lower(document_type), 2 FROM freed
+        UNION ALL SELECT path, 'negative', term, 1 FROM freed JOIN terms USING (doc_id) WHERE place <= 30 UNION ALL SELECT * FROM stored)
+    SELECT 'pending' AS name, cast(doc_id AS varchar) AS key, path AS value FROM pending WHERE doc_id NOT IN (SELECT doc_id FROM f) UNION ALL SELECT DISTINCT 'paths', target, '' FROM freed UNION ALL SELECT 'paths', 'P/8', ''
+    UNION ALL SELECT 'review', cast(review_id AS varchar), target FROM freed WHERE review_id IS NOT NULL UNION ALL SELECT 'doc_index', doc_id || ' ' || source_sha256, target FROM freed
+    UNION ALL SELECT 'memory', path || ' ' || kind || ' ' || term, cast(least(sum(n), 50) AS varchar) FROM mem GROUP BY path, kind, term"""
+
+#: The same kind of event of a user counts once in twelve hours; rows come up to half an hour out of order, in three runs.
+SIGHTED = "SELECT concat(cast(user_id AS string), event_type) AS sha256, event_id, cast(ts AS timestamp) AS seen_at, timestamp_micros(unix_micros(cast(ts AS timestamp)) + event_id % 7 * 300000000) AS arrived FROM {events}"
+
+
+def _str6(spark, d):
+    at, out = rocks(spark), None
+    rows = frame(spark, d, SIGHTED)
+    end = rows.agg((F.max("seen_at") + F.expr("INTERVAL 10 DAYS")).alias("seen_at"), F.max("arrived").alias("arrived")).select(F.lit("end").alias("sha256"), F.lit(-1).cast("long").alias("event_id"), "seen_at", "arrived")
+    for _, s in polls(spark, rows.union(end), 3, "arrived", f"{at}/in"):
+        out = streams.drained(streams.dedupe_stream(s, horizon_s=DAY_S // 2), at)
+    return out.select("sha256", "event_id", "seen_at")
+
+
+QUERIES["str6_dedupe"] = _str6
+ORACLES["str6_dedupe"] = """WITH RECURSIVE e AS (SELECT user_id || event_type AS sha256, event_id, ts, (epoch_us(ts) + 999) // 1000 AS ms, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS i FROM events),
+    w AS (SELECT sha256, i, ms AS last, true AS kept FROM e WHERE i = 1 UNION ALL SELECT e.sha256, e.i, CASE WHEN e.ms - w.last > 43200000 THEN e.ms ELSE w.last END, e.ms - w.last > 43200000 FROM w JOIN e ON e.sha256 = w.sha256 AND e.i = w.i + 1)
+    SELECT sha256, event_id, ts AS seen_at FROM w JOIN e USING (sha256, i) WHERE kept"""

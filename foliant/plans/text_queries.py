@@ -88,8 +88,11 @@ query("qc8_table_loss", FUSED, f", {MISSING} SELECT doc_id, page_num, st AS sour
 )
 REPORT = f""", {MISSING} SELECT doc_id, page_num, sd AS source_digits, fd AS fused_digits, st AS source_table_lines, ft AS fused_table_lines,
     round(CASE WHEN sd > 0 THEN fd / sd ELSE 1.0::double END, 3) AS digit_ratio, len(la) + len(ld) + len(lc) AS n_missing,
-    CASE WHEN sd > 0 AND fd / sd < 0.8 THEN 'error' WHEN len(la) + len(ld) + len(lc) > 0 OR (st > 5 AND ft < st * 0.7) THEN 'warning' ELSE 'info' END AS severity FROM m"""
-query("qc9_quality_report", FUSED, REPORT)(lambda df: quality.quality_report(df).select(*KEYS, "source_digits", "fused_digits", "source_table_lines", "fused_table_lines", "digit_ratio", F.size("missing").alias("n_missing"), "severity"))
+    CASE WHEN sd > 0 AND fd / sd < 0.8 THEN 'error' WHEN len(la) + len(ld) + len(lc) > 0 OR (st > 5 AND ft < st * 0.7) THEN 'warning' ELSE 'info' END AS severity,
+    coalesce(list_aggregate(flatten([list_transform({SPELLED}, lambda v: 'Geldbetrag fehlt im Enddokument: ' || v || ' EUR'), list_transform(list_sort(ld), lambda v: 'Datum fehlt im Enddokument: ' || v), list_transform(list_sort(lc), lambda v: 'Möglicher Lohnarten-Code (LA) fehlt: ' || v),
+        CASE WHEN sd > 0 AND fd / sd < 0.8 THEN ['Hoher Ziffernverlust im Enddokument! Nur ' || printf('%.1f', 100 * fd / sd) || '% der Ziffern aus der OCR erhalten (' || fd || ' von ' || sd || ').'] ELSE [] END,
+        CASE WHEN st > 5 AND ft < st * 0.7 THEN ['Verlust von Tabellenzeilen vermutet: Quell-Markdown hat ' || st || ' Zeilen mit Tabellen-Trennern ''|'', das fusionierte Dokument hat nur ' || ft || '.'] ELSE [] END]), 'string_agg', chr(10)), '') AS warnings FROM m"""
+query("qc9_quality_report", FUSED, REPORT)(lambda df: quality.quality_report(df).select(*KEYS, "source_digits", "fused_digits", "source_table_lines", "fused_table_lines", "digit_ratio", F.size("missing").alias("n_missing"), "severity", F.array_join("warnings", "\n").alias("warnings")))
 query("qc10_text_stats", DOCS, r"""SELECT doc_id, length(text) AS chars, length(regexp_replace(text, '\s', '', 'g')) AS nonspace_chars,
     len(list_filter(string_split(text, chr(10)), lambda x: trim(x, E' \t\r\n') <> '')) AS nonblank_lines,
     CASE WHEN text = '' THEN 0 ELSE len(regexp_split_to_array(trim(text, E' \t\r\n'), '\s+')) END AS words, CASE WHEN text = '' THEN '' ELSE sha256(text) END AS sha256 FROM src""")(
@@ -192,8 +195,15 @@ query("lay6_layout_summary", BLOCKS, """SELECT p.doc_id, 2 AS pages, count(block
     FROM (SELECT DISTINCT doc_id FROM src) AS p LEFT JOIN (SELECT * FROM src WHERE doc_id % 5 <> 0) AS s USING (doc_id) GROUP BY 1""")(
     lambda df: layout.layout_summary(df.filter("doc_id % 5 <> 0"), df.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("page_num")))
 )
-PARAS = "SELECT doc_id, regexp_replace(text, '\\n', '\\n\\n') AS text FROM {documents}"
+#: Paragraphs of each text into n packets, one paragraph a step: box is the packet's place. Reads t (doc_id, text, n).
+PACKED = r"""d AS (SELECT doc_id, n, list_filter(list_transform(regexp_split_to_array(trim(text, E' \t\r\n'), '\n\s*\n+'), lambda p: trim(p, E' \t\r\n')), lambda p: p <> '') AS parts FROM t),
+    r AS (SELECT doc_id, 0 AS i, 0 AS box, 0 AS held, cast(list_sum(list_transform(parts, lambda p: length(p))) AS bigint) AS rest, n AS slots FROM d WHERE len(parts) > n AND n > 1
+        UNION ALL SELECT doc_id, i + 1, box + c, CASE WHEN c = 1 THEN size ELSE held + size END, rest - size, slots - c
+        FROM (SELECT r.*, length(parts[i + 1]) AS size, cast(i > 0 AND held >= greatest(1, (rest + held) // slots) AND slots > 1 AS int) AS c FROM r JOIN d USING (doc_id) WHERE i < len(parts))),
+    q AS (SELECT doc_id, i, box FROM r WHERE i > 0 UNION ALL SELECT doc_id, i, i - 1 FROM (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS i FROM d WHERE len(parts) <= n OR n <= 1)),
+    k AS (SELECT doc_id, box, string_agg(parts[i], E'\n\n' ORDER BY i) AS packet FROM q JOIN d USING (doc_id) GROUP BY 1, 2)"""
 QUERIES["lay7_split_packets"] = lambda spark, d: frame(spark, d, DOCS).select("doc_id", F.posexplode(layout.split_packets(F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit(4))).alias("pos", "packet")).select("doc_id", "pos", F.sha2("packet", 256).alias("packet_sha256"))
+ORACLES["lay7_split_packets"] = f"WITH RECURSIVE t AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text, 4 AS n FROM documents), {PACKED} SELECT doc_id, box AS pos, sha256(packet) AS packet_sha256 FROM k"
 
 
 def _assign(spark, d):
@@ -203,6 +213,11 @@ def _assign(spark, d):
 
 
 QUERIES["lay8_assign_packets"] = _assign
+ORACLES["lay8_assign_packets"] = f"""WITH RECURSIVE src AS ({text(BLOCKS)}), {CLEAN.replace("d AS (", "dc AS (").replace("FROM d ", "FROM dc ").replace("FROM d)", "FROM dc)").replace("r AS (", "ro AS (")},
+    ch AS ({text(CHANNELS)}), {FUSE.replace("FROM src", "FROM ch")}, bx AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY reading_order) - 1 AS box FROM ro),
+    t AS (SELECT doc_id, fused AS text, coalesce(n, 0) AS n FROM (SELECT doc_id, string_agg(fused, E'\\n\\n' ORDER BY page_num) AS fused FROM f GROUP BY 1) LEFT JOIN (SELECT doc_id, count(*) AS n FROM bx GROUP BY 1) USING (doc_id)), {PACKED},
+    oz AS (SELECT doc_id, n, least(box, greatest(n, 1) - 1) AS box, box >= n AS over, string_agg(packet, E'\\n\\n' ORDER BY box) AS packet FROM k JOIN t USING (doc_id) WHERE n > 0 GROUP BY 1, 2, 3, 4 UNION ALL SELECT doc_id, n, 0, false, text FROM t WHERE n = 0)
+    SELECT oz.doc_id, 1 AS page_num, oz.box, over, coalesce(x0 - 1, 24.0) AS x0, coalesce(y0 - 1, 28.0) AS y0, coalesce(x1 + 1, 576.0) AS x1, coalesce(y1 + 1, 772.0) AS y1, packet FROM oz LEFT JOIN bx ON bx.doc_id = oz.doc_id AND bx.box = oz.box"""
 
 # Markdown on the lines of documents that hold pipes.
 PIPED = "SELECT doc_id, concat('# ', source, '\n', '- ', lang, '\n', '1. eins\n**fett** und *schräg*\n\n', regexp_replace(text, '(?m)^(.*[|].*)$', '| $1 |')) AS text FROM {documents}"
@@ -265,6 +280,9 @@ CONFIG = "SELECT event_id, event_type, cast(value AS string) AS v FROM {events}"
 query("pii6_mask_keys", CONFIG, "SELECT event_id, event_type AS plain, '<redacted>' AS masked, '<redacted>' AS nested FROM src")(
     lambda df: privacy.mask_paths(privacy.mask_keys(df.select("event_id", F.create_map(F.lit("kind"), "event_type", F.lit("API_Key"), "v").alias("m")), "m").select("event_id", F.col("m")["kind"].alias("plain"), F.col("m")["API_Key"].alias("masked"), F.lit("auth.token.path").alias("key_path"), F.lit("x").alias("value"))).select("event_id", "plain", "masked", F.col("value").alias("nested"))
 )
+query("pii6_mask_nested", CONFIG, """SELECT event_id, '{"api_keys":"<redacted>","levels":[{"Password":"<redacted>","name":"' || event_type || '"},{"name":"b"}],"value":' || v || '}' AS settings FROM src""")(
+    lambda df: privacy.mask_nested(df.select("event_id", F.struct(F.col("v").cast("double").alias("value"), F.create_map(F.lit("x"), F.col("v")).alias("api_keys"), F.array(F.create_map(F.lit("name"), "event_type", F.lit("Password"), "v"), F.create_map(F.lit("name"), F.lit("b"))).alias("levels")).alias("settings")), "settings")
+)
 query("pii7_fingerprint", DOCS, "SELECT doc_id, sha256(text) AS text_sha256, length(text) AS text_chars FROM src")(lambda df: privacy.fingerprint(df.select("doc_id", "text"), "text"))
 CHECKS = "SELECT user_id AS run_id, event_type AS name, CASE WHEN event_type = 'error' AND value > 90 THEN 'failed' WHEN value > 60 THEN 'warning' ELSE 'ok' END AS status, cast(event_id AS string) AS detail FROM {events}"
 query("pii8_rollup", CHECKS, "SELECT run_id, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'warning') THEN 'warning' ELSE 'ok' END AS status, coalesce(string_agg(name || ': ' || detail, ';' ORDER BY name || ': ' || detail) FILTER (WHERE status <> 'ok'), '') AS details FROM src GROUP BY 1")(
@@ -282,6 +300,8 @@ query("prj4_low_text", CHANNELS, "SELECT doc_id, page_num, length(trim(docling))
 query("prj5_tabular", DOCS, f"SELECT doc_id, regexp_matches(lower(source || ' ' || text), 'abrechnung|rechnung|umsatz|tabelle|labor|befund|eur|betrag|gehalt|lohn') OR (length(text) - length(replace(text, '|', ''))) / greatest(length(text), 1) > 0.005 AS tabular FROM src")(
     lambda df: routing.with_tabular(df, "source", "text").select("doc_id", "tabular")
 )
+ADDRESSES = """SELECT page_id, CASE page_id % 12 WHEN 0 THEN concat('http://192.0.2.', cast(page_id % 250 AS string)) WHEN 1 THEN 'https://198.18.1.1:443/a' WHEN 2 THEN 'https://user@203.0.113.9/x?y' WHEN 3 THEN 'http://240.0.0.1' WHEN 4 THEN 'http://[::ffff:10.0.0.1]:80/'
+    WHEN 5 THEN '//nas/x' WHEN 6 THEN 'http://[2606:4700::1]/' WHEN 7 THEN 'http://[::ffff:8.8.8.8]/' WHEN 8 THEN concat('http://172.', cast(page_id % 40 AS string), '.0.1/') WHEN 9 THEN 'http://192.0.0.9/' WHEN 10 THEN 'http://300.1.1.1/' ELSE url END AS url FROM {pages}"""
 URLS = "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://nas.local:5006/x' WHEN 1 THEN 'https://192.168.1.10:5006' WHEN 2 THEN 'http://diskstation:5006/a' WHEN 3 THEN concat('http://10.0.0.', cast(page_id % 250 AS string)) ELSE url END AS url, url AS page_url FROM {pages}"
 query("prj6_privacy", f"SELECT page_id, url, page_id % 2 = 0 AS webdav, true AS cloud, CASE WHEN page_id % 3 = 0 THEN 'openai/x' ELSE 'local/y' END AS model FROM ({URLS}) AS u", "SELECT page_id, page_id % 2 = 0 AND page_id % 6 < 4 AS webdav, false AS cloud, CASE WHEN page_id % 3 = 0 THEN 'Keins' ELSE 'local/y' END AS model FROM src")(
     lambda df: privacy.apply_privacy(df, "local_only").drop("url")
@@ -292,6 +312,7 @@ query("prj8_normalize_model", MODELS, "SELECT request_id, turn, CASE WHEN contai
 )
 query("prj9_private_url", URLS, "SELECT page_id, page_id % 6 < 4 AS private FROM src")(lambda df: df.select("page_id", privacy.is_private_url(F.col("url")).alias("private")))
 META = "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '20-05-2026' END AS date, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE concat(p_name, ': \"', p_brand, '\"') END AS title, CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE p_type END AS document_type FROM {part}"
+query("prj9_private_addresses", ADDRESSES, "SELECT page_id, CASE WHEN page_id % 12 <= 6 THEN true WHEN page_id % 12 = 8 THEN page_id % 40 BETWEEN 16 AND 31 ELSE false END AS private FROM src")(lambda df: df.select("page_id", privacy.is_private_url(F.col("url")).alias("private")))
 query("prj10_final_name", META, """SELECT doc_id, translate(CASE WHEN date <> '' AND coalesce(title, '') <> '' THEN date || '_' || title || '_' || document_type ELSE 'dokument_searchable' END, '/*?:"<>|', '') AS final_name,
     CASE WHEN coalesce(title, '') <> '' THEN title || ' - ' || document_type ELSE '' END AS subject FROM src""")(lambda df: routing.with_final_name(df).select("doc_id", "final_name", "subject"))
 query("prj11_clean_path", "SELECT page_id, concat(' a\\\\b ', '/./../', url, '//ä c*~') AS path FROM {pages}".replace("\\\\", "/"), "SELECT page_id, list_aggregate(list_filter(list_transform(string_split(path, '/'), lambda p: trim(p)), lambda p: p NOT IN ('', '.', '..')), 'string_agg', '/') AS cleaned FROM src")(

@@ -14,6 +14,7 @@ from foliant.functions.text import strip
 SUFFIXES = ["pdf", "png", "jpg", "jpeg", "docx", "doc", "odt", "odoc", "heic"]
 UNFINISHED = r"\.(tmp|part|crdownload|download)"
 FORMATS = {"Nur PDF": ["pdf"], "Nur TXT": ["txt"], "PDF und TXT": ["pdf", "txt"], "Nur DOCX": ["docx"], "PDF und DOCX": ["pdf", "docx"]}
+COMPANIONS, REPORT = "begleitdateien/", "_quality_report.json"
 POINTER, POINTER_PLAIN = "Synology Office Dokument-Link", "Synology .odoc Inhalt:\n"
 ARCHIVED = ["pdf", "txt", "docx", "odt", "doc", "odoc"]
 HISTORY = T.StructType([T.StructField(c, T.StringType()) for c in ("job_id", "event", "status", "detail")] + [T.StructField("timestamp_utc", T.TimestampType())])
@@ -49,8 +50,19 @@ def scan_inputs(spark: SparkSession, dirs: list[str]) -> DataFrame:
     return files.filter(accepted(F.col("name")))
 
 
-def dedupe_dirs(dirs: DataFrame) -> DataFrame:
-    """dirs (dir, ord): the first of those that differ in case alone."""
+def resolved(path: Column, base: str) -> Column:
+    """An absolute path: one that is relative lies below the base; ``.``, ``..`` and empty parts are worked off."""
+    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), path))
+    parts = F.filter(F.split(whole, "/"), lambda p: ~p.isin("", "."))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: F.when(p == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def dedupe_dirs(dirs: DataFrame, base: str | None = None) -> DataFrame:
+    """dirs (dir, ord): without null and empty ones, resolved below the base if one is given; the first of those that differ in case alone."""
+    dirs = dirs.filter("coalesce(dir, '') <> ''")
+    if base is not None:
+        dirs = dirs.withColumn("dir", resolved(F.col("dir"), base))
     w = Window.partitionBy(F.lower("dir")).orderBy("ord")
     return dirs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
@@ -63,8 +75,10 @@ def exclude_reserved(dirs: DataFrame, reserved: DataFrame, base: str) -> DataFra
 
 
 def with_source_profile(files: DataFrame, dirs: DataFrame) -> DataFrame:
-    """Adds profile: that of the input folder a file lies in, else manual."""
-    return files.withColumn("dir", F.regexp_replace("path", "/[^/]*$", "")).join(dirs.select("dir", F.col("profile").alias("_p")), "dir", "left").withColumn("profile", F.coalesce("_p", F.lit("manual"))).drop("_p", "dir")
+    """Adds profile: that of the input folder a file lies in, else manual; of a folder listed twice the first (by ord, if there is one)."""
+    order = F.col("ord") if "ord" in dirs.columns else F.col("profile")
+    known = dirs.groupBy("dir").agg(F.min_by("profile", order).alias("_p"))
+    return files.withColumn("dir", F.regexp_replace("path", "/[^/]*$", "")).join(known, "dir", "left").withColumn("profile", F.coalesce("_p", F.lit("manual"))).drop("_p", "dir")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -111,20 +125,32 @@ def pointer_text(df: DataFrame, text: str = "text", stem: str = "stem") -> DataF
     return df.withColumn(text, F.when(good, shown).otherwise(F.concat(F.lit(POINTER_PLAIN), F.coalesce(F.col(text), F.lit("")))))
 
 
-def plan_exports(docs: DataFrame, fmt: str, report: bool = True) -> DataFrame:
-    """docs (doc_id, final_name, office) -> doc_id, kind, file_name: an office document gives no pdf but always docx."""
-    kinds = F.array(*map(F.lit, FORMATS[fmt]))
-    office = F.array_distinct(F.concat(F.filter(kinds, lambda k: k != "pdf"), F.array(F.lit("docx"))))
-    rows = docs.select("doc_id", "final_name", F.explode(F.when(F.col("office"), office).otherwise(kinds)).alias("kind"))
-    named = rows.select("doc_id", "kind", F.concat_ws(".", "final_name", "kind").alias("file_name"))
-    if report:
-        named = named.union(docs.select("doc_id", F.lit("report"), F.concat(F.col("final_name"), F.lit("_report.json"))))
-    return named
+def plan_exports(docs: DataFrame, fmt: str, save_docx: bool = True, save_report: bool = True, upload_docx: bool = False, upload_report: bool = False) -> DataFrame:
+    """docs (doc_id, final_name, office) -> doc_id, kind, file_name: what each document is exported as.
+
+    An office document gives a docx and no pdf; others give a docx where the format asks for it and it is saved, or
+    where it is uploaded, and that one lies in the companions' folder, like the quality report.
+    """
+    kinds = FORMATS[fmt]
+    plain = [k for k in kinds if k != "docx"] + ["companion"] * (("docx" in kinds and save_docx) or upload_docx)
+    office = ["docx", *[k for k in kinds if k == "txt"]]
+    report = ["report"] * (save_report or upload_report)
+    listed = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+    rows = docs.select("doc_id", "final_name", F.explode(F.when(F.col("office"), listed(office + report)).otherwise(listed(plain + report))).alias("kind"))
+    beside = F.concat(F.lit(COMPANIONS), F.col("final_name"))
+    name = F.when(F.col("kind") == "report", F.concat(beside, F.lit(REPORT))).when(F.col("kind") == "companion", F.concat(beside, F.lit(".docx"))).otherwise(F.concat_ws(".", "final_name", "kind"))
+    return rows.select("doc_id", F.when(F.col("kind") == "companion", "docx").otherwise(F.col("kind")).alias("kind"), name.alias("file_name"))
 
 
 def write_text(df: DataFrame, path: str) -> None:
-    """doc_id, target_path, text as Parquet by target path; only the written paths are replaced."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target_path").parquet(path)
+    """doc_id, target_path, text as Parquet by target path: a document's text at a place is replaced, all others stay.
+
+    Of several texts of a document for one place the greatest is written. See ``ledger.merge_write``.
+    """
+    from foliant.sources import ledger
+
+    one = df.groupBy("doc_id", "target_path").agg(F.max("text").alias("text"))
+    ledger.merge_write(one.select("doc_id", "text", "target_path"), path, "target_path", ["doc_id"])
 
 
 def write_reports(df: DataFrame, path: str) -> None:
@@ -152,10 +178,15 @@ def archived(artifacts: DataFrame) -> DataFrame:
 
 
 def write_archive(artifacts: DataFrame, path: str) -> None:
-    """Every archived artifact under its target path (target_path=.../); a file of the same place is replaced, other places stay."""
+    """Every archived artifact under its target path (target_path=.../): a file of the same place and name is replaced, all others stay.
+
+    Of several artifacts of one name for one place that of the greatest path is written. See ``ledger.merge_write``.
+    """
+    from foliant.sources import ledger
+
     w = Window.partitionBy("target_path", "file_name").orderBy(F.desc("path"))
     last = archived(artifacts).withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("file_name", "content", "target_path")
-    last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target_path").parquet(path)
+    ledger.merge_write(last, path, "target_path", ["file_name"])
 
 
 def retain_latest(rows: DataFrame, n: int = 3) -> DataFrame:
@@ -163,7 +194,7 @@ def retain_latest(rows: DataFrame, n: int = 3) -> DataFrame:
     return rows.orderBy(F.desc("modified"), "path").limit(n)
 
 
-def cleanup_plan(artifacts: DataFrame, keep_local: bool) -> DataFrame:
-    """artifacts (doc_id, path, for_upload, deferred) -> path, action: upload companions go afterwards, unless kept or deferred."""
-    gone = F.col("for_upload") & ~F.col("deferred") & F.lit(not keep_local)
+def cleanup_plan(artifacts: DataFrame, save_docx: bool, save_report: bool) -> DataFrame:
+    """artifacts (doc_id, path, kind, deferred) -> path, action: a docx or report that isn't saved locally was made for the upload and goes afterwards, unless its document is deferred."""
+    gone = ((F.col("kind") == "docx") & F.lit(not save_docx) | (F.col("kind") == "report") & F.lit(not save_report)) & ~F.col("deferred")
     return artifacts.select("doc_id", "path", F.when(gone, "delete").otherwise("keep").alias("action"))

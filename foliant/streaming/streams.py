@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,20 +10,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from foliant.functions.joins import joined_by_size
+from foliant.operators import classify, jobs, routing
+from foliant.sources import ledger
+
 STABLE, AGE_S = 2, 5  # fixed values: observations with the same size after the first, and seconds since the last change
+PATIENCE_S = 10  # a file that no poll has listed for so long has vanished
 EMITTED = "path string, size long, observed_at timestamp"
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+FOLD_EVERY = 16  # batches after which an upserted table is written whole
+
+
+def millis(at: pd.Timestamp) -> int:
+    """In UTC; rounded up."""
+    return -(-at.value // 1_000_000)
+
+
+def at_millis(ms: int) -> pd.Timestamp:
+    return pd.Timestamp(ms * 1_000_000)
 
 
 class StableFile(StatefulProcessor):
-    """Per path: size, observations without a change, and whether it was emitted. A vanished file loses its state."""
+    """Per path: size, observations without a change, whether it was emitted, and when it was last seen.
+
+    A file that vanishes loses its state: at once where an observation says so, else when the watermark has
+    passed its last observation by the patience, and an observation that comes later than that starts anew.
+    """
+
+    def __init__(self, patience_s: int) -> None:
+        self.patience = pd.Timedelta(seconds=patience_s)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "size long, ticks int, done boolean")
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "size long, ticks int, done boolean, at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the names that Spark calls
         out = []
-        size, ticks, done = self.seen.get() if self.seen.exists() else (None, -1, False)
+        size, ticks, done, at = self.seen.get() if self.seen.exists() else (None, -1, False, None)
+        at = None if at is None else pd.Timestamp(at)
         for r in pd.concat(list(rows)).sort_values("observed_at").itertuples():
+            if at is not None and r.observed_at - at > self.patience:
+                size, ticks, done = None, -1, False
+            at = r.observed_at
             if pd.isna(r.size):
                 size, ticks, done = None, -1, False
                 continue
@@ -33,29 +61,39 @@ class StableFile(StatefulProcessor):
             if ticks >= STABLE and old and not done:
                 done = True
                 out.append((key[0], size, r.observed_at))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         if size is None:
             self.seen.clear()
         else:
-            self.seen.update((size, int(ticks), bool(done)))
+            self.seen.update((size, int(ticks), bool(done), at.value))
+            self.handle.registerTimer(millis(at + self.patience))
         if out:
             yield pd.DataFrame(out, columns=["path", "size", "observed_at"])
 
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.seen.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def stable_files(observations: DataFrame) -> DataFrame:
+def stable_files(observations: DataFrame, patience_s: int = PATIENCE_S, late: str = "10 seconds") -> DataFrame:
     """Stream of observations (path, size (null: vanished), mtime, observed_at) -> files that have come to rest, once each.
 
-    Needs the RocksDB state store. Observations of a path in one micro-batch are taken in time order.
+    Needs the RocksDB state store. Observations of a path in one micro-batch are taken in time order; those that
+    come later than ``late`` behind the newest are left out.
     """
-    return observations.groupBy("path").transformWithStateInPandas(statefulProcessor=StableFile(), outputStructType=EMITTED, outputMode="Append", timeMode="None")
+    seen = observations.withWatermark("observed_at", late).groupBy("path")
+    return seen.transformWithStateInPandas(statefulProcessor=StableFile(patience_s), outputStructType=EMITTED, outputMode="Append", timeMode="EventTime")
 
 
-def stable_files_batch(observations: DataFrame) -> DataFrame:
+def stable_files_batch(observations: DataFrame, patience_s: int = PATIENCE_S) -> DataFrame:
     """The same over a table: the first row of each stay that has been unchanged long enough."""
     w = Window.partitionBy("path").orderBy("observed_at")
-    o = observations.withColumn("gone", F.col("size").isNull().cast("int")).withColumn("stay", F.sum("gone").over(w)).filter("gone = 0")
+    apart = F.unix_micros("observed_at") - F.lag(F.unix_micros("observed_at")).over(w) > patience_s * 1_000_000
+    o = observations.withColumn("gone", (F.col("size").isNull() | F.coalesce(apart, F.lit(False))).cast("int")).withColumn("stay", F.sum("gone").over(w)).filter("size is not null")
     v = Window.partitionBy("path", "stay").orderBy("observed_at")
     o = o.withColumn("new", F.coalesce((F.col("size") != F.lag("size").over(v)).cast("int"), F.lit(0))).withColumn("run", F.sum("new").over(v))
     o = o.withColumn("ticks", F.row_number().over(Window.partitionBy("path", "stay", "run").orderBy("observed_at")) - 1)
@@ -64,36 +102,153 @@ def stable_files_batch(observations: DataFrame) -> DataFrame:
     return ready.withColumn("n", first).filter("n = 1").select("path", "size", "observed_at")
 
 
-def ingest_stream(files: DataFrame, index: DataFrame, limit: int = 20) -> DataFrame:
-    """Stream of documents (doc_id, text, suffix, page_count) -> with hash, route, and whether the index has the hash."""
-    from foliant.operators.routing import with_route
+class OnceWithin(StatefulProcessor):
+    """Per key: rows that wait for the watermark, and the time of the last row that went out."""
+
+    def __init__(self, horizon_s: int) -> None:
+        self.horizon = horizon_s * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, row string")
+        self.last = handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for part in rows:
+            for at, row in zip(part["at"], part["row"], strict=True):
+                self.waiting.appendValue((millis(at), row))
+                self.handle.registerTimer(millis(at))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        rows = sorted(self.waiting.get())
+        last = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for at, row in (r for r in rows if r[0] <= now):
+            if last is None or at - last > self.horizon:
+                last = at
+                out.append((row,))
+        left = [r for r in rows if r[0] > now]
+        if left:
+            self.waiting.put(left)
+        else:
+            self.waiting.clear()
+        if last is not None and (last + self.horizon >= now or left):
+            self.last.update((last,))
+            self.handle.registerTimer(last + self.horizon + 1)  # after that, the key is forgotten
+        else:
+            self.last.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["row"])
+
+    def close(self) -> None:
+        pass
+
+
+def dedupe_stream(docs: DataFrame, key: str = "sha256", at: str = "seen_at", horizon_s: int = 3600, late: str = "1 hour") -> DataFrame:
+    """Rows whose key didn't go out within the horizon before, in event time, however they arrive.
+
+    A row goes out when the watermark (the newest time less ``late``) has passed it, so rows out of order count in
+    the order of their times; rows later than that are left out. A key's state goes with the horizon. Times count in
+    milliseconds. Needs the RocksDB state store.
+    """
+    rows = docs.withWatermark(at, late).select(F.col(key).alias("key"), F.col(at).alias("at"), F.to_json(F.struct(*docs.columns), TIMES).alias("row"))
+    kept = rows.groupBy("key").transformWithStateInPandas(statefulProcessor=OnceWithin(horizon_s), outputStructType="row string", outputMode="Append", timeMode="EventTime")
+    return kept.select(F.from_json("row", docs.schema, TIMES).alias("r")).select("r.*")
+
+
+INGESTED = "doc_id long, sha256 string, route string, duplicate boolean"
+
+
+def ingest(known: DataFrame, path: str, limit: int = 20) -> Callable[[DataFrame, int], None]:
+    """Sink of documents (doc_id, text, suffix, page_count): tables ``documents`` (INGESTED) and ``index`` (doc_id, sha256) below the path.
+
+    A document is a duplicate if ``known`` (source_sha256) or an earlier micro-batch has its hash, or a smaller doc_id in
+    its own micro-batch. Both tables grow together, by micro-batch; one that is replayed adds nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = ledger.staged(routing.with_route(batch.withColumn("sha256", F.sha2("text", 256)), limit).select("doc_id", "sha256", "route"), "ingest")
+        before = known.select(F.col("source_sha256").alias("sha256")).union(ledger.rows(spark, path, "index", "doc_id long, sha256 string").select("sha256"))
+        hashes = rows.groupBy("sha256").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+        seen = hashes.join(before.distinct().withColumn("old", F.lit(True)), "sha256", "left")
+        told = joined_by_size(rows, seen, ["sha256"], rows.count())
+        duplicate = F.coalesce("old", F.lit(False)) | (F.col("doc_id") != F.col("first"))
+        out = told.withColumn("duplicate", F.coalesce(duplicate, F.lit(False))).select("doc_id", "sha256", "route", "duplicate")
+        ledger.commit(spark, path, number, {"documents": out, "index": out.select("doc_id", "sha256")})
 
-    known = index.select(F.col("source_sha256").alias("sha256"), F.lit(True).alias("_known")).distinct()
-    hashed = with_route(files.withColumn("sha256", F.sha2("text", 256)), limit).drop("text")
-    return hashed.join(known, "sha256", "left").withColumn("duplicate", F.coalesce("_known", F.lit(False))).drop("_known")
+    return write
 
 
 def job_state_stream(events: DataFrame) -> DataFrame:
-    """Latest event of each job and the number of events so far (update or complete mode)."""
+    """Latest event of each job and the number of events so far (update mode)."""
     last = F.max_by("event", F.struct("created_at", "event_id"))
     return events.groupBy("job_id").agg(last.alias("status"), F.count("*").alias("events"))
 
 
 def dashboard_stream(events: DataFrame) -> DataFrame:
-    """Number and sum of values by event (update or complete mode)."""
+    """Number and sum of values by event (update mode)."""
     return events.groupBy("event").agg(F.count("*").alias("n"), F.max("created_at").alias("last_at"))
 
 
-def release_stream(decisions: DataFrame, pending: DataFrame) -> DataFrame:
-    """Stream of decisions (path, final_path) -> the waiting documents (doc_id, path) that they free."""
-    from foliant.operators.jobs import release
+def upserts(path: str, name: str, keys: list[str], every: int = FOLD_EVERY) -> Callable[[DataFrame, int], None]:
+    """Sink of an update-mode stream: a micro-batch writes its changed keys alone, and each ``every``-th one the whole state too.
 
-    return release(pending, decisions)
+    ``ledger.state`` reads the latest row of each key.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        ledger.commit(batch.sparkSession, path, number, {name: batch})
+        if (number + 1) % every == 0:
+            ledger.fold(batch.sparkSession, path, name, batch.schema.simpleString()[7:-1].replace(":", " "), keys, number)
+
+    return write
 
 
-def dedupe_stream(docs: DataFrame, key: str = "sha256", at: str = "seen_at", horizon: str = "1 hour") -> DataFrame:
-    """Rows whose key wasn't seen within the horizon."""
-    return docs.withWatermark(at, horizon).dropDuplicatesWithinWatermark([key])
+def release_into(pending: DataFrame, paths: DataFrame, persons: DataFrame, stored: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
+    """Sink of decisions (path, final_path, decided_at): each micro-batch releases what waits for its paths, in five tables at once.
+
+    pending (doc_id, path, review_id, source_sha256, document_type, meta_text, text), paths (path), persons (name, ord), stored
+    counters (path, kind, term, n): as of the start. Tables below the path, by micro-batch:
+    ``released`` (doc_id: what waits no longer), ``paths`` (path: new ones), ``memory`` (path, kind_, term, n: additions to
+    counters), ``review`` (review_id, chosen_path), ``doc_index`` (doc_id, source_sha256, target_path). See ``release_state``.
+    """
+
+    def write(decisions: DataFrame, number: int) -> None:
+        spark = decisions.sparkSession
+        known = paths.select("path").union(ledger.rows(spark, path, "paths", "path string").select("path")).distinct()
+        gone = ledger.rows(spark, path, "released", "doc_id long").select("doc_id")
+        waiting = pending.join(gone, "doc_id", "left_anti")
+        freed = ledger.staged(jobs.release(waiting, decisions, known, persons), "freed")
+        text = waiting.join(freed.select("doc_id"), "doc_id", "left_semi")
+        chosen = freed.select(F.col("doc_id").alias("decision_id"), "doc_id", F.col("path").alias("chosen_path"), "document_type")
+        learned = classify.learn(chosen, classify.learning_terms(text), freed.select(F.col("doc_id").alias("decision_id"), F.col("proposed_path").alias("path")), stored.limit(0))
+        ledger.commit(spark, path, number, {
+            "released": freed.select("doc_id"),
+            "paths": freed.select("path").distinct().join(known, "path", "left_anti"),
+            "memory": learned.select("path", F.col("kind").alias("kind_"), "term", F.col("n").cast("long").alias("n")),
+            "review": freed.filter("review_id is not null").select("review_id", F.col("path").alias("chosen_path")),
+            "doc_index": freed.select("doc_id", "source_sha256", F.col("path").alias("target_path")),
+        })
+
+    return write
+
+
+def release_state(pending: DataFrame, paths: DataFrame, stored: DataFrame, path: str) -> dict[str, DataFrame]:
+    """What waits, known paths, counters (at most MOST each), resolved reviews and the index, after all micro-batches that count."""
+    spark = pending.sparkSession
+    added = ledger.rows(spark, path, "memory", "path string, kind_ string, term string, n long")
+    both = stored.select("path", "kind", "term", F.col("n").cast("long").alias("n")).union(added.select("path", "kind_", "term", "n"))
+    counters = both.groupBy("path", "kind", "term").agg(F.least(F.sum("n"), F.lit(classify.MOST)).alias("n"))
+    return {
+        "pending": pending.join(ledger.rows(spark, path, "released", "doc_id long").select("doc_id"), "doc_id", "left_anti"),
+        "paths": paths.select("path").union(ledger.rows(spark, path, "paths", "path string").select("path")).distinct(),
+        "memory": counters,
+        "review": ledger.rows(spark, path, "review", "review_id long, chosen_path string").select("review_id", "chosen_path"),
+        "doc_index": ledger.rows(spark, path, "doc_index", "doc_id long, source_sha256 string, target_path string").select("doc_id", "source_sha256", "target_path"),
+    }
 
 
 def table_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -101,15 +256,13 @@ def table_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.readStream.schema(schema).parquet(path)
 
 
-def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns what it wrote.
+def poured(stream: DataFrame, folder: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Runs a stream over all that is there, from where it stopped, each micro-batch into the sink."""
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
 
-    Append streams write Parquet. Others keep the latest whole result, each micro-batch replacing the last.
-    """
+
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs an append stream over all that is there, from where it stopped, and returns what it has written so far."""
     spark, out = stream.sparkSession, f"{folder}/out"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    if mode == "append":
-        writer.format("parquet").option("path", out).start().awaitTermination()
-    else:
-        writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").option("path", out).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
