@@ -380,11 +380,17 @@ def of_type(name: Column, subject: Column, keywords: Column, kind: Column) -> Co
 
 
 def count_by_type(targets: DataFrame, index: DataFrame) -> DataFrame:
-    """targets (path, type), index (path, name, subject, keywords) -> path, type, n: PDF files at or below the path."""
+    """targets (path, type), index (path, name, subject, keywords) -> path, type, n: PDF files at or below the path.
+
+    The files below one top folder are dealt to several places, each with a copy of the folder's types.
+    """
     up = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda i: F.array_join(F.slice(F.split("path", "/"), F.lit(1), i), "/"))
+    wanted = targets.select("path", "type").distinct()
+    kinds = wanted.groupBy("path").agg(F.collect_set("type").alias("types"))  # a path's few types, so that a file meets it once
     below = index.filter(F.lower("name").endswith(".pdf")).select(F.explode(up).alias("path"), "name", "subject", "keywords")
-    hits = targets.select("path", "type").distinct().join(below, "path").filter(of_type(F.col("name"), F.col("subject"), F.col("keywords"), F.col("type")))
-    return targets.select("path", "type").distinct().join(hits.groupBy("path", "type").agg(F.count("*").alias("n")), ["path", "type"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    met = joined_to_many(below, kinds, ["path"])
+    hits = met.select("path", F.explode(F.filter("types", lambda t: of_type(F.col("name"), F.col("subject"), F.col("keywords"), t))).alias("type"))
+    return wanted.join(hits.groupBy("path", "type").agg(F.count("*").alias("n")), ["path", "type"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def consolidate(docs: DataFrame, index: DataFrame) -> DataFrame:

@@ -172,6 +172,24 @@ def learned_from(terms, dec, stored):
 query("cls7_learn", f"{LEARNED} SELECT * FROM m", docs=PART_DOCS, dec=DECISIONS, stored=STORED)(learned)
 query("cls7_path_stats", "SELECT chosen_path AS path, count(*) AS confirmed_count FROM dec GROUP BY 1", dec=DECISIONS)(lambda dec: classify.path_stats(dec).drop("last_confirmed_at"))
 query("cls8_trim_memory", f"{LEARNED} SELECT path, kind, term, n FROM (SELECT *, row_number() OVER (PARTITION BY path, kind ORDER BY n DESC, term) AS p FROM m) WHERE p <= 120", docs=PART_DOCS, dec=DECISIONS, stored=STORED)(lambda **x: classify.trim_memory(learned(**x)))
+#: Decision by decision: counters of a path and kind, the most frequent 120 after each; ord is their place then.
+REPLAYED = f"""WITH RECURSIVE docs AS ({text(PART_DOCS)}), dec AS ({text(DECISIONS)}), stored AS ({text(STORED)}), {LEARN.lstrip(", ")},
+    ad AS (SELECT chosen_path AS path, 'positive' AS kind, decision_id, place, term, 1 AS n FROM dec JOIN terms USING (doc_id) WHERE place <= 80 UNION ALL SELECT chosen_path, 'type', decision_id, 0, lower(document_type), 2 FROM dec WHERE document_type <> ''
+        UNION ALL SELECT proposed_path, 'negative', decision_id, place, term, 1 FROM dec JOIN terms USING (doc_id) WHERE place <= 30 AND proposed_path <> chosen_path),
+    ix AS (SELECT *, dense_rank() OVER (PARTITION BY path, kind ORDER BY decision_id) AS i FROM ad), la AS (SELECT path, kind, max(i) AS m FROM ix GROUP BY 1, 2),
+    w AS (SELECT path, kind, cast(0 AS bigint) AS i, term, cast(n AS bigint) AS n, row_number() OVER (PARTITION BY path, kind ORDER BY n DESC, term) AS ord FROM (SELECT path, kind, term, n FROM stored UNION ALL SELECT path, kind, NULL, 0 FROM la)
+        UNION ALL SELECT path, kind, i, term, n, ord FROM (SELECT *, row_number() OVER (PARTITION BY path, kind ORDER BY n DESC, o) AS ord FROM (SELECT path, kind, i, term, cast(least(50, sum(n)) AS bigint) AS n, min(o) AS o FROM (
+            SELECT w.path, w.kind, w.i + 1 AS i, term, n, ord AS o FROM w JOIN la ON la.path = w.path AND la.kind = w.kind WHERE w.i < m AND term IS NOT NULL
+            UNION ALL SELECT ix.path, ix.kind, ix.i, ix.term, ix.n, 100000 + ix.place FROM ix JOIN (SELECT DISTINCT path, kind, i FROM w) AS v ON ix.path = v.path AND ix.kind = v.kind AND ix.i = v.i + 1) GROUP BY 1, 2, 3, 4)) WHERE ord <= 120)
+    SELECT path, kind, term, n FROM w LEFT JOIN la USING (path, kind) WHERE i = coalesce(m, 0) AND term IS NOT NULL AND ord <= 120"""
+QUERIES["cls8_replay"] = lambda spark, d: _replay(*(frame(spark, d, x) for x in (PART_DOCS, DECISIONS, STORED)))
+ORACLES["cls8_replay"] = REPLAYED
+
+
+def _replay(docs, dec, stored):
+    return classify.replay(dec, classify.learning_terms(docs), dec.select("decision_id", F.col("proposed_path").alias("path"), F.lit(0).alias("ord")), stored)
+
+
 query("cls8_trim_decisions", "SELECT decision_id FROM dec ORDER BY created_at DESC, decision_id DESC LIMIT 1000", dec=DECISIONS)(lambda dec: classify.trim_decisions(dec).select("decision_id"))
 SCORED = f"""{LEARNED}, hit AS (SELECT doc_id, path, kind, term, n, row_number() OVER (PARTITION BY doc_id, path, kind ORDER BY term) AS a FROM (SELECT doc_id, term FROM terms WHERE place <= 120) JOIN (SELECT path, kind, term, n FROM m WHERE kind <> 'type') USING (term)),
     g AS (SELECT doc_id, path, sum(CASE WHEN kind = 'positive' AND a <= 8 THEN least(n, 6) * 6 WHEN kind = 'negative' AND a <= 5 THEN -least(n, 5) * 5 ELSE 0 END) AS gain, count(*) FILTER (WHERE kind = 'positive') AS pos FROM hit GROUP BY 1, 2),
