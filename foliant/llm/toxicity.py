@@ -32,6 +32,8 @@ SPACE = 1 << 22  # hashed terms
 SAMPLE, TERMS, RARE = 12_000, 20_000, 3  # labelled rows at most; terms at most; documents that a term needs
 APART = 3.5  # standard deviations by which a term's share of toxic documents must differ from the sample's
 PAIRED, PAIR_RARE, PAIR_APART = 1000, 10, 6.0  # terms whose pairs are counted; documents of a pair; its standard deviations
+BALANCE = 2.0  # weight of a toxic row, at most the ratio of the classes
+PRIOR, START = 10, 0.8  # rows at the sample's share that each term's share starts with; part of its log-odds that its weight starts with
 FACTORS, EPOCHS, STEPS, BATCH, RATE, DECAY = 8, 30, 3000, 32, 0.1, 1e-5  # as many rounds as give STEPS steps, EPOCHS at least
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -64,13 +66,18 @@ class Machine:
 
 
 def fitted(rows: list[np.ndarray], label: np.ndarray, chosen: np.ndarray) -> Machine:
-    """Adaptive gradient descent on the log loss. rows: per document the places of its terms in ``chosen``."""
+    """Adaptive gradient descent on the log loss, from weights by the terms' own shares, so that one telling term is enough. rows: per document the places of its terms in ``chosen``."""
     slots = np.full(SPACE, -1, np.int32)
     slots[chosen] = np.arange(len(chosen))
     rng = np.random.default_rng(0)
     rate = np.clip(label.mean(), 1e-3, 1 - 1e-3) if len(label) else 0.0
     model = Machine(slots, float(np.log(rate / (1 - rate))) if len(label) else -30.0, np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), FACTORS)))
     w, v = model.weights, model.factors
+    if len(label):
+        flat, own = np.concatenate(rows), np.repeat(label, [len(r) for r in rows])
+        share = (np.bincount(flat, own, len(w)) + PRIOR * rate) / (np.bincount(flat, minlength=len(w)) + PRIOR)
+        w += START * (np.log(share / (1 - share)) - model.bias)
+    toxic = min(BALANCE, max(1.0, (1 - rate) / rate)) if len(label) else 1.0
     gw, gv, gb = np.full(len(w), 1e-3), np.full(v.shape, 1e-3), 1e-3
     for _ in range(max(EPOCHS, STEPS * BATCH // max(1, len(rows)))):
         order = rng.permutation(len(rows))
@@ -82,7 +89,7 @@ def fitted(rows: list[np.ndarray], label: np.ndarray, chosen: np.ndarray) -> Mac
             np.add.at(sums, owner, v[flat])
             squares = np.bincount(owner, (v[flat] ** 2).sum(axis=1), len(batch))
             raw = model.bias + np.bincount(owner, w[flat], len(batch)) + 0.5 * ((sums**2).sum(axis=1) - squares)
-            error = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - label[batch]
+            error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - label[batch]) * np.where(label[batch] == 1, toxic, 1.0)
             gb += float((error**2).mean())
             model.bias -= RATE * float(error.mean()) / gb**0.5
             touched, back = np.unique(flat, return_inverse=True)
