@@ -40,13 +40,14 @@ def extract_dates(c: Column) -> Column:
     return F.array_distinct(found(c, DATE))
 
 
-def extract_codes(c: Column) -> Column:
-    """3-4 digit codes that can't be years (1900 to 2100)."""
-    return F.array_distinct(F.filter(found(c, CODE), lambda x: ~x.cast("int").between(1900, 2100)))
+def code(x: Column) -> Column:
+    """Is it no year?"""
+    return ~x.cast("int").between(1900, 2100)
 
 
-def union_of(*arrays: Column) -> Column:
-    return F.array_distinct(F.flatten(F.array(*arrays)))
+def extract_codes(c: Column) -> Column:
+    """3-4 digit codes that can't be years (1900 to 2100)."""
+    return F.array_distinct(F.filter(found(c, CODE), code))
 
 
 def missing_values(df: DataFrame, sources: tuple[str, str, str] = ("ocr", "docling", "vision"), fused: str = "fused") -> DataFrame:
@@ -56,23 +57,25 @@ def missing_values(df: DataFrame, sources: tuple[str, str, str] = ("ocr", "docli
     only where the text looks like payroll.
     """
     ocr, docling, vision = map(F.col, sources)
-    fused_c = F.col(fused)
-    raw = F.flatten(F.array(*[found(c, AMOUNT) for c in (ocr, docling, vision)]))
+    texts = {"_ocr": ocr, "_docling": docling, "_vision": vision, "_fused": F.col(fused)}
+    once = {f"{k}_{name}": found(c, pattern) for k, c in texts.items() for name, pattern in (("amount", AMOUNT), ("date", DATE), ("code", CODE)) if (k, name) != ("_vision", "code")}
+    each = df.withColumns(once)  # every text is searched once for each pattern
+    spellings = F.transform(F.flatten(F.array("_ocr_amount", "_docling_amount", "_vision_amount")), lambda r: F.struct(normalize_amount(r).alias("norm"), r.alias("raw")))
+    each = each.withColumns({"_raw": spellings, "_kept": F.transform("_fused_amount", normalize_amount)})
 
-    def lost(extract, columns) -> Column:
-        return F.array_sort(F.array_except(union_of(*map(extract, columns)), extract(fused_c)))
+    def lost(name: str, channels: tuple[str, ...]) -> Column:
+        there = F.array_except(F.flatten(F.array(*[f"{k}_{name}" for k in channels])), f"_fused_{name}")
+        return F.array_sort(F.filter(there, code) if name == "code" else there)
 
     def named(kind: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
 
-    def spelled(m: Column) -> Column:
-        return F.coalesce(F.get(F.reverse(F.filter(raw, lambda r: normalize_amount(r) == m)), F.lit(0)), m)
-
-    amounts = named("amount", F.transform(lost(extract_amounts, (ocr, docling, vision)), spelled))
-    dates = named("date", lost(extract_dates, (ocr, docling, vision)))
-    payroll = F.lower(F.concat(ocr, fused_c)).rlike(PAYROLL)
-    codes = F.when(payroll, named("la_code", lost(extract_codes, (ocr, docling)))).otherwise(F.array().cast("array<struct<type:string,value:string>>"))
-    return df.withColumn("missing", F.concat(amounts, dates, codes))
+    gone = F.array_sort(F.array_except(F.transform("_raw", lambda r: r["norm"]), F.col("_kept")))
+    amounts = named("amount", F.transform(gone, lambda m: F.element_at(F.filter("_raw", lambda r: r["norm"] == m), -1)["raw"]))
+    dates = named("date", lost("date", ("_ocr", "_docling", "_vision")))
+    payroll = F.lower(F.concat(ocr, F.col(fused))).rlike(PAYROLL)
+    codes = F.when(payroll, named("la_code", lost("code", ("_ocr", "_docling")))).otherwise(F.array().cast("array<struct<type:string,value:string>>"))
+    return each.withColumn("missing", F.concat(amounts, dates, codes)).select(*df.columns, "missing")
 
 
 def missing_rows(long: DataFrame, fused: DataFrame) -> DataFrame:
