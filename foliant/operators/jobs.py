@@ -27,6 +27,19 @@ def start_jobs(jobs: DataFrame, new: DataFrame) -> DataFrame:
     return jobs.join(new.select("job_id"), "job_id", "left_anti").unionByName(started.select(jobs.columns))
 
 
+def start_events(new: DataFrame) -> DataFrame:
+    """The event that each start leaves: job_id, event, stage, status, payload_json (source_path, source_sha256), created_at."""
+    payload = F.to_json(F.struct("source_path", "source_sha256"), {"ignoreNullFields": "false"})
+    return new.select("job_id", F.lit("started").alias("event"), F.lit("").alias("stage"), F.lit("started").alias("status"), payload.alias("payload_json"), F.col("updated_at").alias("created_at"))
+
+
+def update_events(updates: DataFrame) -> DataFrame:
+    """The event that each update leaves, with the columns that it sets (those that aren't null) as payload."""
+    given = [c for c in updates.columns if c not in ("job_id", "status", "updated_at")]
+    payload = F.to_json(F.struct(*given)) if given else F.lit("{}")
+    return updates.select("job_id", F.lit("status").alias("event"), F.lit("").alias("stage"), "status", payload.alias("payload_json"), F.col("updated_at").alias("created_at"))
+
+
 def update_jobs(jobs: DataFrame, updates: DataFrame) -> DataFrame:
     """updates (job_id, status, any of five columns, updated_at): status always, the others where they aren't null.
 

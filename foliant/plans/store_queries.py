@@ -311,6 +311,32 @@ STARTED = "SELECT user_id AS job_id, 'running' AS status, concat('n', cast(event
 query("job1_start", "SELECT * FROM jobs_ WHERE job_id NOT IN (SELECT job_id FROM new_) UNION ALL SELECT n.job_id, n.status, n.source_name, n.final_name, n.error, coalesce(j.created_at, n.created_at), n.updated_at FROM (SELECT job_id, arg_max(status, updated_at) AS status, arg_max(source_name, updated_at) AS source_name, cast(NULL AS varchar) AS final_name, cast(NULL AS varchar) AS error, min(created_at) AS created_at, max(updated_at) AS updated_at FROM new_ GROUP BY 1) AS n LEFT JOIN jobs_ AS j USING (job_id)", jobs_=JOBS, new_=STARTED)(lambda jobs_, new_: jobs.start_jobs(jobs_, new_))
 UPDATED = "SELECT user_id AS job_id, event_type AS status, CASE WHEN value > 80 THEN concat('boom', cast(event_id AS string)) END AS error, ts AS updated_at FROM {events} WHERE user_id % 4 < 2"
 query("job2_update", "SELECT j.job_id, coalesce(u.status, j.status) AS status, source_name, final_name, coalesce(u.error, j.error) AS error, created_at, coalesce(u.updated_at, j.updated_at) AS updated_at FROM jobs_ AS j LEFT JOIN (SELECT job_id, arg_max(status, updated_at) AS status, arg_max(error, updated_at) FILTER (WHERE error IS NOT NULL) AS error, max(updated_at) AS updated_at FROM upd GROUP BY 1) AS u USING (job_id)", jobs_=JOBS, upd=UPDATED)(lambda jobs_, upd: jobs.update_jobs(jobs_, upd))
+query("job1_events", "SELECT job_id, 'started' AS event, '' AS stage, 'started' AS status, '{\"source_path\":\"/in/' || source_name || '\",\"source_sha256\":null}' AS payload_json, updated_at AS created_at FROM new_", new_=STARTED)(
+    lambda new_: jobs.start_events(new_.withColumn("source_path", F.concat(F.lit("/in/"), "source_name")).withColumn("source_sha256", F.lit(None).cast("string")))
+)
+query("job2_events", "SELECT job_id, 'status' AS event, '' AS stage, status, CASE WHEN error IS NULL THEN '{}' ELSE '{\"error\":\"' || error || '\"}' END AS payload_json, updated_at AS created_at FROM upd", upd=UPDATED)(lambda upd: jobs.update_events(upd))
+
+
+def _job_store(spark, d):
+    """Starts, then updates, each as one batch of two tables: jobs and the events that they leave. The second batch is delivered twice."""
+    at, new, upd = folder(spark), frame(spark, d, STARTED), frame(spark, d, UPDATED)
+    named = new.withColumn("source_path", F.concat(F.lit("/in/"), "source_name")).withColumn("source_sha256", F.lit(None).cast("string"))
+    old = frame(spark, d, JOBS)
+    schema = "job_id long, status string, source_name string, final_name string, error string, created_at timestamp_ntz, updated_at timestamp_ntz"
+    ledger.commit(spark, at, 0, {"jobs": jobs.start_jobs(old, new), "job_events": jobs.start_events(named)})
+    for _ in range(2):
+        now = ledger.state(spark, at, "jobs", schema, ["job_id"])
+        ledger.commit(spark, at, 1, {"jobs": jobs.update_jobs(now, upd), "job_events": jobs.update_events(upd)})
+    events = ledger.rows(spark, at, "job_events", "job_id long, event string").groupBy("job_id").agg(F.count("*").alias("events"))
+    return ledger.state(spark, at, "jobs", schema, ["job_id"]).join(events, "job_id", "left").select("job_id", "status", "error", F.coalesce("events", F.lit(0)).alias("events"))
+
+
+QUERIES["job2_store"] = _job_store
+ORACLES["job2_store"] = f"""WITH new_ AS ({text(STARTED)}), upd AS ({text(UPDATED)}), jobs_ AS ({text(JOBS)}),
+    j AS (SELECT job_id, status, error FROM jobs_ WHERE job_id NOT IN (SELECT job_id FROM new_) UNION ALL SELECT DISTINCT job_id, 'running', NULL FROM new_),
+    u AS (SELECT job_id, arg_max(status, updated_at) AS status, arg_max(error, updated_at) FILTER (WHERE error IS NOT NULL) AS error FROM upd GROUP BY 1),
+    e AS (SELECT job_id, count(*) AS n FROM (SELECT job_id FROM new_ UNION ALL SELECT job_id FROM upd) GROUP BY 1)
+    SELECT job_id, coalesce(u.status, j.status) AS status, coalesce(u.error, j.error) AS error, coalesce(n, 0) AS events FROM j LEFT JOIN u USING (job_id) LEFT JOIN e USING (job_id)"""
 query("job3_record_events", "SELECT event_id, job_id, created_at, '{\"event\":\"' || event || '\"}' AS payload_json FROM ev", ev=EVENTS)(lambda ev: jobs.record_events(ev.drop("value"), ["event"]))
 query("job4_state", "SELECT job_id, arg_max(event, (created_at, event_id)) AS status, arg_max(value, (created_at, event_id)) AS value, count(*) AS events, min(created_at) AS first_at, max(created_at) AS last_at FROM ev GROUP BY 1", ev=EVENTS)(lambda ev: jobs.job_state(ev))
 INDEX = "SELECT doc_id AS id, md5(text) AS source_sha256, doc_id % 100 AS updated_at, concat(source, '_', lang) AS source_name, substring(text, 1, 60) AS final_name FROM {documents}"
