@@ -1,9 +1,16 @@
 """Samples of labelled rows, and rows with odd columns."""
 
+import random
+import re
+
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from foliant.llm import bpe, entries, languages, learning, quality, simhash, suffix, toxicity
+from foliant.llm.common import written
 
 
 @pytest.mark.parametrize("bound", [1, 50, 400, 5000])
@@ -42,3 +49,66 @@ def test_language_of_its_own_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {(r["text"], r["lang_pred"]) for r in languages.languages(docs).join(docs.select("doc_id", "text").filter("doc_id >= 40"), "doc_id").collect()}
     assert got == {(texts["fr"], "fr")}
+
+
+def test_filters_against_sets():
+    """Bloom filters against plain sets of grams: none is missed, false ones are as rare as told, corrected counts are close."""
+    rng = np.random.default_rng(5)
+    known = {f"l{i}": np.unique(rng.integers(0, 1 << 32, 40_000, dtype=np.uint32)) for i in range(3)}
+    model = languages.Filters.of(list(known), known)
+    for i, name in enumerate(known):
+        own = {int(x) for x in known[name]}
+        held = known[name][:500]
+        assert all(model.counts(held[k : k + 1])[i] > 0.5 for k in range(50))
+        strange = np.array([x for x in rng.integers(0, 1 << 32, 60_000, dtype=np.uint32).tolist() if x not in own], np.uint32)
+        sets = model.rows[next(model.places(strange))]
+        for p in list(model.places(strange))[1:]:
+            sets = sets & model.rows[p]
+        false = float(((sets[:, 0] >> np.uint64(i)) & np.uint64(1)).mean())
+        assert abs(false - model.false[i]) < 0.1 * model.false[i] + 3e-4
+        mixed = np.concatenate([held, strange[:5000]])
+        assert abs(model.counts(mixed)[i] - sum(int(x) in own for x in mixed)) < 30
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """What the first three stages keep, and whose pieces come out, from plain Python rules on each stage's own input."""
+    rng = random.Random(11)
+    vocabulary = [f"wort{i}" for i in range(400)]
+    base = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 2, 60, 150]))) for _ in range(60)]
+    texts: list = base + [base[3], base[3] + "  ", base[7].replace(" ", "\n", 1), None, "", " "] + [t + " ende" for t in base[:12]] + ["du idiot bist ein trottel " + t for t in base[20:40]]
+    labels = [(i, 0, int("idiot" in (t or ""))) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    path = str(tmp_path)
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: {r["doc_id"] for r in df.collect()}
+
+    clean = written(stages["toxicity"](spark, docs, path), "clean")
+    assert ids(clean) == {i for i, _, toxic in labels if not toxic}
+    first: dict = {}
+    for i in sorted(ids(clean)):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[i] or ""), i)
+    single = written(stages["exact_dedup"](spark, clean, path), "single")
+    assert ids(single) == set(first.values())
+
+    def fingerprint(text: str) -> int:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).split()
+        shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    prints = {i: fingerprint(texts[i] or "") for i in ids(single)}
+    group = {i: i for i in prints}
+    for _ in prints:
+        for i in prints:
+            for j in prints:
+                if (prints[i] ^ prints[j]).bit_count() <= 3:
+                    group[i] = group[j] = min(group[i], group[j])
+        if all(group[group[i]] == group[i] for i in prints):
+            break
+    apart = written(stages["simhash_near_dedup"](spark, single, path), "apart")
+    assert ids(apart) == set(group.values())
+    cut = {r["doc_id"]: r["text"] for r in stages["substring_dedup"](spark, apart, path).collect()}
+    assert set(cut) <= ids(apart) and all((cut[i] or "") == (texts[i] or "") for i in cut if len((texts[i] or "").split()) < 50)
+    assert ids(corpus_pipeline.run(spark, path)) == set(cut)
