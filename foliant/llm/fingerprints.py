@@ -84,18 +84,38 @@ def within_radius(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=1) <= RADIUS
 
 
+def first_place(x: np.ndarray, table: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Of XORed fingerprints that meet under a block table (and one of its finer keys, or -1): is it the first that they share?"""
+    octets = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), BITS // 8)
+    blocks = (octets.reshape(len(x), RADIUS + 1, WIDTH) == 0).all(axis=2)
+    ok = blocks.argmax(axis=1) == table
+    fine = np.flatnonzero(ok & (part >= 0))
+    if len(fine):
+        keep = np.arange(octets.shape[1]) // WIDTH != table[fine, None]
+        others = octets[fine][keep].reshape(len(fine), -1)
+        size = octets.shape[1] - WIDTH
+        borders = [i * size // (RADIUS + 1) for i in range(RADIUS + 2)]
+        shared = np.stack([(others[:, a:b] == 0).all(axis=1) for a, b in pairwise(borders)], axis=1)
+        ok[fine] = shared.argmax(axis=1) == part[fine]
+    return ok
+
+
 def near_classes(prints: DataFrame, **how) -> DataFrame:
-    """prints (doc_id, fp binary, any others) -> adds component_id, by all pairs within the radius.
+    """prints (doc_id, fp binary, any others) -> adds component_id, by all pairs within the radius, and near_links: how many other rows are within it.
 
     Fingerprints of several documents or with links join back; any other is a class of its own.
     """
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     nodes = written(firsts, "nodes")
-    linked = nodes.filter("first_id is not null").select(F.col("first_id").alias("node"), "fp")
-    found = components(simhash.links(linked, keys=block_tables, near=within_radius, late=True, finer=finer_tables, spread=RADIUS + 1, **how))
-    known = nodes.join(found, F.col("first_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "first_id"))
-    known = known.filter("n > 1 or component_id <> first_id").select("fp", "component_id", "n")
-    return joined_by_size(prints, known, ["fp"], prints.count()).select(*prints.columns, F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = nodes.filter("first_id is not null").select(F.col("first_id").alias("node"), "fp", "n")
+    met = simhash.links(linked, keys=block_tables, near=within_radius, late=True, finer=finer_tables, spread=RADIUS + 1, first=first_place, **how)
+    found = components(met.filter("b is not null").select("a", "b"))
+    counts = met.filter("b is null").groupBy(F.col("a").alias("first_id")).agg(F.sum("n").alias("others"))
+    known = nodes.join(found, F.col("first_id") == F.col("node"), "left").join(counts, "first_id", "left").withColumn("component_id", F.coalesce("component", "first_id"))
+    links = (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("near_links")
+    known = known.filter("n > 1 or others > 0").select("fp", "component_id", "n", links)
+    joined = joined_by_size(prints, known, ["fp"], prints.count())
+    return joined.select(*prints.columns, F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("near_links", F.lit(0)).alias("near_links"))
 
 
 ROWS = "doc_id long, n_chars long, edited_sha256 string, fp binary, edited_fp binary, near_edited double, near_next double"
@@ -169,7 +189,7 @@ def edited_report(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
-    """The same with near_class: the smallest doc_id that neighbours within the radius reach."""
+    """The same with near_class, the smallest doc_id that neighbours within the radius reach, and near_links, how many other documents are within it."""
     rows = written(edited_likeness(docs).withColumn("edited_sha256", F.unhex("edited_sha256")), "fingerprints")
     near = near_classes(rows).withColumn("edited_sha256", F.lower(F.hex("edited_sha256")))
-    return shown(near.withColumnRenamed("component_id", "near_class"), "near_class")
+    return shown(near.withColumnRenamed("component_id", "near_class"), "near_class", "near_links")

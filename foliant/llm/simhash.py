@@ -129,10 +129,13 @@ def within_chain(x: np.ndarray) -> np.ndarray:
     return ok
 
 
-def forest(values: np.ndarray, groups: np.ndarray, near: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+Tally = Callable[[np.ndarray, np.ndarray], None]
+
+
+def forest(values: np.ndarray, groups: np.ndarray, near: Callable[[np.ndarray], np.ndarray], tally: Tally | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links inside each group (rows of a group stand together) as edges to the first row that they reach.
 
-    values: fingerprints, of one or several 64-bit lanes a row; near tells from their XOR which link.
+    values: fingerprints, of one or several 64-bit lanes a row; near tells from their XOR which link. tally is told all links.
     """
     n = len(values)
     last = np.searchsorted(groups, groups, "right")
@@ -140,6 +143,8 @@ def forest(values: np.ndarray, groups: np.ndarray, near: Callable[[np.ndarray],
     at, step = np.arange(n), 1
     while len(at := at[at + step < last[at]]):
         ok = near(values[at] ^ values[at + step])
+        if tally is not None:
+            tally(at[ok], at[ok] + step)
         left.append(at[ok])
         right.append(at[ok] + step)
         step += 1
@@ -192,49 +197,78 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield rest, numbered(rest)
 
 
-def tiled(values: np.ndarray, groups: np.ndarray, near: Callable[[np.ndarray], np.ndarray], block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """As ``forest``; a group of more than two blocks goes block against block, which bounds the links held at once."""
+def tiled(values: np.ndarray, groups: np.ndarray, near: Callable[[np.ndarray], np.ndarray], block: int, tally: Tally | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``forest``; a group of more than two blocks goes block against block, which bounds the links held at once. tally is told each link once."""
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     sizes = np.diff(np.r_[starts, len(groups)])
     few = np.flatnonzero(np.repeat(sizes <= 2 * block, sizes))
-    a, b = forest(values[few], groups[few], near)
+    a, b = forest(values[few], groups[few], near, tally and (lambda a, b: tally(few[a], few[b])))
     yield few[a], few[b]
     for start, size in zip(starts[sizes > 2 * block], sizes[sizes > 2 * block], strict=True):
         blocks = [np.arange(x, min(x + block, start + size)) for x in range(start, start + size, block)]
-        for one, two in combinations(blocks, 2):
+        for (x, one), (y, two) in combinations(enumerate(blocks), 2):
             at = np.concatenate([one, two])
-            a, b = forest(values[at], np.zeros(len(at), np.int64), near)
+
+            def told(a: np.ndarray, b: np.ndarray, x: int = x, y: int = y, at: np.ndarray = at, n: int = len(one)) -> None:
+                """Links inside a block count beside the first block, those of the first one beside the second."""
+                new = ((a < n) != (b < n)) | ((a >= n) & (x == 0)) | ((b < n) & (x == 0) & (y == 1))
+                tally(at[a[new]], at[b[new]])
+
+            a, b = forest(values[at], np.zeros(len(at), np.int64), near, tally and told)
             yield at[a], at[b]
 
 
 def links(
     fps: DataFrame, keys: Callable[[Column], Column] = ring_keys, near: Callable[[np.ndarray], np.ndarray] = within_chain, block: int = BLOCK, late: bool = False,
-    finer: Callable[[Column, Column], Column] = finer_keys, spread: int = len(AGREEING),
+    finer: Callable[[Column, Column], Column] = finer_keys, spread: int = len(AGREEING), first: Callable[[np.ndarray, int, int], np.ndarray] | None = None,
 ) -> DataFrame:
     """fps (node, fp), one row a fingerprint -> edges (a, b) that connect exactly the nodes whose fingerprints link.
 
     late: wide fingerprints join by node only where several nodes have a key. finer: ``spread`` further keys of a
     key's row, for keys of more blocks than that.
+
+    first: of XORed fingerprints, a table and one of its finer keys (-1: none), for which pairs this is the first place where
+    they meet. With it, the result is written and has rows (a, null, n) beside the edges: links that ``a`` has to n rows; fps then has n, the rows of a fingerprint.
     """
-    keyed = fps.select("node", F.explode(keys(F.col("fp"))).alias("key"), *([] if late else ["fp"]))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    also = ["n"] if first else []
+    keyed = fps.select("node", F.posexplode(keys(F.col("fp"))).alias("table", "key"), *([] if late else ["fp", *also]))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     meets = keyed.join(sizes, "key")
     meets = (meets.join(fps, "node") if late else meets).withColumn("blocks", blocks).withColumn("own", own)
     places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
-    dealt = F.transform(finer(F.col("fp"), F.col("key")), lambda x: F.struct(x.alias("i"), F.lit(-1).alias("j")))
+    dealt = F.transform(finer(F.col("fp"), F.col("key")), lambda x, part: F.struct(x.alias("i"), (-1 - part).alias("j")))
     places = F.when(F.col("blocks") > spread, dealt).otherwise(places)
-    meets = meets.select("key", F.explode(places).alias("place"), "node", "fp").select("key", "place.i", "place.j", "node", "fp")
+    meets = meets.select("key", F.explode(places).alias("place"), "node", "fp", "table", "own", *also).select("key", "place.i", "place.j", "node", "fp", *(["table", "own", "n"] if first else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, g in whole_groups(batches, ["key", "i", "j"]):
-            node = t["node"].to_numpy()
-            for a, b in tiled(lanes(t["fp"]), g, near, block):
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
-
-    n = partitions(fps.sparkSession)
-    return meets.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, "a long, b long").distinct()
+            node, values = t["node"].to_numpy(), lanes(t["fp"])
+            if not first:
+                for a, b in tiled(values, g, near, block):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+                continue
+            table, own, i, j, n = (t[c].to_numpy() for c in ("table", "own", "i", "j", "n"))
+            count = np.zeros(len(node), np.int64)
+
+            def tally(a: np.ndarray, b: np.ndarray) -> None:
+                """Each link counts in one place: the first table, there the first finer key, or else the place of both rows' blocks."""
+                new = (j[a] < 0) | ((own[a] != own[b]) == (i[a] != j[a]))  # noqa: B023
+                new &= first(values[a] ^ values[b], table[a], np.where(j[a] < 0, -1 - j[a], -1))  # noqa: B023
+                np.add.at(count, a[new], n[b[new]])  # noqa: B023
+                np.add.at(count, b[new], n[a[new]])  # noqa: B023
+
+            for a, b in tiled(values, g, near, block, tally):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(np.zeros(len(a), np.int64))], names=["a", "b", "n"])
+            some = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.nulls(len(some), pa.int64()), pa.array(count[some])], names=["a", "b", "n"])
+
+    parts = partitions(fps.sparkSession)
+    dealt_out = meets.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    if not first:
+        return dealt_out.mapInArrow(run, "a long, b long").distinct()
+    return written(dealt_out.mapInArrow(run, "a long, b long, n long"), "links")
 
 
 def near_classes(prints: DataFrame, **how) -> DataFrame:
