@@ -22,6 +22,7 @@ text that loses all its lines is empty; an empty table gives no rows. Other colu
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -224,7 +225,7 @@ def worked(docs: DataFrame, copies: int = COPIES, shard: int = SHARD, room: int
         return rows.withColumn("_id", F.col(name).cast("long")).mapInArrow(functools.partial(probed, share(shards), text, "_id", columns), kinds)
     rows = numbered(docs)
     round_of = np.arange(total) * turns // total  # shards are of about one size
-    path = f"{shared_dir(spark)}/foliant/line-rounds-{spark.sparkContext.applicationId}-{id(rows)}"
+    path = f"{shared_dir(spark)}/foliant/line-rounds-{uuid.uuid4().hex}"
     rows.select(F.col("_id").cast("long").alias("_id"), "_part", text).mapInArrow(functools.partial(dealt_hashes, text, round_of), "round int, _id long, _part long, pairs binary").write.partitionBy("round").parquet(path)
     dealt, out = spark.read.schema("_id long, _part long, pairs binary, round int").parquet(path), f"{path}-lost"
     for turn in range(turns):
