@@ -10,7 +10,11 @@ match in an earlier document; the longer one is its longest previous factor, and
 reaches ``LENGTH``.
 
 A group of copies may hold any share of the rows: a bucket gets a hot slice once from each lot of a task, and
-keeps it once. Buckets are as many as the bytes call for; a partition works on several of them, one after
+keeps it once. A gram that very many distinct slices share would fill its bucket, so such slices are split: each
+string goes by the bytes on that side of the gram where it has more of them, and where these are shared by too
+many as well, by more bytes, up to the whole string. Equal strings take the same way, since it depends on what is
+in them. Which keys are shared by many is read off a sample of the distinct slices; it moves strings, and
+changes no result. Buckets are as many as the bytes call for; a partition works on several of them, one after
 another, so partitions follow the cluster.
 
 Defined results: null counts as empty; texts under ``LENGTH`` bytes lose nothing; matches inside one
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +48,10 @@ PLACE = 24  # bits of a position in a piece
 LOT = 8 << 20
 #: Raw bytes of slices that a bucket should hold.
 BUCKET = 24 << 20
+#: One of SAMPLE distinct slices is looked at; a key that SHARED of these have is dealt by finer keys (some 65,000 slices).
+SAMPLE, SHARED = 2048, 32
+#: The table of such keys has 2 to this power bits at most (32 MB). Keys that meet others' bits are split for nothing.
+TABLE = 28
 #: part tells rows of one doc_id apart (see ``numbered``).
 HEAD = np.dtype([("doc", "<i8"), ("part", "<i8"), ("start", "<i8"), ("size", "u1"), ("gram", "u1")])
 RUNS = "doc long, part long, runs binary"
@@ -103,6 +112,84 @@ def slices(lot: list[tuple[int, int, bytes, int]]) -> tuple[bytes, np.ndarray, n
     return joined, first, last + LENGTH, least[first], h[least[first]]
 
 
+def halves(s: bytes, a: int, b: int) -> list[tuple[int, int, int, int]]:
+    """The strings of a slice that hold its bytes a to b, dealt by further bytes: (begin, end) of a slice and of its longer key.
+
+    A string has LENGTH - (b - a) further bytes. Those with half of them or more before a go by that half, the
+    others by what they must have behind b. A key of LENGTH bytes is the string itself.
+    """
+    further = LENGTH - (b - a)
+    if further == 0:
+        return []
+    before = (further + 1) // 2
+    left, right = min(len(s) - LENGTH, a - before), max(0, a - before + 1)
+    out = [(0, left + LENGTH, a - before, b)] if left >= 0 else []
+    return out + ([(right, len(s), a, b + further - before + 1)] if right <= len(s) - LENGTH else [])
+
+
+class Shared:
+    """Keys that too many distinct slices share, as bits of their hashes."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & self.mask
+        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+    def split(self, s: bytes, gram: int) -> Iterator[tuple[int, int, int]]:
+        """A slice whose gram is shared by too many -> (begin, end, key) of the slices that its strings go in."""
+        open_ = [(0, len(s), gram, gram + GRAM)]
+        while open_:
+            lo, hi, a, b = open_.pop()
+            for x, y, c, d in halves(s[lo:hi], a - lo, b - lo):
+                key = xxhash.xxh3_64_intdigest(s[lo + c : lo + d])
+                if d - c < LENGTH and self.holds(np.array([key], np.uint64))[0]:
+                    open_.append((lo + x, lo + y, lo + c, lo + d))
+                else:
+                    yield lo + x, lo + y, key
+
+
+def sampled_keys(sample: int):
+    """Documents -> (key, slice): all keys, short and long, that one of ``sample`` distinct slices could go by.
+
+    A slice is drawn by a hash of its own bytes, so copies are drawn together and count once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot, _ in lots(batches):
+            joined, begin, end, gram, h = slices(lot)
+            words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(joined, np.uint8), 8)).view("<u8").ravel()
+            mark = h
+            for at in (begin, begin + 16, end - 24, end - 8):
+                mark = mixed(mark ^ words[at], 2)
+            found: set[tuple[int, int]] = set()
+            for i in np.flatnonzero(mark % np.uint64(sample) == 0).tolist():
+                s, g = joined[begin[i] : end[i]], int(gram[i] - begin[i])
+                open_ = [(0, len(s), g, g + GRAM, int(h[i]))]
+                while open_:
+                    lo, hi, a, b, key = open_.pop()
+                    found.add((key, xxhash.xxh3_64_intdigest(s[lo:hi])))
+                    open_ += [(lo + x, lo + y, lo + c, lo + d, xxhash.xxh3_64_intdigest(s[lo + c : lo + d])) for x, y, c, d in halves(s[lo:hi], a - lo, b - lo) if d - c < LENGTH]
+            if found:
+                both = np.array(list(found), np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["key", "slice"])
+
+    return run
+
+
+def shared_keys(texts: DataFrame, raw: int, sample: int = SAMPLE) -> Shared:
+    """The keys of SHARED sampled slices or more, for ``raw`` bytes of text. Equal bits count once; 4 KB of them a row come to the driver."""
+    width = min(TABLE, max(16, (raw >> 14).bit_length()))
+    many = texts.mapInArrow(sampled_keys(sample), "key long, slice long").groupBy("key").agg(F.count_distinct("slice").alias("n")).filter(F.col("n") >= SHARED)
+    at = F.col("key").bitwiseAND((1 << width) - 1)
+    chunks = many.groupBy(F.shiftright(at, 15).alias("chunk")).agg(F.bitmap_construct_agg(at.bitwiseAND((1 << 15) - 1)).alias("bits"))
+    bits = np.zeros(1 << (width - 3), np.uint8)
+    for chunk, found in chunks.collect():
+        bits[chunk << 12 : (chunk + 1) << 12] |= np.frombuffer(found, np.uint8)
+    return Shared(bits)
+
+
 def packed(head: np.ndarray, parts: list[bytes], level: int = 8) -> bytes:
     """Slices as one compressed blob: the fields of the heads one after another, numbers as differences, then the bytes."""
     fields = [np.diff(head[k], prepend=0) if k in ("doc", "part", "start") else head[k] for k in HEAD.names]
@@ -136,19 +223,52 @@ def by_row(doc: np.ndarray, part: np.ndarray, start: np.ndarray, end: np.ndarray
 DEALT_ROWS = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("part", pa.int64()), ("blob", pa.binary())])
 
 
-def dealt(buckets: int):
+def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, int, bytes, int]], int]]:
+    """Documents (_id, _part, _text) -> lots of pieces, with the number of their batch; short texts and rows without a doc_id are left out."""
+    for number, batch in enumerate(batches):
+        rows = [(d, p, t) for d, p, t in zip(*(batch[c].to_pylist() for c in ("_id", "_part", "_text")), strict=True) if len(t) >= LENGTH and d is not None]
+        for lot in pieces(rows):
+            yield lot, number
+
+
+def dealt(buckets: int, shared: Shared | None = None):
     """Documents (_id, _part, _text) -> slices by bucket, and runs that an earlier document of the same task has (bucket, runs)."""
 
-    def leaving(own: list[bytes], fields: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        docs, parts, at, gram, h = fields
-        size = np.fromiter(map(len, own), np.int64, len(own))
+    def late(own: list[bytes], docs: np.ndarray) -> np.ndarray:
         seen: dict[bytes, int] = {}
-        first = np.fromiter((seen.setdefault(s, d) for s, d in zip(own, docs.tolist(), strict=True)), np.int64, len(own))
-        late = first < docs
-        ids, rows, runs = by_row(docs[late], parts[late], at[late], (at + size)[late])
+        return np.fromiter((seen.setdefault(s, d) for s, d in zip(own, docs.tolist(), strict=True)), np.int64, len(own)) < docs
+
+    def going(own: list[bytes], fields: list[np.ndarray], gone: np.ndarray) -> Iterator[pa.RecordBatch]:
+        docs, parts, at = (x[gone] for x in fields[:3])
+        size = np.fromiter((len(own[i]) for i in np.flatnonzero(gone).tolist()), np.int64, len(docs))
+        ids, rows, runs = by_row(docs, parts, at, at + size)
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array([d % buckets for d in ids], pa.int32()), pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(runs, pa.binary())], schema=DEALT_ROWS)
-        keep = np.flatnonzero(~late)
+
+    def split(own: list[bytes], fields: list[np.ndarray], hot: list[int]) -> tuple[list[bytes], list[np.ndarray]]:
+        """What the slices in ``hot`` are split into, with fields of their own; their key takes the hash's place."""
+        new: list[bytes] = []
+        rows: list[tuple[int, int, int]] = []
+        for i in hot:
+            for lo, hi, key in shared.split(own[i], int(fields[3][i])):
+                new.append(own[i][lo:hi])
+                rows.append((i, lo, key))
+        of, lo = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        return new, [fields[0][of], fields[1][of], fields[2][of] + lo, fields[3][of] - lo, np.array([r[2] for r in rows], np.uint64)]
+
+    def leaving(own: list[bytes], fields: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        gone = late(own, fields[0])
+        yield from going(own, fields, gone)
+        hot = ~gone & shared.holds(fields[4]) if shared else np.zeros(len(own), bool)
+        if hot.any():
+            finer, more = split(own, fields, np.flatnonzero(hot).tolist())
+            own, fields = own + finer, [np.concatenate(x) for x in zip(fields, more, strict=True)]
+            again = late(finer, more[0])
+            yield from going(finer, more, again)
+            gone = np.concatenate([gone | hot, again])
+        docs, parts, at, gram, h = fields
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        keep = np.flatnonzero(~gone)
         bucket = (mixed(h[keep], 1) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         keep, bucket = keep[order], bucket[order]
@@ -162,22 +282,22 @@ def dealt(buckets: int):
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in named], pa.int32()), none, none, pa.array([x[1] for x in named], pa.binary())], schema=DEALT_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(d, p, t) for d, p, t in zip(*(batch[c].to_pylist() for c in ("_id", "_part", "_text")), strict=True) if len(t) >= LENGTH and d is not None]
-            own: list[bytes] = []
-            found: list[list[np.ndarray]] = []
-            held = 0
-            for lot in pieces(rows):
-                joined, begin, end, gram, h = slices(lot)
-                starts = np.concatenate([[0], np.cumsum([len(x[2]) for x in lot])])
-                which = np.searchsorted(starts, begin, "right") - 1
-                own += [joined[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
-                found.append([np.array([x[0] for x in lot])[which], np.array([x[3] for x in lot])[which], begin - starts[which] + np.array([x[1] for x in lot])[which], gram - begin, h])
-                if (held := held + len(joined)) >= LOT:
-                    yield from leaving(own, [np.concatenate(x) for x in zip(*found, strict=True)])
-                    own, found, held = [], [], 0
-            if own:
+        own: list[bytes] = []
+        found: list[list[np.ndarray]] = []
+        held, now = 0, 0
+        for lot, number in lots(batches):
+            if own and (held >= LOT or number != now):
                 yield from leaving(own, [np.concatenate(x) for x in zip(*found, strict=True)])
+                own, found, held = [], [], 0
+            now = number
+            joined, begin, end, gram, h = slices(lot)
+            starts = np.concatenate([[0], np.cumsum([len(x[2]) for x in lot])])
+            which = np.searchsorted(starts, begin, "right") - 1
+            own += [joined[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
+            found.append([np.array([x[0] for x in lot])[which], np.array([x[3] for x in lot])[which], begin - starts[which] + np.array([x[1] for x in lot])[which], gram - begin, h])
+            held += len(joined)
+        if own:
+            yield from leaving(own, [np.concatenate(x) for x in zip(*found, strict=True)])
 
     return run
 
@@ -342,7 +462,8 @@ def repeated_runs(rows: DataFrame, text: str) -> DataFrame:
     raw = rows.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     least = partitions(spark)
     buckets = int(min(max(least, raw * 4 // BUCKET), 2**31 - 1))
-    cut = rows.select("_id", "_part", text_bytes(text).alias("_text")).mapInArrow(dealt(buckets), "bucket int, doc long, part long, blob binary")
+    texts = rows.select("_id", "_part", text_bytes(text).alias("_text"))
+    cut = texts.mapInArrow(dealt(buckets, shared_keys(texts, raw)), "bucket int, doc long, part long, blob binary")
     n = max(least, min(buckets, DEALT))
     return cut.repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket").mapInArrow(matched, RUNS)
 

@@ -67,10 +67,10 @@ def test_suffix_automaton():
             assert got == sorted((w for w in words if text[:end].endswith(w)), key=len, reverse=True)
 
 
-def removed(docs, piece, monkeypatch, buckets=3):
+def removed(docs, piece, monkeypatch, buckets=3, shared=None):
     monkeypatch.setattr(suffix, "PIECE", piece)
     batches = [pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array([0] * len(part), pa.int64()), pa.array([t for _, t in part], pa.binary())], names=["_id", "_part", "_text"]) for part in (docs[:20], docs[20:]) if part]
-    rows = [x for b in batches for x in suffix.dealt(buckets)(iter([b]))]
+    rows = [x for b in batches for x in suffix.dealt(buckets, shared)(iter([b]))]
     got = {d: np.zeros(len(t), bool) for d, t in docs}
     in_order = [b.filter(pa.array([v == k for v in b["bucket"].to_pylist()])) for k in range(buckets) for b in rows]
     for b in suffix.matched(iter(in_order)):
@@ -97,7 +97,9 @@ def test_suffix_dedup(piece, monkeypatch):
         for d, t in sorted(docs):
             for i in range(len(t) - 49):
                 first.setdefault(t[i : i + 50], d)
-        got = removed(docs, piece, monkeypatch)
+        some = np.frombuffer(bytes(r.choice((0, 255, 37)) for _ in range(1 << 13)), np.uint8)
+        shared = [None, suffix.Shared(np.full(1 << 13, 255, np.uint8)), suffix.Shared(some), suffix.Shared(np.zeros(1 << 13, np.uint8))][trial]
+        got = removed(docs, piece, monkeypatch, shared=shared)
         for d, t in docs:
             want = np.zeros(len(t), bool)
             for i in range(len(t) - 49):
@@ -106,6 +108,20 @@ def test_suffix_dedup(piece, monkeypatch):
             assert (want == got[d]).all()
 
 
+def test_split_slices():
+    """Each string of a slice goes in one of its halves, by a key that it holds itself, however far keys reach."""
+    r = random.Random(5)
+    for full in (True, False):
+        shared = suffix.Shared(np.full(1 << 13, 255, np.uint8) if full else np.frombuffer(r.randbytes(1 << 13), np.uint8))
+        for n, gram in ((50, 0), (50, 42), (92, 42), (70, 20), (51, 1)):
+            s = r.randbytes(n)
+            parts = list(shared.split(s, gram))
+            strings = sorted(s[i : i + 50] for lo, hi, _ in parts for i in range(lo, hi - 49))
+            assert strings == sorted(s[i : i + 50] for i in range(n - 49))
+            if full:
+                assert all(hi - lo == 50 for lo, hi, _ in parts)
+
+
 def test_suffix_order():
     text = np.frombuffer(b"abracadabra" * 12, np.uint8)
     order, rank, _ = suffix.suffix_order(text)

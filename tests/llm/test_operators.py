@@ -263,6 +263,29 @@ def test_suffix(docs, none):
     assert suffix.removal_digests(none).count() == 0
 
 
+def test_shared_keys(spark, monkeypatch):
+    """A gram that many distinct slices share is found and split, copies don't make one, and the rows stay the same."""
+    r = random.Random(11)
+    noise = ["".join(r.choice("abcdefghijklmnop") for _ in range(100)) for _ in range(240)]
+    grams = [f"{i:04}WXYZ".encode() for i in range(4000)]  # the one with the least hash is the minimizer wherever it stands
+    gram = min(grams, key=lambda g: int(suffix.mixed(np.frombuffer(g, "<u8"), 0)[0])).decode()
+    texts = [x[:50] + gram + x[50:] for x in noise[:120]] + [noise[0][30:50] + gram + noise[i][50:80] + noise[1] for i in range(120)] + [noise[200]] * 90
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = docs.select(F.col("doc_id").alias("_id"), F.lit(0).cast("long").alias("_part"), F.col("text").cast("binary").alias("_text"))
+    shared = suffix.shared_keys(rows, 10**5, 1)
+    monkeypatch.setattr(suffix, "shared_keys", lambda texts, raw: shared)
+    hot = suffix.mixed(np.frombuffer(gram.encode(), "<u8"), 0)
+    assert shared.holds(hot)[0] and 1 <= int(np.unpackbits(shared.bits).sum()) <= 12
+    got = {d["doc_id"]: d["n_removed"] for d in suffix.removal_digests(docs).collect()}
+    first = {}
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 49):
+            first.setdefault(t[i : i + 50], d)
+    for d, t in enumerate(texts):
+        gone = {j for i in range(len(t) - 49) if first[t[i : i + 50]] < d for j in range(i, i + 50)}
+        assert got[d] == len(gone), d
+
+
 def test_passages(docs, none):
     got = {r["doc_id"]: r for r in windows.remove_passages(docs).collect()}
     assert got[7]["n_removed"] == 0 and got[8]["n_removed"] >= 70 and got[8]["copied_from"] == [7]
