@@ -19,17 +19,31 @@ def remainder(modulus: int) -> Column:
 LEAST = 200
 
 
-def pool(rows: DataFrame, bound: int) -> DataFrame:
-    """About 2 * bound rows with the least hashes, among them the ``bound`` first: what meets in one task to be put in order.
+#: Buckets of one look at the hashes (a power of two), and rows of the last bucket that are put in order together.
+BUCKET_BITS, TOGETHER = 12, 1000
 
-    Hashes spread evenly over 64 bits, so a share of the rows lies below that share of the range. Should fewer
-    than ``bound`` rows lie there, all of them are taken.
+
+def first_by_hash(rows: DataFrame, bound: int) -> DataFrame:
+    """The ``bound`` rows with the least ``_h`` (a long; ties by doc_id); rows is a written table.
+
+    Rows are counted by the leading bits of their hashes, then by further bits within the bucket that the last row
+    lies in, until few are left there. What lies below that bucket is kept where it stands; only the rest of
+    the bucket is put in order, in one task.
     """
-    n = rows.count()
-    if n <= 2 * bound:
-        return rows
-    few = rows.filter(F.col("_h") < F.lit((2 * bound << 64) // n - (1 << 63)))
-    return few if few.count() >= bound else rows
+    shift, need, inside, below = 64 - BUCKET_BITS, bound, F.lit(True), F.lit(False)
+    while True:
+        bucket = F.shiftright("_h", shift)
+        counts = sorted(rows.filter(inside).groupBy(bucket.alias("b")).count().collect())
+        for at, n in counts:
+            if n >= need:
+                break
+            need -= n
+        else:
+            return rows
+        inside, below = bucket == at, bucket < at
+        if n <= max(TOGETHER, need) or shift == 0:
+            return rows.filter(below).union(rows.filter(inside).orderBy("_h", "doc_id").limit(need))
+        shift = max(0, shift - BUCKET_BITS)
 
 
 def sampled(labels: DataFrame, keep: Column, bound: int, label: str = "label") -> DataFrame:
@@ -45,7 +59,7 @@ def sampled(labels: DataFrame, keep: Column, bound: int, label: str = "label") -
 
     few = F.col("_part") % isqrt(partitions(labels.sparkSession))  # no task gets LEAST rows of every partition
     rare = first(first(first(rows.withColumn("_part", part), label, "_part"), label, few), label).drop("_part")
-    drawn = pool(rows, bound).orderBy("_h", "doc_id").limit(bound)
+    drawn = first_by_hash(rows, bound)
     return written(drawn.union(rare).distinct().drop("_h"), "sample")
 
 

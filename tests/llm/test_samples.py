@@ -22,11 +22,16 @@ def test_sample_is_the_first_by_hash(spark, bound):
     assert got == {i for _, i in sorted(rows)[:bound] + by_class[0] + by_class[1]}
 
 
-def test_pool_is_small_and_falls_back(spark):
-    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("_h"))
-    assert 1000 <= learning.pool(rows, 1000).count() <= 3000
-    high = rows.filter("_h > 0")  # hashes that don't spread over the range
-    assert learning.pool(high, 1000).count() == high.count()
+@pytest.mark.parametrize("spread", [1, 1 << 40, 1 << 62])
+def test_first_by_hash(spark, spread, monkeypatch):
+    """Hashes over the whole range, in a small part of it and with many ties, against a sort."""
+    monkeypatch.setattr(learning, "TOGETHER", 20)
+    h = F.shiftright(F.xxhash64("id"), spread.bit_length() - 1)
+    rows = written(spark.range(20_000).select(F.col("id").alias("doc_id"), h.alias("_h")), "rows")
+    ordered = sorted((r["_h"], r["doc_id"]) for r in rows.collect())
+    for bound in (1, 777, 12_000, 20_000, 30_000):
+        got = learning.first_by_hash(rows, bound).collect()
+        assert sorted((r["_h"], r["doc_id"]) for r in got) == ordered[:bound]
 
 
 def test_int_ids_and_backticks(spark):
