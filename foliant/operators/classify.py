@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.joins import joined_to_many
+from foliant.functions.joins import joined_to_many, spread
 from foliant.functions.text import folded, spaced, strip
 from foliant.operators.fusion import joined
 from foliant.sources.ledger import staged
@@ -415,9 +415,9 @@ def artifacts_for(docs: DataFrame, files: DataFrame, exact: bool = False) -> Dat
     suffix = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))
     f = files.filter(suffix.isin(".pdf", ".txt", ".docx", ".odt", ".doc", ".odoc")).withColumn("_stem", F.regexp_replace("name", r"\.[^.]*$", ""))
     if exact:
-        return docs.join(f, docs["final_name"] == f["_stem"]).select("doc_id", "name")
+        return docs.join(spread(f), docs["final_name"] == f["_stem"]).select("doc_id", "name")
     prefixes = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring(F.col("name"), F.lit(1), i))
-    return f.select("name", F.explode(prefixes).alias("final_name")).join(docs, "final_name").select("doc_id", "name")
+    return f.select("name", F.explode(prefixes).alias("final_name")).join(spread(docs), "final_name").select("doc_id", "name")
 
 
 def context_lines(contexts: DataFrame, paths: DataFrame, most: int = 80) -> DataFrame:
