@@ -85,7 +85,7 @@ def context_hits(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     held = joined_to_many(words, known.groupBy("_word").agg(F.collect_set("_first").alias("_firsts")), ["_word"])
     met = joined_to_many(held.select("doc_id", F.explode("_firsts").alias("_first")).distinct(), terms, ["_first"])
     several = F.contains("norm", F.lit(" "))
-    checked = met.filter(several).join(texts, "doc_id").filter(F.contains("_text", "norm")).drop("_text")
+    checked = met.filter(several).join(spread(texts), "doc_id").filter(F.contains("_text", "norm")).drop("_text")
     return met.filter(~several).unionByName(checked).drop("norm", "_first")
 
 
@@ -135,11 +135,11 @@ def learn(decisions: DataFrame, terms: DataFrame, rejected: DataFrame, stored: D
     decisions (decision_id, doc_id, chosen_path, document_type); rejected (decision_id, path): candidates and
     proposals that were not chosen. Counts stop at MOST; as they only grow, the order of decisions is free.
     """
-    t = terms.select("doc_id", "term", "place")
+    t = spread(terms.select("doc_id", "term", "place"))
     pos = decisions.join(t, "doc_id").select(F.col("chosen_path").alias("path"), F.lit("positive").alias("kind"), "term", F.lit(1).alias("n"))
     kinds = decisions.filter("coalesce(document_type, '') <> ''").select(F.col("chosen_path").alias("path"), F.lit("type").alias("kind"), folded(F.col("document_type")).alias("term"), F.lit(2).alias("n"))
-    lost = rejected.join(decisions.select("decision_id", "doc_id", "chosen_path"), "decision_id").filter("path <> chosen_path")
-    neg = lost.join(t.filter(F.col("place") <= REJECTED), "doc_id").select("path", F.lit("negative").alias("kind"), "term", F.lit(1).alias("n"))
+    lost = rejected.join(spread(decisions.select("decision_id", "doc_id", "chosen_path")), "decision_id").filter("path <> chosen_path")
+    neg = lost.join(spread(t.filter(F.col("place") <= REJECTED)), "doc_id").select("path", F.lit("negative").alias("kind"), "term", F.lit(1).alias("n"))
     return pos.union(kinds).union(neg).union(stored.select("path", "kind", "term", "n")).groupBy("path", "kind", "term").agg(F.least(F.sum("n"), F.lit(MOST)).alias("n"))
 
 
@@ -159,12 +159,12 @@ def decision_terms(decisions: DataFrame, terms: DataFrame, rejected: DataFrame)
     decisions (decision_id, doc_id, chosen_path, document_type); terms (doc_id, term, place); rejected (decision_id, path, ord):
     candidates and proposals, in the order in which they count.
     """
-    t = terms.select("doc_id", "term", "place")
+    t = spread(terms.select("doc_id", "term", "place"))
     named = lambda df, path, kind, turn, n: df.select(F.col(path).alias("path"), F.lit(kind).alias("kind"), "decision_id", turn.cast("int").alias("turn"), F.col("place").cast("int").alias("place"), "term", F.lit(n).alias("n"))
     pos = named(decisions.join(t, "doc_id"), "chosen_path", "positive", F.lit(0), 1)
     types = decisions.withColumn("term", folded(F.col("document_type"))).filter("coalesce(term, '') <> ''").withColumn("place", F.lit(0))
-    lost = rejected.withColumnRenamed("path", "_path").join(decisions.select("decision_id", "doc_id", "chosen_path"), "decision_id").filter("_path <> chosen_path")
-    neg = named(lost.join(t.filter(F.col("place") <= REJECTED), "doc_id"), "_path", "negative", F.col("ord"), 1)
+    lost = rejected.withColumnRenamed("path", "_path").join(spread(decisions.select("decision_id", "doc_id", "chosen_path")), "decision_id").filter("_path <> chosen_path")
+    neg = named(lost.join(spread(t.filter(F.col("place") <= REJECTED)), "doc_id"), "_path", "negative", F.col("ord"), 1)
     return pos.union(named(types, "chosen_path", "type", F.lit(0), 2)).union(neg)
 
 
@@ -224,7 +224,7 @@ def memory_candidates(terms: DataFrame, types: DataFrame, memory: DataFrame, sta
     scored = hits.groupBy("doc_id", "path").agg(F.sum(gain).alias("gain"), positive.alias("evidence")).filter(F.size("evidence") > 0)
     kind = memory.filter("kind = 'type'").select("path", F.col("term").alias("kind_term"), F.least("n", F.lit(6)).alias("kind_n"))
     named = types.select("doc_id", folded(F.col("document_type")).alias("kind_term"))
-    scored = scored.join(named, "doc_id", "left").join(kind, ["path", "kind_term"], "left").join(stats.select("path", "confirmed_count"), "path", "left")
+    scored = scored.join(spread(named), "doc_id", "left").join(kind, ["path", "kind_term"], "left").join(stats.select("path", "confirmed_count"), "path", "left")
     score = F.least(F.coalesce("confirmed_count", F.lit(0)) * 3, F.lit(18)) + F.col("gain") + F.coalesce("kind_n", F.lit(0)) * 5
     scored = scored.withColumn("raw", score).filter("raw >= 18").withColumn("score", F.least("raw", F.lit(TOP)))
     best = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc(depth(F.col("path"))), "path")
@@ -288,7 +288,7 @@ def normalize_answer(answers: DataFrame, paths: DataFrame, persons: DataFrame) -
 def residue(docs: DataFrame, *tiers: DataFrame) -> DataFrame:
     """Documents that no tier decided: what the model is asked about."""
     for rows in tiers:
-        docs = docs.join(rows.select("doc_id"), "doc_id", "left_anti")
+        docs = docs.join(spread(rows.select("doc_id")), "doc_id", "left_anti")
     return docs
 
 
@@ -318,23 +318,23 @@ def classify(docs: DataFrame, ranked: DataFrame, memory: DataFrame, paths: DataF
         return df.select("doc_id", "path", is_new.alias("is_new"), reason.alias("reason"), F.col("score").cast("int").alias("confidence"), evidence.alias("evidence"))
 
     first = tier(best_context(ranked), F.lit("context_match"), F.lit(False), F.col("evidence"))
-    second = tier(auto_accept(merged).join(first.select("doc_id"), "doc_id", "left_anti"), F.col("reason"), F.col("is_new"), F.col("evidence"))
+    second = tier(auto_accept(merged).join(spread(first.select("doc_id")), "doc_id", "left_anti"), F.col("reason"), F.col("is_new"), F.col("evidence"))
     decided = staged(first.union(second), "decided")
     left = staged(residue(docs, decided), "residue")
     answers = staged(ask(left), "answers")
     said = normalize_answer(answers, paths, persons)
     third = tier(said, F.lit("llm"), F.col("is_new"), none)
-    rest = residue(left, third).select("doc_id").join(merged.filter("place = 1"), "doc_id", "left")
+    rest = residue(left, third).select("doc_id").join(spread(merged.filter("place = 1")), "doc_id", "left")
     sure = paths.filter(F.col("path") == CATCH_ALL).agg((F.count("*") == 0).alias("_new"))  # one row
     fourth = rest.join(F.broadcast(sure)).select(
         "doc_id", F.coalesce("path", F.lit(CATCH_ALL)).alias("path"), F.coalesce("is_new", "_new").alias("is_new"), F.lit("fallback").alias("reason"),
         F.coalesce("score", F.lit(0)).alias("confidence"), F.coalesce("evidence", none).alias("evidence"),
     )
     why = answers.select("doc_id", F.when(F.coalesce("why", F.lit("")) != "", F.array("why")).otherwise(none).alias("evidence"))
-    asked = said.join(why, "doc_id").select("doc_id", "path", F.col("score").cast("int").alias("score"), F.lit("llm").alias("reason"), "evidence", F.lit(-1).alias("ord"))
-    beside = merged.join(asked.select("doc_id"), "doc_id", "left_semi").select("doc_id", "path", "score", "reason", "evidence", F.col("place").alias("ord"))
-    shown = listed(merged.join(asked.select("doc_id"), "doc_id", "left_anti")).union(listed(merge_candidates(asked.union(beside), paths)))
-    out = decided.union(third).union(fourth).join(shown, "doc_id", "left")
+    asked = said.join(spread(why), "doc_id").select("doc_id", "path", F.col("score").cast("int").alias("score"), F.lit("llm").alias("reason"), "evidence", F.lit(-1).alias("ord"))
+    beside = merged.join(spread(asked.select("doc_id")), "doc_id", "left_semi").select("doc_id", "path", "score", "reason", "evidence", F.col("place").alias("ord"))
+    shown = listed(merged.join(spread(asked.select("doc_id")), "doc_id", "left_anti")).union(listed(merge_candidates(asked.union(beside), paths)))
+    out = decided.union(third).union(fourth).join(spread(shown), "doc_id", "left")
     all_ = F.coalesce("candidates", F.array().cast(CANDIDATE))
     return out.withColumn("candidates", F.when(F.col("reason") == "context_match", all_).otherwise(F.slice(all_, 1, 5)))
 
@@ -343,7 +343,7 @@ def needs_review(results: DataFrame, merged: DataFrame) -> DataFrame:
     """results (doc_id, confidence, is_new) -> adds review: unsure, or two close candidates; new paths are asked for anyway."""
     two = merged.groupBy("doc_id").agg(F.max(F.when(F.col("place") == 1, F.col("score"))).alias("top"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("second"))
     close = (F.col("top") < 85) & (F.col("top") - F.col("second") <= 8)
-    return results.join(two, "doc_id", "left").withColumn("review", ~F.col("is_new") & ((F.col("confidence") < 60) | F.coalesce(close, F.lit(False)))).drop("top", "second")
+    return results.join(spread(two), "doc_id", "left").withColumn("review", ~F.col("is_new") & ((F.col("confidence") < 60) | F.coalesce(close, F.lit(False)))).drop("top", "second")
 
 
 def normalize_target(df: DataFrame, paths: DataFrame, persons: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from foliant.functions.joins import joined_to_many
 from foliant.operators import classify
 
 
@@ -21,9 +22,55 @@ def broadcasts(df):
     return str(df._jdf.queryExecution().executedPlan().toString()).count("BroadcastHashJoin")
 
 
+@pytest.fixture
+def learning(kept):
+    return {
+        "decisions": kept("decisions", [(1, 1, "A/x", "Rechnung"), (2, 2, "A/y", "")], "decision_id long, doc_id long, chosen_path string, document_type string"),
+        "terms": kept("terms", [(1, "alpha", 1), (2, "beta", 1)], "doc_id long, term string, place int"),
+        "rejected": kept("rejected", [(1, "A/y", 0)], "decision_id long, path string, ord int"),
+        "stored": kept("stored", [("A/x", "positive", "alpha", 2)], "path string, kind string, term string, n int"),
+    }
+
+
+def test_learning_is_not_broadcast(learning):
+    got = classify.learn(**learning)
+    assert broadcasts(got) == 0
+    assert sorted(map(tuple, got.collect())) == [("A/x", "positive", "alpha", 3), ("A/x", "type", "rechnung", 2), ("A/y", "negative", "alpha", 1), ("A/y", "positive", "beta", 1)]
+
+
+def test_replay_is_not_broadcast(learning):
+    got = classify.replay(**learning)
+    assert broadcasts(got) == 0
+    assert sorted(map(tuple, got.collect())) == [("A/x", "positive", "alpha", 3), ("A/x", "type", "rechnung", 2), ("A/y", "negative", "alpha", 1), ("A/y", "positive", "beta", 1)]
+
+
+def test_context_hits_do_not_broadcast_texts(kept):
+    docs = kept("docs", [(1, "eine rote Tür"), (2, "rote Katze")], "doc_id long, haystack string")
+    contexts = kept("contexts", [("P/x", 1, "", ["rote tür"], ["katze"])], "path string, ord int, object_type string, aliases array<string>, keywords array<string>")
+    got = classify.context_hits(docs, contexts)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_text" in plan and broadcasts(got) <= 2  # words of contexts alone
+    assert sorted((r["doc_id"], r["term"]) for r in got.collect()) == [(1, "rote tür"), (2, "katze")]
+
+
+def test_dealt_rows_are_not_broadcast(kept):
+    rows, known = kept("rows", [(1, "a"), (2, "a")], "i long, k string"), kept("known", [("a", 5)], "k string, v int")
+    got = joined_to_many(rows, known, ["k"])
+    assert broadcasts(got) == 0
+    assert sorted(map(tuple, got.select("i", "k", "v").collect())) == [(1, "a", 5), (2, "a", 5)]
+
+
 def test_artifacts_are_not_broadcast(kept):
     docs, files = kept("docs", [(1, "doc_1"), (2, "doc_12")], "doc_id long, final_name string"), kept("files", [("doc_12.pdf",), ("x.json",)], "name string")
     got = classify.artifacts_for(docs, files)
     assert broadcasts(got) == 0
     assert sorted(map(tuple, got.collect())) == [(1, "doc_12.pdf"), (2, "doc_12.pdf")]
     assert broadcasts(classify.artifacts_for(docs, files, exact=True)) == 0
+
+
+def test_memory_and_cascade_keep_documents_apart(kept):
+    ids = kept("ids", [(1,), (2,)], "doc_id long")
+    assert broadcasts(classify.residue(ids, kept("gone", [(1,)], "doc_id long"))) == 0
+    merged = kept("merged", [(1, 1, 80), (1, 2, 75)], "doc_id long, place int, score int")
+    results = kept("results", [(1, 90, False)], "doc_id long, confidence int, is_new boolean")
+    assert broadcasts(classify.needs_review(results, merged)) == 0
