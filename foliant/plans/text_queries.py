@@ -6,17 +6,17 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import preview
 from foliant.operators import fusion, layout, markdown, privacy, quality, routing
-from foliant.plans.inputs import BLOCKS, CHANNELS, PAGE_TEXT, frame, tables, text
+from foliant.plans.inputs import BLOCKS, CHANNELS, PAGE_TEXT, frame, paged, tables, text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, source: str, oracle: str = ""):
+def query(name: str, source: str, oracle: str = "", read=frame):
     """Registers an operator on the rows of ``source``; the oracle reads them as ``src``."""
 
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(frame(spark, sf_dir, source))
+        QUERIES[name] = lambda spark, sf_dir: f(read(spark, sf_dir, source))
         if oracle:
             ORACLES[name] = oracle if oracle.lstrip().startswith("WITH RECURSIVE") else f"WITH src AS ({text(source)}) {oracle}"
         return f
@@ -112,7 +112,7 @@ query("qc13_answers", "SELECT conv_id AS request_id, turn AS seq, CASE WHEN turn
 
 
 def _missing_rows(spark, sf_dir):
-    return quality.missing_rows(frame(spark, sf_dir, PAGE_TEXT), frame(spark, sf_dir, FUSED).select("doc_id", "page_num", "fused"))
+    return quality.missing_rows(paged(spark, sf_dir, PAGE_TEXT), frame(spark, sf_dir, FUSED).select("doc_id", "page_num", "fused"))
 
 
 QUERIES["qc5_missing_corpus"] = _missing_rows
@@ -123,7 +123,7 @@ CHUNKS = "SELECT l_orderkey AS doc_id, cast(row_number() OVER (PARTITION BY l_or
 query("fus1_chunks_to_pages", CHUNKS, """SELECT doc_id, page_num, string_agg(text, E'\\n\\n' ORDER BY chunk_no) AS text FROM (SELECT doc_id, chunk_no, text, unnest(CASE k WHEN 0 THEN [1] WHEN 1 THEN [a] ELSE [a, a + 1] END) AS page_num FROM src) GROUP BY 1, 2""")(
     lambda df: fusion.chunks_to_pages(df.withColumn("pages", F.when(F.col("k") == 0, F.array().cast("array<int>")).when(F.col("k") == 1, F.array("a")).otherwise(F.array(F.col("a"), F.col("a") + 1, F.col("a")))))
 )
-query("fus2_pivot_channels", PAGE_TEXT, "SELECT doc_id, page_num, " + ", ".join(f"coalesce(max(text) FILTER (WHERE channel = '{c}'), '') AS {c}" for c in fusion.CHANNELS) + " FROM src GROUP BY 1, 2")(fusion.pivot_channels)
+query("fus2_pivot_channels", PAGE_TEXT, "SELECT doc_id, page_num, " + ", ".join(f"coalesce(max(text) FILTER (WHERE channel = '{c}'), '') AS {c}" for c in fusion.CHANNELS) + " FROM src GROUP BY 1, 2", paged)(fusion.pivot_channels)
 BEST = "CASE " + " ".join(f"WHEN trim({c}, E' \\n') <> '' THEN {{{c}}}" for c in fusion.CHANNELS)
 BEST_TEXT = BEST.format(**{c: c for c in fusion.CHANNELS}) + " ELSE '' END"
 BEST_NAME = BEST.format(**{c: f"'{c}'" for c in fusion.CHANNELS}) + " END"

@@ -4,6 +4,7 @@ import pytest
 
 from foliant.functions.joins import joined_to_many
 from foliant.operators import classify
+from foliant.plans import inputs, text_queries
 
 
 @pytest.fixture
@@ -74,3 +75,19 @@ def test_memory_and_cascade_keep_documents_apart(kept):
     merged = kept("merged", [(1, 1, 80), (1, 2, 75)], "doc_id long, place int, score int")
     results = kept("results", [(1, 90, False)], "doc_id long, confidence int, is_new boolean")
     assert broadcasts(classify.needs_review(results, merged)) == 0
+
+
+def test_parts_grow_with_lineitem(spark, data, monkeypatch):
+    def exchanged(name):
+        return str(text_queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString())
+
+    names = ["fus8_describe_documents", "fus6_fusion_prompt", "lay4_reading_order", "qc1_amounts"]
+    want = {name: sorted(map(str, text_queries.QUERIES[name](spark, data).collect())) for name in [*names, "fus2_pivot_channels"]}
+    monkeypatch.setattr(inputs, "A_TASK", 500)
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    for name in names:
+        assert "hashpartitioning(l_orderkey#" in exchanged(name) and f", {-(-lines // 500)})" in exchanged(name)
+        assert f", {spark.conf.get('spark.sql.shuffle.partitions')})" not in exchanged(name)
+    assert f", {-(-lines // 500)})" in exchanged("fus2_pivot_channels")
+    for name, rows in want.items():
+        assert sorted(map(str, text_queries.QUERIES[name](spark, data).collect())) == rows
