@@ -58,28 +58,33 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 #: Rows of lineitem that one task sorts and groups, at most about, unless one order has more; and the key by which it meets orders.
 A_TASK, KEY = 250_000, {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+#: Rows of part that one task takes terms from; each gives some ten.
+DOCS_A_TASK = 50_000
 
 
-def parts(lines: DataFrame) -> int | None:
-    """How many parts lineitem's rows ask for; none where the session's number will do."""
-    n = -(-lines.count() // A_TASK)  # Parquet knows it
-    return n if n > int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+def parts(rows: DataFrame, a_task: int) -> int | None:
+    """How many parts a table's rows ask for; none where the session's number will do."""
+    n = -(-rows.count() // a_task)  # Parquet knows it
+    return n if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 def tables(spark: SparkSession, sf_dir: str, sql: str) -> dict[str, DataFrame]:
     """The tables of a text. Lines that meet by order, with the orders they join, come in as many parts as their number asks for.
 
-    What follows is by order too and stays in these parts, so a task's rows don't grow with the table.
+    What follows is by order too and stays in these parts, so a task's rows don't grow with the table. The same holds for
+    documents made of part, whose terms are counted by document.
     """
     found = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
-    if ("GROUP BY l_orderkey" in sql or "PARTITION BY l_orderkey" in sql) and (n := parts(found["lineitem"])):
+    if ("GROUP BY l_orderkey" in sql or "PARTITION BY l_orderkey" in sql) and (n := parts(found["lineitem"], A_TASK)):
         found |= {t: spread(found[t].repartition(n, k)) for t, k in KEY.items() if t in found}
+    if "p_partkey AS doc_id" in sql and "meta_text" in sql and (n := parts(found["part"], DOCS_A_TASK)):
+        found["part"] = found["part"].repartition(n, "p_partkey")
     return found
 
 
 def paged(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """As ``frame``, for texts that are grouped by page: these too come in as many parts as lineitem asks for."""
-    n = parts(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    n = parts(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), A_TASK)
     return frame(spark, sf_dir, sql).repartition(n, "doc_id", "page_num") if n else frame(spark, sf_dir, sql)
 
 

@@ -4,7 +4,7 @@ import pytest
 
 from foliant.functions.joins import joined_to_many
 from foliant.operators import classify
-from foliant.plans import inputs, text_queries
+from foliant.plans import inputs, store_queries, text_queries
 
 
 @pytest.fixture
@@ -91,3 +91,13 @@ def test_parts_grow_with_lineitem(spark, data, monkeypatch):
     assert f", {-(-lines // 500)})" in exchanged("fus2_pivot_channels")
     for name, rows in want.items():
         assert sorted(map(str, text_queries.QUERIES[name](spark, data).collect())) == rows
+
+
+def test_parts_grow_with_documents(spark, data, monkeypatch):
+    want = sorted(map(str, store_queries.QUERIES["cls6_learning_terms"](spark, data).collect()))
+    monkeypatch.setattr(inputs, "DOCS_A_TASK", 20)
+    n = -(-spark.read.parquet(f"{data}/part.parquet").count() // 20)
+    df = store_queries.QUERIES["cls6_learning_terms"](spark, data)
+    plan = str(df._jdf.queryExecution().executedPlan().toString())
+    assert plan.count("Exchange hashpartitioning") == 1 and f", {n})" in plan
+    assert sorted(map(str, df.collect())) == want
