@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from foliant.functions.text import lines, strip
 from foliant.operators.fusion import pivot_channels
 
-# Patterns and limits that results depend on.
-AMOUNT = r"(?U)-?\b[0-9]{1,3}(?:\.[0-9]{3})*,[0-9]{2}\b"
-DATE = r"(?U)\b[0-9]{2}\.[0-9]{2}\.[0-9]{4}\b"
-CODE = r"(?U)\b[0-9]{3,4}\b"
-PAYROLL = "abrechnung|gehalt|lohn|verdienst"
+# Patterns and limits that results depend on. Each looks for a digit first: only there is the border of
+# a word, which takes many times as long to tell, looked at.
+AMOUNT = r"(?U)(?=-?[0-9])-?\b[0-9]{1,3}(?:\.[0-9]{3})*,[0-9]{2}\b"
+DATE = r"(?U)(?=[0-9]{2}\.)\b[0-9]{2}\.[0-9]{2}\.[0-9]{4}\b"
+CODE = r"(?U)(?=[0-9]{3})\b[0-9]{3,4}\b"
+PAYROLL = "(?i)abrechnung|gehalt|lohn|verdienst"  # no letter beyond ASCII has one of these as its lower case
 # What reports say.
 MISSING = {"amount": "Geldbetrag fehlt im Enddokument: ", "date": "Datum fehlt im Enddokument: ", "la_code": "Möglicher Lohnarten-Code (LA) fehlt: "}
 UNITS = {"amount": " EUR"}
@@ -65,26 +66,31 @@ def missing_values(df: DataFrame, sources: tuple[str, str, str] = ("ocr", "docli
 
     def lost(name: str, channels: tuple[str, ...]) -> Column:
         there = F.array_except(F.flatten(F.array(*[f"{k}_{name}" for k in channels])), f"_fused_{name}")
-        return F.array_sort(F.filter(there, code) if name == "code" else there)
+        return F.sort_array(F.filter(there, code) if name == "code" else there)
 
     def named(kind: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
 
-    gone = F.array_sort(F.array_except(F.transform("_raw", lambda r: r["norm"]), F.col("_kept")))
+    gone = F.sort_array(F.array_except(F.transform("_raw", lambda r: r["norm"]), F.col("_kept")))
     amounts = named("amount", F.transform(gone, lambda m: F.element_at(F.filter("_raw", lambda r: r["norm"] == m), -1)["raw"]))
     dates = named("date", lost("date", ("_ocr", "_docling", "_vision")))
-    payroll = F.lower(F.concat(ocr, F.col(fused))).rlike(PAYROLL)
+    payroll = F.concat(ocr, F.col(fused)).rlike(PAYROLL)
     codes = F.when(payroll, named("la_code", lost("code", ("_ocr", "_docling")))).otherwise(F.array().cast("array<struct<type:string,value:string>>"))
     return each.withColumn("missing", F.concat(amounts, dates, codes)).select(*df.columns, "missing")
 
 
+def exploded(df: DataFrame, keys: list[str], values: str | Column = "missing") -> DataFrame:
+    """One row ``m`` for each element. From an inner ``explode`` Spark infers a filter on the size, under which it would search all texts once more."""
+    return df.select(*keys, F.explode_outer(values).alias("m")).filter("m is not null")
+
+
 def missing_rows(long: DataFrame, fused: DataFrame) -> DataFrame:
     """Corpus form: (doc_id, page_num, channel, text) and (doc_id, page_num, fused) -> one row a missing value (type, value).
 
     Channels meet their page's fused text by page, in one exchange of each table.
     """
     pages = fused.select("doc_id", "page_num", "fused").join(pivot_channels(long), ["doc_id", "page_num"], "left").na.fill("")
-    return missing_values(pages).select("doc_id", "page_num", F.explode("missing").alias("m")).select("doc_id", "page_num", "m.type", "m.value")
+    return exploded(missing_values(pages), ["doc_id", "page_num"]).select("doc_id", "page_num", "m.type", "m.value")
 
 
 def digits(c: Column) -> Column:
@@ -106,20 +112,22 @@ def table_loss(source: Column, fused: Column) -> Column:
 def quality_report(df: DataFrame, sources: tuple[str, str, str] = ("ocr", "docling", "vision"), fused: str = "fused") -> DataFrame:
     """Adds severity, warnings, missing and the metrics of each row."""
     ocr, docling, _ = map(F.col, sources)
-    out = missing_values(df, sources, fused)
-    ratio, loss = digit_ratio(ocr, F.col(fused)), table_loss(docling, F.col(fused))
+    counts = {"source_digits": digits(ocr), "fused_digits": digits(F.col(fused)), "source_table_lines": table_lines(docling), "fused_table_lines": table_lines(F.col(fused))}
+    out = missing_values(df, sources, fused).withColumns({f"_{k}": c for k, c in counts.items()})  # every text is counted once
+    had, has, rows, left = (F.col(f"_{k}") for k in counts)
+    ratio, loss = F.when(had > 0, has / had).otherwise(1.0), (rows > LINES_FEW) & (left < rows * LINES_KEPT)
     text = lambda names: F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, v)])
     said = F.transform("missing", lambda m: F.concat(text(MISSING)[m["type"]], m["value"], F.coalesce(text(UNITS)[m["type"]], F.lit(""))))
     none = F.array().cast("array<string>")
     shown = F.concat(F.call_function("format_number", ratio * 100, F.lit("0.0")), F.lit("%"))
-    lost = F.format_string(DIGITS_LOST, shown, digits(F.col(fused)), digits(ocr))
-    few = F.format_string(LINES_LOST, table_lines(docling), table_lines(F.col(fused)))
+    lost = F.format_string(DIGITS_LOST, shown, has, had)
+    few = F.format_string(LINES_LOST, rows, left)
     said = F.concat(said, F.when(ratio < DIGITS_KEPT, F.array(lost)).otherwise(none), F.when(loss, F.array(few)).otherwise(none))
     severity = F.when(ratio < DIGITS_KEPT, "error").when((F.size("missing") > 0) | loss, "warning").otherwise("info")
     return out.select(
         *df.columns, "missing", severity.alias("severity"), said.alias("warnings"),
-        digits(ocr).alias("source_digits"), digits(F.col(fused)).alias("fused_digits"), F.round(ratio, 3).alias("digit_ratio"),
-        table_lines(docling).alias("source_table_lines"), table_lines(F.col(fused)).alias("fused_table_lines"),
+        had.alias("source_digits"), has.alias("fused_digits"), F.round(ratio, 3).alias("digit_ratio"),
+        rows.alias("source_table_lines"), left.alias("fused_table_lines"),
     )
 
 

@@ -75,10 +75,10 @@ MISSING = f"""m AS (SELECT *, {RAW} AS raws, {lost(amounts, ('ocr', 'docling', '
     len(list_filter(string_split(docling, chr(10)), lambda x: contains(x, '|'))) AS st, len(list_filter(string_split(fused, chr(10)), lambda x: contains(x, '|'))) AS ft FROM src)"""
 SPELLED = f"list_transform(la, lambda a: coalesce(list_filter(raws, lambda r: {norm('r')} = a)[-1], a))"
 query("qc5_missing_values", FUSED, f", {MISSING} SELECT doc_id, page_num, kind, value FROM (SELECT doc_id, page_num, 'amount' AS kind, unnest({SPELLED}) AS value FROM m UNION ALL SELECT doc_id, page_num, 'date', unnest(ld) FROM m UNION ALL SELECT doc_id, page_num, 'la_code', unnest(lc) FROM m) AS t")(
-    lambda df: quality.missing_values(df).select(*KEYS, F.explode("missing").alias("m")).select(*KEYS, F.col("m.type").alias("kind"), "m.value")
+    lambda df: quality.exploded(quality.missing_values(df), KEYS).select(*KEYS, F.col("m.type").alias("kind"), "m.value")
 )
 query("qc6_payroll_codes", FUSED, f", {MISSING} SELECT doc_id, page_num, unnest(lc) AS code FROM m")(
-    lambda df: quality.missing_values(df).select(*KEYS, F.explode(F.filter("missing", lambda m: m["type"] == "la_code")).alias("m")).select(*KEYS, F.col("m.value").alias("code"))
+    lambda df: quality.exploded(quality.missing_values(df), KEYS, F.filter("missing", lambda m: m["type"] == "la_code")).select(*KEYS, F.col("m.value").alias("code"))
 )
 query("qc7_digit_ratio", FUSED, f", {MISSING} SELECT doc_id, page_num, CASE WHEN sd > 0 THEN round(fd / sd, 6) ELSE 1.0::double END AS ratio FROM m")(
     lambda df: df.select(*KEYS, F.round(quality.digit_ratio(F.col("ocr"), F.col("fused")), 6).alias("ratio"))

@@ -93,3 +93,22 @@ def test_answers(spark):
     rows = [(1, 2, "b"), (1, 1, "a<think>x\ny</think>"), (1, 3, "c"), (2, 1, "z")]
     got = quality.assemble_answers(spark.createDataFrame(rows, "request_id long, seq int, text string"), 2)
     assert {r["request_id"]: r["answer"] for r in got.collect()} == {1: "ab", 2: "z"}
+
+
+def test_texts_are_searched_once(spark):
+    """Eleven searches of a page's four texts, and its digits and lines counted once, also below what Spark infers from an explode."""
+    pages = spark.range(3).selectExpr("id AS doc_id", "id AS page_num", *(f"concat('Betrag ', id, ',50 vom 01.02.2024 {c}') AS {c}" for c in ("ocr", "docling", "vision", "fused")))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    lost = quality.exploded(quality.missing_values(pages), ["doc_id"])
+    assert plan(lost).count("regexp_extract_all(") == 11
+    long = pages.selectExpr("doc_id", "page_num", "stack(3, 'ocr', ocr, 'docling', docling, 'vision', vision) AS (channel, text)")
+    assert plan(quality.missing_rows(long, pages)).count("regexp_extract_all(") == 11
+    assert plan(quality.quality_report(pages)).count(r"[^\p{Nd}]") == 2
+
+
+def test_borders_beside_letters_of_any_script(spark):
+    texts = ["-1.234,56 x-7,89", "é12,34 12,34é", "3,45́ 1-2,22", "01.02.2024é 31.12.1999 111.12.2000", "1234 é123 123é 12345 789 0456"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = {quality.AMOUNT: r"(?U)-?\b[0-9]{1,3}(?:\.[0-9]{3})*,[0-9]{2}\b", quality.DATE: r"(?U)\b[0-9]{2}\.[0-9]{2}\.[0-9]{4}\b", quality.CODE: r"(?U)\b[0-9]{3,4}\b"}
+    for fast, slow in plain.items():
+        assert df.filter(~quality.found(F.col("t"), fast).eqNullSafe(quality.found(F.col("t"), slow))).isEmpty()
