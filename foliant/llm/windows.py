@@ -13,7 +13,10 @@ passage. Then the words themselves decide: a passage goes if an earlier document
 similarity of its shingles of 0.8 or more.
 
 A hot passage leaves a task once: the smallest document of the task stands for the rest there, which link
-to it, and the smallest document overall links the tasks. So no group is ever paired with itself.
+to it, and the smallest document overall links the tasks. So no group is paired with itself. Where a key has three
+documents or more, those that met there are compared first; a window that no passage covers then meets the first
+document of every other content that the key's windows have, however many these are. Windows of one content need
+no further partner: they have a whole passage in common.
 
 Defined results: null counts as empty; texts under 50 words lose nothing; the smallest doc_id of a passage
 keeps it, null counting as the largest, and of rows that share a doc_id the first counts as the earlier
@@ -33,11 +36,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from numpy.lib.recfunctions import repack_fields
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliant.functions.joins import spread
 from foliant.llm.common import in_key_order, mixed, partitions, place_of, renamed_schema, shingle_hashes, text_bytes, written
 from foliant.llm.graph import components
 from foliant.llm.suffix import sliding_least
@@ -194,11 +200,12 @@ def met(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return rows, late, np.concatenate([rows[late], rows[apart]]), np.concatenate([first[late], rows[before[apart]]])
 
 
-ANCHOR_KIND = np.dtype([("own", PLACE_KIND), ("other", PLACE_KIND)])
+ANCHOR_KIND = np.dtype([("own", PLACE_KIND), ("other", PLACE_KIND), ("route", "<u8")])
 
 
 def beside(rows: np.ndarray, heads: np.ndarray) -> np.ndarray:
     a = np.empty(len(rows), ANCHOR_KIND)
+    a["route"] = rows["route"]
     for k in PLACE_KIND.names:
         a["own"][k], a["other"][k] = rows[k], heads[k]
     return a
@@ -231,7 +238,7 @@ def leaving(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
 
 
 def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of a partition's buckets -> doc_id, rep, anchors: each window beside the first document of its route."""
+    """The windows of a partition's buckets -> doc_id, rep, anchors: each window beside the first document of its route, see ``met``."""
     schema = pa.schema([("doc_id", pa.int64()), ("rep", pa.int64()), ("anchors", pa.binary())])
     held: list[np.ndarray] = []
     for batch in batches:
@@ -246,19 +253,120 @@ def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not len(twice):
         return
     rows = rows[twice[np.minimum(np.searchsorted(twice, rows["route"]), len(twice) - 1)] == rows["route"]]
-    _, _, own, other = met(rows)
+    ranked, late, own, other = met(rows)
+    # The first document's further places under a route: one row, of the document beside itself.
+    again = np.flatnonzero(~late[1:] & (ranked["route"][1:] == ranked["route"][:-1])) + 1
+    again = again[np.unique(ranked["route"][again], return_index=True)[1]]
+    own, other = np.concatenate([own, ranked[again]]), np.concatenate([other, ranked[again - 1]])
     each = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ANCHOR_KIND.itemsize), len(own), [None, pa.py_buffer(beside(own, other).tobytes())])
     yield pa.RecordBatch.from_arrays([pa.array(own["doc"]), pa.array(other["doc"]), each.cast(pa.binary())], schema=schema)
 
 
 def candidates(texts: DataFrame, text: str) -> DataFrame:
-    """Pairs (later, rep, anchors): windows of a document beside those of an earlier one."""
+    """Pairs (later, rep, anchors): windows of a document beside those of an earlier one, or its own under a route again."""
     n = partitions(texts.sparkSession)
     made = texts.select("_key", text_bytes(text).alias("_text")).mapInArrow(windows(n), WINDOWS)
     found = made.repartitionById(n, "bucket").mapInArrow(paired, "doc_id long, rep long, anchors binary")
     return found.groupBy(F.col("doc_id").alias("later"), "rep").agg(F.collect_list("anchors").alias("anchors"))
 
 
+#: Bits of the table that tells which texts have windows in crowded routes.
+CROWD_BITS = 1 << 24
+
+
+def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (later, rep, anchors) -> route, doc, again: the routes under which both stand; again: the document has several places there."""
+    for batch in batches:
+        for doc, rep, anchors in zip(*(batch[c].to_pylist() for c in ("later", "rep", "anchors")), strict=True):
+            routes = np.unique(np.frombuffer(b"".join(anchors), ANCHOR_KIND)["route"]).view(np.int64)
+            docs = [doc] if doc == rep else [doc, rep]
+            columns = [pa.array(np.tile(routes, len(docs))), pa.array(np.repeat(docs, len(routes))), pa.array(np.full(len(docs) * len(routes), doc == rep))]
+            yield pa.RecordBatch.from_arrays(columns, names=["route", "doc", "again"])
+
+
+def crowds(found: DataFrame) -> DataFrame:
+    """One row a document that shares a route with two others or more, or with another that has several places there: doc, routes."""
+    shared = written(found.mapInArrow(members, "route long, doc long, again boolean").distinct(), "routes")
+    crowded = shared.groupBy("route").agg(F.count("*").alias("n")).filter("n > 2")
+    return shared.join(spread(crowded), "route").groupBy("doc").agg(F.collect_set("route").alias("routes"))
+
+
+def holding(texts: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The texts whose _key is among the keys, and some others: a table of CROWD_BITS bits tells them where they stand."""
+    def bit(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(CROWD_BITS)) + 1
+
+    table = keys.select(bit(key).alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bits"))
+    at = F.bitmap_bit_position(bit("_key"))
+    octet = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = texts.withColumn("_bucket", F.bitmap_bucket_number(bit("_key"))).join(F.broadcast(table), "_bucket")
+    return rows.filter(octet.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) > 0).select(texts.columns)
+
+
+#: A crowded window: where a document first has this content (place), and its windows of it that no passage covers yet (open).
+CROWDED = "route long, content long, doc long, place binary, open binary"
+
+
+def crowded_windows(text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_key, a text, its crowded routes and its pairs -> rows of ``CROWDED``, one for each content under a route."""
+    for batch in batches:
+        for doc, routes, pairs, raw in zip(*(batch[c].to_pylist() for c in ("_key", "routes", "pairs")), raw_texts(batch[text]), strict=True):
+            own = shingle_hashes(raw.lower().split(), SHINGLE)
+            parts = list(shingles_in_parts(own))
+            rows = window_rows([doc] * len(parts), parts)
+            rows = rows[np.isin(rows["route"], np.array(routes, np.int64).view(np.uint64))]
+            gone, _ = covered(own, pairs or [])
+            places = np.empty(len(rows), PLACE_KIND)
+            for k in PLACE_KIND.names:
+                places[k] = rows[k]
+            ahead, behind = STEP * places["ahead"].astype(np.int64), STEP * places["behind"].astype(np.int64)
+            first: dict[tuple[int, int], int] = {}
+            left: dict[tuple[int, int], list[bytes]] = {}
+            for i, (route, at, a, b) in enumerate(zip(rows["route"].view(np.int64).tolist(), places["at"].tolist(), ahead.tolist(), behind.tolist(), strict=True)):
+                a = max(0, at - a)
+                content = xxhash.xxh3_64_intdigest(own[a : at + b + 1].tobytes(), at - a) - (1 << 63)
+                first.setdefault((route, content), i)
+                if pairs and not gone[at]:
+                    left.setdefault((route, content), []).append(places[i].tobytes())
+            columns = ([k[0] for k in first], [k[1] for k in first], [doc] * len(first), [places[i].tobytes() for i in first.values()], [b"".join(left[k]) if k in left else None for k in first])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in CROWDED.split(", ")])
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """later, rep, route, open, place -> later, rep, anchors: each open window beside that place."""
+    for batch in batches:
+        blobs = []
+        for route, own, place in zip(*(batch[c].to_pylist() for c in ("route", "open", "place")), strict=True):
+            a = np.empty(len(own) // PLACE_KIND.itemsize, ANCHOR_KIND)
+            a["own"], a["other"], a["route"] = np.frombuffer(own, PLACE_KIND), np.frombuffer(place, PLACE_KIND), np.int64(route).view(np.uint64)
+            blobs.append([a.tobytes()])
+        yield pa.RecordBatch.from_arrays([batch["later"], batch["rep"], pa.array(blobs, pa.list_(pa.binary()))], names=["later", "rep", "anchors"])
+
+
+def further(texts: DataFrame, text: str, doc_id: str, found: DataFrame) -> DataFrame | None:
+    """The pairs that ``met`` leaves out and that may still tell something: windows that no passage of the pairs found covers,
+    beside the first document of their content under that route, or else beside those of all other contents; None without any."""
+    crowd = written(crowds(found), "crowds")
+    if crowd.isEmpty():
+        return None
+    some = holding(texts.select("_key", text, doc_id), crowd, "doc")
+    inside = found
+    for c in ("later", "rep"):
+        inside = inside.join(spread(crowd.select(F.col("doc").alias(c))), c, "left_semi")
+    own = some.join(spread(crowd), F.col("_key") == F.col("doc")).select("_key", text, doc_id, "routes")
+    judged = own.join(spread(gathered(inside, some, text, doc_id)), F.col("_key") == F.col("later"), "left").select("_key", text, doc_id, "routes", "pairs")
+    rows = written(judged.mapInArrow(functools.partial(crowded_windows, text), CROWDED), "crowded")
+    firsts = rows.groupBy("route", "content").agg(F.min(F.struct(F.col("doc").alias("rep"), "place")).alias("first")).select("route", F.col("content").alias("held"), "first.*")
+    alone = rows.filter("open is not null").select("route", "content", F.col("doc").alias("later"), "open")
+    known = alone.join(spread(firsts), "route").filter("rep < later")
+    # A content that an earlier document has needs that one only.
+    copies = known.filter("held = content")
+    others = known.join(spread(copies.select("route", "content", "later")), ["route", "content", "later"], "left_anti")
+    pairs = written(copies.unionByName(others).select("later", "rep", "route", "open", "place"), "further")
+    return None if pairs.isEmpty() else pairs.mapInArrow(opened, "later long, rep long, anchors array<binary>")
+
+
 def slack(n: int) -> int:
     """How far the other text may have drifted over n shingles at the least similarity."""
     return n + n // 4 + GAP
@@ -276,7 +384,7 @@ def cut_slices(text: str, name: str, batches: Iterator[pa.RecordBatch]) -> Itera
         for doc, rep, own_id, anchors, raw in zip(*(batch[c].to_pylist() for c in ("later", "rep", name, "anchors")), raw_texts(batch[text]), strict=True):
             if last[0] != rep:
                 last = rep, raw.lower().split()
-            a = np.unique(np.frombuffer(b"".join(anchors), ANCHOR_KIND))  # both sides of a centre tell the same
+            a = np.unique(repack_fields(np.frombuffer(b"".join(anchors), ANCHOR_KIND)[["own", "other"]]))  # both sides of a centre tell the same
             own, other = (np.stack([a[k]["at"].astype(np.int64), STEP * a[k]["ahead"].astype(np.int64), STEP * a[k]["behind"].astype(np.int64)], axis=1) for k in ("own", "other"))
             lo = max(0, int((other[:, 0] - np.minimum(other[:, 1], slack(own[:, 1]))).min()))
             hi = int((other[:, 0] + np.minimum(other[:, 2], slack(own[:, 2]))).max()) + SHINGLE
@@ -387,6 +495,20 @@ def passages(own: np.ndarray, other: np.ndarray, lo: int, anchors: np.ndarray) -
     return out
 
 
+def covered(own: np.ndarray, pairs: list[dict]) -> tuple[np.ndarray, set[int]]:
+    """Which words of a text go, and the earlier documents that have them. pairs: rep, lo, words, anchors."""
+    gone = np.zeros(len(own) + SHINGLE, bool)
+    reps = set()
+    for p in sorted(pairs, key=lambda p: (-len(p["anchors"]), p["rep"] is None, p["rep"])):  # those that share most first
+        anchors = np.frombuffer(p["anchors"], "<i4").reshape(-1, 3)
+        if gone[anchors[:, 0]].all():  # an earlier document has been found for these places
+            continue
+        for a, b in passages(own, shingle_hashes(p["words"].split(), SHINGLE), p["lo"], anchors):
+            gone[a : b + SHINGLE] = True
+            reps.add(p["rep"])
+    return gone, reps
+
+
 CLEANED = "n_words long, n_removed long, n_spans long, copied_from array<long>, kept string"
 
 
@@ -398,16 +520,7 @@ def cleaned(text: str, columns: list[str], batches: Iterator[pa.RecordBatch]) ->
                 rows.append((len(raw.split()), 0, 0, [], raw.decode()))
                 continue
             lowered = raw.lower().split()
-            own = shingle_hashes(lowered, SHINGLE)
-            gone = np.zeros(len(lowered) + 1, bool)
-            reps = set()
-            for p in sorted(pairs, key=lambda p: -len(p["anchors"])):  # those that share most first
-                anchors = np.frombuffer(p["anchors"], "<i4").reshape(-1, 3)
-                if gone[anchors[:, 0]].all():  # an earlier document has been found for these places
-                    continue
-                for a, b in passages(own, shingle_hashes(p["words"].split(), SHINGLE), p["lo"], anchors):
-                    gone[a : b + SHINGLE] = True
-                    reps.add(p["rep"])
+            gone, reps = covered(shingle_hashes(lowered, SHINGLE), pairs)
             edges = np.flatnonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)))
             begins = [m.start() for m in WORD.finditer(raw)] + [len(raw)]
             cuts = [0, *(begins[e] for e in edges.tolist()), len(raw)]
@@ -417,15 +530,22 @@ def cleaned(text: str, columns: list[str], batches: Iterator[pa.RecordBatch]) ->
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[*columns, *(x.split()[0] for x in CLEANED.split(", "))])
 
 
+def gathered(found: DataFrame, texts: DataFrame, text: str, doc_id: str, columns: list[str] | None = None) -> DataFrame:
+    """Pairs (later, rep, anchors) -> later, pairs: with the words of the earlier texts that matter. columns: of the texts, as far as wanted in the join."""
+    kind = "later long, rep long, lo int, words binary, anchors binary"
+    sliced = spread(found.filter("later <> rep")).join(texts, F.col("rep") == F.col("_key")).select("later", "rep", "anchors", *(columns or (text, doc_id)))
+    sliced = sliced.mapInArrow(functools.partial(cut_slices, text, doc_id), kind)
+    return sliced.groupBy("later").agg(F.collect_list(F.struct("rep", "lo", "words", "anchors")).alias("pairs"))
+
+
 def worked(docs: DataFrame) -> DataFrame:
     """The columns of docs as c0, c1, ... and those of ``CLEANED``."""
     # Both uses of the texts read the same columns, so that they share one exchange.
     texts, columns, text = in_key_order(docs), [f"c{i}" for i in range(len(docs.columns))], place_of(docs, "text")
-    kind = "later long, rep long, lo int, words binary, anchors binary"
-    sliced = candidates(texts, text).join(texts, F.col("rep") == F.col("_key"))
-    sliced = sliced.select("later", "rep", "anchors", *columns).mapInArrow(functools.partial(cut_slices, text, place_of(docs, "doc_id")), kind)
-    gathered = sliced.groupBy("later").agg(F.collect_list(F.struct("rep", "lo", "words", "anchors")).alias("pairs"))
-    both = texts.join(gathered, F.col("_key") == F.col("later"), "left").select(*columns, "pairs")
+    doc_id, found = place_of(docs, "doc_id"), written(candidates(texts, text), "pairs")
+    if (more := further(texts, text, doc_id, found)) is not None:
+        found = found.unionByName(more).groupBy("later", "rep").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+    both = texts.join(spread(gathered(found, texts, text, doc_id, columns)), F.col("_key") == F.col("later"), "left").select(*columns, "pairs")
     kinds = T.StructType([*renamed_schema(docs).fields, *T.StructType.fromDDL(CLEANED).fields])
     return both.mapInArrow(functools.partial(cleaned, text, columns), kinds)
 

@@ -341,6 +341,24 @@ def test_passage_recall(spark):
     assert not any(got[d]["n_removed"] for d in range(len(made)) if d not in want and d not in full and len(made[d][1].split()) < 100)
 
 
+def test_passages_behind_others(spark):
+    """Twelve texts share a line of 34 words, the fifth and the tenth also what stands around it: the tenth loses the passage."""
+    made = []
+    for seed in (0, 5, 10):
+        r = random.Random(seed)
+
+        def words(n, r=r):
+            return ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(n)]
+
+        line, head, tail = words(34), words(9), words(9)
+        for i in range(12):
+            before, after = (head, tail) if i in (4, 9) else (None, None)
+            made.append((100 * seed + i, " ".join(words(40) + (before or words(9)) + line + (after or words(9)) + words(40))))
+    got = {x["doc_id"]: x for x in windows.remove_passages(spark.createDataFrame(made, "doc_id long, text string").coalesce(1)).collect()}
+    assert {d for d, x in got.items() if x["n_removed"]} == {9, 509, 1009}
+    assert all(got[d]["copied_from"] == [d - 5] and got[d]["n_removed"] >= 50 for d in (9, 509, 1009))
+
+
 def test_very_long_passages(spark):
     """Texts of 150,000 words, the copy with an edit every 400 words: the copy goes."""
     r = random.Random(5)
