@@ -303,43 +303,44 @@ def holding(texts: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.filter(octet.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) > 0).select(texts.columns)
 
 
-#: A crowded window: where a document first has this content (place), and its windows of it that no passage covers yet (open).
-CROWDED = "route long, content long, doc long, place binary, open binary"
+#: A document under a crowded route: what its windows there hold, the first and the last place, and the places that no passage covers yet.
+CROWDED = "route long, content long, doc long, ends array<binary>, open binary"
 
 
 def crowded_windows(text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_key, a text, its crowded routes and its pairs -> rows of ``CROWDED``, one for each content under a route."""
+    """_key, a text, its crowded routes and its pairs -> rows of ``CROWDED``, one a route."""
     for batch in batches:
         for doc, routes, pairs, raw in zip(*(batch[c].to_pylist() for c in ("_key", "routes", "pairs")), raw_texts(batch[text]), strict=True):
             own = shingle_hashes(raw.lower().split(), SHINGLE)
             parts = list(shingles_in_parts(own))
             rows = window_rows([doc] * len(parts), parts)
             rows = rows[np.isin(rows["route"], np.array(routes, np.int64).view(np.uint64))]
+            rows = rows[np.lexsort((rows["at"], rows["route"]))]
             gone, _ = covered(own, pairs or [])
             places = np.empty(len(rows), PLACE_KIND)
             for k in PLACE_KIND.names:
                 places[k] = rows[k]
-            ahead, behind = STEP * places["ahead"].astype(np.int64), STEP * places["behind"].astype(np.int64)
-            first: dict[tuple[int, int], int] = {}
-            left: dict[tuple[int, int], list[bytes]] = {}
-            for i, (route, at, a, b) in enumerate(zip(rows["route"].view(np.int64).tolist(), places["at"].tolist(), ahead.tolist(), behind.tolist(), strict=True)):
-                a = max(0, at - a)
-                content = xxhash.xxh3_64_intdigest(own[a : at + b + 1].tobytes(), at - a) - (1 << 63)
-                first.setdefault((route, content), i)
-                if pairs and not gone[at]:
-                    left.setdefault((route, content), []).append(places[i].tobytes())
-            columns = ([k[0] for k in first], [k[1] for k in first], [doc] * len(first), [places[i].tobytes() for i in first.values()], [b"".join(left[k]) if k in left else None for k in first])
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in CROWDED.split(", ")])
+            at = places["at"].astype(np.int64)
+            begin, end = np.maximum(at - STEP * places["ahead"].astype(np.int64), 0), at + STEP * places["behind"].astype(np.int64) + 1
+            left = ~gone[at] if pairs else np.zeros(len(rows), bool)
+            out = []
+            for x, y in itertools.pairwise([0, *(np.flatnonzero(np.diff(rows["route"])) + 1).tolist(), len(rows)]):
+                if x < y:
+                    held = {xxhash.xxh3_64_intdigest(own[b:e].tobytes(), a - b) for a, b, e in zip(at[x:y].tolist(), begin[x:y].tolist(), end[x:y].tolist(), strict=True)}
+                    content = xxhash.xxh3_64_intdigest(np.sort(np.array(list(held), np.uint64)).tobytes()) - (1 << 63)
+                    out.append((int(rows["route"][x].view(np.int64)), content, doc, [places[i].tobytes() for i in sorted({x, y - 1})], places[x:y][left[x:y]].tobytes() or None))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in CROWDED.split(", ")])
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """later, rep, route, open, place -> later, rep, anchors: each open window beside that place."""
+    """later, rep, places (open windows of the one, ends of the other) -> later, rep, anchors: each open window beside both ends."""
     for batch in batches:
         blobs = []
-        for route, own, place in zip(*(batch[c].to_pylist() for c in ("route", "open", "place")), strict=True):
-            a = np.empty(len(own) // PLACE_KIND.itemsize, ANCHOR_KIND)
-            a["own"], a["other"], a["route"] = np.frombuffer(own, PLACE_KIND), np.frombuffer(place, PLACE_KIND), np.int64(route).view(np.uint64)
+        for places, ends in zip(batch["open"].to_pylist(), batch["ends"].to_pylist(), strict=True):
+            own, other = np.unique(np.frombuffer(b"".join(places), PLACE_KIND)), np.unique(np.frombuffer(b"".join(ends), PLACE_KIND))
+            a = np.zeros(max(len(own), len(other)), ANCHOR_KIND)
+            a["own"], a["other"] = np.resize(own, len(a)), np.resize(other, len(a))
             blobs.append([a.tobytes()])
         yield pa.RecordBatch.from_arrays([batch["later"], batch["rep"], pa.array(blobs, pa.list_(pa.binary()))], names=["later", "rep", "anchors"])
 
@@ -357,14 +358,14 @@ def further(texts: DataFrame, text: str, doc_id: str, found: DataFrame) -> DataF
     own = some.join(spread(crowd), F.col("_key") == F.col("doc")).select("_key", text, doc_id, "routes")
     judged = own.join(spread(gathered(inside, some, text, doc_id)), F.col("_key") == F.col("later"), "left").select("_key", text, doc_id, "routes", "pairs")
     rows = written(judged.mapInArrow(functools.partial(crowded_windows, text), CROWDED), "crowded")
-    firsts = rows.groupBy("route", "content").agg(F.min(F.struct(F.col("doc").alias("rep"), "place")).alias("first")).select("route", F.col("content").alias("held"), "first.*")
-    alone = rows.filter("open is not null").select("route", "content", F.col("doc").alias("later"), "open")
-    known = alone.join(spread(firsts), "route").filter("rep < later")
-    # A content that an earlier document has needs that one only.
-    copies = known.filter("held = content")
-    others = known.join(spread(copies.select("route", "content", "later")), ["route", "content", "later"], "left_anti")
-    pairs = written(copies.unionByName(others).select("later", "rep", "route", "open", "place"), "further")
-    return None if pairs.isEmpty() else pairs.mapInArrow(opened, "later long, rep long, anchors array<binary>")
+    firsts = rows.groupBy("route", "content").agg(F.min(F.struct(F.col("doc").alias("rep"), "ends")).alias("first")).select("route", F.col("content").alias("held"), "first.*")
+    left = rows.filter("open is not null").select("route", "content", F.col("doc").alias("later"), "open")
+    # Contents that an earlier document has need that one only.
+    copies = left.join(spread(firsts.withColumnRenamed("held", "content")), ["route", "content"]).filter("rep < later").select("route", "later", "rep", "open", "ends")
+    others = left.join(spread(copies.select("route", "later")), ["route", "later"], "left_anti").join(spread(firsts), "route").filter("rep < later").select("route", "later", "rep", "open", "ends")
+    pairs = copies.unionByName(others).groupBy("later", "rep").agg(F.collect_set("open").alias("open"), F.array_distinct(F.flatten(F.collect_list("ends"))).alias("ends"))
+    more = written(pairs.mapInArrow(opened, "later long, rep long, anchors array<binary>"), "further")
+    return None if more.isEmpty() else more
 
 
 def slack(n: int) -> int:
