@@ -36,9 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
-from numpy.lib.recfunctions import repack_fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -254,9 +252,9 @@ def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     rows = rows[twice[np.minimum(np.searchsorted(twice, rows["route"]), len(twice) - 1)] == rows["route"]]
     ranked, late, own, other = met(rows)
-    # The first document's further places under a route: one row, of the document beside itself.
+    # The first document's further places under a route: one row, of its last place beside the one before.
     again = np.flatnonzero(~late[1:] & (ranked["route"][1:] == ranked["route"][:-1])) + 1
-    again = again[np.unique(ranked["route"][again], return_index=True)[1]]
+    again = again[np.flatnonzero(np.diff(ranked["route"][again], append=np.uint64(0)) != 0)] if len(again) else again
     own, other = np.concatenate([own, ranked[again]]), np.concatenate([other, ranked[again - 1]])
     each = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ANCHOR_KIND.itemsize), len(own), [None, pa.py_buffer(beside(own, other).tobytes())])
     yield pa.RecordBatch.from_arrays([pa.array(own["doc"]), pa.array(other["doc"]), each.cast(pa.binary())], schema=schema)
@@ -274,63 +272,180 @@ def candidates(texts: DataFrame, text: str) -> DataFrame:
 CROWD_BITS = 1 << 24
 
 
-def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (later, rep, anchors) -> route, doc, again: the routes under which both stand; again: the document has several places there."""
-    for batch in batches:
-        for doc, rep, anchors in zip(*(batch[c].to_pylist() for c in ("later", "rep", "anchors")), strict=True):
-            routes = np.unique(np.frombuffer(b"".join(anchors), ANCHOR_KIND)["route"]).view(np.int64)
-            docs = [doc] if doc == rep else [doc, rep]
-            columns = [pa.array(np.tile(routes, len(docs))), pa.array(np.repeat(docs, len(routes))), pa.array(np.full(len(docs) * len(routes), doc == rep))]
-            yield pa.RecordBatch.from_arrays(columns, names=["route", "doc", "again"])
+def packed(places: np.ndarray) -> np.ndarray:
+    """Places as one number each, in the order of where they stand."""
+    return places["at"].astype(np.int64) << 32 | places["ahead"].astype(np.int64) << 16 | places["behind"]
 
 
-def crowds(found: DataFrame) -> DataFrame:
-    """One row a document that shares a route with two others or more, or with another that has several places there: doc, routes."""
-    shared = written(found.mapInArrow(members, "route long, doc long, again boolean").distinct(), "routes")
-    crowded = shared.groupBy("route").agg(F.count("*").alias("n")).filter("n > 2")
-    return shared.join(spread(crowded), "route").groupBy("doc").agg(F.collect_set("route").alias("routes"))
+def unpacked(numbers: np.ndarray) -> np.ndarray:
+    places = np.empty(len(numbers), PLACE_KIND)
+    places["at"], places["ahead"], places["behind"] = numbers >> 32, numbers >> 16 & 0xFFFF, numbers & 0xFFFF
+    return places
 
 
-def holding(texts: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The texts whose _key is among the keys, and some others: a table of CROWD_BITS bits tells them where they stand."""
+def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (later, rep, anchors) -> route, doc, place: where either document has windows under the routes they share."""
+    kind = np.dtype([("route", "<i8"), ("doc", "<i8"), ("place", "<i8")])
+    for batch in batches:
+        for part in pieces(batch):
+            blobs = [b"".join(a) for a in part["anchors"].to_pylist()]
+            a = np.frombuffer(b"".join(blobs), ANCHOR_KIND)
+            size = np.array([len(b) // ANCHOR_KIND.itemsize for b in blobs])
+            rows = np.empty(2 * len(a), kind)
+            for half, side, doc in ((rows[: len(a)], "own", "later"), (rows[len(a) :], "other", "rep")):
+                half["route"], half["place"] = a["route"].view(np.int64), packed(a[side])
+                half["doc"] = np.repeat(part[doc].to_numpy(), size)
+            rows = rows[np.lexsort((rows["place"], rows["doc"], rows["route"]))]
+            new = np.ones(len(rows), bool)
+            new[1:] = np.any([rows[k][1:] != rows[k][:-1] for k in kind.names], axis=0)
+            rows = rows[new]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[k]) for k in kind.names], names=list(kind.names))
+
+
+def crowds(shared: DataFrame) -> DataFrame:
+    """Routes (route, n, head: the first document) under which more stand than one window beside another. shared: rows of ``members``."""
+    found = shared.groupBy("route").agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+    return found.filter("n > 2 and low < high").select("route", "n", F.col("low").alias("head"))
+
+
+def parted(texts: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The texts whose _key is among the keys, and some others; and the rest: a table of CROWD_BITS bits tells them where they stand."""
     def bit(c: str) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(CROWD_BITS)) + 1
 
     table = keys.select(bit(key).alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bits"))
     at = F.bitmap_bit_position(bit("_key"))
     octet = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    rows = texts.withColumn("_bucket", F.bitmap_bucket_number(bit("_key"))).join(F.broadcast(table), "_bucket")
-    return rows.filter(octet.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) > 0).select(texts.columns)
+    rows = texts.withColumn("_bucket", F.bitmap_bucket_number(bit("_key"))).join(F.broadcast(table), "_bucket", "left")
+    held = F.coalesce(octet.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) > 0, F.lit(False))
+    return rows.filter(held).select(texts.columns), rows.filter(~held).select(texts.columns)
 
 
-#: A document under a crowded route: what its windows there hold, the first and the last place, and the places that no passage covers yet.
-CROWDED = "route long, content long, doc long, ends array<binary>, open binary"
+#: A document after the pairs found: where its removed runs begin and end, the earlier documents that have them, and its
+#: windows under crowded routes that no passage covers.
+JUDGED = "later long, spans binary, reps array<long>, open array<struct<route: long, places: binary>>"
 
 
-def crowded_windows(text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_key, a text, its crowded routes and its pairs -> rows of ``CROWDED``, one a route."""
+def judged(text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_key, a text, its places under crowded routes (routes, places; or null) and its pairs -> rows of ``JUDGED``."""
+    kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.struct([("route", pa.int64()), ("places", pa.binary())])))
+    for batch in batches:
+        for part in pieces(batch):
+            out = []
+            for doc, pairs, routes, places, raw in zip(*(part[c].to_pylist() for c in ("_key", "pairs")), *(lists(part[c]) for c in ("routes", "places")), raw_texts(part[text]), strict=True):
+                gone, reps = covered(shingle_hashes(raw.lower().split(), SHINGLE), pairs)
+                left: dict[int, list[int]] = {}
+                open_ = ~gone[places >> 32]
+                for route, place in zip(routes[open_].tolist(), places[open_].tolist(), strict=True):
+                    left.setdefault(route, []).append(place)
+                out.append((doc, edges_of(gone).astype("<i4").tobytes(), sorted(reps, key=lambda r: (r is None, r)), [{"route": r, "places": np.array(p, "<i8").tobytes()} for r, p in left.items()]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in ("later", "spans", "reps", "open")])
+
+
+#: Shingles on each side of a centre that tell whether a passage of up to TWICE shingles can hold it, and as far as edits may
+#: move them in the other text.
+NEAR, TWICE = LEAST - 1, 2 * LEAST - 1
+FAR = NEAR + TWICE // 4 + 1
+#: Documents of a crowded route that one task compares others with.
+SLOT = 1 << 14
+#: What stands around a window. For an earlier document (misses null) as far as FAR; for an open window within its borders:
+#: the shingles as 16 bits each, the centre among them, how many may be missing, and all of the document's open places with these.
+AROUND = "route long, slot int, doc long, misses int, centre int, near binary, places binary"
+
+
+def surroundings(text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_key, a text, its crowded routes (route, slots, first and last place, open places) -> rows of ``AROUND``, each kind once a batch."""
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     for batch in batches:
-        for doc, routes, pairs, raw in zip(*(batch[c].to_pylist() for c in ("_key", "routes", "pairs")), raw_texts(batch[text]), strict=True):
-            own = shingle_hashes(raw.lower().split(), SHINGLE)
-            parts = list(shingles_in_parts(own))
-            rows = window_rows([doc] * len(parts), parts)
-            rows = rows[np.isin(rows["route"], np.array(routes, np.int64).view(np.uint64))]
-            rows = rows[np.lexsort((rows["at"], rows["route"]))]
-            gone, _ = covered(own, pairs or [])
-            places = np.empty(len(rows), PLACE_KIND)
-            for k in PLACE_KIND.names:
-                places[k] = rows[k]
-            at = places["at"].astype(np.int64)
-            begin, end = np.maximum(at - STEP * places["ahead"].astype(np.int64), 0), at + STEP * places["behind"].astype(np.int64) + 1
-            left = ~gone[at] if pairs else np.zeros(len(rows), bool)
+        known: dict[tuple[int, int, bytes], int] = {}
+        for part in pieces(batch):
             out = []
-            for x, y in itertools.pairwise([0, *(np.flatnonzero(np.diff(rows["route"])) + 1).tolist(), len(rows)]):
-                if x < y:
-                    held = {xxhash.xxh3_64_intdigest(own[b:e].tobytes(), a - b) for a, b, e in zip(at[x:y].tolist(), begin[x:y].tolist(), end[x:y].tolist(), strict=True)}
-                    content = xxhash.xxh3_64_intdigest(np.sort(np.array(list(held), np.uint64)).tobytes()) - (1 << 63)
-                    out.append((int(rows["route"][x].view(np.int64)), content, doc, [places[i].tobytes() for i in sorted({x, y - 1})], places[x:y][left[x:y]].tobytes() or None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in CROWDED.split(", ")])
+            for doc, wanted, raw in zip(*(part[c].to_pylist() for c in ("_key", "wanted")), raw_texts(part[text]), strict=True):
+                whole = shingle_hashes(raw.lower().split(), SHINGLE)
+                short = (whole >> np.uint64(48)).astype("<u2")
+                for w in wanted:
+                    slot = doc * 0x9E3779B1 % w["slots"]
+                    # All have met the first document's first place.
+                    for place in sorted({w["low"], w["high"]} - ({w["low"]} if w["head"] else set())) if w["early"] else ():
+                        at = place >> 32
+                        near = short[max(0, at - FAR) : at + FAR + 1].tobytes()
+                        # Of equal surroundings the first document's stand for the rest.
+                        if known.get((w["route"], slot, near), doc + 1) > doc:
+                            known[w["route"], slot, near] = doc
+                            out.append((w["route"], slot, doc, None, None, near, np.int64(place).tobytes()))
+                    same: dict[tuple[int, int, bytes], list[int]] = {}
+                    for place in np.frombuffer(w["open"] or b"", "<i8").tolist():
+                        at, ahead, behind = place >> 32, STEP * (place >> 16 & 0xFFFF), STEP * (place & 0xFFFF)
+                        a, b = max(0, at - min(ahead, TWICE - 1)), at + min(behind, TWICE - 1) + 1
+                        misses = min(len(np.unique(whole[a:b])), TWICE) // 5
+                        a, b = max(0, at - min(ahead, NEAR)), at + min(behind, NEAR) + 1
+                        same.setdefault((misses, at - a, short[a:b].tobytes()), []).append(place)
+                    for (misses, centre, near), places in same.items():
+                        for s in range(w["slots"]):
+                            out.append((w["route"], s, doc, misses, centre, near, np.array(places, "<i8").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in AROUND.split(", ")])
+
+
+def firsts(own: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which shingles stand for the first time, and how many different ones any LEAST in a row have at least."""
+    order = np.argsort(own, kind="stable")
+    before = np.full(len(own), -1)
+    twice = np.flatnonzero(own[order[1:]] == own[order[:-1]])
+    before[order[twice + 1]] = order[twice]
+    new = before < 0
+    if new.all():
+        return new, LEAST
+    begin = np.arange(len(own) - LEAST + 1)[:, None]
+    return new, int((before[begin + np.arange(LEAST)] < begin).sum(axis=1).min())
+
+
+def fitting(own: np.ndarray, new: np.ndarray, centre: int, misses: int, other: np.ndarray) -> bool:
+    """Whether some LEAST shingles in a row that hold the centre have no more than so many different ones that the other
+    text (in order) lacks. new: see ``firsts``."""
+    lacks = other[np.minimum(np.searchsorted(other, own), len(other) - 1)] != own
+    total = np.concatenate([[0], np.cumsum(new & lacks)])
+    begin = np.arange(max(0, centre - LEAST + 1), min(centre, len(own) - LEAST) + 1)
+    return bool(len(begin)) and int((total[begin + LEAST] - total[begin]).min()) <= misses
+
+
+def alike(rows: list[tuple]) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """The rows of ``AROUND`` of one route and slot -> later, rep, open places of the one, place of the other, as far as ``fitting``.
+
+    An own row that lacks at most so many of its different shingles shares one with the other row even when as many as
+    the rest, less one, are left out: those are the ones that most rows have, so that a frequent line leads to no pair.
+    """
+    early: dict[bytes, tuple[int, bytes]] = {}
+    for _, _, doc, misses, _, near, places in rows:
+        if misses is None and (near not in early or early[near][0] > doc):
+            early[near] = doc, places
+    late = [r for r in rows if r[3] is not None]
+    if not late or not early:
+        return
+    docs, texts = np.array([d for d, _ in early.values()]), [np.unique(np.frombuffer(near, "<u2")) for near in early]
+    ends = [p for _, p in early.values()]
+    flat, owner = np.concatenate(texts), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    order = np.argsort(flat, kind="stable")
+    owner, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=1 << 16))])
+    for _, _, doc, misses, centre, near, places in late:
+        own = np.frombuffer(near, "<u2")
+        if len(own) < LEAST:
+            continue
+        kinds, (new, fewest) = np.unique(own), firsts(own)
+        rare = kinds[np.argsort(begin[kinds.astype(np.int64) + 1] - begin[kinds], kind="stable")][: len(kinds) - max(0, fewest - misses - 1)].astype(np.int64)
+        some = np.unique(np.concatenate([owner[begin[k] : begin[k + 1]] for k in rare.tolist()]))
+        for i in some[docs[some] < doc].tolist():
+            if fitting(own, new, centre, misses, texts[i]):
+                yield doc, int(docs[i]), places, ends[i]
+
+
+def met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``AROUND`` in the order of routes and slots -> later, rep, open, ends."""
+    names = [x.split()[0] for x in AROUND.split(", ")]
+    rows = (r for batch in batches for part in pieces(batch) for r in zip(*(part[c].to_pylist() for c in names), strict=True))
+    found = (pair for _, group in itertools.groupby(rows, key=lambda r: r[:2]) for pair in alike(list(group)))
+    while some := list(itertools.islice(found, 1 << 12)):
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], k) for i, k in enumerate(kinds)], names=["later", "rep", "open", "ends"])
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,32 +453,28 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         blobs = []
         for places, ends in zip(batch["open"].to_pylist(), batch["ends"].to_pylist(), strict=True):
-            own, other = np.unique(np.frombuffer(b"".join(places), PLACE_KIND)), np.unique(np.frombuffer(b"".join(ends), PLACE_KIND))
+            own, other = (unpacked(np.unique(np.frombuffer(b"".join(x), "<i8"))) for x in (places, ends))
             a = np.zeros(max(len(own), len(other)), ANCHOR_KIND)
             a["own"], a["other"] = np.resize(own, len(a)), np.resize(other, len(a))
             blobs.append([a.tobytes()])
         yield pa.RecordBatch.from_arrays([batch["later"], batch["rep"], pa.array(blobs, pa.list_(pa.binary()))], names=["later", "rep", "anchors"])
 
 
-def further(texts: DataFrame, text: str, doc_id: str, found: DataFrame) -> DataFrame | None:
+def further(texts: DataFrame, text: str, shared: DataFrame, crowd: DataFrame, first: DataFrame) -> DataFrame | None:
     """The pairs that ``met`` leaves out and that may still tell something: windows that no passage of the pairs found covers,
-    beside the first document of their content under that route, or else beside those of all other contents; None without any."""
-    crowd = written(crowds(found), "crowds")
-    if crowd.isEmpty():
+    beside earlier documents of their route whose surroundings are similar enough; None without any. first: rows of ``JUDGED``."""
+    left = first.select(F.col("later").alias("doc"), F.explode("open").alias("o")).select("o.route", "doc", F.col("o.places").alias("open"))
+    wanted = crowd.join(spread(left.groupBy("route").agg(F.max("doc").alias("last"))), "route").select("route", "head", "last", F.ceil(F.col("n") / SLOT).cast("int").alias("slots"))
+    rows = shared.join(spread(wanted), "route").filter("doc <= last").groupBy("route", "doc", "head", "last", "slots").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    rows = rows.join(spread(left), ["route", "doc"], "left").filter("open is not null or doc < last")
+    each = F.struct("route", "slots", "low", "high", (F.col("doc") < F.col("last")).alias("early"), (F.col("doc") == F.col("head")).alias("head"), "open")
+    asked = written(rows.groupBy("doc").agg(F.collect_list(each).alias("wanted")), "asked")
+    if asked.isEmpty():
         return None
-    some = holding(texts.select("_key", text, doc_id), crowd, "doc")
-    inside = found
-    for c in ("later", "rep"):
-        inside = inside.join(spread(crowd.select(F.col("doc").alias(c))), c, "left_semi")
-    own = some.join(spread(crowd), F.col("_key") == F.col("doc")).select("_key", text, doc_id, "routes")
-    judged = own.join(spread(gathered(inside, some, text, doc_id)), F.col("_key") == F.col("later"), "left").select("_key", text, doc_id, "routes", "pairs")
-    rows = written(judged.mapInArrow(functools.partial(crowded_windows, text), CROWDED), "crowded")
-    firsts = rows.groupBy("route", "content").agg(F.min(F.struct(F.col("doc").alias("rep"), "ends")).alias("first")).select("route", F.col("content").alias("held"), "first.*")
-    left = rows.filter("open is not null").select("route", "content", F.col("doc").alias("later"), "open")
-    # Contents that an earlier document has need that one only.
-    copies = left.join(spread(firsts.withColumnRenamed("held", "content")), ["route", "content"]).filter("rep < later").select("route", "later", "rep", "open", "ends")
-    others = left.join(spread(copies.select("route", "later")), ["route", "later"], "left_anti").join(spread(firsts), "route").filter("rep < later").select("route", "later", "rep", "open", "ends")
-    pairs = copies.unionByName(others).groupBy("later", "rep").agg(F.collect_set("open").alias("open"), F.array_distinct(F.flatten(F.collect_list("ends"))).alias("ends"))
+    some = parted(texts.select("_key", text), asked, "doc")[0].join(spread(asked), F.col("_key") == F.col("doc")).select("_key", text, "wanted")
+    around = some.mapInArrow(functools.partial(surroundings, text), AROUND).repartition("route", "slot").sortWithinPartitions("route", "slot")
+    pairs = around.mapInArrow(met_again, "later long, rep long, open binary, ends binary")
+    pairs = pairs.groupBy("later", "rep").agg(F.collect_set("open").alias("open"), F.collect_set("ends").alias("ends"))
     more = written(pairs.mapInArrow(opened, "later long, rep long, anchors array<binary>"), "further")
     return None if more.isEmpty() else more
 
@@ -377,15 +488,37 @@ def raw_texts(column: pa.Array) -> Iterator[bytes]:
     return (t or b"" for t in column.cast(pa.binary()).to_pylist())
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of a few rows, which are small as Python's objects too."""
+    for i in range(0, len(batch), 256):
+        yield batch.slice(i, 256)
+
+
+def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """Each row's numbers; null has none."""
+    at, values = column.offsets.to_pylist(), column.values.to_numpy()
+    return (values[x:y] for x, y in itertools.pairwise(at))
+
+
+def edges_of(gone: np.ndarray) -> np.ndarray:
+    """Where runs begin and end, in turn."""
+    return np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+
+
 def cut_slices(text: str, name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of the earlier text that its windows may share with the later one's. anchors: at, ahead, behind."""
     last: tuple[int | None, list[bytes]] = (None, [])
-    for batch in batches:
+    for batch in itertools.chain.from_iterable(map(pieces, batches)):
         out: list[tuple] = []
         for doc, rep, own_id, anchors, raw in zip(*(batch[c].to_pylist() for c in ("later", "rep", name, "anchors")), raw_texts(batch[text]), strict=True):
             if last[0] != rep:
                 last = rep, raw.lower().split()
-            a = np.unique(repack_fields(np.frombuffer(b"".join(anchors), ANCHOR_KIND)[["own", "other"]]))  # both sides of a centre tell the same
+            a = np.frombuffer(b"".join(anchors), ANCHOR_KIND)
+            mine, theirs = packed(a["own"]), packed(a["other"])
+            order = np.lexsort((theirs, mine))
+            new = np.ones(len(a), bool)  # both sides of a centre tell the same
+            new[1:] = (mine[order[1:]] != mine[order[:-1]]) | (theirs[order[1:]] != theirs[order[:-1]])
+            a = a[order[new]]
             own, other = (np.stack([a[k]["at"].astype(np.int64), STEP * a[k]["ahead"].astype(np.int64), STEP * a[k]["behind"].astype(np.int64)], axis=1) for k in ("own", "other"))
             lo = max(0, int((other[:, 0] - np.minimum(other[:, 1], slack(own[:, 1]))).min()))
             hi = int((other[:, 0] + np.minimum(other[:, 2], slack(own[:, 2]))).max()) + SHINGLE
@@ -457,12 +590,24 @@ def passages(own: np.ndarray, other: np.ndarray, lo: int, anchors: np.ndarray) -
     """
     known = spots(other)
     out: list[tuple[int, int]] = []
+    if not len(known[0]):
+        return out
+    places = nearest(own, known)
+    shared = np.concatenate([[0], np.cumsum(places >= 0)])
+    order = np.argsort(own, kind="stable")
+    before = np.full(len(own), -1)
+    twice = np.flatnonzero(own[order[1:]] == own[order[:-1]])
+    before[order[twice + 1]] = order[twice]
+    again = np.concatenate([[0], np.cumsum(before >= 0)])
     for at, ahead, behind in anchors[np.argsort(-anchors[:, 1] - anchors[:, 2], kind="stable")].tolist():  # the widest first
         if any(a <= at <= b for a, b in out):
             continue
         a, b = max(0, at - ahead), min(len(own), at + behind + 1)
         ahead = at - a
-        place = nearest(own[a:b], known)
+        # Where no shingle repeats, LEAST in a row need so many shared ones.
+        if shared[b] - shared[a] < SIMILAR * LEAST and (again[b] == again[a] or before[a:b].max() < a):
+            continue
+        place = places[a:b]
         hits = np.flatnonzero(place >= 0)
         if not len(hits):
             continue
@@ -496,9 +641,11 @@ def passages(own: np.ndarray, other: np.ndarray, lo: int, anchors: np.ndarray) -
     return out
 
 
-def covered(own: np.ndarray, pairs: list[dict]) -> tuple[np.ndarray, set[int]]:
-    """Which words of a text go, and the earlier documents that have them. pairs: rep, lo, words, anchors."""
+def covered(own: np.ndarray, pairs: list[dict], spans: bytes = b"") -> tuple[np.ndarray, set[int]]:
+    """Which words of a text go, and the earlier documents that have them. pairs: rep, lo, words, anchors; spans: runs that go already."""
     gone = np.zeros(len(own) + SHINGLE, bool)
+    for a, b in np.frombuffer(spans, "<i4").reshape(-1, 2).tolist():
+        gone[a:b] = True
     reps = set()
     for p in sorted(pairs, key=lambda p: (-len(p["anchors"]), p["rep"] is None, p["rep"])):  # those that share most first
         anchors = np.frombuffer(p["anchors"], "<i4").reshape(-1, 3)
@@ -514,41 +661,59 @@ CLEANED = "n_words long, n_removed long, n_spans long, copied_from array<long>,
 
 
 def cleaned(text: str, columns: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    """Texts, with the runs and documents of ``JUDGED`` and further pairs, as far as they have any -> the columns and those of ``CLEANED``."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string())
+    for batch in itertools.chain.from_iterable(map(pieces, batches)):
         rows = []
-        for raw, pairs in zip(raw_texts(batch[text]), batch["pairs"].to_pylist(), strict=True):
-            if not pairs:
+        for raw, spans, before, pairs in zip(raw_texts(batch[text]), *(batch[c].to_pylist() for c in ("spans", "reps", "pairs")), strict=True):
+            edges, reps = np.frombuffer(spans or b"", "<i4"), set(before or [])
+            if pairs:
+                gone, more = covered(shingle_hashes(raw.lower().split(), SHINGLE), pairs, edges.tobytes())
+                edges, reps = edges_of(gone), reps | more
+            if not len(edges):
                 rows.append((len(raw.split()), 0, 0, [], raw.decode()))
                 continue
-            lowered = raw.lower().split()
-            gone, reps = covered(shingle_hashes(lowered, SHINGLE), pairs)
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)))
             begins = [m.start() for m in WORD.finditer(raw)] + [len(raw)]
             cuts = [0, *(begins[e] for e in edges.tolist()), len(raw)]
             kept = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
-            rows.append((len(lowered), int(gone.sum()), len(edges) // 2, sorted(reps), kept.decode()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string())
+            rows.append((len(begins) - 1, int((edges[1::2] - edges[::2]).sum()), len(edges) // 2, sorted(reps, key=lambda r: (r is None, r)), kept.decode()))
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[*columns, *(x.split()[0] for x in CLEANED.split(", "))])
 
 
-def gathered(found: DataFrame, texts: DataFrame, text: str, doc_id: str, columns: list[str] | None = None) -> DataFrame:
-    """Pairs (later, rep, anchors) -> later, pairs: with the words of the earlier texts that matter. columns: of the texts, as far as wanted in the join."""
+def gathered(found: DataFrame, texts: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Pairs (later, rep, anchors) -> later, pairs: with the words of the earlier texts that matter."""
     kind = "later long, rep long, lo int, words binary, anchors binary"
-    sliced = spread(found.filter("later <> rep")).join(texts, F.col("rep") == F.col("_key")).select("later", "rep", "anchors", *(columns or (text, doc_id)))
+    sliced = spread(found.filter("later <> rep")).join(texts, F.col("rep") == F.col("_key")).select("later", "rep", "anchors", text, doc_id)
     sliced = sliced.mapInArrow(functools.partial(cut_slices, text, doc_id), kind)
     return sliced.groupBy("later").agg(F.collect_list(F.struct("rep", "lo", "words", "anchors")).alias("pairs"))
 
 
 def worked(docs: DataFrame) -> DataFrame:
     """The columns of docs as c0, c1, ... and those of ``CLEANED``."""
-    # Both uses of the texts read the same columns, so that they share one exchange.
     texts, columns, text = in_key_order(docs), [f"c{i}" for i in range(len(docs.columns))], place_of(docs, "text")
     doc_id, found = place_of(docs, "doc_id"), written(candidates(texts, text), "pairs")
-    if (more := further(texts, text, doc_id, found)) is not None:
-        found = found.unionByName(more).groupBy("later", "rep").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
-    both = texts.join(spread(gathered(found, texts, text, doc_id, columns)), F.col("_key") == F.col("later"), "left").select(*columns, "pairs")
+    shared = written(found.mapInArrow(members, "route long, doc long, place long").distinct(), "routes")
+    crowd = written(crowds(shared), "crowds")
+    crowded = shared.join(spread(crowd.select("route")), "route").groupBy("doc").agg(F.collect_list("route").alias("routes"), F.collect_list("place").alias("places"))
+    paired_up = found.select(F.explode(F.array("later", "rep")).alias("doc"))
+    # Both uses of the texts read the same columns, so that they share one exchange.
+    some = parted(texts.select("_key", text, doc_id), paired_up, "doc")[0]
+    both = some.join(spread(gathered(found, some, text, doc_id)), F.col("_key") == F.col("later")).join(spread(crowded), F.col("_key") == F.col("doc"), "left")
+    first = written(both.select("_key", text, "routes", "places", "pairs").mapInArrow(functools.partial(judged, text), JUDGED), "judged")
+    more = further(texts, text, shared, crowd, first)
+    told = first.filter("octet_length(spans) > 0").select("later", "spans", "reps")
+    if more is None:
+        told = told.withColumn("pairs", F.lit(None).cast("array<struct<rep: long, lo: int, words: binary, anchors: binary>>"))
+    else:
+        extra = parted(texts.select("_key", text, doc_id), more.select(F.explode(F.array("later", "rep")).alias("doc")), "doc")[0]
+        told = told.join(spread(gathered(more, extra, text, doc_id)), "later", "full")
+    told = spread(told)
+    touched = first.filter("octet_length(spans) > 0").select("later") if more is None else first.filter("octet_length(spans) > 0").select("later").union(more.select("later"))
+    held, rest = parted(texts.select("_key", *columns), touched, "later")
+    joined = held.join(told, F.col("_key") == F.col("later"), "left").select(*columns, "spans", "reps", "pairs")
+    alone = rest.select(*columns, *[F.lit(None).cast(joined.schema[c].dataType).alias(c) for c in ("spans", "reps", "pairs")])
     kinds = T.StructType([*renamed_schema(docs).fields, *T.StructType.fromDDL(CLEANED).fields])
-    return both.mapInArrow(functools.partial(cleaned, text, columns), kinds)
+    return joined.union(alone).mapInArrow(functools.partial(cleaned, text, columns), kinds)
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:

@@ -292,3 +292,24 @@ def test_nearest_occurrence():
         for h, w, i in zip(own, wanted, got, strict=True):
             at = np.flatnonzero(other == h)
             assert (i == -1) if not len(at) else (other[i] == h and abs(i - w) == np.abs(at - w).min())
+
+
+def test_frequent_lines_pair_no_windows():
+    """Windows round one line of 5 to 43 shingles: pairs are those whose surroundings allow a passage, by brute force; a line alone leads to none."""
+    r = np.random.default_rng(3)
+
+    def around(line):
+        return np.concatenate([r.integers(0, 1 << 16, 45 - len(line) // 2), line, r.integers(0, 1 << 16, 45)]).astype("<u2")
+
+    found = 0
+    for _ in range(300):
+        line = r.integers(0, 1 << 16, int(r.integers(5, 44)))
+        own, others = around(line)[:91], [around(line) for _ in range(4)]
+        rows = [(1, 0, 5 + i, None, None, o.tobytes(), b"") for i, o in enumerate(others)] + [(1, 0, 9, 18, 45, own.tobytes(), b"")]
+        want = [5 + i for i, o in enumerate(others) if any(len(np.setdiff1d(own[x : x + windows.LEAST], o)) <= 18 for x in range(46))]
+        assert sorted(rep for _, rep, _, _ in windows.alike(rows)) == want
+        found += len(want)
+    assert found > 200
+    line = r.integers(0, 1 << 16, 12)
+    rows = [(1, 0, d, m, c, around(line)[: None if m is None else 91].tobytes(), b"") for d in range(500) for m, c in ((None, None), (18, 45))]
+    assert not list(windows.alike(rows))
