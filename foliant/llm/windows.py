@@ -14,9 +14,9 @@ similarity of its shingles of 0.8 or more.
 
 A hot passage leaves a task once: the smallest document of the task stands for the rest there, which link
 to it, and the smallest document overall links the tasks. So no group is paired with itself. Where a key has three
-documents or more, those that met there are compared first; a window that no passage covers then meets the first
-document of every other content that the key's windows have, however many these are. Windows of one content need
-no further partner: they have a whole passage in common.
+documents or more, those that met there are compared first; a window that no passage covers then meets every earlier
+document there whose surroundings allow a passage of LEAST to TWICE shingles round the centre. Surroundings travel as
+16 bits a shingle and are compared under the key, before any text moves; a longer passage holds shorter ones.
 
 Defined results: null counts as empty; texts under 50 words lose nothing; the smallest doc_id of a passage
 keeps it, null counting as the largest, and of rows that share a doc_id the first counts as the earlier
@@ -462,7 +462,7 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def further(texts: DataFrame, text: str, shared: DataFrame, crowd: DataFrame, first: DataFrame) -> DataFrame | None:
     """The pairs that ``met`` leaves out and that may still tell something: windows that no passage of the pairs found covers,
-    beside earlier documents of their route whose surroundings are similar enough; None without any. first: rows of ``JUDGED``."""
+    beside earlier documents of their route whose surroundings allow a passage; None without any. first: rows of ``JUDGED``."""
     left = first.select(F.col("later").alias("doc"), F.explode("open").alias("o")).select("o.route", "doc", F.col("o.places").alias("open"))
     wanted = crowd.join(spread(left.groupBy("route").agg(F.max("doc").alias("last"))), "route").select("route", "head", "last", F.ceil(F.col("n") / SLOT).cast("int").alias("slots"))
     rows = shared.join(spread(wanted), "route").filter("doc <= last").groupBy("route", "doc", "head", "last", "slots").agg(F.min("place").alias("low"), F.max("place").alias("high"))
