@@ -313,3 +313,36 @@ def test_frequent_lines_pair_no_windows():
     line = r.integers(0, 1 << 16, 12)
     rows = [(1, 0, d, m, c, around(line)[: None if m is None else 91].tobytes(), b"") for d in range(500) for m, c in ((None, None), (18, 45))]
     assert not list(windows.alike(rows))
+
+
+def test_surroundings_count_on_both_sides():
+    """Texts with replaced shingles round one centre: those with a passage of 0.8 there meet; of near copies with an edit every 20 words none do."""
+    r = np.random.default_rng(8)
+    n, centre, met = 2 * windows.NEAR + 1, windows.NEAR, 0
+    for _ in range(200):
+        own = r.integers(0, 1 << 16, n)
+        other = own.copy()
+        if r.random() < 0.3:  # a line that comes again
+            own[10:30] = own[60:80]
+        for at in r.integers(0, n - 5, int(r.integers(0, 12))).tolist():
+            other[at : at + 5] = r.integers(0, 1 << 16, 5)
+        other[centre] = own[centre]
+        rows = [(1, 0, 5, None, centre, other.astype("<u2").tobytes(), b""), (1, 0, 9, len(set(own.tolist())) // 5, centre, own.astype("<u2").tobytes(), b"")]
+        got = bool(list(windows.alike(rows, whole=True)))
+        must = False
+        for x in range(0, centre + 1, 3):
+            for y in range(max(centre, x + windows.LEAST - 1), n, 3):
+                mine, theirs = set(own[x : y + 1].tolist()), set(other[x : y + 1].tolist())
+                must |= len(mine & theirs) >= 0.8 * len(mine | theirs)
+        assert got or not must
+        met += must
+    assert met > 30
+    base = r.integers(0, 1 << 16, n)
+    rows = []
+    for doc in range(300):
+        copy = base.copy()
+        for at in range(doc % 12, n - 5, 20):
+            copy[at : at + 5] = r.integers(0, 1 << 16, 5)
+        copy[centre] = base[centre]
+        rows += [(1, 0, doc, m, centre, copy.astype("<u2").tobytes(), b"") for m in (None, n // 5)]
+    assert not list(windows.alike(rows, whole=True))
