@@ -214,9 +214,10 @@ def memory_candidates(terms: DataFrame, types: DataFrame, memory: DataFrame, sta
     """doc_id, path, score, evidence, place by learned terms.
 
     terms (doc_id, term); types (doc_id, document_type). The first 8 positive and 5 negative hits in
-    alphabetical order count.
+    alphabetical order count. The terms of all documents meet the memory by term: neither side is broadcast, and a term that most
+    documents have is dealt to several places.
     """
-    hits = terms.select("doc_id", "term").distinct().join(memory.filter("kind in ('positive', 'negative')"), "term")
+    hits = joined_to_many(terms.select("doc_id", "term").distinct(), memory.filter("kind in ('positive', 'negative')"), ["term"])
     w = Window.partitionBy("doc_id", "path", "kind").orderBy("term")
     hits = hits.withColumn("at", F.row_number().over(w)).filter((F.col("kind") == "positive") & (F.col("at") <= 8) | (F.col("kind") == "negative") & (F.col("at") <= 5))
     gain = F.when(F.col("kind") == "positive", F.least("n", F.lit(6)) * 6).otherwise(-F.least("n", F.lit(5)) * 5)

@@ -101,3 +101,13 @@ def test_parts_grow_with_documents(spark, data, monkeypatch):
     plan = str(df._jdf.queryExecution().executedPlan().toString())
     assert plan.count("Exchange hashpartitioning") == 1 and f", {n})" in plan
     assert sorted(map(str, df.collect())) == want
+
+
+def test_memory_terms_are_not_broadcast(kept):
+    terms = kept("terms", [(1, "alpha"), (1, "beta"), (2, "alpha"), (2, "alpha")], "doc_id long, term string")
+    memory = kept("memory", [("A/x", "positive", "alpha", 9), ("A/x", "negative", "beta", 1), ("A/x", "type", "rechnung", 2)], "path string, kind string, term string, n int")
+    types = kept("types", [(1, "Rechnung"), (2, "")], "doc_id long, document_type string")
+    got = classify.memory_candidates(terms, types, memory, kept("stats", [("A/x", 2)], "path string, confirmed_count int"))
+    assert broadcasts(got) <= 2  # the paths' types and counts
+    assert "BroadcastHashJoin [term#" not in str(got._jdf.queryExecution().executedPlan().toString())
+    assert sorted((r["doc_id"], r["path"], r["score"], r["evidence"]) for r in got.collect()) == [(1, "A/x", 47, ["alpha"]), (2, "A/x", 42, ["alpha"])]
